@@ -38,3 +38,223 @@ def message_log(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Sent_Date_And_Time"),
         F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("Thread_Content"),
     )
+
+
+# ---------------------------------------------------------------- judge replies
+# Comparison-judge categories (same list as parley.operators.scores).
+from parley.operators.scores import (EMOTIONAL_KEYS, LINGUISTIC_KEYS, RUBRIC_PREFIX,  # noqa: E402
+                                     RUBRIC_WEIGHTS, SCORE_CATEGORIES, TRAIT_KEY)
+
+
+def _doc_labels(spark, d, how="left"):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.join(table(spark, d, "labels"), "doc_id", how)
+
+
+def comparison_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Judge replies (uid, input_file_name, comparison_json) in the three shapes the reference meets:
+    plain JSON, fenced JSON (toxic = 1), a chat-completion envelope (lang de) and broken text (es, quality 0)."""
+    fields = []
+    for i, cat in enumerate(SCORE_CATEGORIES):
+        score = ((F.col("doc_id") * (i + 3) + F.col("n_chars")) % 5 + 1).cast("int")
+        if i == len(SCORE_CATEGORIES) - 1:
+            score = F.when(F.col("quality").isNotNull(), score)
+        fields.append(F.struct(score.alias("score"), F.concat(F.lit(cat + " "), "lang").alias("justification")).alias(cat))
+    js = F.to_json(F.struct(*fields))
+    envelope = F.to_json(F.struct(F.array(F.struct(F.struct(js.alias("content")).alias("message"))).alias("choices")))
+    reply = (F.when(F.col("toxic") == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+             .when(F.col("lang") == "de", envelope)
+             .when((F.col("lang") == "es") & (F.col("quality") == 0), F.concat(F.lit("not json: "), js))
+             .otherwise(js))
+    return _doc_labels(spark, d).select(
+        F.col("doc_id").cast("string").alias("uid"),
+        F.concat_ws("|", F.lit("comparison"), "lang", "source").alias("input_file_name"),
+        reply.alias("comparison_json"))
+
+
+def _sql_json_scores():
+    parts = []
+    for i, cat in enumerate(SCORE_CATEGORIES):
+        score = f"CAST(((doc_id * {i + 3} + n_chars) % 5 + 1) AS INTEGER)"
+        if i == len(SCORE_CATEGORIES) - 1:
+            score = f"CASE WHEN quality IS NOT NULL THEN {score} END"
+        parts.append(f"'{cat}', json_object('score', {score}, 'justification', '{cat} ' || lang)")
+    return "json_object(" + ", ".join(parts) + ")::VARCHAR"
+
+
+COMPARISON_REPLIES_SQL = f"""
+replies AS (
+  SELECT CAST(doc_id AS VARCHAR) AS uid, concat_ws('|', 'comparison', lang, source) AS input_file_name,
+         CASE WHEN toxic = 1 THEN '```json' || chr(10) || js || chr(10) || '```'
+              WHEN lang = 'de' THEN json_object('choices', json_array(json_object('message', json_object('content', js))))::VARCHAR
+              WHEN lang = 'es' AND quality = 0 THEN 'not json: ' || js
+              ELSE js END AS comparison_json
+  FROM (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic, {_sql_json_scores()} AS js
+        FROM documents d LEFT JOIN labels l USING (doc_id))
+)"""
+
+# Eval families and their sub-keys as the multi-turn judge returns them.
+BIG_FIVE = ["openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism"]
+LANG_SUBKEYS = [k.split(".", 1)[1] for k in LINGUISTIC_KEYS]
+EMO_SUBKEYS = [k.split(".", 1)[1] for k in EMOTIONAL_KEYS]
+
+
+def _family_struct(name, keys, offset):
+    return F.struct(*[F.struct(((F.col("doc_id") + (offset + k) * 7 + F.col("n_chars")) % 5 + 1).cast("int").alias("score"),
+                               F.lit(f"{key} rationale").alias("rationale")).alias(key)
+                      for k, key in enumerate(keys)]).alias(name)
+
+
+def eval_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(file_name, doc_json): one patient-eval document per labelled document."""
+    pc = F.struct(((F.col("doc_id") + F.col("n_chars")) % 5 + 1).cast("int").alias("score"),
+                  F.lit("concern rationale").alias("rationale")).alias("presenting_concern")
+    simple = F.when(F.col("quality") == 1, F.struct(((F.col("doc_id") * 3) % 5 + 1).cast("int").alias("score"),
+                                                    F.lit("simple").alias("rationale"))).alias("big_five_traits_simple")
+    doc = F.to_json(F.struct(_family_struct("big_five_traits", BIG_FIVE, 0),
+                             _family_struct("language_patterns", LANG_SUBKEYS, 5),
+                             _family_struct("emotional_realism", EMO_SUBKEYS, 8), pc, simple))
+    return _doc_labels(spark, d, "inner").select(
+        F.concat(F.lit("dialogue_"), F.col("doc_id").cast("string"), F.lit(".jsonl")).alias("file_name"),
+        doc.alias("doc_json"))
+
+
+def _sql_family(name, keys, offset):
+    inner = ", ".join(f"'{key}', json_object('score', CAST((doc_id + {(offset + k) * 7} + n_chars) % 5 + 1 AS INTEGER), "
+                      f"'rationale', '{key} rationale')" for k, key in enumerate(keys))
+    return f"'{name}', json_object({inner})"
+
+
+EVAL_DOCUMENTS_SQL = f"""
+evals AS (
+  SELECT 'dialogue_' || CAST(doc_id AS VARCHAR) || '.jsonl' AS file_name,
+         json_object({_sql_family('big_five_traits', BIG_FIVE, 0)}, {_sql_family('language_patterns', LANG_SUBKEYS, 5)},
+                     {_sql_family('emotional_realism', EMO_SUBKEYS, 8)},
+                     'presenting_concern', json_object('score', CAST((doc_id + n_chars) % 5 + 1 AS INTEGER), 'rationale', 'concern rationale'),
+                     'big_five_traits_simple', CASE WHEN quality = 1 THEN json_object('score', CAST((doc_id * 3) % 5 + 1 AS INTEGER), 'rationale', 'simple') END
+         ) AS doc_json
+  FROM documents d JOIN labels l USING (doc_id)
+)"""
+
+
+# ---------------------------------------------------------------- traces and scores
+def _category(lang, source):
+    return (F.when(source.isin("src0", "src1"), F.lit("Relationship"))
+            .when(lang == "en", F.lit("suicidality"))
+            .when(lang == "fr", F.lit("Depression"))
+            .when(lang == "de", F.lit("grief")))
+
+
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    """Trace export (trace_id, name, tags, category, run_name, turn_count, latency), one per document."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return docs.select(
+        F.col("doc_id").alias("trace_id"), F.lit("generated-conversation").alias("name"),
+        F.array(F.concat(F.lit("docs-"), "lang", F.lit("/eval-run")), F.concat(F.lit("src/"), "source")).alias("tags"),
+        _category(F.col("lang"), F.col("source")).alias("category"),
+        F.lit("eval-run").alias("run_name"),
+        (F.col("n_chars") % 9).alias("turn_count"),
+        (F.col("n_chars") / 100.0).alias("latency"))
+
+
+TRACES_SQL = """
+traces AS (
+  SELECT doc_id AS trace_id, 'generated-conversation' AS name,
+         ['docs-' || lang || '/eval-run', 'src/' || source] AS tags,
+         CASE WHEN source IN ('src0', 'src1') THEN 'Relationship' WHEN lang = 'en' THEN 'suicidality'
+              WHEN lang = 'fr' THEN 'Depression' WHEN lang = 'de' THEN 'grief' END AS category,
+         'eval-run' AS run_name, n_chars % 9 AS turn_count, n_chars / 100.0 AS latency
+  FROM documents
+)"""
+
+RUBRIC_ITEMS = [k for k in RUBRIC_WEIGHTS if k != "P7"]  # the judge never returns P7
+
+
+def rubric_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score log (trace_id, name, value STRING, ts) of rubric items, with an overwritten X0."""
+    rows = []
+    for i, item in enumerate(RUBRIC_ITEMS):
+        if item == "X0":
+            v = F.when(F.col("quality") == 1, F.lit("yes")).otherwise(F.lit("0"))
+        elif item == "P5":
+            v = F.when(F.col("toxic") == 1, F.lit("NA")).otherwise(F.lit("true"))
+        else:
+            m = (F.col("doc_id") + i) % 4
+            v = (F.when(m == 0, F.lit("false")).when(m == 1, F.lit("true")).when(m == 2, F.lit("1.0"))
+                 .otherwise(F.lit("NA")))
+        rows.append(F.struct(F.lit(RUBRIC_PREFIX + item).alias("name"), v.alias("value"), F.lit(100 + i).alias("ts")))
+    stale = F.struct(F.lit(RUBRIC_PREFIX + "X0").alias("name"),
+                     F.when(F.col("quality") == 1, F.lit("false")).otherwise(F.lit("true")).alias("value"),
+                     F.lit(1).alias("ts"))
+    return _doc_labels(spark, d, "inner").select(F.col("doc_id").alias("trace_id"), F.inline(F.array(stale, *rows)))
+
+
+def _sql_rubric_rows():
+    rows = [f"{{'name': '{RUBRIC_PREFIX}X0', 'value': CASE WHEN quality = 1 THEN 'false' ELSE 'true' END, 'ts': 1}}"]
+    for i, item in enumerate(RUBRIC_ITEMS):
+        if item == "X0":
+            v = "CASE WHEN quality = 1 THEN 'yes' ELSE '0' END"
+        elif item == "P5":
+            v = "CASE WHEN toxic = 1 THEN 'NA' ELSE 'true' END"
+        else:
+            v = (f"CASE (doc_id + {i}) % 4 WHEN 0 THEN 'false' WHEN 1 THEN 'true' WHEN 2 THEN '1.0' ELSE 'NA' END")
+        rows.append(f"{{'name': '{RUBRIC_PREFIX}{item}', 'value': {v}, 'ts': {100 + i}}}")
+    return "[" + ", ".join(rows) + "]"
+
+
+RUBRIC_SCORES_SQL = f"""
+scores AS (
+  SELECT trace_id, r.name AS name, r.value AS value, r.ts AS ts
+  FROM (SELECT doc_id AS trace_id, unnest({_sql_rubric_rows()}) AS r FROM documents JOIN labels USING (doc_id))
+)"""
+
+REALISM_KEYS = LINGUISTIC_KEYS + EMOTIONAL_KEYS + [TRAIT_KEY]
+
+
+def realism_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score log (trace_id, name, value, ts) of realism keys; toxic documents miss the emotional keys."""
+    rows = []
+    for k, key in enumerate(REALISM_KEYS):
+        v = ((F.col("doc_id") + k + F.col("n_chars")) % 3 + 1).cast("string")
+        if key in EMOTIONAL_KEYS:
+            v = F.when(F.col("toxic") == 0, v)
+        rows.append(F.struct(F.lit(key).alias("name"), v.alias("value"), F.lit(k).alias("ts")))
+    return _doc_labels(spark, d, "inner").select(F.col("doc_id").alias("trace_id"), F.inline(F.array(*rows)))
+
+
+def _sql_realism_rows():
+    rows = []
+    for k, key in enumerate(REALISM_KEYS):
+        v = f"CAST((doc_id + {k} + n_chars) % 3 + 1 AS VARCHAR)"
+        if key in EMOTIONAL_KEYS:
+            v = f"CASE WHEN toxic = 0 THEN {v} END"
+        rows.append(f"{{'name': '{key}', 'value': {v}, 'ts': {k}}}")
+    return "[" + ", ".join(rows) + "]"
+
+
+REALISM_SCORES_SQL = f"""
+scores AS (
+  SELECT trace_id, r.name AS name, r.value AS value, r.ts AS ts
+  FROM (SELECT doc_id AS trace_id, unnest({_sql_realism_rows()}) AS r FROM documents JOIN labels USING (doc_id))
+)"""
+
+
+# ---------------------------------------------------------------- patient summaries
+def patient_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Patient-summary JSON lines ``{name: {age, gender, presenting_concern}}`` from customers."""
+    c = table(spark, d, "customer")
+    age = F.when(F.col("c_acctbal") >= 0, 10 + F.col("c_custkey") % 95)
+    g = F.col("c_nationkey") % 4
+    gender = F.when(g == 0, F.lit("male")).when(g == 1, F.lit("Male")).when(g == 2, F.lit("female"))
+    details = F.struct(age.alias("age"), gender.alias("gender"), F.col("c_mktsegment").alias("presenting_concern"))
+    return c.select(F.to_json(F.create_map(F.col("c_name"), details)).alias("line"))
+
+
+PATIENT_SUMMARIES_SQL = """
+patients AS (
+  SELECT json_object(c_name, json_object(
+           'age', CASE WHEN c_acctbal >= 0 THEN 10 + c_custkey % 95 END,
+           'gender', CASE c_nationkey % 4 WHEN 0 THEN 'male' WHEN 1 THEN 'Male' WHEN 2 THEN 'female' END,
+           'presenting_concern', c_mktsegment))::VARCHAR AS line
+  FROM customer
+)"""
