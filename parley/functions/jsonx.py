@@ -12,14 +12,27 @@ from pyspark.sql import functions as F
 from parley.functions.text import col_
 
 
+def strict_parse_json(c) -> Column:
+    """Parse like Python's ``json.loads``: the whole text must be exactly one JSON value.
+
+    ``try_parse_json`` stops after the first complete value and ignores what
+    follows (``{"a":1} thanks`` parses). Wrapping the text as
+    ``[text\n,0]`` and requiring a two-element array rejects any trailing
+    content, and a second top-level value, while keeping JVM-side parsing.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), col_(c), F.lit("\n,0]")))
+    arr = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(arr) == 2, F.element_at(arr, 1))
+
+
 def unfence(c) -> Column:
     """Drop a leading ```` ```json\\n ```` and a trailing ```` \\n``` ````."""
     return F.regexp_replace(F.regexp_replace(col_(c), r"^```json\n", ""), r"\n```$", "")
 
 
 def strip_fences(c) -> Column:
-    """Drop every ```` ```json ```` / ```` ``` ```` fence and trim."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col_(c), r"```json", ""), r"```", ""))
+    """Drop every ```` ``` ```` / ```` ```json ```` fence with the white space after it, then strip."""
+    return F.regexp_replace(F.regexp_replace(col_(c), r"```(?:json)?\s*", ""), r"^\s+|\s+$", "")
 
 
 def brace_span(c) -> Column:
@@ -29,29 +42,29 @@ def brace_span(c) -> Column:
 
 def json_from_text(c) -> Column:
     """Parse the brace span of free text; NULL when there is none or it does not parse."""
-    return F.try_parse_json(F.nullif(brace_span(c), F.lit("")))
+    return strict_parse_json(F.nullif(brace_span(c), F.lit("")))
 
 
 def json_block(c) -> Column:
     """Fences removed, then whole text, then the brace span; NULL when neither parses."""
     s = strip_fences(c)
-    return F.coalesce(F.try_parse_json(s), F.try_parse_json(F.nullif(brace_span(s), F.lit(""))))
+    return F.coalesce(strict_parse_json(s), strict_parse_json(F.nullif(brace_span(s), F.lit(""))))
 
 
 def json_block_path(c) -> Column:
     """Which path of :func:`json_block` succeeded: 'whole', 'brace' or 'failed'."""
     s = strip_fences(c)
-    return (F.when(F.try_parse_json(s).isNotNull(), F.lit("whole"))
-            .when(F.try_parse_json(F.nullif(brace_span(s), F.lit(""))).isNotNull(), F.lit("brace"))
+    return (F.when(strict_parse_json(s).isNotNull(), F.lit("whole"))
+            .when(strict_parse_json(F.nullif(brace_span(s), F.lit(""))).isNotNull(), F.lit("brace"))
             .otherwise(F.lit("failed")))
 
 
 def judge_document(c) -> Column:
     """Comparison-judge reply -> VARIANT: unfence, parse, and unwrap a chat-completion
     envelope (``choices[0].message.content`` parsed again). Parse failures -> NULL."""
-    outer = F.try_parse_json(unfence(c))
+    outer = strict_parse_json(unfence(c))
     content = F.try_variant_get(outer, "$.choices[0].message.content", "string")
-    return F.when(content.isNotNull(), F.try_parse_json(content)).otherwise(outer)
+    return F.when(content.isNotNull(), strict_parse_json(content)).otherwise(outer)
 
 
 def vget(v, path: str, typ: str = "string") -> Column:

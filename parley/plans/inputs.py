@@ -258,3 +258,198 @@ patients AS (
            'presenting_concern', c_mktsegment))::VARCHAR AS line
   FROM customer
 )"""
+
+
+# ---------------------------------------------------------------- free-text judge replies
+# Fixed values for the fixture: which eval each language plays and the rubric items it returns.
+JUDGE_EVALS = {"en": "counselor-eval-rubric", "fr": "realism", "de": "presenting_concern", "es": "unit-tests"}
+RUBRIC_REPLY_ITEMS = ["P1", "P2", "P5", "M1", "S3", "X0", "X1", "X2"]
+
+
+def _bit(k):
+    return ((F.col("doc_id") + k) % 2) == 0
+
+
+def judge_replies(spark: SparkSession, d: str) -> DataFrame:
+    """(trace_id, source_trace_id, eval_name, model, raw): judge reply text per labelled document.
+
+    Bodies: rubric booleans with an "NA" and group justifications (en), nested
+    metric objects (fr), one top-level score (de), scalar strings/numbers (es).
+    Wrappers: fenced (toxic), prose around the JSON (quality 0), cut-off JSON
+    (n_chars divisible by 13), else bare.
+    """
+    dl = _doc_labels(spark, d, "inner")
+    rubric = F.to_json(F.struct(*[
+        (F.when(F.col("toxic") == 1, F.lit("NA")).otherwise(F.lit("true")) if it == "P5"
+         else (F.col("quality") == 1) if it == "X0" else _bit(i)).alias(it)
+        for i, it in enumerate(RUBRIC_REPLY_ITEMS)],
+        F.concat(F.lit("P group "), F.col("source")).alias("P_justification"),
+        F.array(F.lit("crisis")).alias("case_categorization")))
+    realism = F.to_json(F.struct(
+        F.struct((F.col("n_chars") % 5 + 1).alias("score"), F.lit("lp ok").alias("rationale")).alias("language_patterns"),
+        F.struct((F.col("doc_id") % 5 + 1).alias("score"), F.lit("er ok").alias("justification")).alias("emotional_realism"),
+        F.struct((F.col("doc_id") % 3 + 1).alias("score")).alias("realism.overall")))
+    single = F.to_json(F.struct((F.col("doc_id") % 4 + 1).alias("score"), F.lit("fits").alias("rationale")))
+    scalars = F.to_json(F.struct(F.concat(F.lit(""), (F.col("doc_id") % 5).cast("string")).alias("questions"),
+                                 (F.col("n_chars") / 1000.0).alias("pacing"),
+                                 F.lit("p text").alias("P_justification"), F.lit("n/a").alias("notes")))
+    body = (F.when(F.col("lang") == "en", rubric).when(F.col("lang") == "fr", realism)
+            .when(F.col("lang") == "de", single).otherwise(scalars))
+    raw = (F.when(F.col("n_chars") % 13 == 0, F.expr("substring(_b, 1, length(_b) - 1)"))
+           .when(F.col("toxic") == 1, F.concat(F.lit("```json\n"), F.col("_b"), F.lit("\n```")))
+           .when(F.col("quality") == 0, F.concat(F.lit("Evaluation follows:\n"), F.col("_b"), F.lit("\nThanks")))
+           .otherwise(F.col("_b")))
+    ev = F.when(F.col("lang") == "en", F.lit(JUDGE_EVALS["en"])).when(F.col("lang") == "fr", F.lit(JUDGE_EVALS["fr"])) \
+        .when(F.col("lang") == "de", F.lit(JUDGE_EVALS["de"])).otherwise(F.lit(JUDGE_EVALS["es"]))
+    return (dl.withColumn("_b", body)
+            .select((F.col("doc_id") + 1000000).alias("trace_id"),
+                    F.when(F.col("toxic") == 0, F.col("doc_id")).alias("source_trace_id"),
+                    ev.alias("eval_name"), F.col("source").alias("model"), raw.alias("raw")))
+
+
+def _sql_judge_bodies():
+    items = []
+    for i, it in enumerate(RUBRIC_REPLY_ITEMS):
+        if it == "P5":
+            v = "CASE WHEN toxic = 1 THEN 'NA' ELSE 'true' END"
+        elif it == "X0":
+            v = "(quality = 1)"
+        else:
+            v = f"((doc_id + {i}) % 2 = 0)"
+        items.append(f"'{it}', {v}")
+    rubric = ("json_object(" + ", ".join(items) + ", 'P_justification', 'P group ' || source, "
+              "'case_categorization', ['crisis'])::VARCHAR")
+    realism = ("json_object('language_patterns', json_object('score', n_chars % 5 + 1, 'rationale', 'lp ok'), "
+               "'emotional_realism', json_object('score', doc_id % 5 + 1, 'justification', 'er ok'), "
+               "'realism.overall', json_object('score', doc_id % 3 + 1))::VARCHAR")
+    single = "json_object('score', doc_id % 4 + 1, 'rationale', 'fits')::VARCHAR"
+    scalars = ("json_object('questions', CAST(doc_id % 5 AS VARCHAR), 'pacing', n_chars / 1000.0, "
+               "'P_justification', 'p text', 'notes', 'n/a')::VARCHAR")
+    return (f"CASE lang WHEN 'en' THEN {rubric} WHEN 'fr' THEN {realism} WHEN 'de' THEN {single} "
+            f"ELSE {scalars} END")
+
+
+JUDGE_REPLIES_SQL = f"""
+judge AS (
+  SELECT doc_id + 1000000 AS trace_id, CASE WHEN toxic = 0 THEN doc_id END AS source_trace_id,
+         CASE lang WHEN 'en' THEN '{JUDGE_EVALS['en']}' WHEN 'fr' THEN '{JUDGE_EVALS['fr']}'
+                   WHEN 'de' THEN '{JUDGE_EVALS['de']}' ELSE '{JUDGE_EVALS['es']}' END AS eval_name,
+         source AS model,
+         CASE WHEN n_chars % 13 = 0 THEN substr(b, 1, length(b) - 1)
+              WHEN toxic = 1 THEN '```json' || chr(10) || b || chr(10) || '```'
+              WHEN quality = 0 THEN 'Evaluation follows:' || chr(10) || b || chr(10) || 'Thanks'
+              ELSE b END AS raw
+  FROM (SELECT *, {_sql_judge_bodies()} AS b FROM documents JOIN labels USING (doc_id))
+)"""
+
+
+# ---------------------------------------------------------------- completion JSONL lines
+def completion_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(file_name, line_no, line) completion JSONL from conversation turns.
+
+    assistant turns: flat shape (odd turns; uid dropped when turn = 1) or the
+    3-element array shape (chat choices; Gemini candidates when conv_id is a
+    multiple of 5); user turns: failure shape when turn = 2, else a line that
+    is not JSON; system turns: blank lines.
+    """
+    t = turns(spark, d)
+    uid = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    meta = F.struct(uid.alias("uid"), F.lit("tmpl_a").alias("prompt_template_name"),
+                    F.concat(F.lit("in|model-"), (F.col("conv_id") % 3).cast("string")).alias("input_file_name"))
+    request = F.struct(F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))).alias("messages"))
+    flat = F.to_json(F.struct(F.lit("p").alias("prompt"), F.col("text").alias("completion"),
+                              F.when(F.col("turn") != 1, uid).alias("uid"),
+                              F.lit("tmpl_b").alias("prompt_template_name"),
+                              F.concat(F.lit("in|model-"), (F.col("conv_id") % 3).cast("string")).alias("input_file_name")))
+    chat = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
+    gem = F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.col("text").alias("text")),
+                                                      F.struct(F.lit(" (end)").alias("text"))).alias("parts")).alias("content"))).alias("candidates"))
+    arr = F.concat(F.lit("["), F.to_json(request), F.lit(","),
+                   F.when(F.col("conv_id") % 5 == 0, F.to_json(gem)).otherwise(F.to_json(chat)), F.lit(","),
+                   F.to_json(F.struct(meta.alias("metadata"))), F.lit("]"))
+    failed = F.concat(F.lit("["), F.to_json(request), F.lit(",[\"rate limit\",\"timeout\"],"),
+                      F.to_json(F.struct(meta.alias("metadata"))), F.lit("]"))
+    line = (F.when(F.col("role") == "system", F.lit(""))
+            .when((F.col("role") == "assistant") & (F.col("turn") % 2 == 1), flat)
+            .when(F.col("role") == "assistant", arr)
+            .when(F.col("turn") == 2, failed)
+            .otherwise(F.concat(F.lit("not json: "), F.col("text"))))
+    return t.select(F.concat(F.lit("completions_"), (F.col("conv_id") % 4).cast("string"), F.lit(".jsonl")).alias("file_name"),
+                    (F.col("conv_id") * 100 + F.col("turn")).alias("line_no"), line.alias("line"))
+
+
+COMPLETION_LINES_SQL = """
+clines AS (
+  SELECT 'completions_' || CAST(conv_id % 4 AS VARCHAR) || '.jsonl' AS file_name, conv_id * 100 + turn AS line_no,
+    CASE WHEN role = 'system' THEN ''
+         WHEN role = 'assistant' AND turn % 2 = 1 THEN
+           json_object('prompt', 'p', 'completion', text, 'uid', CASE WHEN turn <> 1 THEN 'c' || conv_id || '-' || turn END,
+                       'prompt_template_name', 'tmpl_b', 'input_file_name', 'in|model-' || CAST(conv_id % 3 AS VARCHAR))::VARCHAR
+         WHEN role = 'assistant' THEN
+           json_array(json_object('messages', [json_object('role', 'user', 'content', 'hi')]),
+                      CASE WHEN conv_id % 5 = 0
+                           THEN json_object('candidates', [json_object('content', json_object('parts', [json_object('text', text), json_object('text', ' (end)')]))])
+                           ELSE json_object('choices', [json_object('message', json_object('content', text))]) END,
+                      json_object('metadata', json_object('uid', 'c' || conv_id || '-' || turn, 'prompt_template_name', 'tmpl_a',
+                                                          'input_file_name', 'in|model-' || CAST(conv_id % 3 AS VARCHAR))))::VARCHAR
+         WHEN turn = 2 THEN
+           json_array(json_object('messages', [json_object('role', 'user', 'content', 'hi')]), ['rate limit', 'timeout'],
+                      json_object('metadata', json_object('uid', 'c' || conv_id || '-' || turn, 'prompt_template_name', 'tmpl_a',
+                                                          'input_file_name', 'in|model-' || CAST(conv_id % 3 AS VARCHAR))))::VARCHAR
+         ELSE 'not json: ' || text END AS line
+  FROM conversations
+)"""
+
+
+# ---------------------------------------------------------------- dialogue eval files
+def dialogue_eval_files(spark: SparkSession, d: str) -> DataFrame:
+    """(file_name, line_no, text): 3-line dialogue eval files, one per labelled document.
+
+    Name ``dialogue|<dlg>_x_<concern>_<n>|<counselor>|<editor>|<model>|<timestamp>.jsonl``;
+    toxic documents get a name without the timestamp part (malformed) and
+    documents with n_chars divisible by 11 lose their third line.
+    """
+    dl = _doc_labels(spark, d, "inner")
+    name = F.concat_ws("|", F.lit("dialogue"),
+                       F.concat(F.lit("dlg"), F.col("doc_id").cast("string"), F.lit("_x_"), F.col("lang"), F.lit("_"),
+                                (F.col("doc_id") % 7).cast("string")),
+                       F.lit("cp1"), F.lit("ed0"), F.col("source"),
+                       F.when(F.col("toxic") == 0, F.lit("20240101T0000.jsonl")))
+    name = F.when(F.col("toxic") == 0, name).otherwise(F.concat(name, F.lit(".jsonl")))
+    pe = F.to_json(F.struct(F.struct((F.col("doc_id") % 5 + 1).alias("score"), F.lit("ok").alias("rationale")).alias("big_five_traits_simple"),
+                            F.struct((F.col("n_chars") % 5 + 1).alias("score"), F.lit("ok").alias("rationale")).alias("presenting_concern")))
+    ut = F.to_json(F.struct(
+        F.struct((F.col("doc_id") % 3).alias("n_question_messages"), F.lit("q").alias("rationale")).alias("questions"),
+        F.struct((F.col("quality") == 1).alias("build_rapport"), F.lit("").alias("rationale"),
+                 F.lit("rapport expl").alias("explanation")).alias("rapport"),
+        F.struct(F.lit(1).alias("unsafe_behavior")).alias("unsafe"),
+        F.lit("skip me").alias("note")))
+    ce = F.to_json(F.struct(F.struct((F.col("doc_id") % 4 + 1).alias("score"), F.lit("emp").alias("rationale")).alias("empathy")))
+    lines = F.array(F.struct(F.lit(0).alias("line_no"), pe.alias("text")),
+                    F.struct(F.lit(1).alias("line_no"), ut.alias("text")),
+                    F.struct(F.lit(2).alias("line_no"), ce.alias("text")))
+    return (dl.select(name.alias("file_name"), "n_chars", F.inline(lines))
+            .filter(~((F.col("n_chars") % 11 == 0) & (F.col("line_no") == 2))).drop("n_chars"))
+
+
+DIALOGUE_EVAL_FILES_SQL = """
+efiles AS (
+  SELECT file_name, r.line_no AS line_no, r.text AS text
+  FROM (
+    SELECT CASE WHEN toxic = 0
+                THEN concat_ws('|', 'dialogue', 'dlg' || doc_id || '_x_' || lang || '_' || CAST(doc_id % 7 AS VARCHAR),
+                               'cp1', 'ed0', source, '20240101T0000.jsonl')
+                ELSE concat_ws('|', 'dialogue', 'dlg' || doc_id || '_x_' || lang || '_' || CAST(doc_id % 7 AS VARCHAR),
+                               'cp1', 'ed0', source) || '.jsonl' END AS file_name,
+           n_chars,
+           unnest([
+             {'line_no': 0, 'text': json_object('big_five_traits_simple', json_object('score', doc_id % 5 + 1, 'rationale', 'ok'),
+                                                'presenting_concern', json_object('score', n_chars % 5 + 1, 'rationale', 'ok'))::VARCHAR},
+             {'line_no': 1, 'text': json_object('questions', json_object('n_question_messages', doc_id % 3, 'rationale', 'q'),
+                                                'rapport', json_object('build_rapport', quality = 1, 'rationale', '', 'explanation', 'rapport expl'),
+                                                'unsafe', json_object('unsafe_behavior', 1),
+                                                'note', 'skip me')::VARCHAR},
+             {'line_no': 2, 'text': json_object('empathy', json_object('score', doc_id % 4 + 1, 'rationale', 'emp'))::VARCHAR}]) AS r
+    FROM documents JOIN labels USING (doc_id))
+  WHERE NOT (n_chars % 11 = 0 AND r.line_no = 2)
+)"""

@@ -63,3 +63,28 @@ pairs AS (
 
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
+
+
+def num(v: str, path: str = "$") -> str:
+    """Python ``float(x)`` of a JSON value in DuckDB: booleans -> 1/0, numeric strings cast, else NULL."""
+    return (f"(CASE json_type({v}, '{path}') WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string({v}, '{path}') = 'true' "
+            f"THEN 1.0 ELSE 0.0 END WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN NULL WHEN 'ARRAY' THEN NULL "
+            f"ELSE TRY_CAST(json_extract_string({v}, '{path}') AS DOUBLE) END)")
+
+
+def strict_json(s: str) -> str:
+    """DuckDB twin of ``strict_parse_json``: JSON when the whole text is one valid value, else NULL."""
+    return f"(CASE WHEN json_valid({s}) THEN ({s})::JSON END)"
+
+
+BRACE = r"regexp_extract({s}, '(?s)(\{{.*\}})', 1)"
+
+
+def json_block(s: str) -> str:
+    """DuckDB twin of ``json_block`` over already fence-stripped text ``s``."""
+    b = BRACE.format(s=s)
+    return f"coalesce({strict_json(s)}, {strict_json(b)})"
+
+
+def fence_strip(x: str) -> str:
+    return strip(r"regexp_replace(" + x + r", '```(?:json)?\s*', '', 'g')")
