@@ -453,3 +453,195 @@ efiles AS (
     FROM documents JOIN labels USING (doc_id))
   WHERE NOT (n_chars % 11 = 0 AND r.line_no = 2)
 )"""
+
+
+# ---------------------------------------------------------------- prompt rows, items and completions
+def benchmark_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Input rows for prompting: (item_id, text, file_name, row_index) - file name and position from the scan."""
+    return table(spark, d, "benchmark").select("item_id", "text", F.col("_metadata.file_name").alias("file_name"),
+                                               F.col("_metadata.row_index").alias("row_index"))
+
+
+def _turn_uid():
+    return F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256)
+
+
+def static_items(spark: SparkSession, d: str) -> DataFrame:
+    """Static eval items (uid, conversation_id, convo_history, counselor_message): each assistant turn with
+    the turn before it as history."""
+    t = turns(spark, d)
+    prev = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("convo_history"))
+    a = t.filter(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")
+    return a.select(_turn_uid().alias("uid"), F.col("conv_id").alias("conversation_id"),
+                    F.coalesce("convo_history", F.lit("")).alias("convo_history"),
+                    F.col("text").alias("counselor_message"))
+
+
+STATIC_ITEMS_SQL = """
+items AS (
+  SELECT sha256(concat_ws(':', CAST(a.conv_id AS VARCHAR), CAST(a.turn AS VARCHAR))) AS uid, a.conv_id AS conversation_id,
+         coalesce(p.text, '') AS convo_history, a.text AS counselor_message
+  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+  WHERE a.role = 'assistant'
+)"""
+
+
+def completion_frames(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Two completion files: model-a (chat JSON, some plain text, a third of the conversations missing) and
+    model-b (every turn, user turns being orphans; carries an extra prompt_template_name column)."""
+    t = turns(spark, d).filter(F.col("role").isin("user", "assistant"))
+    chat = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message")))
+                                              .alias("choices")))
+    a = (t.filter((F.col("role") == "assistant") & (F.col("conv_id") % 3 != 0))
+         .select(_turn_uid().alias("uid"),
+                 F.when(F.col("conv_id") % 4 == 0, F.col("text"))
+                 .otherwise(chat(F.concat(F.lit("  "), F.col("text"), F.lit(" ")))).alias("llm_output_json_raw"),
+                 F.lit("model-a").alias("file_name")))
+    b = t.select(_turn_uid().alias("uid"), chat(F.concat(F.lit("B "), F.col("text"))).alias("llm_output_json_raw"),
+                 F.lit("model-b").alias("file_name"), F.lit("tmpl").alias("prompt_template_name"))
+    return [a, b]
+
+
+COMPLETIONS_SQL = """
+completions AS (
+  SELECT sha256(concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))) AS uid,
+         CASE WHEN conv_id % 4 = 0 THEN text
+              ELSE json_object('choices', [json_object('message', json_object('content', '  ' || text || ' '))])::VARCHAR END
+           AS llm_output_json_raw,
+         'model-a' AS file_name, NULL AS prompt_template_name
+  FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0
+  UNION ALL
+  SELECT sha256(concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))),
+         json_object('choices', [json_object('message', json_object('content', 'B ' || text))])::VARCHAR,
+         'model-b', 'tmpl'
+  FROM conversations WHERE role IN ('user', 'assistant')
+)"""
+
+
+# ---------------------------------------------------------------- batch manifest and results
+def batch_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest (custom_id, dataset_item_id, uid) - one request per order."""
+    o = table(spark, d, "orders")
+    return o.select(F.concat(F.lit("gen-"), F.col("o_orderkey").cast("string")).alias("custom_id"),
+                    F.col("o_custkey").cast("string").alias("dataset_item_id"),
+                    F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("uid"))
+
+
+def batch_results(spark: SparkSession, d: str) -> DataFrame:
+    """Batch results (custom_id, content, error): first line item of an order answers its request (returned
+    items fail); second lines of open items answer an id that is not in the manifest."""
+    li = table(spark, d, "lineitem").filter(F.col("l_linenumber").isin(1, 2))
+    known = (F.col("l_linenumber") == 1)
+    cid = F.when(known, F.concat(F.lit("gen-"), F.col("l_orderkey").cast("string"))) \
+        .otherwise(F.concat(F.lit("gen-x"), F.col("l_orderkey").cast("string")))
+    keep = known | (F.col("l_linestatus") == "O")
+    return li.filter(keep).select(
+        cid.alias("custom_id"),
+        F.concat(F.lit("reply "), F.col("l_quantity").cast("string")).alias("content"),
+        F.when(known & (F.col("l_returnflag") == "R"), F.lit("server_error")).alias("error"))
+
+
+MANIFEST_SQL = """
+manifest AS (SELECT 'gen-' || CAST(o_orderkey AS VARCHAR) AS custom_id, CAST(o_custkey AS VARCHAR) AS dataset_item_id,
+                    'u' || CAST(o_orderkey AS VARCHAR) AS uid FROM orders),
+results AS (
+  SELECT CASE WHEN l_linenumber = 1 THEN 'gen-' ELSE 'gen-x' END || CAST(l_orderkey AS VARCHAR) AS custom_id,
+         'reply ' || CAST(l_quantity AS VARCHAR) AS content,
+         CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'server_error' END AS error
+  FROM lineitem WHERE l_linenumber = 1 OR (l_linenumber = 2 AND l_linestatus = 'O')
+)"""
+
+
+# ---------------------------------------------------------------- dataset items, run items, traces (single-turn runs)
+def st_dataset_items(spark: SparkSession, d: str) -> DataFrame:
+    """Dataset items (dataset_item_id, convo_history, expected_output, profile_prompt, generation_run_name,
+    source_trace_id) - one per assistant turn; some items lack a run name and rely on their source trace."""
+    t = turns(spark, d)
+    prev = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("convo_history"))
+    a = t.filter(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")
+    profile = F.concat(F.lit("Presenting Concern: topic "), F.col("conv_id").cast("string"),
+                       F.lit("\n*** Communication patterns ***\nshort\n*** Language examples ***\n"),
+                       F.substring("text", 1, 40), F.lit("\nMUST FOLLOW THESE GUIDELINES: be brief"))
+    return a.select(
+        F.concat(F.lit("item-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("dataset_item_id"),
+        F.coalesce("convo_history", F.lit("")).alias("convo_history"), F.col("text").alias("expected_output"),
+        profile.alias("profile_prompt"),
+        F.when(F.col("conv_id") % 3 == 0, F.lit(None).cast("string"))
+        .when(F.col("conv_id") % 3 == 1, F.lit("run-a")).otherwise(F.lit("run-b")).alias("generation_run_name"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("source_trace_id"))
+
+
+def st_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Generation traces (trace_id, run_name, output): one per assistant turn (source traces) and one per run item."""
+    t = turns(spark, d).filter(F.col("role") == "assistant")
+    src = t.select((F.col("conv_id") * 100 + F.col("turn")).alias("trace_id"),
+                   F.when(F.col("turn") % 2 == 1, F.lit("run-a")).otherwise(F.lit("run-b")).alias("run_name"),
+                   F.lit(None).cast("string").alias("output"))
+    gen = t.select((F.col("conv_id") * 100 + F.col("turn") + 10_000_000).alias("trace_id"),
+                   F.lit("run-a").alias("run_name"), F.concat(F.lit("copilot: "), F.col("text")).alias("output"))
+    return src.unionByName(gen)
+
+
+def st_run_items(spark: SparkSession, d: str) -> DataFrame:
+    """Run items (run_name, dataset_item_id, trace_id); every fifth conversation points at a missing item."""
+    t = turns(spark, d).filter(F.col("role") == "assistant")
+    item = F.concat(F.lit("item-"), F.col("conv_id").cast("string"), F.lit("-"),
+                    F.when(F.col("conv_id") % 5 == 0, F.lit("missing")).otherwise(F.col("turn").cast("string")))
+    return t.select(F.lit("run-a").alias("run_name"), item.alias("dataset_item_id"),
+                    (F.col("conv_id") * 100 + F.col("turn") + 10_000_000).alias("trace_id"))
+
+
+ST_RUN_SQL = """
+ditems AS (
+  SELECT 'item-' || a.conv_id || '-' || a.turn AS dataset_item_id, coalesce(p.text, '') AS convo_history,
+         a.text AS expected_output,
+         'Presenting Concern: topic ' || a.conv_id || chr(10) || '*** Communication patterns ***' || chr(10) || 'short' || chr(10)
+           || '*** Language examples ***' || chr(10) || substr(a.text, 1, 40) || chr(10) || 'MUST FOLLOW THESE GUIDELINES: be brief'
+           AS profile_prompt,
+         CASE a.conv_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'run-a' ELSE 'run-b' END AS generation_run_name,
+         a.conv_id * 100 + a.turn AS source_trace_id
+  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+  WHERE a.role = 'assistant'),
+strace AS (
+  SELECT conv_id * 100 + turn AS trace_id, CASE WHEN turn % 2 = 1 THEN 'run-a' ELSE 'run-b' END AS run_name,
+         CAST(NULL AS VARCHAR) AS output FROM conversations WHERE role = 'assistant'
+  UNION ALL
+  SELECT conv_id * 100 + turn + 10000000, 'run-a', 'copilot: ' || text FROM conversations WHERE role = 'assistant'),
+ritems AS (
+  SELECT 'run-a' AS run_name,
+         'item-' || conv_id || '-' || CASE WHEN conv_id % 5 = 0 THEN 'missing' ELSE CAST(turn AS VARCHAR) END AS dataset_item_id,
+         conv_id * 100 + turn + 10000000 AS trace_id
+  FROM conversations WHERE role = 'assistant')"""
+
+
+# ---------------------------------------------------------------- profile keys, upserts, run tags
+def profile_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Available profile keys (key, key_pos): ``<region>_<nation>`` from nation x region."""
+    n = table(spark, d, "nation")
+    r = table(spark, d, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.concat(F.lower("r_name"), F.lit("_"), F.col("n_nationkey").cast("string")).alias("key"),
+        F.col("n_nationkey").alias("key_pos"))
+
+
+PROFILE_KEYS_SQL = """
+pkeys AS (SELECT lower(r_name) || '_' || CAST(n_nationkey AS VARCHAR) AS key, n_nationkey AS key_pos
+          FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def item_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Dataset-item writes (dataset, profile_key, payload, written_at, write_id): every event rewrites the
+    item of its (event type, user)."""
+    e = table(spark, d, "events")
+    return e.select(F.concat(F.lit("ds-"), "event_type").alias("dataset"),
+                    F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("profile_key"),
+                    F.col("value").alias("payload"), F.col("ts").alias("written_at"), F.col("event_id").alias("write_id"))
+
+
+def tagged_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Traces (trace_id, name, tags) with ``dataset-<type>/run-<n>`` tags from events."""
+    e = table(spark, d, "events")
+    tag = F.concat(F.lit("dataset-"), "event_type", F.lit("/run-"), (F.dayofmonth("ts") % 3).cast("string"))
+    return e.select(F.col("event_id").alias("trace_id"),
+                    F.when(F.col("value") > 1, F.lit("generated-conversation")).otherwise(F.lit("other")).alias("name"),
+                    F.array(tag, F.lit("misc")).alias("tags"))
