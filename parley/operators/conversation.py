@@ -79,8 +79,11 @@ def strip_speaker_prefix(c, prefix: str = "Counselor:"):
     return py_strip(F.array_join(fixed, NL))
 
 
-def history_pairs(blocks: DataFrame, id_col: str = "conv_id", speaker: str = "Counselor") -> DataFrame:
-    """For every ``speaker`` block i: history = blocks before i joined by newline ('' for the first)."""
+def history_pairs(blocks: DataFrame, id_col: str = "conv_id", speaker: str = "Counselor",
+                  keep_block: bool = False) -> DataFrame:
+    """For every ``speaker`` block i: history = blocks before i joined by newline ('' for the first).
+
+    ``keep_block`` also returns the raw block text (``block_text``)."""
     w = Window.partitionBy(id_col).orderBy("block_idx")
     prior = F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1))
     with_hist = blocks.withColumn("convo_history", F.array_join(prior, NL))
@@ -92,6 +95,7 @@ def history_pairs(blocks: DataFrame, id_col: str = "conv_id", speaker: str = "Co
         "block_idx",
         F.coalesce("convo_history", F.lit("")).alias("convo_history"),
         strip_speaker_prefix(py_strip("text"), speaker + ":").alias("counselor_message"),
+        *([F.col("text").alias("block_text")] if keep_block else []),
     )
 
 

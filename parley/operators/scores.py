@@ -62,13 +62,16 @@ def judge_scores_long(replies: DataFrame, reply_col: str = "comparison_json", id
     Missing category -> score NULL and justification ''; unparsable reply -> all NULL.
     """
     cats = categories or SCORE_CATEGORIES
-    doc = judge_document(reply_col)
     model = model_from_file(F.col(file_col)) if file_col else F.lit(None).cast("string")
+    # Parse once per reply (its own projection), then read each category from the map of entries.
+    parsed = replies.select(F.col(id_col).alias("uid"), model.alias("model"),
+                            F.try_variant_get(judge_document(reply_col), "$", "map<string,variant>").alias("_m"))
+    cell = lambda c, k, t: F.try_variant_get(F.try_element_at("_m", F.lit(c)), f"$.{k}", t)
     entries = F.array(*[F.struct(F.lit(i).alias("cat_pos"), F.lit(c).alias("category"),
-                                 vget(doc, f"$.{c}.score", "double").alias("score"),
-                                 F.coalesce(vget(doc, f"$.{c}.justification", "string"), F.lit("")).alias("justification"))
+                                 cell(c, "score", "double").alias("score"),
+                                 F.coalesce(cell(c, "justification", "string"), F.lit("")).alias("justification"))
                         for i, c in enumerate(cats)])
-    return (replies.select(F.col(id_col).alias("uid"), model.alias("model"), F.inline(entries)))
+    return parsed.select("uid", "model", F.inline(entries))
 
 
 def score_stats(long: DataFrame, by_model: bool = True) -> DataFrame:

@@ -645,3 +645,34 @@ def tagged_traces(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("trace_id"),
                     F.when(F.col("value") > 1, F.lit("generated-conversation")).otherwise(F.lit("other")).alias("name"),
                     F.array(tag, F.lit("misc")).alias("tags"))
+
+
+# ---------------------------------------------------------------- retrieval
+def rag_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A previous run's embedding cache (hash, response, embedding, cached_at): the opening (client, counselor)
+    exchange of conversations without a preamble, each cached twice (the later copy is current)."""
+    t = turns(spark, d)
+    u = t.filter((F.col("turn") == 0) & (F.col("role") == "user")).select("conv_id", F.col("text").alias("u"))
+    a = t.filter((F.col("turn") == 1) & (F.col("role") == "assistant")).select("conv_id", F.col("text").alias("a"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+    from parley.functions.text import py_strip
+    resp = py_strip(F.concat(F.lit("Counselor: "), F.col("a")))
+    base = u.join(a, "conv_id").join(e, "conv_id").select(
+        F.sha2(F.concat(F.lit("Client: "), F.col("u"), F.lit("\u0000"), resp), 256).alias("hash"),
+        resp.alias("response"), "conv_id", "embedding")
+    new = base.select("hash", "response", F.slice("embedding", 1, 4).alias("embedding"), (F.col("conv_id") + 1000).alias("cached_at"))
+    old = base.select("hash", "response", F.slice("embedding", 5, 4).alias("embedding"), F.col("conv_id").alias("cached_at"))
+    return new.unionByName(old)
+
+
+def retrieval_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Index rows (doc_id, embedding, context, response): stored vectors joined to their documents."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return e.join(docs, "doc_id").select("doc_id", "embedding", F.substring("text", 1, 120).alias("context"),
+                                         F.concat(F.lit("["), F.col("lang"), F.lit("] "), F.col("source")).alias("response"))
+
+
+def retrieval_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Query vectors (query_id, embedding): every stored vector."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
