@@ -676,3 +676,51 @@ def retrieval_corpus(spark: SparkSession, d: str) -> DataFrame:
 def retrieval_queries(spark: SparkSession, d: str) -> DataFrame:
     """Query vectors (query_id, embedding): every stored vector."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+# ---------------------------------------------------------------- redaction
+# Fixed values for the fixture run: the name list (words that occur in the invented prose).
+FIXTURE_NAMES = ["orre", "eriner", "anon", "thon", "stteen", "hein", "erachtz"]
+
+
+def name_list(spark: SparkSession) -> DataFrame:
+    """One-column name table, as loaded from name files."""
+    return spark.createDataFrame([(n,) for n in FIXTURE_NAMES], "name string")
+
+
+def deid_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages to de-identify (index, message, lang, patterns_de_id_message) - a previous run already filled
+    the target for toxic-labelled documents (resume keeps those)."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    lab = table(spark, d, "labels").select("doc_id", "toxic")
+    return docs.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("index"), F.col("text").alias("message"), "lang",
+        F.when(F.col("toxic") == 1, F.concat(F.lit("previously redacted "), F.col("doc_id").cast("string")))
+        .alias("patterns_de_id_message"))
+
+
+def _error_text():
+    parts = F.concat_ws(", ",
+                        F.when(F.col("text").contains("@"), F.lit("email (address)")),
+                        F.when(F.col("text").rlike(r"\d{9,}"), F.lit("other_id (number)")),
+                        F.when(F.col("lang") == "de", F.lit("name (Hans)")),
+                        F.when(F.col("n_chars") > 5000, F.lit("age (long message)")))
+    return F.when(parts == "", F.lit("none")).otherwise(parts)
+
+
+def annotation_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(annotator 1, annotator 2, second-method sheet): labelled documents with the method output, a 0/1 label
+    and the reviewer's error text; sheets carry their row position (``row_pos``)."""
+    lab = table(spark, d, "labels").select("doc_id", "quality", "toxic", F.col("_metadata.row_index").alias("row_pos"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    j = lab.join(docs, "doc_id")
+    first = j.select(F.col("doc_id").alias("index"), "row_pos",
+                     F.substring("text", 1, 200).alias("patterns_de_id_message"),
+                     F.col("quality").cast("string").alias("label_patterns"), _error_text().alias("errors_patterns"))
+    a1 = first.filter(F.col("row_pos") < 200)
+    a2 = first.withColumn("Notes", F.lit("checked"))
+    second = j.select(F.col("doc_id").alias("index"),
+                      F.substring("text", 1, 200).alias("names_de_id_message"),
+                      F.when(F.col("toxic").isNotNull(), (1 - F.col("toxic")).cast("string")).alias("label_names"),
+                      _error_text().alias("errors_names"))
+    return a1, a2, second
