@@ -724,3 +724,23 @@ def annotation_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
                       F.when(F.col("toxic").isNotNull(), (1 - F.col("toxic")).cast("string")).alias("label_names"),
                       _error_text().alias("errors_names"))
     return a1, a2, second
+
+
+# ---------------------------------------------------------------- cost requests
+# Fixed values for the fixture run: models assigned to sources, eval prompt per language, system prompt.
+COST_MODELS = ["gpt-5-nano", "gpt-5-mini", "gpt-5.2", "gpt-4.1", "gpt-4.1-mini", "gpt-4.1-nano", "gpt-4o",
+               "gpt-4o-mini", "custom-a", "custom-b"]
+COST_EVALS = {"en": "rubric_eval", "fr": "questions", "de": "forbidden", "es": "unlisted_eval"}
+SYSTEM_PROMPT = "You are a careful judge of counselling replies."
+
+
+def cost_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Judge requests (doc_id, model, eval_name, messages): system prompt + the document as the user turn."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    n = F.substring("source", 4, 10).try_cast("int")
+    model = F.element_at(F.array(*[F.lit(m) for m in COST_MODELS]), (n % len(COST_MODELS) + 1).cast("int"))
+    ev = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in COST_EVALS.items() for x in (F.lit(k), F.lit(v))]),
+                                     F.col("lang")), F.lit("unlisted_eval"))
+    msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
+                   F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    return docs.select("doc_id", model.alias("model"), ev.alias("eval_name"), msgs.alias("messages"))
