@@ -744,3 +744,43 @@ def cost_requests(spark: SparkSession, d: str) -> DataFrame:
     msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
                    F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
     return docs.select("doc_id", model.alias("model"), ev.alias("eval_name"), msgs.alias("messages"))
+
+
+# ---------------------------------------------------------------- observation log
+LATENCY_DATASET = "sim-ds"
+
+
+def obs_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Traces (trace_id, name, tags, turn_count, latency) - one per customer, three runs by nation."""
+    c = table(spark, d, "customer")
+    return c.select(
+        F.col("c_custkey").alias("trace_id"),
+        F.when(F.col("c_custkey") % 10 == 0, F.lit("other")).otherwise(F.lit("generated-conversation")).alias("name"),
+        F.array(F.concat(F.lit(LATENCY_DATASET + "/run-"), (F.col("c_nationkey") % 3).cast("string")), F.lit("misc")).alias("tags"),
+        F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey") % 7).when(F.col("c_custkey") % 4 == 1, F.lit(-1))
+        .alias("turn_count"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") / 100.0).alias("latency"))
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observation log (id, trace_id, type, name, latency, start_time) from events: the event type decides the
+    call (patient / counselor / editor / embedding / ignored patient-editor); clicks are logged twice."""
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    turn = (k % 8 + 1).cast("string")
+    name = (F.when(F.col("event_type") == "view", F.concat(F.lit("patient-turn-"), turn))
+            .when(F.col("event_type") == "click", F.concat(F.lit("counselor-turn-"), turn))
+            .when(F.col("event_type") == "purchase", F.concat(F.lit("counselor-editor-turn-"), turn))
+            .when(F.col("event_type") == "signup", F.concat(F.lit("rag-embedding-turn-"), turn))
+            .otherwise(F.concat(F.lit("patient-editor-turn-"), turn)))
+    typ = (F.when(F.col("value") > 40, F.lit("event")).when(F.col("event_type") == "signup", F.lit("span"))
+           .otherwise(F.lit("generation")))
+    oid = F.when((F.col("event_type") == "view") & (F.col("value") > 45), F.lit(None).cast("string")) \
+        .otherwise(F.concat(F.lit("obs-"), F.col("event_id").cast("string")))
+    base = e.select(oid.alias("id"), F.col("user_id").alias("trace_id"), typ.alias("type"), name.alias("name"),
+                    F.when(F.col("value") >= 1, F.col("value")).alias("latency"), F.col("ts").alias("start_time"),
+                    "event_type")
+    again = (base.filter(F.col("event_type") == "click")
+             .withColumn("start_time", F.col("start_time") + F.expr("INTERVAL 1 SECOND"))
+             .withColumn("latency", F.col("latency") * 2))
+    return base.unionByName(again).drop("event_type")
