@@ -784,3 +784,34 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
              .withColumn("start_time", F.col("start_time") + F.expr("INTERVAL 1 SECOND"))
              .withColumn("latency", F.col("latency") * 2))
     return base.unionByName(again).drop("event_type")
+
+
+# ---------------------------------------------------------------- profiles
+# Fixed values for the fixture run: presenting concern per market segment (MACHINERY is non-standard).
+SEGMENT_CONCERN = {"AUTOMOBILE": "Anxiety", "BUILDING": "Depression", "FURNITURE": "Loneliness",
+                   "HOUSEHOLD": "Relationship", "MACHINERY": "Grief"}
+
+
+def client_traits(spark: SparkSession, d: str) -> DataFrame:
+    """(uid, client_traits_obscured_json_raw, presenting_concern): judge output with the traits JSON inside prose;
+    some ages are missing or not numeric, some sexes unknown or missing."""
+    c = table(spark, d, "customer")
+    age = (F.when(F.col("c_custkey") % 11 == 0, F.lit(None).cast("string"))
+           .when(F.col("c_custkey") % 13 == 0, F.lit("unknown"))
+           .otherwise((18 + (F.col("c_custkey") * 7) % 60).cast("string")))
+    g = F.col("c_nationkey") % 4
+    sex = F.when(g == 0, F.lit("female")).when(g == 1, F.lit("male")).when(g == 2, F.lit("unknown"))
+    traits = F.to_json(F.struct(F.col("c_name").alias("name"), age.alias("age"), sex.alias("sex_or_gender"),
+                                F.col("c_mktsegment").alias("job"),
+                                F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("residence")))
+    concern = F.try_element_at(F.create_map(*[x for k, v in SEGMENT_CONCERN.items() for x in (F.lit(k), F.lit(v))]),
+                               F.col("c_mktsegment"))
+    return c.select(F.col("c_custkey").cast("string").alias("uid"),
+                    F.concat(F.lit("Extracted traits:\n"), traits, F.lit("\nDone.")).alias("client_traits_obscured_json_raw"),
+                    concern.alias("presenting_concern"))
+
+
+def sampled_conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(sampled transcripts (uid, conversation), de-identified transcripts (uid, deid_conversation))."""
+    t = transcripts(spark, d).select(F.col("conv_id").cast("string").alias("uid"), "conversation")
+    return t, t.select("uid", F.col("conversation").alias("deid_conversation"))
