@@ -70,3 +70,42 @@ def complete_batch(requests: DataFrame, complete: Callable[[str], str], prompt_c
             yield pdf.assign(content=contents, attempts=np.array(attempts, dtype=np.int32), error=errors)
 
     return todo.mapInPandas(run, schema)
+
+
+def fenced_json_list(text) -> Column:
+    """The JSON list inside a ```json fence (``try_parse_json``); NULL when there is none or it does not parse."""
+    inner = F.regexp_extract(text, r"(?s)```json\s*(\[[\s\S]*?\])\s*```", 1)
+    return F.try_parse_json(F.nullif(inner, F.lit("")))
+
+
+def judge_consistency(requests: DataFrame, respond: Callable[[str], str], judge: Callable[[str], str], n_samples: int,
+                      key_cols: list[str], prompt_col: str = "prompt", max_attempts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Stability check: n sampled replies per request, judged together -> (scores long, per-request status).
+
+    Replies lose their ``//`` separators; a failed call becomes ``[ERROR] <message>`` and is left out of what the
+    judge sees. The judge answers with a fenced JSON list of {question, score}; unparsable answers are reported in
+    the status output instead of being dropped.
+    """
+    samples = requests.select(*key_cols, prompt_col, F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
+    samples = samples.withColumn("_req", F.concat(F.lit("#"), F.col("sample").cast("string"), F.lit(" "), F.col(prompt_col)))
+    done = complete_batch(samples, respond, prompt_col="_req", max_attempts=max_attempts, key="sample")
+    resp = F.when(F.col("error").isNotNull(), F.concat(F.lit("[ERROR] "), F.col("error"))) \
+        .otherwise(F.replace(F.trim(F.col("content")), F.lit("//"), F.lit("")))
+    done = done.withColumn("response", resp)
+    kept = done.filter(~F.lower("response").contains("[error]"))
+    grouped = (done.groupBy(*key_cols, prompt_col)
+               .agg(F.count(F.lit(1)).alias("n_responses"),
+                    F.count_if(F.lower("response").contains("[error]")).alias("n_errors"))
+               .join(kept.groupBy(*key_cols, prompt_col).agg(
+                   F.expr("listagg(response, ' || ') WITHIN GROUP (ORDER BY sample)").alias("_kept")),
+                   [*key_cols, prompt_col], "left"))
+    judge_in = F.concat(F.lit("PROMPTED WITH: "), F.col(prompt_col), F.lit("\nRESPONSES: "), F.coalesce("_kept", F.lit("")))
+    jreq = grouped.withColumn("judge_input", judge_in)
+    judged = complete_batch(jreq, judge, prompt_col="judge_input", max_attempts=max_attempts, key=key_cols[0])
+    parsed = judged.withColumn("_list", fenced_json_list(F.col("content")))
+    items = F.try_variant_get(F.col("_list"), "$", "array<struct<question:string,score:double>>")
+    status = parsed.select(*key_cols, prompt_col, "n_responses", "n_errors",
+                           F.when(items.isNotNull(), F.lit("ok")).otherwise(F.lit("parse_error")).alias("judge_status"))
+    scores = parsed.select(*key_cols, prompt_col, F.explode(items).alias("it")).select(
+        *key_cols, prompt_col, F.col("it.question").alias("question"), F.col("it.score").alias("score"))
+    return scores, status

@@ -815,3 +815,32 @@ def sampled_conversations(spark: SparkSession, d: str) -> tuple[DataFrame, DataF
     """(sampled transcripts (uid, conversation), de-identified transcripts (uid, deid_conversation))."""
     t = transcripts(spark, d).select(F.col("conv_id").cast("string").alias("uid"), "conversation")
     return t, t.select("uid", F.col("conversation").alias("deid_conversation"))
+
+
+# ---------------------------------------------------------------- deterministic stand-in models
+def stub_complete(prompt: str) -> str:
+    """Stand-in completion model: fails for prompts whose length is a multiple of 11, else echoes a summary."""
+    if len(prompt) % 11 == 0:
+        raise ValueError("stub overloaded")
+    return f"reply {len(prompt) % 97} // {prompt[-12:]}"
+
+
+def stub_judge(text: str) -> str:
+    """Stand-in judge: a fenced JSON list of two scores derived from the text length (broken when it is a
+    multiple of 13)."""
+    if len(text) % 13 == 0:
+        return "I cannot judge this."
+    return ('```json\n[{"question": "consistency", "score": %d}, {"question": "tone", "score": %d}]\n```'
+            % (len(text) % 5 + 1, len(text) % 3 + 1))
+
+
+# Fixed values for the fixture run: the configurations whose stability is compared.
+STABILITY_CONFIGS = ["cfg_a", "cfg_b"]
+
+
+def stability_requests(spark: SparkSession, d: str) -> DataFrame:
+    """(config, item_id, prompt): every benchmark prompt under each configuration."""
+    b = table(spark, d, "benchmark")
+    cfg = F.explode(F.array(*[F.lit(c) for c in STABILITY_CONFIGS]))
+    return (b.select(cfg.alias("config"), "item_id", "text")
+            .select("config", "item_id", F.concat(F.lit("["), F.col("config"), F.lit("] "), F.col("text")).alias("prompt")))

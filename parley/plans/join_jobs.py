@@ -35,7 +35,7 @@ _FILL = ("replace(replace(replace(replace(replace(replace(replace(text, '{{', ch
          "'{id}', uid), '{uid}', uid), chr(1), '{'), chr(2), '}')")
 
 
-@job("build_requests", f"""
+SQL_BUILD_REQUESTS = f"""
 WITH rws AS (SELECT item_id, text, 'benchmark.parquet' AS file_name, row_number() OVER (ORDER BY item_id) - 1 AS row_index
              FROM benchmark),
 b AS (SELECT file_name || '_' || CAST(row_index AS VARCHAR) AS uid, text AS note, file_name AS input_file_name
@@ -48,7 +48,10 @@ SELECT uid, uid AS id, name AS prompt_template_name, input_file_name, {_FILL} AS
        CASE WHEN kind = 'o-series' THEN 1.0 WHEN kind NOT IN ('claude', 'gemini') THEN 1.0 END AS top_p,
        CASE WHEN kind NOT IN ('o-series', 'claude', 'gemini') THEN {MAX_TOKENS} END AS max_tokens,
        CASE WHEN kind = 'o-series' THEN {MAX_TOKENS} END AS max_completion_tokens
-FROM x""")
+FROM x"""
+
+
+@job("build_requests", SQL_BUILD_REQUESTS)
 def build_requests(spark, d):
     """Input rows x prompt templates -> filled prompts with default uids and provider-shaped request settings."""
     return pr.build_requests(inputs.benchmark_rows(spark, d), FIXTURE_TEMPLATES, "text", file_col="file_name",
