@@ -345,14 +345,18 @@ judge AS (
 
 # ---------------------------------------------------------------- completion JSONL lines
 def completion_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(file_name, line_no, line) completion JSONL from conversation turns.
+    """(file_name, line_no, line) completion JSONL from conversation turns (see :func:`completion_lines_from`)."""
+    return completion_lines_from(turns(spark, d))
+
+
+def completion_lines_from(t: DataFrame) -> DataFrame:
+    """(file_name, line_no, line) completion JSONL from conversation turns (row-local; works on streams).
 
     assistant turns: flat shape (odd turns; uid dropped when turn = 1) or the
     3-element array shape (chat choices; Gemini candidates when conv_id is a
     multiple of 5); user turns: failure shape when turn = 2, else a line that
     is not JSON; system turns: blank lines.
     """
-    t = turns(spark, d)
     uid = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     meta = F.struct(uid.alias("uid"), F.lit("tmpl_a").alias("prompt_template_name"),
                     F.concat(F.lit("in|model-"), (F.col("conv_id") % 3).cast("string")).alias("input_file_name"))
@@ -763,9 +767,14 @@ def obs_traces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observation log from events (see :func:`observations_from`)."""
+    return observations_from(table(spark, d, "events"))
+
+
+def observations_from(e: DataFrame) -> DataFrame:
     """Observation log (id, trace_id, type, name, latency, start_time) from events: the event type decides the
-    call (patient / counselor / editor / embedding / ignored patient-editor); clicks are logged twice."""
-    e = table(spark, d, "events")
+    call (patient / counselor / editor / embedding / ignored patient-editor); clicks are logged twice.
+    Row-local, so it also runs on an event stream."""
     k = F.get_json_object("props", "$.k").try_cast("int")
     turn = (k % 8 + 1).cast("string")
     name = (F.when(F.col("event_type") == "view", F.concat(F.lit("patient-turn-"), turn))
