@@ -102,9 +102,6 @@ def _members(profiles: DataFrame, tiers: list[str], seed: int, bucket_size: int)
     return mem.select("tier", "gkey", "slot_age", "uid", "rank"), slots
 
 
-_TIER_KEY = {name: (_group_key(keys), band) for name, (keys, band) in TIERS.items()}
-
-
 def _tier_gkey(tier_col):
     out = None
     for name, (keys, _band) in TIERS.items():
