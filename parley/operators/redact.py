@@ -103,21 +103,61 @@ def _linear(pattern: str) -> str:
 def redact_extend(c) -> Column:
     """Swallow letters/digits glued to a placeholder (four patterns in order) -> ``<PHI>``.
 
-    Patterns run in their linear-time form (:func:`_linear`)."""
-    out = col_(c)
+    Patterns run in their linear-time form (:func:`_linear`), and only on texts
+    that contain a placeholder at all (four substring probes). Pass a column
+    reference (see :func:`extend_column`): the input is referenced more than
+    once."""
+    c = col_(c)
+    chain = c
     for _, pat in EXTEND_PATTERNS:
-        out = F.regexp_replace(out, _linear(pat), "<PHI>")
-    return out
-
-
-def redact_patterns(c) -> tuple[Column, dict[str, Column]]:
-    """Ordered pattern redaction -> (redacted text, per-type hit counts on the text each step saw)."""
-    out = col_(c)
-    counts = {}
-    for name, pat, placeholder in PHI_PATTERNS:
-        counts[name] = F.regexp_count(out, F.lit(pat))
-        out = F.regexp_replace(out, pat, placeholder)
-    return out, counts
+        chain = F.regexp_replace(chain, _linear(pat), "<PHI>")
+    guard = None
+    for label, _ in EXTEND_PATTERNS:
+        g = c.contains(f"<{label}>")
+        guard = g if guard is None else guard | g
+    return F.when(guard, chain).otherwise(c)
+
+
+def extend_column(df: DataFrame, col: str) -> DataFrame:
+    """Apply the four extend patterns to a materialised column in place, each only on rows containing its own
+    placeholder (staged: every step reads the previous step's column, so no regex is evaluated twice)."""
+    for label, pat in EXTEND_PATTERNS:
+        c = F.col(col)
+        df = df.withColumn(col, F.when(c.contains(f"<{label}>"), F.regexp_replace(c, _linear(pat), "<PHI>")).otherwise(c))
+    return df
+
+
+# Linear-time forms of PHI_PATTERNS for the JVM engine (same matches: a local part can only start where its run
+# starts, so interior starts are cut by a lookbehind and the run is matched possessively); None = as written.
+_FAST_FORMS = {"email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
+# A literal every match must contain: texts without it skip the pattern.
+_REQUIRED = {"email": "@"}
+
+
+def _literal_count(c: Column, lit: str) -> Column:
+    return F.size(F.split(c, re.escape(lit), -1)) - 1
+
+
+def redact_patterns_df(df: DataFrame, text_col: str, out_col: str, count_prefix: str = "n_") -> DataFrame:
+    """Ordered pattern redaction as staged columns (one regex pass per pattern and row).
+
+    Step i reads step i-1's text; its hit count is the number of placeholders
+    the step added (placeholders contain ``<``/``>``, which no pattern matches,
+    so a replacement never creates or destroys another one)."""
+    prev = text_col
+    for i, (name, pat, placeholder) in enumerate(PHI_PATTERNS):
+        nxt = f"_redact_step{i}"
+        src = F.col(prev)
+        rep = F.regexp_replace(src, _FAST_FORMS.get(name, pat), placeholder)
+        if name in _REQUIRED:
+            rep = F.when(src.contains(_REQUIRED[name]), rep).otherwise(src)
+        df = df.select("*", rep.alias(nxt))
+        df = df.select("*", (_literal_count(F.col(nxt), placeholder) - _literal_count(F.col(prev), placeholder))
+                       .cast("int").alias(f"{count_prefix}{name}"))
+        if prev != text_col:
+            df = df.drop(prev)
+        prev = nxt
+    return df.withColumnRenamed(prev, out_col)
 
 
 def resume(target, compute: Column) -> Column:

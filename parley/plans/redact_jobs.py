@@ -37,7 +37,7 @@ def redact_names(spark, d):
     """Documents -> words on the name list replaced by [NAME] -> glued placeholder fragments swallowed."""
     docs = inputs.table(spark, d, "documents").select("doc_id", "text")
     red = rd.redact_names(docs, "text", inputs.name_list(spark), "doc_id", "names_de_id_message")
-    red = red.withColumn("names_de_id_message", rd.redact_extend(F.col("names_de_id_message")))
+    red = rd.extend_column(red, "names_de_id_message")
     n = rd.count_token(F.col("names_de_id_message"), rd.NAME_TOKEN) - rd.count_token(F.col("text"), rd.NAME_TOKEN)
     return red.select("doc_id", "names_de_id_message", n.alias("n_names"))
 
@@ -46,7 +46,7 @@ def _sql_patterns():
     x = "message"
     counts = []
     for name, pat, ph in rd.PHI_PATTERNS:
-        counts.append(f"CAST(len(regexp_extract_all({x}, '{pat}')) AS INTEGER) AS n_{name}")
+        counts.append(f"CASE WHEN prior IS NULL THEN CAST(len(regexp_extract_all({x}, '{pat}')) AS INTEGER) END AS n_{name}")
         x = f"regexp_replace({x}, '{pat}', '{ph}', 'g')"
     return x, counts
 
@@ -65,10 +65,14 @@ FROM m""")
 def redact_patterns(spark, d):
     """Messages -> ordered email / phone / id / date / age redaction (+ extend) only where the target is still empty."""
     m = inputs.deid_messages(spark, d)
-    red, counts = rd.redact_patterns(F.col("message"))
-    return m.select("index", rd.resume(F.col("patterns_de_id_message"), rd.redact_extend(red)).alias("patterns_de_id_message"),
-                    F.col("patterns_de_id_message").isNotNull().alias("resumed"),
-                    *[c.alias(f"n_{k}") for k, c in counts.items()])
+    todo = m.filter(F.col("patterns_de_id_message").isNull())        # resume: only rows without a target yet
+    done = m.filter(F.col("patterns_de_id_message").isNotNull())
+    red = rd.extend_column(rd.redact_patterns_df(todo, "message", "_red"), "_red")
+    counts = [f"n_{k}" for k, _, _ in rd.PHI_PATTERNS]
+    fresh = red.select("index", F.col("_red").alias("patterns_de_id_message"), F.lit(False).alias("resumed"), *counts)
+    kept = done.select("index", "patterns_de_id_message", F.lit(True).alias("resumed"),
+                       *[F.lit(None).cast("int").alias(c) for c in counts])
+    return fresh.unionByName(kept)
 
 
 @job("relabel_newlines", """
@@ -94,8 +98,9 @@ def redact_spans(spark, d):
     docs = inputs.table(spark, d, "documents").select("doc_id", "text")
     spans = rd.detect_spans(docs, "text", rd.regex_detector)
     kept = F.size(F.filter("spans", lambda s: s["score"] >= F.lit(rd.SPAN_THRESHOLD)))
-    return spans.select("doc_id", rd.redact_extend(rd.apply_spans(F.col("text"), F.col("spans"))).alias("spans_de_id_message"),
-                        kept.alias("n_spans"))
+    out = spans.select("doc_id", rd.apply_spans(F.col("text"), F.col("spans")).alias("spans_de_id_message"),
+                       kept.alias("n_spans"))
+    return rd.extend_column(out, "spans_de_id_message")
 
 
 def _sql_err(m):
