@@ -129,6 +129,8 @@ def match_profiles(profiles: DataFrame, seed: int = 16, k: int = SAMPLE_K, min_m
         from parley.session import cut_lineage
         p = cut_lineage(p)  # the profiles feed every branch below; read them once
     mem, slots = _members(p, list(TIERS), seed, bucket_size)
+    if checkpoint:
+        mem = cut_lineage(mem)  # ranked members feed the self-rank and the match lookups
     band_tiers = [n for n, (_k, b) in TIERS.items() if b]
     t = p.withColumn("tier0", target_tier(F.col("age"), F.col("sex"), F.col("concern")))
     t = t.withColumn("gk0", _tier_gkey(F.col("tier0"))).withColumn("band0", F.col("tier0").isin(*band_tiers))

@@ -158,7 +158,8 @@ SELECT uid, ck || '_' || CAST(row_number() OVER (PARTITION BY ck ORDER BY h, uid
 FROM prof""")
 def sample_examples(spark, d):
     """Matches -> slice i/5 of each match's client messages (<= 9 each, <= 45 total) -> profile text and concern_i key."""
-    profiles = _profiles(spark, d)
+    from parley.session import cut_lineage
+    profiles = cut_lineage(_profiles(spark, d))  # read by the matcher and by the profile text below
     matches = mt.match_profiles(profiles, seed=SEED)
     sampled, _ = inputs.sampled_conversations(spark, d)
     cms = conv.client_messages(sampled, id_col="uid")
