@@ -204,3 +204,30 @@ def eval_unpivot(lines: DataFrame, file_col: str = "file_name", pos_col: str = "
 
 __all__ = ["flatten_scores", "scores_dual", "parse_report", "response_normalize", "completion_extract",
            "parse_file_name", "eval_unpivot", "brace_span", "strip_fences"]
+
+
+def parse_prediction_rows(rows: DataFrame, request_col: str = "request", response_col: str = "response",
+                          metadata_col: str = "metadata") -> DataFrame:
+    """Batch-prediction table rows -> (uid, prompt_template_name, user_message, assistant_message, model_version,
+    n_safety_ratings, total_tokens, status).
+
+    The user text is the first part of the first request content, the reply the first part of the first
+    candidate; the row's own metadata (a JSON string) is merged with the model metadata. Rows missing either
+    text are kept with status 'error' (the reference prints and skips them).
+    """
+    req = F.try_parse_json(F.col(request_col).cast("string")) if dict(rows.dtypes)[request_col] == "string" \
+        else F.col(request_col)
+    resp = F.try_parse_json(F.col(response_col).cast("string")) if dict(rows.dtypes)[response_col] == "string" \
+        else F.col(response_col)
+    meta = F.try_parse_json(F.col(metadata_col))
+    user = F.try_variant_get(req, "$.contents[0].parts[0].text", "string")
+    reply = F.try_variant_get(resp, "$.candidates[0].content.parts[0].text", "string")
+    ratings = F.try_variant_get(resp, "$.candidates[0].safetyRatings", "array<variant>")
+    return rows.select(
+        F.try_variant_get(meta, "$.uid", "string").alias("uid"),
+        F.try_variant_get(meta, "$.prompt_template_name", "string").alias("prompt_template_name"),
+        user.alias("user_message"), reply.alias("assistant_message"),
+        F.coalesce(F.try_variant_get(resp, "$.modelVersion", "string"), F.lit("")).alias("model_version"),
+        F.coalesce(F.size(ratings), F.lit(0)).alias("n_safety_ratings"),
+        F.try_variant_get(resp, "$.usageMetadata.totalTokenCount", "bigint").alias("total_tokens"),
+        F.when(user.isNotNull() & reply.isNotNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"))

@@ -853,3 +853,25 @@ def stability_requests(spark: SparkSession, d: str) -> DataFrame:
     cfg = F.explode(F.array(*[F.lit(c) for c in STABILITY_CONFIGS]))
     return (b.select(cfg.alias("config"), "item_id", "text")
             .select("config", "item_id", F.concat(F.lit("["), F.col("config"), F.lit("] "), F.col("text")).alias("prompt")))
+
+
+# ---------------------------------------------------------------- batch prediction table
+def prediction_table(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction-table rows (status, request, response, metadata as JSON text): each user turn as the request,
+    the following assistant turn as the candidate; the last user turn of a conversation gets no candidate."""
+    t = turns(spark, d)
+    u = t.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("u"))
+    a = t.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    j = u.join(a, ["conv_id", "turn"], "left")
+    request = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"),
+                                                  F.array(F.struct(F.col("u").alias("text"))).alias("parts"))).alias("contents")))
+    cand = F.struct(F.struct(F.array(F.struct(F.col("a").alias("text"))).alias("parts")).alias("content"),
+                    F.array(F.struct(F.lit("HARM").alias("category"), F.lit("LOW").alias("probability")),
+                            F.struct(F.lit("HATE").alias("category"), F.lit("NONE").alias("probability"))).alias("safetyRatings"))
+    response = F.to_json(F.struct(F.when(F.col("a").isNotNull(), F.array(cand)).alias("candidates"),
+                                  F.lit("gemini-test-001").alias("modelVersion"),
+                                  F.struct(F.length("u").alias("totalTokenCount")).alias("usageMetadata")))
+    meta = F.to_json(F.struct(F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("uid"),
+                              F.lit("tmpl").alias("prompt_template_name")))
+    return j.select(F.lit("JOB_STATE_SUCCEEDED").alias("status"), request.alias("request"), response.alias("response"),
+                    meta.alias("metadata"))

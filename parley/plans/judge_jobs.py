@@ -163,3 +163,17 @@ def eval_unpivot_errors(spark, d):
     """Dialogue eval files that could not be read (malformed name, missing line, bad JSON)."""
     _, errors = jg.eval_unpivot(inputs.dialogue_eval_files(spark, d))
     return errors
+
+
+@job("prediction_rows", """
+WITH u AS (SELECT conv_id, turn, text AS u FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text AS a FROM conversations WHERE role = 'assistant'),
+j AS (SELECT u.conv_id, u.turn, u.u, a.a FROM u LEFT JOIN a USING (conv_id, turn))
+SELECT 'p' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS uid, 'tmpl' AS prompt_template_name,
+       u AS user_message, a AS assistant_message, 'gemini-test-001' AS model_version,
+       CASE WHEN a IS NULL THEN 0 ELSE 2 END AS n_safety_ratings, CAST(length(u) AS BIGINT) AS total_tokens,
+       CASE WHEN u IS NOT NULL AND a IS NOT NULL THEN 'ok' ELSE 'error' END AS status
+FROM j""")
+def prediction_rows(spark, d):
+    """Batch-prediction table -> request text, candidate text, model metadata (+ error rows)."""
+    return jg.parse_prediction_rows(inputs.prediction_table(spark, d))
