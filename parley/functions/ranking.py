@@ -25,3 +25,46 @@ def group_index(df: DataFrame, keys: list[str], hash_col: str, tie_col: str, out
     d = d.join(bc.select(*keys, "_b", "_off"), [*keys, "_b"], "left")
     w = Window.partitionBy(*keys, "_b").orderBy(hash_col, tie_col)
     return d.withColumn(out, F.col("_off") + F.row_number().over(w) - 1).drop("_nb", "_b", "_off")
+
+
+def segmented_scan(df: DataFrame, keys: list[str], pos: str, specs: list[tuple[str, str, str, bool]],
+                   chunk_rows: int = 1_000_000) -> DataFrame:
+    """Running aggregates per ``keys`` in ``pos`` order, computed chunk-parallel (a parallel prefix scan).
+
+    ``specs``: (out_col, kind, value_col, inclusive) with kind ``sum`` (NULL counts as 0), ``max`` or ``last``
+    (last non-NULL value). Rows are cut into chunks of ``chunk_rows`` positions; each chunk is summarised by a
+    partial aggregate, the summaries (one row per chunk) give every chunk its carry-in, and a window inside
+    each bounded chunk finishes the scan. A key holding a third of all rows is scanned by many tasks.
+    """
+    d = df.withColumn("_chunk", F.floor(F.col(pos) / F.lit(chunk_rows)).cast("bigint"))
+    aggs = []
+    for out, kind, v, _incl in specs:
+        if kind == "sum":
+            aggs.append(F.coalesce(F.sum(v), F.lit(0)).alias(f"_s_{out}"))
+        elif kind == "max":
+            aggs.append(F.max(v).alias(f"_s_{out}"))
+        elif kind == "last":
+            aggs.append(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(pos))).alias(f"_s_{out}"))
+        else:
+            raise ValueError(kind)
+    summ = d.groupBy(*keys, "_chunk").agg(*aggs)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carries = []
+    for out, kind, _v, _incl in specs:
+        s = F.col(f"_s_{out}")
+        c = {"sum": F.sum(s), "max": F.max(s), "last": F.last(s, ignorenulls=True)}[kind].over(before)
+        carries.append(c.alias(f"_c_{out}"))
+    summ = summ.select(*keys, "_chunk", *carries)
+    d = d.join(summ, [*keys, "_chunk"], "left")
+    w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
+    for out, kind, v, incl in specs:
+        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if incl else -1)
+        carry = F.col(f"_c_{out}")
+        if kind == "sum":
+            val = F.coalesce(carry, F.lit(0)) + F.coalesce(F.sum(v).over(frame), F.lit(0))
+        elif kind == "max":
+            val = F.greatest(carry, F.max(v).over(frame))
+        else:
+            val = F.coalesce(F.last(v, ignorenulls=True).over(frame), carry)
+        d = d.withColumn(out, val)
+    return d.drop("_chunk", *[f"_c_{o}" for o, *_ in specs])

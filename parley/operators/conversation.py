@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.ranking import segmented_scan
 from parley.functions.text import NL, lines, py_strip, stable_id
 
 SPEAKER_PREFIXES = ("Counselor", "Patient", "Therapist", "Client")
@@ -50,25 +51,25 @@ def turns_from_text(transcripts: DataFrame, id_col: str = "conv_id",
             .withColumn("speaker", F.nullif(F.regexp_extract("line", SPEAKER_RE, 1), F.lit(""))))
 
 
-def speaker_blocks(line_rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Group lines into speaker blocks (gaps-and-islands).
+def speaker_blocks(line_rows: DataFrame, id_col: str = "conv_id", chunk_rows: int = 1_000_000) -> DataFrame:
+    """Group lines into speaker blocks (gaps-and-islands as two chunk-parallel prefix scans).
 
     A new block starts only on a *prefixed* line whose speaker differs from the
     current speaker; unprefixed lines continue the current block; lines before
     the first prefix form block 0 (preamble, speaker NULL). Blocks are numbered
-    1.. after an optional preamble 0.
+    1.. after an optional preamble 0. ``start_char`` is the 1-based character
+    offset of the block in the transcript.
     """
-    w = Window.partitionBy(id_col).orderBy("line_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev_speaker = F.last("speaker", ignorenulls=True).over(before)
-    starts = (F.col("speaker").isNotNull()
-              & (prev_speaker.isNull() | (F.col("speaker") != prev_speaker))).cast("int")
-    flagged = line_rows.withColumn("_start", starts)
-    numbered = flagged.withColumn("block_idx", F.sum("_start").over(upto))
-    return (numbered.groupBy(id_col, "block_idx")
+    lr = line_rows.withColumn("_len1", F.length("line") + 1)
+    s1 = segmented_scan(lr, [id_col], "line_no", [("_prev", "last", "speaker", False),
+                                                  ("_chars_before", "sum", "_len1", False)], chunk_rows)
+    starts = (F.col("speaker").isNotNull() & (F.col("_prev").isNull() | (F.col("speaker") != F.col("_prev")))).cast("int")
+    s2 = segmented_scan(s1.withColumn("_start", starts), [id_col], "line_no",
+                        [("block_idx", "sum", "_start", True)], chunk_rows)
+    return (s2.groupBy(id_col, "block_idx")
             .agg(F.max("speaker").alias("speaker"),
-                 F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("text")))
+                 F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("text"),
+                 (F.min("_chars_before") + 1).alias("start_char")))
 
 
 def strip_speaker_prefix(c, prefix: str = "Counselor:"):
@@ -79,21 +80,25 @@ def strip_speaker_prefix(c, prefix: str = "Counselor:"):
     return py_strip(F.array_join(fixed, NL))
 
 
-def history_pairs(blocks: DataFrame, id_col: str = "conv_id", speaker: str = "Counselor",
-                  keep_block: bool = False) -> DataFrame:
+def history_pairs(blocks: DataFrame, transcripts: DataFrame, id_col: str = "conv_id", speaker: str = "Counselor",
+                  text_col: str = "conversation", keep_block: bool = False, chunk_rows: int = 1_000_000) -> DataFrame:
     """For every ``speaker`` block i: history = blocks before i joined by newline ('' for the first).
 
-    ``keep_block`` also returns the raw block text (``block_text``)."""
-    w = Window.partitionBy(id_col).orderBy("block_idx")
-    prior = F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    with_hist = blocks.withColumn("convo_history", F.array_join(prior, NL))
-    pairs = with_hist.filter(F.col("speaker") == speaker)
-    wp = Window.partitionBy(id_col).orderBy("block_idx")
-    return pairs.select(
+    Blocks are consecutive line groups, so the history is the transcript
+    prefix before the block's first character - a substring of the
+    transcript, joined back by conversation id (AQE splits a hot
+    conversation), instead of a per-conversation collect over earlier blocks.
+    ``keep_block`` also returns the raw block text (``block_text``).
+    """
+    sb = blocks.filter(F.col("speaker") == speaker).withColumn("_one", F.lit(1))
+    sb = segmented_scan(sb, [id_col], "block_idx", [("_k", "sum", "_one", True)], chunk_rows)
+    j = sb.join(transcripts.select(id_col, F.col(text_col).alias("_t")), id_col, "inner")
+    hist = F.substring(F.col("_t"), 1, F.greatest(F.col("start_char") - 2, F.lit(0)))
+    return j.select(
         F.col(id_col).alias("conversation_id"),
-        (F.row_number().over(wp) - 1).alias("pair_idx"),
+        (F.col("_k") - 1).alias("pair_idx"),
         "block_idx",
-        F.coalesce("convo_history", F.lit("")).alias("convo_history"),
+        hist.alias("convo_history"),
         strip_speaker_prefix(py_strip("text"), speaker + ":").alias("counselor_message"),
         *([F.col("text").alias("block_text")] if keep_block else []),
     )
@@ -102,16 +107,18 @@ def history_pairs(blocks: DataFrame, id_col: str = "conv_id", speaker: str = "Co
 def trim_edges(pairs: DataFrame, n: int, id_col: str = "conversation_id", order_col: str = "pair_idx") -> DataFrame:
     """Drop the first and last ``n`` pairs per conversation; conversations with <= 2n pairs vanish.
 
-    n = 0 keeps everything (the reference's ``[0:-0]`` slip that drops all is not reproduced).
+    The edges are two top-n windows (planned as WindowGroupLimit, pre-limited
+    before the shuffle) removed with an anti join, so no conversation is
+    counted or ranked whole in one task. n = 0 keeps everything (the
+    reference's ``[0:-0]`` slip that drops all is not reproduced).
     """
     if n <= 0:
         return pairs
-    w = Window.partitionBy(id_col).orderBy(order_col)
-    rn = F.row_number().over(w)
-    cnt = F.count(F.lit(1)).over(Window.partitionBy(id_col))
-    return (pairs.withColumn("_rn", rn).withColumn("_cnt", cnt)
-            .filter((F.col("_rn") > n) & (F.col("_rn") <= F.col("_cnt") - n))
-            .drop("_rn", "_cnt"))
+    first = Window.partitionBy(id_col).orderBy(F.col(order_col).asc())
+    last = Window.partitionBy(id_col).orderBy(F.col(order_col).desc())
+    edge = lambda w: pairs.select(id_col, order_col, F.row_number().over(w).alias("_r")).filter(F.col("_r") <= n)
+    edges = edge(first).unionByName(edge(last)).select(id_col, order_col)
+    return pairs.join(edges, [id_col, order_col], "left_anti")
 
 
 def sample_per_group(df: DataFrame, m: int, seed: int, id_col: str, order_col: str) -> DataFrame:
@@ -124,7 +131,8 @@ def sample_per_group(df: DataFrame, m: int, seed: int, id_col: str, order_col: s
 def eval_items(transcripts: DataFrame, n_trim: int = 5, max_per_conv: int | None = None,
                seed: int = 16, id_col: str = "conv_id", text_col: str = "conversation") -> DataFrame:
     """Transcripts -> static evaluation items (uid, conversation_id, convo_history, counselor_message)."""
-    pairs = history_pairs(speaker_blocks(turns_from_text(transcripts, id_col, text_col), id_col), id_col)
+    blocks = speaker_blocks(turns_from_text(transcripts, id_col, text_col), id_col)
+    pairs = history_pairs(blocks, transcripts, id_col, text_col=text_col)
     kept = trim_edges(pairs, n_trim)
     if max_per_conv:
         kept = sample_per_group(kept, max_per_conv, seed, "conversation_id", "pair_idx")
@@ -133,25 +141,25 @@ def eval_items(transcripts: DataFrame, n_trim: int = 5, max_per_conv: int | None
 
 
 def client_messages(transcripts: DataFrame, id_col: str = "conv_id", text_col: str = "conversation",
-                    joiner: str = " // ") -> DataFrame:
+                    joiner: str = " // ", chunk_rows: int = 1_000_000) -> DataFrame:
     """Runs of consecutive ``client:`` lines (any case) joined by `` // ``; any other line ends a run."""
     rows = transcripts.select(id_col, F.posexplode(lines(py_strip(text_col))).alias("line_no", "line"))
     rows = rows.withColumn("line", py_strip("line"))
-    is_client = F.lower(F.col("line")).startswith("client:")
-    rows = rows.withColumn("_client", is_client)
-    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_run", F.sum((~F.col("_client")).cast("int")).over(w))
+    rows = rows.withColumn("_client", F.lower(F.col("line")).startswith("client:"))
+    rows = rows.withColumn("_other", (~F.col("_client")).cast("int"))
+    rows = segmented_scan(rows, [id_col], "line_no", [("_run", "sum", "_other", True)], chunk_rows)
     msg = F.regexp_replace("line", r"(?i)^client:\s*", "")
     runs = (rows.filter("_client").withColumn("msg", msg)
             .groupBy(id_col, "_run")
             .agg(F.min("line_no").alias("_first"),
                  F.expr(f"listagg(msg, '{joiner}') WITHIN GROUP (ORDER BY line_no)").alias("message")))
-    wm = Window.partitionBy(id_col).orderBy("_first")
-    return runs.select(id_col, (F.row_number().over(wm) - 1).alias("msg_idx"), "message")
+    runs = segmented_scan(runs.withColumn("_one", F.lit(1)), [id_col], "_first", [("_k", "sum", "_one", True)],
+                          chunk_rows)
+    return runs.select(id_col, (F.col("_k") - 1).alias("msg_idx"), "message")
 
 
 def dialogue_cleanup(replies: DataFrame, max_messages: int = 100, marker: str = "[end conversation]",
-                     delimiter: str = "//", id_col: str = "conv_id") -> DataFrame:
+                     delimiter: str = "//", id_col: str = "conv_id", chunk_rows: int = 1_000_000) -> DataFrame:
     """Cut a generated dialogue where the simulator loop would have stopped, then split multi-part replies.
 
     Replies (user = patient, assistant = counselor) are processed in turn order
@@ -161,22 +169,22 @@ def dialogue_cleanup(replies: DataFrame, max_messages: int = 100, marker: str =
     adds two history entries. A patient reply with the marker ends the dialogue
     (no counselor reply follows); a counselor reply is kept when its patient
     reply was. Output: one row per kept message part plus the exchange count.
+    Running state is computed with chunk-parallel prefix scans.
     """
     r = replies.filter(F.col("role").isin("user", "assistant"))
     r = (r.withColumn("_parts", F.split("text", _java_quote(delimiter), -1))
          .withColumn("_n", F.size("_parts"))
          .withColumn("_end", F.lower("text").contains(marker.lower()).cast("int")))
-    w = Window.partitionBy(id_col).orderBy("turn")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = (r.withColumn("_ended", F.coalesce(F.max("_end").over(before), F.lit(0)))
-         .withColumn("_hist", 1 + 2 * F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    gate_at_patient = F.when(F.col("role") == "user", F.col("_hist") < 2 * max_messages)
-    r = r.withColumn("_gate", F.coalesce(F.last(gate_at_patient, ignorenulls=True).over(upto),
-                                         F.col("_hist") < 2 * max_messages))
+    r = segmented_scan(r, [id_col], "turn", [("_ended", "max", "_end", False), ("_before", "sum", "_n", False)],
+                       chunk_rows)
+    r = (r.withColumn("_ended", F.coalesce("_ended", F.lit(0)))
+         .withColumn("_hist", 1 + 2 * F.col("_before")))
+    r = r.withColumn("_gate_p", F.when(F.col("role") == "user", F.col("_hist") < 2 * max_messages))
+    r = segmented_scan(r, [id_col], "turn", [("_gate_l", "last", "_gate_p", True)], chunk_rows)
+    r = r.withColumn("_gate", F.coalesce(F.col("_gate_l"), F.col("_hist") < 2 * max_messages))
     kept = r.filter((F.col("_ended") == 0) & F.col("_gate"))
-    exchanges = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(Window.partitionBy(id_col))
-    kept = kept.withColumn("n_exchanges", exchanges.cast("bigint"))
+    exchanges = kept.groupBy(id_col).agg(F.count_if(F.col("role") == "user").alias("n_exchanges"))
+    kept = kept.join(exchanges, id_col)
     return kept.select(id_col, "turn", "role", F.posexplode("_parts").alias("part_idx", "message"),
                        "n_exchanges", (F.col("n_exchanges") * 2).alias("n_conversation_turns"))
 

@@ -39,7 +39,8 @@ def rag_pairs(transcripts: DataFrame, id_col: str = "conv_id", text_col: str = "
     response is the stripped block, prefix included (as the index stores it).
     """
     t = transcripts.filter(F.length(py_strip(text_col)) > 0)
-    pairs = history_pairs(speaker_blocks(turns_from_text(t, id_col, text_col), id_col), id_col, keep_block=True)
+    pairs = history_pairs(speaker_blocks(turns_from_text(t, id_col, text_col), id_col), t, id_col,
+                          text_col=text_col, keep_block=True)
     pairs = pairs.filter(F.length(py_strip("convo_history")) > 0)
     return pairs.select("conversation_id", "pair_idx", F.col("convo_history").alias("context"),
                         py_strip("block_text").alias("response"),

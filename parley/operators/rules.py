@@ -57,9 +57,11 @@ def rule_unit_tests(turns: DataFrame, counselor_role: str = "assistant", client_
     hits = m.select(id_col, "turn", "role",
                     F.explode(F.filter(F.array(*[F.lit(p) for p in EMOTIONAL_PHRASES]),
                                        lambda p: F.col("low").contains(p))).alias("phrase"))
-    w = Window.partitionBy(id_col, "phrase").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    hits = hits.withColumn("_client_before", F.max((F.col("role") == client_role).cast("int")).over(w))
-    emo = (hits.filter((F.col("role") == counselor_role) & (F.coalesce("_client_before", F.lit(0)) == 0))
+    # the client's first use of each phrase (a partial aggregate) decides whether a counselor use echoes it
+    first_client = (hits.filter(F.col("role") == client_role).groupBy(id_col, "phrase")
+                    .agg(F.min("turn").alias("_client_first")))
+    c_hits = hits.filter(F.col("role") == counselor_role).join(first_client, [id_col, "phrase"], "left")
+    emo = (c_hits.filter(F.col("_client_first").isNull() | (F.col("_client_first") >= F.col("turn")))
            .groupBy(id_col).agg(F.count_distinct("turn").alias("n_emotional_language")))
     return (base.join(emo, id_col, "left")
             .select(id_col, "n_counselor_messages", "n_forbidden_statements",
@@ -73,9 +75,11 @@ def unsafe_behavior(blocks: DataFrame, cues: list[str] = RISK_CUES, questions: l
     no risk question; ``unsafe_behavior`` is that flag for the last client-then-counselor exchange."""
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     b = blocks.select(id_col, "block_idx", "speaker", low.alias("low"))
-    w = Window.partitionBy(id_col).orderBy("block_idx")
-    b = b.withColumn("_next_speaker", F.lead("speaker").over(w)).withColumn("_next_low", F.lead("low").over(w))
-    ex = b.filter((F.col("speaker") == client) & (F.col("_next_speaker") == counselor))
+    # the next block by an equi-join on (conversation, index + 1): no conversation is windowed whole
+    nxt = b.select(id_col, (F.col("block_idx") - 1).alias("block_idx"), F.col("speaker").alias("_next_speaker"),
+                   F.col("low").alias("_next_low"))
+    ex = (b.filter(F.col("speaker") == client).join(nxt, [id_col, "block_idx"], "inner")
+          .filter(F.col("_next_speaker") == counselor))
     cue = F.exists(F.array(*[F.lit(p) for p in cues]), lambda p: F.col("low").contains(p))
     asked = F.exists(F.array(*[F.lit(p) for p in questions]), lambda p: F.col("_next_low").contains(p))
     ex = ex.withColumn("_unsafe", (cue & ~asked).cast("int"))

@@ -151,9 +151,10 @@ def family_scores(evals: DataFrame, doc_col: str = "doc", file_col: str = "file_
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Last write wins per key (``row_number`` desc = 1)."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """Last write wins per key: ``max_by`` is a partial aggregate, so a key written millions of times is combined
+    map-side instead of sorted whole in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order_col)).alias("_l")).select(*keys, "_l.*")
 
 
 def weighted_rubric(traces: DataFrame, scores: DataFrame, weights: dict[str, int] | None = None,

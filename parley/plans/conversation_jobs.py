@@ -25,8 +25,9 @@ SQL_HISTORY_PAIRS = with_(TRANSCRIPTS, LINES, BLOCKS, PAIRS) + "SELECT * FROM pa
 @job("history_pairs", SQL_HISTORY_PAIRS)
 def history_pairs(spark, d):
     """Speaker blocks -> (history, counselor message) per counselor block, prefix stripped."""
-    blocks = conv.speaker_blocks(conv.turns_from_text(inputs.transcripts(spark, d)))
-    return conv.history_pairs(blocks).select(
+    tr = inputs.transcripts(spark, d)
+    blocks = conv.speaker_blocks(conv.turns_from_text(tr))
+    return conv.history_pairs(blocks, tr).select(
         "conversation_id", F.col("pair_idx").cast("bigint"), F.col("block_idx").cast("bigint"),
         "convo_history", "counselor_message")
 

@@ -49,8 +49,9 @@ def test_speaker_blocks_match_rule(spark):
 
 
 def test_history_pairs_and_prefix_strip(spark):
-    b = conv.speaker_blocks(conv.turns_from_text(_transcripts(spark)))
-    pairs = {(r.conversation_id, r.pair_idx): r for r in conv.history_pairs(b).collect()}
+    tr = _transcripts(spark)
+    b = conv.speaker_blocks(conv.turns_from_text(tr))
+    pairs = {(r.conversation_id, r.pair_idx): r for r in conv.history_pairs(b, tr).collect()}
     for i, t in enumerate(TEXTS):
         blocks = blocks_py(t)
         exp = []
@@ -114,3 +115,18 @@ def test_first_n_per_group(spark):
     assert out.filter(F.col("message").isNull()).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan
+
+
+def test_chunked_scans_match_single_chunk(spark):
+    tr = _transcripts(spark)
+    lines = conv.turns_from_text(tr)
+    one = {tuple(r) for r in conv.speaker_blocks(lines).collect()}
+    tiny = {tuple(r) for r in conv.speaker_blocks(lines, chunk_rows=2).collect()}
+    assert one == tiny
+    hp1 = {tuple(r) for r in conv.history_pairs(conv.speaker_blocks(lines), tr).collect()}
+    hp2 = {tuple(r) for r in conv.history_pairs(conv.speaker_blocks(lines, chunk_rows=3), tr, chunk_rows=1).collect()}
+    assert hp1 == hp2
+    text = "Client: a\nclient: b\nCounselor: x\nCLIENT:   c\n\nClient: d\nother\nClient: e"
+    df = spark.createDataFrame([(1, text)], "conv_id long, conversation string")
+    assert ({tuple(r) for r in conv.client_messages(df).collect()}
+            == {tuple(r) for r in conv.client_messages(df, chunk_rows=2).collect()})
