@@ -28,11 +28,11 @@ def group_index(df: DataFrame, keys: list[str], hash_col: str, tie_col: str, out
 
 
 def segmented_scan(df: DataFrame, keys: list[str], pos: str, specs: list[tuple[str, str, str, bool]],
-                   chunk_rows: int = 1_000_000) -> DataFrame:
+                   chunk_rows: int = 1_000_000, totals: bool = False) -> DataFrame:
     """Running aggregates per ``keys`` in ``pos`` order, computed chunk-parallel (a parallel prefix scan).
 
     ``specs``: (out_col, kind, value_col, inclusive) with kind ``sum`` (NULL counts as 0), ``max`` or ``last``
-    (last non-NULL value). Rows are cut into chunks of ``chunk_rows`` positions; each chunk is summarised by a
+    (last non-NULL value); ``totals`` adds ``<out>_total`` (the whole key's sum) for every ``sum`` spec. Rows are cut into chunks of ``chunk_rows`` positions; each chunk is summarised by a
     partial aggregate, the summaries (one row per chunk) give every chunk its carry-in, and a window inside
     each bounded chunk finishes the scan. A key holding a third of all rows is scanned by many tasks.
     """
@@ -54,6 +54,10 @@ def segmented_scan(df: DataFrame, keys: list[str], pos: str, specs: list[tuple[s
         s = F.col(f"_s_{out}")
         c = {"sum": F.sum(s), "max": F.max(s), "last": F.last(s, ignorenulls=True)}[kind].over(before)
         carries.append(c.alias(f"_c_{out}"))
+    if totals:  # whole-key value of every ``sum`` spec, from the summary table (no extra pass over the data)
+        whole = Window.partitionBy(*keys)
+        carries += [F.sum(F.col(f"_s_{out}")).over(whole).alias(f"{out}_total")
+                    for out, kind, _v, _i in specs if kind == "sum"]
     summ = summ.select(*keys, "_chunk", *carries)
     d = d.join(summ, [*keys, "_chunk"], "left")
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos)

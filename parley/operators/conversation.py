@@ -51,25 +51,79 @@ def turns_from_text(transcripts: DataFrame, id_col: str = "conv_id",
             .withColumn("speaker", F.nullif(F.regexp_extract("line", SPEAKER_RE, 1), F.lit(""))))
 
 
-def speaker_blocks(line_rows: DataFrame, id_col: str = "conv_id", chunk_rows: int = 1_000_000) -> DataFrame:
-    """Group lines into speaker blocks (gaps-and-islands as two chunk-parallel prefix scans).
+def speaker_scan(line_rows: DataFrame, id_col: str = "conv_id", counselor: str = "Counselor",
+                 chunk_rows: int = 1_000_000) -> DataFrame:
+    """Line rows -> + block_idx, counselor block ordinal (``c_ord``, 1-based), its per-conversation total
+    (``c_total``) and the 1-based character offset of each line (``start_char``), in one chunk-parallel pass.
+
+    Gaps-and-islands as a parallel prefix scan: inside each (conversation,
+    chunk of ``chunk_rows`` lines) a window finds the block starts it can decide
+    locally (a prefixed line whose speaker differs from the previous prefixed
+    line of the chunk); a per-chunk summary (one row per chunk) carries the last
+    speaker forward, which decides whether each chunk's first prefixed line
+    starts a block, and accumulates block / counselor-block / character counts.
+    A conversation holding a third of all lines is scanned by many tasks.
+    """
+    pos = "line_no"
+    d = (line_rows.withColumn("_chunk", F.floor(F.col(pos) / F.lit(chunk_rows)).cast("bigint"))
+         .withColumn("_len1", F.length("line") + 1))
+    w = Window.partitionBy(id_col, "_chunk").orderBy(pos)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sp = F.col("speaker")
+    d = d.withColumn("_lprev", F.last(sp, ignorenulls=True).over(before))
+    local_start = sp.isNotNull() & F.col("_lprev").isNotNull() & (sp != F.col("_lprev"))
+    d = (d.withColumn("_first_p", sp.isNotNull() & F.col("_lprev").isNull())
+         .withColumn("_ls", local_start.cast("int"))
+         .withColumn("_lcs", (local_start & (sp == counselor)).cast("int")))
+    d = (d.withColumn("_ls_cum", F.sum("_ls").over(upto))
+         .withColumn("_lcs_cum", F.sum("_lcs").over(upto))
+         .withColumn("_chars_l", F.coalesce(F.sum("_len1").over(before), F.lit(0))))
+    summ = d.groupBy(id_col, "_chunk").agg(
+        F.min_by(sp, F.when(sp.isNotNull(), F.col(pos))).alias("_first_sp"),
+        F.min(F.when(sp.isNotNull(), F.col(pos))).alias("_first_pos"),
+        F.max_by(sp, F.when(sp.isNotNull(), F.col(pos))).alias("_last_sp"),
+        F.sum("_ls").alias("_n_ls"), F.sum("_lcs").alias("_n_lcs"), F.sum("_len1").alias("_n_chars"))
+    wc = Window.partitionBy(id_col).orderBy("_chunk")
+    prev_chunks = wc.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_carry_last", F.last("_last_sp", ignorenulls=True).over(prev_chunks))
+    fis = (F.col("_first_sp").isNotNull()
+           & (F.col("_carry_last").isNull() | (F.col("_first_sp") != F.col("_carry_last"))))
+    summ = (summ.withColumn("_fis", fis.cast("int"))
+            .withColumn("_fics", (fis & (F.col("_first_sp") == counselor)).cast("int")))
+    summ = summ.select(
+        id_col, "_chunk", "_first_pos", "_fis", "_fics",
+        F.coalesce(F.sum(F.col("_n_ls") + F.col("_fis")).over(prev_chunks), F.lit(0)).alias("_c_starts"),
+        F.coalesce(F.sum(F.col("_n_lcs") + F.col("_fics")).over(prev_chunks), F.lit(0)).alias("_c_cstarts"),
+        F.coalesce(F.sum("_n_chars").over(prev_chunks), F.lit(0)).alias("_c_chars"),
+        F.sum(F.col("_n_lcs") + F.col("_fics")).over(Window.partitionBy(id_col)).alias("c_total"))
+    d = d.join(summ, [id_col, "_chunk"], "left")
+    after_first = F.coalesce((F.col(pos) >= F.col("_first_pos")).cast("int"), F.lit(0))
+    return d.select(
+        *line_rows.columns,
+        (F.col("_c_starts") + F.col("_ls_cum") + F.col("_fis") * after_first).alias("block_idx"),
+        (F.col("_c_cstarts") + F.col("_lcs_cum") + F.col("_fics") * after_first).alias("c_ord"),
+        "c_total",
+        (F.col("_c_chars") + F.col("_chars_l") + 1).alias("start_char"))
+
+
+def speaker_blocks(line_rows: DataFrame, id_col: str = "conv_id", chunk_rows: int = 1_000_000,
+                   counselor: str = "Counselor") -> DataFrame:
+    """Group lines into speaker blocks.
 
     A new block starts only on a *prefixed* line whose speaker differs from the
     current speaker; unprefixed lines continue the current block; lines before
     the first prefix form block 0 (preamble, speaker NULL). Blocks are numbered
-    1.. after an optional preamble 0. ``start_char`` is the 1-based character
-    offset of the block in the transcript.
+    1.. after an optional preamble 0. ``start_char`` is the block's 1-based
+    character offset in the transcript; ``c_ord`` / ``c_total`` number the
+    ``counselor`` blocks (see :func:`speaker_scan`).
     """
-    lr = line_rows.withColumn("_len1", F.length("line") + 1)
-    s1 = segmented_scan(lr, [id_col], "line_no", [("_prev", "last", "speaker", False),
-                                                  ("_chars_before", "sum", "_len1", False)], chunk_rows)
-    starts = (F.col("speaker").isNotNull() & (F.col("_prev").isNull() | (F.col("speaker") != F.col("_prev")))).cast("int")
-    s2 = segmented_scan(s1.withColumn("_start", starts), [id_col], "line_no",
-                        [("block_idx", "sum", "_start", True)], chunk_rows)
-    return (s2.groupBy(id_col, "block_idx")
+    s = speaker_scan(line_rows, id_col, counselor, chunk_rows)
+    return (s.groupBy(id_col, "block_idx")
             .agg(F.max("speaker").alias("speaker"),
                  F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY line_no)").alias("text"),
-                 (F.min("_chars_before") + 1).alias("start_char")))
+                 F.min("start_char").alias("start_char"), F.max("c_ord").alias("c_ord"),
+                 F.max("c_total").alias("c_total")))
 
 
 def strip_speaker_prefix(c, prefix: str = "Counselor:"):
@@ -81,44 +135,47 @@ def strip_speaker_prefix(c, prefix: str = "Counselor:"):
 
 
 def history_pairs(blocks: DataFrame, transcripts: DataFrame, id_col: str = "conv_id", speaker: str = "Counselor",
-                  text_col: str = "conversation", keep_block: bool = False, chunk_rows: int = 1_000_000) -> DataFrame:
+                  text_col: str = "conversation", keep_block: bool = False) -> DataFrame:
     """For every ``speaker`` block i: history = blocks before i joined by newline ('' for the first).
 
     Blocks are consecutive line groups, so the history is the transcript
     prefix before the block's first character - a substring of the
     transcript, joined back by conversation id (AQE splits a hot
     conversation), instead of a per-conversation collect over earlier blocks.
-    ``keep_block`` also returns the raw block text (``block_text``).
+    ``pair_idx`` / ``n_pairs`` come from the speaker scan's counselor-block
+    ordinal (blocks must come from :func:`speaker_blocks` with the same
+    ``speaker``). ``keep_block`` also returns the raw block text.
     """
-    sb = blocks.filter(F.col("speaker") == speaker).withColumn("_one", F.lit(1))
-    sb = segmented_scan(sb, [id_col], "block_idx", [("_k", "sum", "_one", True)], chunk_rows)
+    sb = blocks.filter(F.col("speaker") == speaker)
     j = sb.join(transcripts.select(id_col, F.col(text_col).alias("_t")), id_col, "inner")
     hist = F.substring(F.col("_t"), 1, F.greatest(F.col("start_char") - 2, F.lit(0)))
     return j.select(
         F.col(id_col).alias("conversation_id"),
-        (F.col("_k") - 1).alias("pair_idx"),
+        (F.col("c_ord") - 1).alias("pair_idx"),
         "block_idx",
         hist.alias("convo_history"),
         strip_speaker_prefix(py_strip("text"), speaker + ":").alias("counselor_message"),
+        F.col("c_total").alias("n_pairs"),
         *([F.col("text").alias("block_text")] if keep_block else []),
     )
 
 
-def trim_edges(pairs: DataFrame, n: int, id_col: str = "conversation_id", order_col: str = "pair_idx") -> DataFrame:
+def trim_edges(pairs: DataFrame, n: int, id_col: str = "conversation_id", order_col: str = "pair_idx",
+               count_col: str = "n_pairs") -> DataFrame:
     """Drop the first and last ``n`` pairs per conversation; conversations with <= 2n pairs vanish.
 
-    The edges are two top-n windows (planned as WindowGroupLimit, pre-limited
-    before the shuffle) removed with an anti join, so no conversation is
-    counted or ranked whole in one task. n = 0 keeps everything (the
-    reference's ``[0:-0]`` slip that drops all is not reproduced).
+    ``order_col`` is the dense 0-based pair index and ``count_col`` the pairs per
+    conversation (both produced by :func:`history_pairs`), so trimming is a
+    row-local filter. Without a count column the count is a partial aggregate
+    joined back. n = 0 keeps everything (the reference's ``[0:-0]`` slip that
+    drops all is not reproduced).
     """
     if n <= 0:
         return pairs
-    first = Window.partitionBy(id_col).orderBy(F.col(order_col).asc())
-    last = Window.partitionBy(id_col).orderBy(F.col(order_col).desc())
-    edge = lambda w: pairs.select(id_col, order_col, F.row_number().over(w).alias("_r")).filter(F.col("_r") <= n)
-    edges = edge(first).unionByName(edge(last)).select(id_col, order_col)
-    return pairs.join(edges, [id_col, order_col], "left_anti")
+    if count_col not in pairs.columns:
+        counts = pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias(count_col))
+        pairs = pairs.join(counts, id_col)
+    return pairs.filter((F.col(order_col) >= n) & (F.col(order_col) < F.col(count_col) - n))
 
 
 def sample_per_group(df: DataFrame, m: int, seed: int, id_col: str, order_col: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_history_pairs_and_prefix_strip(spark):
 
 def test_trim_edges_counts(spark):
     rows = [(c, j) for c, n in [(1, 4), (2, 5), (3, 2), (4, 0)] for j in range(n)]
-    df = spark.createDataFrame(rows, "conversation_id long, pair_idx long")
+    df = spark.createDataFrame(rows, "conversation_id long, pair_idx long")  # no count column: joined count
     for n in (0, 1, 2):
         got = {r.conversation_id: r["count"] for r in conv.trim_edges(df, n).groupBy("conversation_id").count().collect()}
         for c, total in [(1, 4), (2, 5), (3, 2)]:
@@ -123,8 +123,11 @@ def test_chunked_scans_match_single_chunk(spark):
     one = {tuple(r) for r in conv.speaker_blocks(lines).collect()}
     tiny = {tuple(r) for r in conv.speaker_blocks(lines, chunk_rows=2).collect()}
     assert one == tiny
+    for size in (1, 2, 3):
+        tiny = {tuple(r) for r in conv.speaker_blocks(lines, chunk_rows=size).collect()}
+        assert one == tiny, size
     hp1 = {tuple(r) for r in conv.history_pairs(conv.speaker_blocks(lines), tr).collect()}
-    hp2 = {tuple(r) for r in conv.history_pairs(conv.speaker_blocks(lines, chunk_rows=3), tr, chunk_rows=1).collect()}
+    hp2 = {tuple(r) for r in conv.history_pairs(conv.speaker_blocks(lines, chunk_rows=1), tr).collect()}
     assert hp1 == hp2
     text = "Client: a\nclient: b\nCounselor: x\nCLIENT:   c\n\nClient: d\nother\nClient: e"
     df = spark.createDataFrame([(1, text)], "conv_id long, conversation string")
