@@ -95,16 +95,27 @@ def eval_query_text(message, history, full_history):
 
 
 def unit_test_queries(turns: DataFrame, tests=UNIT_TESTS, id_col: str = "conv_id",
-                      labels: dict[str, str] | None = None) -> DataFrame:
-    """One judge query per counselor message and unit test; history = the earlier turns as ``role: text`` lines."""
-    labels = labels or {"user": "Client", "assistant": "Counselor"}
-    lab = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]),
-                                      F.col("role")), F.col("role"))
-    line = F.concat(lab, F.lit(": "), F.coalesce("text", F.lit("")))
-    w = Window.partitionBy(id_col).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns.withColumn("_hist", F.array_join(F.collect_list(line).over(w), "\n"))
-    msgs = t.filter(F.col("role") == "assistant")
+                      labels: dict[str, str] | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
+    """One judge query per counselor message and unit test; history = the earlier turns of the rendered transcript.
+
+    The history is a prefix of the transcript (``render_transcript`` lines),
+    cut at the turn's character offset from a chunk-parallel running sum of
+    line lengths, so no conversation is collected in one window.
+    """
+    from parley.functions.ranking import segmented_scan
+    from parley.operators.conversation import ROLE_LABELS, render_transcript
+
+    labels = labels or ROLE_LABELS
+    label = None
+    for role, lab in labels.items():
+        label = F.when(F.col("role") == role, F.lit(lab)) if label is None else label.when(F.col("role") == role, F.lit(lab))
+    line = F.when(label.isNull(), F.col("text")).otherwise(F.concat(label, F.lit(": "), F.col("text")))
+    t = turns.withColumn("_len1", F.coalesce(F.length(line), F.lit(-1)) + 1)
+    t = segmented_scan(t, [id_col], "turn", [("_before", "sum", "_len1", False)], chunk_rows)
+    transcript = render_transcript(turns, labels=labels).select(id_col, F.col("conversation").alias("_t"))
+    msgs = t.filter(F.col("role") == "assistant").join(transcript, id_col)
+    hist = F.substring(F.col("_t"), 1, F.greatest(F.col("_before") - 1, F.lit(0)))
     dims = F.array(*[F.struct(F.lit(n).alias("test_name"), F.lit(fh).alias("full_history")) for n, fh in tests])
-    fan = msgs.select(id_col, "turn", "text", "_hist", F.inline(dims))
+    fan = msgs.select(id_col, "turn", "text", hist.alias("_hist"), F.inline(dims))
     return fan.select(id_col, "turn", "test_name", "full_history",
                       eval_query_text(F.col("text"), F.col("_hist"), F.col("full_history")).alias("query"))

@@ -74,9 +74,9 @@ _TESTS = ", ".join(f"('{n}', {str(fh).lower()})" for n, fh in ru.UNIT_TESTS)
 
 @job("unit_test_queries", f"""
 WITH t AS (SELECT conv_id, turn, role, text,
-                  array_to_string(list(CASE role WHEN 'user' THEN 'Client' WHEN 'assistant' THEN 'Counselor' ELSE role END
-                                       || ': ' || coalesce(text, ''))
-                    OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), chr(10)) AS h
+                  string_agg(CASE role WHEN 'user' THEN 'Client: ' || text WHEN 'assistant' THEN 'Counselor: ' || text
+                                       ELSE text END, chr(10))
+                    OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h
            FROM conversations)
 SELECT conv_id, turn, u.test_name, u.full_history,
        CASE WHEN u.full_history THEN 'Conversation history:' || chr(10) || coalesce(h, '') || chr(10)
