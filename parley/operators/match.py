@@ -114,7 +114,7 @@ def _tier_gkey(tier_col):
 
 
 def match_profiles(profiles: DataFrame, seed: int = 16, k: int = SAMPLE_K, min_matches: int = MIN_MATCHES,
-                   bucket_size: int = 50_000, checkpoint: bool = True) -> DataFrame:
+                   bucket_size: int = 50_000, checkpoint: bool = True, input_materialized: bool = False) -> DataFrame:
     """profiles (uid, age double, sex, concern) -> per target: tier used, match count, up to ``k`` sampled matches.
 
     Tier by the target's own fields (see SURVEY table); fewer than
@@ -125,11 +125,12 @@ def match_profiles(profiles: DataFrame, seed: int = 16, k: int = SAMPLE_K, min_m
     """
     p = profiles.select(F.col("uid").cast("string").alias("uid"), F.col("age").cast("double").alias("age"),
                         F.col("sex").cast("string").alias("sex"), F.col("concern").cast("string").alias("concern"))
-    if checkpoint:
+    if checkpoint and not input_materialized:
         from parley.session import cut_lineage
         p = cut_lineage(p)  # the profiles feed every branch below; read them once
     mem, slots = _members(p, list(TIERS), seed, bucket_size)
     if checkpoint:
+        from parley.session import cut_lineage
         mem = cut_lineage(mem)  # ranked members feed the self-rank and the match lookups
     band_tiers = [n for n, (_k, b) in TIERS.items() if b]
     t = p.withColumn("tier0", target_tier(F.col("age"), F.col("sex"), F.col("concern")))

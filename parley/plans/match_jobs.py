@@ -160,7 +160,7 @@ def sample_examples(spark, d):
     """Matches -> slice i/5 of each match's client messages (<= 9 each, <= 45 total) -> profile text and concern_i key."""
     from parley.session import cut_lineage
     profiles = cut_lineage(_profiles(spark, d))  # read by the matcher and by the profile text below
-    matches = mt.match_profiles(profiles, seed=SEED)
+    matches = mt.match_profiles(profiles, seed=SEED, input_materialized=True)
     sampled, _ = inputs.sampled_conversations(spark, d)
     cms = conv.client_messages(sampled, id_col="uid")
     ex = mt.sample_examples(matches, cms, seed=SEED)
