@@ -82,7 +82,7 @@ def expand_selection(requested: list[str], keys: DataFrame, key_col: str = "key"
     k = keys.select(key_col, key_pos_col, F.explode(probes).alias("_probe"))
     k = k.withColumn("req_pos", F.try_element_at(req_map, F.col("_probe"))).filter(F.col("req_pos").isNotNull())
     exact_hits = (keys.filter(F.col(key_col).isin(*named.keys()) if named else F.lit(False))
-                  .select(F.col(key_col).alias("_probe"), F.lit(True).alias("_is_key")))
+                  .select(F.col(key_col).alias("_probe"), F.lit(True).alias("_is_key")).distinct())
     k = k.join(F.broadcast(exact_hits), "_probe", "left")
     is_exact = F.col("_probe") == F.col(key_col)
     hits = k.filter(is_exact | F.col("_is_key").isNull()).select(

@@ -26,16 +26,17 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str, multiline
 def scan_csv_dir(spark: SparkSession, directory: str, schema: StructType | str, order_col: str | None = None) -> DataFrame:
     """Every ``.csv`` of a directory; ``row_index`` = 0-based position inside its file by ``order_col``.
 
-    CSV splits carry no row position, so the index needs an ordering column
-    (a line number or id written by the producer); it is computed with the
-    salted group index, never by pulling a whole file into one task.
+    CSV splits carry no row position, so the index needs a numeric ordering
+    column (a line number written by the producer). It is a running count per
+    file computed as a chunk-parallel prefix scan, so a huge file is never
+    pulled into one task.
     """
     df = scan_csv(spark, f"{directory.rstrip('/')}/*.csv", schema)
     if order_col is None:
         return df
-    from parley.functions.ranking import group_index
-    df = df.withColumn("_h", F.col(order_col).cast("long"))
-    return group_index(df, ["file_name"], "_h", order_col, out="row_index").drop("_h")
+    from parley.functions.ranking import segmented_scan
+    df = segmented_scan(df.withColumn("_one", F.lit(1)), ["file_name"], order_col, [("_k", "sum", "_one", True)])
+    return df.withColumn("row_index", F.col("_k") - 1).drop("_one", "_k")
 
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -40,3 +40,14 @@ def test_plans_stay_jvm_side(spark):
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
     scan = e.queries()["first_n_per_group"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderkey" in scan and "o_totalprice" not in scan  # pruned projection reaches the scan
+
+
+def test_scan_csv_dir_row_index(spark):
+    d = tempfile.mkdtemp(prefix="parley-csvdir-")
+    for name, n in (("a.csv", 5), ("b.csv", 3)):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("line,text\n" + "".join(f"{10 * i + 3},t{i}\n" for i in range(n)))
+    df = files.scan_csv_dir(spark, d, "line long, text string", order_col="line")
+    got = sorted((r.file_name, r.line, r.row_index) for r in df.collect())
+    assert [x[2] for x in got if x[0] == "a.csv"] == [0, 1, 2, 3, 4]
+    assert [x[2] for x in got if x[0] == "b.csv"] == [0, 1, 2]
