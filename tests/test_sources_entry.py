@@ -51,3 +51,34 @@ def test_scan_csv_dir_row_index(spark):
     got = sorted((r.file_name, r.line, r.row_index) for r in df.collect())
     assert [x[2] for x in got if x[0] == "a.csv"] == [0, 1, 2, 3, 4]
     assert [x[2] for x in got if x[0] == "b.csv"] == [0, 1, 2]
+
+
+def test_wholetext_sinks_and_small_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from parley.functions.text import collapse_ws
+    from parley.operators.prompts import limit_samples
+    from parley.operators.redact import crosswalk
+    from parley.operators.retrieval import record_to_query
+
+    d = tempfile.mkdtemp(prefix="parley-misc-")
+    for name, text in (("a.txt", "Client: hi\nCounselor: hello\n"), ("b.txt", "x")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    w = {r.file_name: r.text for r in files.scan_wholetext(spark, os.path.join(d, "*.txt")).collect()}
+    assert w == {"a.txt": "Client: hi\nCounselor: hello\n", "b.txt": "x"}
+    df = spark.createDataFrame([(1, "a  b\n c "), (2, "z")], "uid long, t string")
+    out = os.path.join(d, "out")
+    files.sink_jsonl(df, out + "/j")
+    files.sink_csv(df, out + "/c")
+    files.sink_split(df, out + "/s", 2, "uid")
+    assert spark.read.json(out + "/j").count() == 2 and spark.read.json(out + "/s").count() == 2
+    assert spark.read.option("header", True).option("multiLine", True).csv(out + "/c").count() == 2
+    assert [r.c for r in df.select(collapse_ws("t").alias("c")).orderBy("uid").collect()] == ["a b c", "z"]
+    assert limit_samples(df.withColumn("prompt_template_name", F.lit("t")), 1).count() == 1
+    assert [tuple(r) for r in crosswalk(df, "uid", True).orderBy("uid").collect()] == [(1, True), (2, True)]
+    rec = spark.createDataFrame([("", None, [("user", "m1"), ("user", "m2")], ("u1",))],
+                                "body string, prompt string, messages array<struct<role:string,content:string>>, "
+                                "metadata struct<uid:string>")
+    q = rec.select(record_to_query(F.col("body"), F.col("prompt"), F.col("messages"), F.col("metadata")).alias("q")).first().q
+    assert q == "m1\nm2"
