@@ -127,4 +127,5 @@ FROM h WHERE rn <= 10 AND message IS NOT NULL"""
 def first_n_per_group(spark, d):
     """Message log -> normalised columns -> first 10 messages per ticket by time."""
     out = conv.first_n_per_group(inputs.message_log(spark, d), n=10)
-    return out.withColumn("row_in_ticket", F.col("row_in_ticket").cast("bigint"))
+    return (out.withColumn("row_in_ticket", F.col("row_in_ticket").cast("bigint"))
+            .withColumn("sent_date", F.col("sent_date").cast("timestamp_ntz")))

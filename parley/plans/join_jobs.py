@@ -44,8 +44,8 @@ t AS (SELECT * FROM (VALUES {_T_VALUES}) t(name, text, model)),
 x AS (SELECT b.*, t.name, t.text, t.model, {_KIND} AS kind FROM b, t)
 SELECT uid, uid AS id, name AS prompt_template_name, input_file_name, {_FILL} AS prompt,
        'messages' AS completion_format, model, kind AS request_kind,
-       CASE WHEN kind = 'o-series' THEN 1.0 WHEN kind NOT IN ('claude', 'gemini') THEN 0.0 END AS temperature,
-       CASE WHEN kind = 'o-series' THEN 1.0 WHEN kind NOT IN ('claude', 'gemini') THEN 1.0 END AS top_p,
+       CAST(CASE WHEN kind = 'o-series' THEN 1.0 WHEN kind NOT IN ('claude', 'gemini') THEN 0.0 END AS DOUBLE) AS temperature,
+       CAST(CASE WHEN kind = 'o-series' THEN 1.0 WHEN kind NOT IN ('claude', 'gemini') THEN 1.0 END AS DOUBLE) AS top_p,
        CASE WHEN kind NOT IN ('o-series', 'claude', 'gemini') THEN {MAX_TOKENS} END AS max_tokens,
        CASE WHEN kind = 'o-series' THEN {MAX_TOKENS} END AS max_completion_tokens
 FROM x"""
@@ -78,7 +78,7 @@ def comparison_items(spark, d):
 @job("comparison_orphans", with_(inputs.STATIC_ITEMS_SQL, inputs.COMPLETIONS_SQL, """
 a AS (SELECT DISTINCT uid FROM items), b AS (SELECT DISTINCT uid FROM completions)""") + """
 SELECT count(a.uid) AS n_input_uids, count(b.uid) AS n_completion_uids, count(a.uid) - count(b.uid) AS missing_count,
-       count_if(b.uid IS NULL) AS n_items_without_completion, count_if(a.uid IS NULL) AS n_completions_without_item
+       CAST(count_if(b.uid IS NULL) AS BIGINT) AS n_items_without_completion, CAST(count_if(a.uid IS NULL) AS BIGINT) AS n_completions_without_item
 FROM a FULL JOIN b ON a.uid = b.uid""")
 def comparison_orphans(spark, d):
     """Distinct-uid counts on both sides of the comparison join and the keys on one side only."""

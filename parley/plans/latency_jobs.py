@@ -50,7 +50,7 @@ pt AS (SELECT trace_id, turn, max(CASE WHEN side = 'patient' THEN 1 ELSE 0 END)
               max(CASE WHEN side = 'counselor' THEN 1 ELSE 0 END) AS has_c, count(lat) AS n_lat, coalesce(sum(lat), 0.0) AS lat_sum
        FROM c2 WHERE side IS NOT NULL GROUP BY trace_id, turn),
 ptr AS (SELECT trace_id, count(*) AS n_turns, sum(has_p) AS n_p, sum(has_c) AS n_c,
-               sum(CASE WHEN n_lat > 0 THEN lat_sum END) AS x_sum, count_if(n_lat > 0) AS x_n FROM pt GROUP BY trace_id),
+               sum(CASE WHEN n_lat > 0 THEN lat_sum END) AS x_sum, CAST(count_if(n_lat > 0) AS BIGINT) AS x_n FROM pt GROUP BY trace_id),
 tg AS (SELECT trace_id, name, turn_count, latency, unnest(tags) AS tag FROM tr),
 runs AS (SELECT DISTINCT substr(tag, {len(D) + 2}) AS run_name FROM tg WHERE starts_with(tag, '{D}/')),
 rt AS (SELECT r.run_name, t.trace_id, t.turn_count, t.latency FROM runs r

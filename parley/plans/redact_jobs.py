@@ -123,7 +123,7 @@ def _sql_report():
         per.append(f"""SELECT '{m}' AS eval, {errs}, coalesce(sum(label_{m}), 0.0) AS n_messages_correct,
        count(*) - coalesce(sum(label_{m}), 0.0) AS n_messages_incorrect,
        CASE WHEN count(*) > 0 THEN coalesce(sum(label_{m}), 0.0) / count(*) ELSE 0.0 END AS overall_accuracy,
-       count_if(label_{m} IS NULL) AS n_unlabelled FROM data""")
+       CAST(count_if(label_{m} IS NULL) AS BIGINT) AS n_unlabelled FROM data""")
     return "\nUNION ALL\n".join(per)
 
 

@@ -54,7 +54,7 @@ ph AS (SELECT hash, count(*) AS n, bool_or(hash IN (SELECT hash FROM cache)) AS
        FROM rp2 GROUP BY hash),
 agg AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs,
                CAST(coalesce(sum(CASE WHEN cached THEN n ELSE 0 END), 0) AS BIGINT) AS n_cached,
-               count_if(NOT cached) AS n_new_hashes,
+               CAST(count_if(NOT cached) AS BIGINT) AS n_new_hashes,
                CAST(coalesce(sum(CASE WHEN NOT cached THEN ceil(length(ctx) / 4.0) END), 0) AS BIGINT) AS new_tokens
         FROM ph)
 SELECT n_pairs, n_cached, n_pairs - n_cached AS n_new, n_new_hashes, new_tokens,

@@ -26,12 +26,12 @@ _EMP = " + ".join(f"CAST(contains(low, '{p.replace(chr(39), chr(39) * 2)}') AS I
 @job("rule_unit_tests", f"""
 WITH m AS (SELECT conv_id, turn, role, lower(coalesce(text, '')) AS low FROM conversations),
 base AS (
-  SELECT conv_id, count_if(role = 'assistant') AS n_counselor_messages,
+  SELECT conv_id, CAST(count_if(role = 'assistant') AS BIGINT) AS n_counselor_messages,
          CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN {_sql_phrase_count('low', ru.FORBIDDEN_PHRASES)} ELSE 0 END), 0) AS BIGINT)
            AS n_forbidden_statements,
-         count_if(role = 'assistant' AND len(regexp_extract_all(low, '\\?')) >= 1) AS n_question_messages,
-         count_if(role = 'assistant' AND len(regexp_extract_all(low, '\\?')) >= 2) AS n_multi_task_messages,
-         count_if(role = 'assistant' AND ({_EMP}) >= 2) AS n_empathy_chained_messages
+         CAST(count_if(role = 'assistant' AND len(regexp_extract_all(low, '\\?')) >= 1) AS BIGINT) AS n_question_messages,
+         CAST(count_if(role = 'assistant' AND len(regexp_extract_all(low, '\\?')) >= 2) AS BIGINT) AS n_multi_task_messages,
+         CAST(count_if(role = 'assistant' AND ({_EMP}) >= 2) AS BIGINT) AS n_empathy_chained_messages
   FROM m GROUP BY conv_id),
 hits AS (SELECT conv_id, turn, role, unnest(list_filter({_sql_list(ru.EMOTIONAL_PHRASES)}, lambda p: contains(low, p))) AS phrase FROM m),
 hb AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, phrase ORDER BY turn

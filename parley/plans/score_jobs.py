@@ -46,7 +46,7 @@ def score_stats(spark, d):
     return sc.score_stats(_judge_long(spark, d))
 
 
-_DIST_SQL_COLS = ", ".join(f"count_if(score = {k}) AS n_{k}" for k in range(1, 6))
+_DIST_SQL_COLS = ", ".join(f"CAST(count_if(score = {k}) AS BIGINT) AS n_{k}" for k in range(1, 6))
 _PCT_SQL_COLS = ", ".join(f"round(n_{k} * 100.0 / n_scores, 6) AS pct_{k}" for k in range(1, 6))
 
 

@@ -45,7 +45,7 @@ STABILITY_SQL = f"""
 WITH r AS (SELECT c.config, b.item_id, '[' || c.config || '] ' || b.text AS prompt FROM benchmark b, (VALUES {_CFG}) c(config)),
 s AS (SELECT *, '#' || CAST(sample AS VARCHAR) || ' ' || prompt AS req FROM (SELECT *, unnest(range(1, {N_SAMPLES + 1})) AS sample FROM r)),
 rs AS (SELECT *, {_RESP} AS response FROM s),
-g AS (SELECT config, item_id, prompt, count(*) AS n_responses, count_if(contains(lower(response), '[error]')) AS n_errors,
+g AS (SELECT config, item_id, prompt, count(*) AS n_responses, CAST(count_if(contains(lower(response), '[error]')) AS BIGINT) AS n_errors,
              string_agg(CASE WHEN NOT contains(lower(response), '[error]') THEN response END, ' || ' ORDER BY sample) AS kept
       FROM rs GROUP BY config, item_id, prompt),
 j AS (SELECT *, 'PROMPTED WITH: ' || prompt || chr(10) || 'RESPONSES: ' || coalesce(kept, '') AS judge_input FROM g),
