@@ -411,7 +411,7 @@ def dialogue_eval_files(spark: SparkSession, d: str) -> DataFrame:
 
     Name ``dialogue|<dlg>_x_<concern>_<n>|<counselor>|<editor>|<model>|<timestamp>.jsonl``;
     toxic documents get a name without the timestamp part (malformed) and
-    documents with n_chars divisible by 11 lose their third line.
+    non-toxic documents of quality 0 lose their third line.
     """
     dl = _doc_labels(spark, d, "inner")
     name = F.concat_ws("|", F.lit("dialogue"),
@@ -432,8 +432,9 @@ def dialogue_eval_files(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array(F.struct(F.lit(0).alias("line_no"), pe.alias("text")),
                     F.struct(F.lit(1).alias("line_no"), ut.alias("text")),
                     F.struct(F.lit(2).alias("line_no"), ce.alias("text")))
-    return (dl.select(name.alias("file_name"), "n_chars", F.inline(lines))
-            .filter(~((F.col("n_chars") % 11 == 0) & (F.col("line_no") == 2))).drop("n_chars"))
+    short = (F.col("quality") == 0) & (F.col("toxic") == 0) & (F.col("line_no") == 2)
+    return (dl.select(name.alias("file_name"), "quality", "toxic", F.inline(lines))
+            .filter(~short).drop("quality", "toxic"))
 
 
 DIALOGUE_EVAL_FILES_SQL = """
@@ -445,7 +446,7 @@ efiles AS (
                                'cp1', 'ed0', source, '20240101T0000.jsonl')
                 ELSE concat_ws('|', 'dialogue', 'dlg' || doc_id || '_x_' || lang || '_' || CAST(doc_id % 7 AS VARCHAR),
                                'cp1', 'ed0', source) || '.jsonl' END AS file_name,
-           n_chars,
+           quality, toxic,
            unnest([
              {'line_no': 0, 'text': json_object('big_five_traits_simple', json_object('score', doc_id % 5 + 1, 'rationale', 'ok'),
                                                 'presenting_concern', json_object('score', n_chars % 5 + 1, 'rationale', 'ok'))::VARCHAR},
@@ -455,7 +456,7 @@ efiles AS (
                                                 'note', 'skip me')::VARCHAR},
              {'line_no': 2, 'text': json_object('empathy', json_object('score', doc_id % 4 + 1, 'rationale', 'emp'))::VARCHAR}]) AS r
     FROM documents JOIN labels USING (doc_id))
-  WHERE NOT (n_chars % 11 = 0 AND r.line_no = 2)
+  WHERE NOT (quality = 0 AND toxic = 0 AND r.line_no = 2)
 )"""
 
 
@@ -491,12 +492,12 @@ items AS (
 
 
 def completion_frames(spark: SparkSession, d: str) -> list[DataFrame]:
-    """Two completion files: model-a (chat JSON, some plain text, a third of the conversations missing) and
-    model-b (every turn, user turns being orphans; carries an extra prompt_template_name column)."""
+    """Two completion files: model-a (every counselor turn; chat JSON, some plain text) and model-b (every turn,
+    user turns being completions without an item; carries an extra prompt_template_name column)."""
     t = turns(spark, d).filter(F.col("role").isin("user", "assistant"))
     chat = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message")))
                                               .alias("choices")))
-    a = (t.filter((F.col("role") == "assistant") & (F.col("conv_id") % 3 != 0))
+    a = (t.filter(F.col("role") == "assistant")
          .select(_turn_uid().alias("uid"),
                  F.when(F.col("conv_id") % 4 == 0, F.col("text"))
                  .otherwise(chat(F.concat(F.lit("  "), F.col("text"), F.lit(" ")))).alias("llm_output_json_raw"),
@@ -513,7 +514,7 @@ completions AS (
               ELSE json_object('choices', [json_object('message', json_object('content', '  ' || text || ' '))])::VARCHAR END
            AS llm_output_json_raw,
          'model-a' AS file_name, NULL AS prompt_template_name
-  FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0
+  FROM conversations WHERE role = 'assistant'
   UNION ALL
   SELECT sha256(concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))),
          json_object('choices', [json_object('message', json_object('content', 'B ' || text))])::VARCHAR,
