@@ -244,15 +244,20 @@ def union_annotations(first: DataFrame, second: DataFrame, second_skip: int, pos
     return first.unionByName(second.filter(F.col(pos_col) >= second_skip), allowMissingColumns=True)
 
 
-def accuracy_report(df: DataFrame, methods: list[str], error_col_fmt: str = "errors_{m}") -> DataFrame:
+def accuracy_report(df: DataFrame, methods: list[str], error_col_fmt: str = "errors_{m}",
+                    strict: bool = False) -> DataFrame:
     """Per method: correct = sum(label), total = all rows (NULL label = wrong), accuracy, and error-type counts
-    among label-0 rows (comma split, lower-case substring match - 'age' also hits 'message', as in the reference)."""
+    among label-0 rows (comma split, lower-case substring match - 'age' also hits 'message', as in the reference;
+    ``strict`` counts only items that start with ``<type> (``)."""
     rows = F.array(*[F.struct(F.lit(m).alias("eval"),
                               F.col(f"label_{m}").cast("string").try_cast("double").alias("label"),
                               F.col(error_col_fmt.format(m=m)).alias("errors")) for m in methods])
     long = df.select(F.inline(rows))
     err = F.transform(F.split(F.coalesce(F.col("errors"), F.lit("")), ","), lambda e: F.lower(F.trim(e)))
-    counts = [F.sum(F.when(F.col("label") == 0, F.size(F.filter(err, lambda e: e.contains(t)))).otherwise(0))
+    def matches(t):  # one-argument predicate (F.filter passes the index to two-argument lambdas)
+        return (lambda e: e.startswith(t + " (")) if strict else (lambda e: e.contains(t))
+
+    counts = [F.sum(F.when(F.col("label") == 0, F.size(F.filter(err, matches(t)))).otherwise(0))
               .cast("bigint").alias(t) for t in ERROR_TYPES]
     agg = long.groupBy("eval").agg(
         F.coalesce(F.sum("label"), F.lit(0.0)).alias("n_messages_correct"),

@@ -106,7 +106,7 @@ def score_distribution(long: DataFrame, levels=(1, 2, 3, 4, 5)) -> DataFrame:
 
 
 def family_scores(evals: DataFrame, doc_col: str = "doc", file_col: str = "file_name",
-                  divisor: float = 5.0) -> DataFrame:
+                  divisor: float = 4.0) -> DataFrame:
     """Eval documents -> long (file_name, category, subcategory, score, rationale) + family averages
     + overall score.
 
@@ -114,7 +114,8 @@ def family_scores(evals: DataFrame, doc_col: str = "doc", file_col: str = "file_
     with subcategory = category. ``<family>_average`` rows carry the mean of the
     family's sub-scores. ``overall_score`` = (big-five + language-patterns
     average + emotional-realism average + presenting_concern) / ``divisor``
-    (5 in the reference, although four terms are summed); the big-five term is
+    (default 4 = the mean of the four terms; the reference divides by 5, pass
+    ``divisor=5`` for parity); the big-five term is
     the document's own ``big_five_traits_average`` / ``big_five_traits_simple``
     score, falling back to the computed big-five average.
     """
@@ -158,15 +159,17 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
 
 
 def weighted_rubric(traces: DataFrame, scores: DataFrame, weights: dict[str, int] | None = None,
-                    prefix: str = RUBRIC_PREFIX) -> DataFrame:
+                    prefix: str = RUBRIC_PREFIX, drop_items: tuple[str, ...] = ()) -> DataFrame:
     """Per trace: sum(weight * [item = 1]) / sum(weight of non-excluded items).
 
     Driven by traces x rubric items so unanswered items still count in the
     denominator. X1-X4 are excluded when X0 = 0, P5 when it is missing or not
     boolean. NULL when the trace has no scores at all or the denominator is 0.
     The rubric is a fixed list, expanded per trace with ``inline`` (no join).
+    ``drop_items`` removes items the judge is never asked (e.g. ``("P7",)``);
+    by default they stay in the denominator, as in the reference.
     """
-    weights = weights or RUBRIC_WEIGHTS
+    weights = {k: v for k, v in (weights or RUBRIC_WEIGHTS).items() if k not in drop_items}
     rubric = F.array(*[F.struct(F.lit(k).alias("item"), F.lit(int(v)).alias("weight")) for k, v in weights.items()])
     latest = latest_per_key(scores.filter(F.col("value").isNotNull()), ["trace_id", "name"], "ts")
     has_scores = latest.select("trace_id").distinct().withColumn("_has", F.lit(True))

@@ -74,3 +74,12 @@ def test_fast_email_form_is_equivalent():
     for _ in range(2000):
         s = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 24)))
         assert slow.sub("<E>", s) == fast.sub("<E>", s), s
+
+
+def test_accuracy_strict_error_types(spark):
+    df = spark.createDataFrame([("0", "age (a message), email (x)")], "label_m string, errors_m string")
+    loose = rd.accuracy_report(df, ["m"]).first()
+    strict = rd.accuracy_report(df, ["m"], strict=True).first()
+    assert (loose.age, loose.email) == (1, 1) and (strict.age, strict.email) == (1, 1)
+    df2 = spark.createDataFrame([("0", "other (a message)")], "label_m string, errors_m string")
+    assert rd.accuracy_report(df2, ["m"]).first().age == 1 and rd.accuracy_report(df2, ["m"], strict=True).first().age == 0

@@ -67,3 +67,13 @@ def test_demographic_bins(spark):
            if r.characteristic.endswith("Age Group")}
     assert got == {("Demographic Factors - Age Group", None): 3, ("Demographic Factors - Age Group", "18-25"): 1,
                    ("Demographic Factors - Age Group", "26-35"): 2, ("Demographic Factors - Age Group", "51+"): 1}
+
+
+def test_weighted_rubric_drop_unasked(spark):
+    p = sc.RUBRIC_PREFIX
+    scores = spark.createDataFrame([(1, p + "P1", "1", 1)], "trace_id long, name string, value string, ts long")
+    traces = spark.createDataFrame([(1,)], "trace_id long")
+    total = sum(sc.RUBRIC_WEIGHTS.values())
+    with_p7 = sc.weighted_rubric(traces, scores).first()
+    without = sc.weighted_rubric(traces, scores, drop_items=("P7",)).first()
+    assert (with_p7.possible, without.possible) == (total - 1, total - 2)
