@@ -264,5 +264,12 @@ def demographic_summary(patients: DataFrame) -> DataFrame:
     counts = cells.groupBy("characteristic", "key", "category").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("characteristic"))
     out = counts.withColumn("pct", rnd(F.col("n") * 100.0 / total))
+    # labels keep the reference's wording ("18-25" is [18, 25)); the exact half-open bounds ride along
+    lo = hi = None
+    for a, b, label in AGE_BINS:
+        lo = F.when(F.col("category") == label, F.lit(a)) if lo is None else lo.when(F.col("category") == label, F.lit(a))
+        hi = F.when(F.col("category") == label, F.lit(b)) if hi is None else hi.when(F.col("category") == label, F.lit(b))
+    is_age = F.col("characteristic") == "Demographic Factors - Age Group"
     return out.select("characteristic", "category", "n", "pct",
-                      F.format_string("%d (%.1f%%)", F.col("n"), F.col("pct")).alias("n_pct"))
+                      F.format_string("%d (%.1f%%)", F.col("n"), F.col("pct")).alias("n_pct"),
+                      F.when(is_age, lo).alias("age_lo"), F.when(is_age, hi).alias("age_hi_excl"))

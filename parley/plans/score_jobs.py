@@ -189,7 +189,11 @@ cells AS (
   UNION ALL SELECT 'Presenting Concerns - Primary Concern', concern, concern FROM f),
 counts AS (SELECT characteristic, key, category, count(*) AS n FROM cells GROUP BY characteristic, key, category)""") + """
 SELECT characteristic, category, n, round(n * 100.0 / sum(n) OVER (PARTITION BY characteristic), 6) AS pct,
-       printf('%d (%.1f%%)', n, round(n * 100.0 / sum(n) OVER (PARTITION BY characteristic), 6)) AS n_pct
+       printf('%d (%.1f%%)', n, round(n * 100.0 / sum(n) OVER (PARTITION BY characteristic), 6)) AS n_pct,
+       CASE WHEN characteristic = 'Demographic Factors - Age Group' THEN
+         CASE category """ + " ".join(f"WHEN '{lab}' THEN {a}" for a, b, lab in sc.AGE_BINS) + """ END END AS age_lo,
+       CASE WHEN characteristic = 'Demographic Factors - Age Group' THEN
+         CASE category """ + " ".join(f"WHEN '{lab}' THEN {b}" for a, b, lab in sc.AGE_BINS) + """ END END AS age_hi_excl
 FROM counts""")
 def demographic_summary(spark, d):
     """Patient summaries -> age-group / gender / concern counts with share of the total."""
