@@ -161,7 +161,14 @@ def parse_file_name(c):
 UNIT_TEST_SCORE_KEYS = ["n_multi_task_messages", "n_instances_not_followed", "build_rapport", "n_skipped_stages",
                         "n_forbidden_statements", "n_question_messages", "n_empathy_chained_messages",
                         "explore_situation", "assess_risks", "explore_next_steps", "offer_resources",
-                        "end_conversation", "n_emotional_language", "unsafe_behavior"]
+                        "end_conversation", "n_emotional_language", "unsafe_behavior", "total_number_of_tasks"]
+
+
+def _normalized_entries(v):
+    """Object entries with keys lower-cased and blanks turned into '_' ('Total Number of Tasks' ->
+    'total_number_of_tasks'), so unit-test keys match their score column names."""
+    m = F.try_variant_get(v, "$", "map<string,variant>")
+    return F.transform_keys(m, lambda k, _v: F.lower(F.regexp_replace(F.trim(k), r"\s+", "_")))
 EVAL_TYPES = ["patient_eval", "counselor_unit_test", "counselor_eval"]
 
 
@@ -192,7 +199,9 @@ def eval_unpivot(lines: DataFrame, file_col: str = "file_name", pos_col: str = "
         F.struct(F.lit(t).alias("evaluation_type"), F.col(t).alias("doc")) for t in EVAL_TYPES])))
     long = typed.select(file_col, "_meta", "evaluation_type", variant_entries("doc").alias("category", "val"))
     long = long.filter(_is_object(F.col("val")))
-    unit_score = F.coalesce(*[vget("val", f"$.{k}", "double") for k in UNIT_TEST_SCORE_KEYS])
+    norm = _normalized_entries(F.col("val"))
+    unit_score = F.coalesce(*[F.try_variant_get(F.try_element_at(norm, F.lit(k)), "$", "double")
+                              for k in UNIT_TEST_SCORE_KEYS])
     score = F.when(F.col("evaluation_type") == "counselor_unit_test", unit_score).otherwise(vget("val", "$.score", "double"))
     rationale = F.when(F.col("evaluation_type") == "counselor_unit_test",
                        F.coalesce(F.nullif(vget("val", "$.rationale", "string"), F.lit("")),

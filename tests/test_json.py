@@ -64,3 +64,10 @@ def test_eval_unpivot_unit_score_keys(spark):
     r = out.first()
     assert (r.dialogue_name, r.patient_type, r.timestamp) == ("dlg1", "anxiety_3", "20240101")
     assert [e.error for e in errors.collect()] == ["bad file name"]
+
+
+def test_unit_test_keys_are_normalized(spark):
+    name = "dialogue|dlg2_x_dep_1|cp|ed|model|20240102.jsonl"
+    rows = [(name, 0, "{}"), (name, 1, '{"n_tasks": {"Total Number of Tasks": 3, "rationale": "r"}}'), (name, 2, "{}")]
+    out, _ = jg.eval_unpivot(spark.createDataFrame(rows, "file_name string, line_no long, text string"))
+    assert [(r.category, r.score) for r in out.collect()] == [("n_tasks", 3.0)]
