@@ -9,6 +9,8 @@ steps are satisfied by the existing partitioning.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,7 +249,7 @@ def dialogue_cleanup(replies: DataFrame, max_messages: int = 100, marker: str =
 
 
 def _java_quote(s: str) -> str:
-    import re
+    """Quote a literal for a Java regex."""
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", s)
 
 
