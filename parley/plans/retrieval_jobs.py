@@ -113,7 +113,11 @@ RAG_K = 2
 RAG_TEMPLATE = "Respond like these examples.\n{example_responses}\nEnd of examples."
 
 
-@job("rag_prompts", COSINE_SQL + f""",
+RAG_COSINE_SQL = COSINE_SQL.replace(
+    "FROM n q, n d)", "FROM n q, n d WHERE d.vec_id IN (SELECT doc_id FROM documents))")
+
+
+@job("rag_prompts", RAG_COSINE_SQL + f""",
 corpus AS (SELECT e.vec_id AS doc_id, substr(d.text, 1, 120) AS context, '[' || d.lang || '] ' || d.source AS response
            FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
 t AS (SELECT r.query_id, r.rank, r.doc_id, c.context, c.response FROM r JOIN corpus c ON c.doc_id = r.doc_id
