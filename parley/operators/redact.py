@@ -118,12 +118,15 @@ def redact_extend(c) -> Column:
     return F.when(guard, chain).otherwise(c)
 
 
-def extend_column(df: DataFrame, col: str) -> DataFrame:
+def extend_column(df: DataFrame, col: str, typed: bool = False) -> DataFrame:
     """Apply the four extend patterns to a materialised column in place, each only on rows containing its own
-    placeholder (staged: every step reads the previous step's column, so no regex is evaluated twice)."""
+    placeholder (staged: every step reads the previous step's column, so no regex is evaluated twice).
+
+    Every hit becomes ``<PHI>`` (reference parity); ``typed`` keeps the entity's own placeholder instead."""
     for label, pat in EXTEND_PATTERNS:
         c = F.col(col)
-        df = df.withColumn(col, F.when(c.contains(f"<{label}>"), F.regexp_replace(c, _linear(pat), "<PHI>")).otherwise(c))
+        out = f"<{label}>" if typed else "<PHI>"
+        df = df.withColumn(col, F.when(c.contains(f"<{label}>"), F.regexp_replace(c, _linear(pat), out)).otherwise(c))
     return df
 
 

@@ -83,3 +83,12 @@ def test_accuracy_strict_error_types(spark):
     assert (loose.age, loose.email) == (1, 1) and (strict.age, strict.email) == (1, 1)
     df2 = spark.createDataFrame([("0", "other (a message)")], "label_m string, errors_m string")
     assert rd.accuracy_report(df2, ["m"]).first().age == 1 and rd.accuracy_report(df2, ["m"], strict=True).first().age == 0
+
+
+def test_extend_parity_and_typed(spark):
+    df = spark.createDataFrame([("call <PERSON>Smith, then Acme Corp<ORGANIZATION>. On 1/2/2024<DATE_TIME>",)], "t string")
+    parity = rd.extend_column(df, "t").first().t
+    typed = rd.extend_column(df, "t", typed=True).first().t
+    # the organisation pattern swallows the whole run of words and blanks before its placeholder
+    assert parity == "call <PHI><PHI> On <PHI>"
+    assert typed == "call <PERSON><ORGANIZATION> On <DATE_TIME>"
