@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, quality_rules, secret_scan
-from .common import written
+from . import chat_format, packing, quality_rules, secret_scan, token_store
+from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+@job("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -92,3 +98,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_format.read_back(written(chat_format.segments(turns), "chat")).drop("valid")
+
+
+@job("op9_token_store")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as blocks of bit planes and read back."""
+    path = shared_dir(spark, "tokens")
+    token_store.write_store(table(spark, sf_dir, "documents"), path)
+    return token_store.read_documents(spark, path)
