@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, packing, quality_rules, secret_scan, token_store
+from . import chat_format, packing, quality_rules, secret_scan, token_store, toxicity
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@job("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
