@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, packing, quality_rules, secret_scan, token_store, toxicity
+from . import chat_format, decontaminate, packing, quality_rules, secret_scan, token_store, toxicity
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), path)
     return token_store.read_documents(spark, path)
+
+
+OP10_SQL = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents
+  UNION ALL SELECT 'b', item_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) FROM benchmark),
+shingles AS (SELECT DISTINCT kind, id, array_to_string(ws[g.i:g.i + 4], ' ') AS s FROM words, unnest(generate_series(1, len(ws) - 4)) AS g(i)),
+sizes AS (SELECT id, count(*) AS q FROM shingles WHERE kind = 'b' GROUP BY id),
+hits AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS common FROM shingles d JOIN shingles b ON d.kind = 'd' AND b.kind = 'b' AND d.s = b.s GROUP BY ALL),
+found AS (SELECT doc_id, item_id FROM hits JOIN sizes ON sizes.id = hits.item_id WHERE 100 * common >= 75 * q)
+SELECT documents.doc_id, count(found.item_id) > 0 AS contaminated, count(found.item_id)::BIGINT AS n_items,
+       coalesce(string_agg(found.item_id::VARCHAR, ',' ORDER BY found.item_id), '') AS item_ids
+FROM documents LEFT JOIN found ON found.doc_id = documents.doc_id GROUP BY documents.doc_id
+"""
+
+
+@job("op10_decontamination", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.transform("__items", lambda m: m["item_id"].cast("string")), ",")
+    return found.select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.size("__items").cast("bigint").alias("n_items"),
+                        ids.alias("item_ids"))
