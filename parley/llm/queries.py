@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, decontaminate, packing, quality_rules, secret_scan, token_store, toxicity
+from . import chat_format, decontaminate, line_dedup, packing, quality_rules, secret_scan, token_store, toxicity
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,15 @@ def job(name: str, sql: str | None = None):
     return add
 
 
+@job("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: its lines with a word, how many went, and the digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select(
+        "doc_id", F.col("__n_lines").cast("bigint").alias("n_lines"), F.col("__n_removed").cast("bigint").alias("n_removed"),
+        F.length("text").cast("bigint").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 @job("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts of the base kinds, their digest, and all spans."""
