@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, decontaminate, line_dedup, packing, quality_rules, secret_scan, token_store, toxicity
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, token_store, toxicity
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("bigint").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[g.i:g.i + 4], ' ')) AS s FROM words, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) AS g(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM words UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT words.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, min(reach.r) AS component_id
+FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id JOIN reach ON reach.d = words.doc_id GROUP BY ALL
+"""
+
+
+@job("op2_ngram_join", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by shingle similarity."""
+    return ngram_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @job("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts of the base kinds, their digest, and all spans."""
