@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, token_store, toxicity
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_store, toxicity
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, g.i, substring(h, 2 * g.i + 1, 200) AS w FROM d, unnest(generate_series(0, length(h) // 2 - 100)) AS g(i)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY hash(w), md5(w) ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+runs AS (
+  SELECT doc_id, i, sum(CASE WHEN i > p + 100 OR p IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM repeated)),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY ALL),
+pieces AS (
+  SELECT spans.doc_id, a, b, substring(h, 2 * coalesce(lag(b) OVER (PARTITION BY spans.doc_id ORDER BY a), 0) + 1,
+         2 * (a - coalesce(lag(b) OVER (PARTITION BY spans.doc_id ORDER BY a), 0))) AS before
+  FROM spans JOIN d ON d.doc_id = spans.doc_id),
+per AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, string_agg(before, '' ORDER BY a) AS kept, max(b) AS last FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+
+@job("op5_suffix_dedup", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 100-byte strings."""
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @job("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels that are not held out."""
