@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SIMILAR_PERCENT, shingle_set, written
@@ -139,12 +139,6 @@ def links_of(sets: list[np.ndarray], asking: np.ndarray | None = None) -> list[t
     return links
 
 
-def _text_hash(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
 def _node(shingles: np.ndarray) -> int:
     import xxhash
 
@@ -160,16 +154,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     names = ("key", "text_hash", "node", "n", "bucket", "count")
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        n, nodes, hashes = [], [], []
-        for text in texts:
+        n, nodes = [], []
+        for text in batch.column(2).to_pylist():
             s = shingle_set(text)
             n.append(len(s))
             nodes.append(_node(s) if len(s) else 0)
-            hashes.append(_text_hash(text or ""))
             np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (hashes, nodes)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=list(names))
+        own = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=list(names))
     often = np.flatnonzero(counts >= SEEN_OFTEN)
     empty = [pa.nulls(len(often), pa.int64()) for _ in range(4)]
     yield pa.RecordBatch.from_arrays([*empty, pa.array(often), pa.array(counts[often])], names=list(names))
@@ -237,14 +229,13 @@ def _chosen(bits):
         done: set[int] = set()
         for batch in batches:
             texts, hashes = [], []
-            for text in batch.column(0).to_pylist():
-                h = _text_hash(text or "")
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bit = h & ((1 << FILTER_BITS) - 1)
                 if int(table[bit >> 6]) >> (bit & 63) & 1 and h not in done:
                     done.add(h)
                     texts.append(text)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["text_hash", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names=["text_hash", "text"])
 
     return run
 
@@ -297,10 +288,15 @@ def _solve(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("hub", "part", "cut", "node", "asks", "text").mapInArrow(_block_links, "u bigint, v bigint, unmet_hub bigint")
 
 
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """One row per document: the key, ``text_hash``, ``n_shingles``, ``component_id`` (smallest key reachable by links)."""
+    """One row per document: the key, ``text_hash``, ``group`` (null without shingles), ``n_shingles``, ``component_id``
+    (smallest key reachable by links)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), _text_hash(text), F.col(text).alias("text"))
     described = written(rows.mapInArrow(_describe, DESCRIBED), "shingles")
     nodes = described.where(F.col("bucket").isNull()).select("key", "text_hash", "node", "n")
     # at most one row per bucket of the sketch
@@ -318,7 +314,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", block_n
     bits = source.select(F.shiftrightunsigned(bit, 6).alias("place"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     bits = bits.groupBy("place").agg(F.bit_or("bit").alias("word")).toArrow()  # at most one row per 64 bits of the filter
     sent = spark.sparkContext.broadcast((bits["place"].to_numpy(), bits["word"].to_numpy()))
-    found = rows.select("text").mapInArrow(_chosen(sent), "text_hash bigint, text string")
+    found = rows.select("text_hash", "text").mapInArrow(_chosen(sent), "text_hash bigint, text string")
     texts = written(found.join(source, "text_hash").select("node", "text").dropDuplicates(["node"]), "texts")
 
     sizes = met.groupBy("hub").agg(F.count("*").alias("size"))
@@ -345,5 +341,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", block_n
     described_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = described_nodes.where("n > 0").groupBy("root").agg(F.min("key").alias("component"))
     out = described_nodes.join(names, "root", "left")
-    return out.select(F.col("key").alias(key), "text_hash", F.col("n").alias("n_shingles"),
+    return out.select(F.col("key").alias(key), "text_hash", F.when(F.col("n") > 0, F.col("root")).alias("group"), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with the smallest key of their group (of equal keys, the smallest hash of the text; of repeated rows, one),
+    and all documents without shingles, with all their columns."""
+    found = components(docs, key, text).withColumnRenamed(key, "__key")
+    stay = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("__key", "text_hash")).alias("s")).select("s.*", F.lit(True).alias("__one"))
+    empty = found.where("n_shingles = 0").select("__key", "text_hash", F.lit(False).alias("__one")).distinct()
+    stay = stay.unionByName(empty).withColumnRenamed("text_hash", "__stay_hash")
+    names = docs.columns
+    marked = docs.withColumn("__hash", _text_hash(text))
+    kept = marked.join(stay, F.col(key).cast("bigint").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__stay_hash")))
+    nth = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy(F.lit(1)))
+    return kept.withColumn("__nth", nth).where(~F.col("__one") | (F.col("__nth") == 1)).select(*names)
