@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,13 +52,21 @@ def collapse_ws(c) -> Column:
 def template_fill(template, mapping: dict[str, Column]) -> Column:
     """Fill ``{name}`` slots; ``{{``/``}}`` stand for literal braces.
 
-    Doubled braces are swapped to sentinels first so a slot value that itself
-    contains braces is never re-expanded.
+    The template is cut at its slots once and every slot is replaced in that one
+    pass, so slot names or braces inside a value are ordinary text.
     """
-    out = F.replace(F.replace(col_(template), F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002"))
-    for name, value in mapping.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return F.replace(F.replace(out, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+    slots = [F.lit("{" + name + "}") for name in mapping]
+    alts = "|".join(re.escape("{" + name + "}") for name in mapping)
+    marked = F.replace(F.replace(col_(template), F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002"))
+    pieces = F.split(marked, f"(?={alts})|(?<={alts})", -1) if alts else F.array(marked)
+
+    def filled(piece: Column) -> Column:
+        out = F.replace(F.replace(piece, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
+        for slot, value in zip(slots, mapping.values()):
+            out = F.when(piece == slot, F.coalesce(value.cast("string"), F.lit(""))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(pieces, filled), "")
 
 
 def stable_id(*cols, sep: str = ":") -> Column:

@@ -3,18 +3,13 @@
 Price tables are fixed configuration (a few dozen rows): they are inlined as
 literal arrays / maps, so a lookup is a per-row expression and never a join.
 Totals are single global aggregates (partial per task, one final merge).
-Exact greedy batch packing is sequential by nature; it runs per hash shard in
-``applyInPandas``, with the shard count derived from the row count so every
-group has a bounded size.
+Batches are filled by row numbers within length classes, a set-based rule whose
+result depends on the items alone.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import col_
@@ -39,12 +34,12 @@ DEFAULT_OUTPUT_TOKENS = 100
 
 # Fixed values: $ per 1K tokens (input, output) used by the request-limit estimator.
 LIMIT_PRICING = {
-    "GPT-4": (0.03, 0.06), "GPT4-32k": (0.06, 0.12), "shc-gpt-4o": (0.0025, 0.01), "gpt-4o": (0.0025, 0.01),
+    "GPT-4": (0.03, 0.06), "GPT4-32k": (0.06, 0.12), "gpt-4o": (0.0025, 0.01),
     "gpt-4o-mini": (0.00015, 0.0006), "gpt-4.1": (0.002, 0.008), "gemini-1.5-flash-002": (0.000075, 0.0003),
     "gemini-2.0-flash": (0.000075, 0.0003), "medlm-medium": (0.000075, 0.0003),
     "Llama-3.3-70B-Instruct": (0.000075, 0.0003), "gemini-1.5-pro-002": (0.00125, 0.005),
     "gemini-1.5-pro": (0.00125, 0.005), "claude-3-7-sonnet-20250219-v1": (0.003, 0.015),
-    "shc-gpt-35-turbo-16k": (0.00015, 0.0006), "o1-mini": (0.003, 0.012), "o1-preview": (0.015, 0.06),
+    "o1-mini": (0.003, 0.012), "o1-preview": (0.015, 0.06),
 }
 
 
@@ -131,34 +126,27 @@ def limits_estimate(prompts: DataFrame, text_col: str, user_model: str, tokens_p
                        exceeds.alias("exceeds_threshold"))
 
 
-def _greedy(max_tokens: int, max_items: int | None, id_col: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", id_col], kind="mergesort")
-        batch_no = np.empty(len(pdf), dtype=np.int64)
-        pos_in = np.empty(len(pdf), dtype=np.int64)
-        b, cur_tok, cur_n = 0, 0, 0
-        for i, t in enumerate(pdf["tokens"].to_numpy()):
-            if cur_n > 0 and (cur_tok + t > max_tokens or (max_items is not None and cur_n >= max_items)):
-                b, cur_tok, cur_n = b + 1, 0, 0
-            batch_no[i], pos_in[i] = b, cur_n
-            cur_tok += int(t)
-            cur_n += 1
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "shard": pdf["shard"].to_numpy(),
-                             "tokens": pdf["tokens"].to_numpy(), "batch_in_shard": batch_no, "pos_in_batch": pos_in})
-    return fn
-
-
 def pack_batches(items: DataFrame, id_col: str, tokens_col: str, max_tokens: int, max_items: int | None = None,
-                 rows_per_shard: int = 200_000, n_shards: int | None = None) -> DataFrame:
-    """Shortest-first greedy batches under ``max_tokens`` (and ``max_items``), per hash shard.
+                 ids_per_bucket: int = 100_000) -> DataFrame:
+    """Batches of items of similar length under ``max_tokens`` (and ``max_items``), shortest first; ids are integers.
 
-    Inside a shard, items are sorted by (tokens, id) and a batch is closed when
-    the next item would pass either limit; an item larger than the limit forms
-    its own batch (no empty batches). ``batch_id`` = ``<shard>-<n>``.
+    Lengths fall into classes an eighth apart. A class's longest length fixes how many of its items fill a batch, and
+    items fill the batches of their class in order of (tokens, id). A batch so never passes a limit, unless it is one
+    item that does so alone, and the batches depend on the items only, not on their number or layout. Items are numbered
+    by windows over one length and a range of ids, with offsets from the counts of these.
     """
-    n = n_shards or max(1, math.ceil(items.count() / rows_per_shard))
-    df = items.select(F.col(id_col), F.col(tokens_col).cast("bigint").alias("tokens"),
-                      F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("shard"))
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, shard long, tokens long, batch_in_shard long, pos_in_batch long"
-    out = df.groupBy("shard").applyInPandas(_greedy(max_tokens, max_items, id_col), schema)
-    return out.withColumn("batch_id", F.concat_ws("-", F.col("shard").cast("string"), F.col("batch_in_shard").cast("string")))
+    t = F.col("tokens")
+    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), F.length(F.bin(t)) - 4))
+    df = items.select(F.col(id_col), F.greatest(F.col(tokens_col).cast("bigint"), F.lit(0)).alias("tokens"))
+    df = df.select(id_col, "tokens", (F.ceil(t / step) * step).cast("bigint").alias("size_class"),
+                   F.floor(F.col(id_col) / ids_per_bucket).alias("_bucket"))
+    counts = df.groupBy("size_class", "tokens", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("size_class").orderBy("tokens", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("size_class", "tokens", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("size_class", "tokens", "_bucket").orderBy(id_col)
+    numbered = df.join(counts, ["size_class", "tokens", "_bucket"]).withColumn("_i", F.col("_before") + F.row_number().over(within) - 1)
+    fits = F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / F.greatest(F.lit(1), F.col("size_class"))))
+    fits = (F.least(fits, F.lit(max_items)) if max_items is not None else fits).cast("bigint")
+    batch = F.floor(F.col("_i") / fits).cast("bigint")
+    return numbered.select(id_col, "tokens", "size_class", batch.alias("batch_in_class"), (F.col("_i") % fits).cast("bigint").alias("pos_in_batch"),
+                           F.concat_ws("-", F.col("size_class").cast("string"), batch.cast("string")).alias("batch_id"))

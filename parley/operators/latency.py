@@ -75,14 +75,14 @@ def latency_metrics(traces: DataFrame, observations: DataFrame, dataset: str,
         F.count(F.lit(1)).alias("n_turns"), F.sum("has_p").alias("n_p"), F.sum("has_c").alias("n_c"),
         F.sum(F.when(F.col("n_lat") > 0, F.col("lat_sum"))).alias("x_sum"),
         F.count_if(F.col("n_lat") > 0).alias("x_n"))
-    runs = discover_runs(traces, dataset)
+    prefix = dataset + "/"
+    run_name = F.expr(f"substring(tag, {len(prefix) + 1})").alias("run_name")
     tagged = (traces.filter(F.col("name") == trace_name)
-              .select("trace_id", "turn_count", "latency", F.explode("tags").alias("tag")))
-    run_traces = (runs.withColumn("tag", F.concat(F.lit(dataset + "/"), F.col("run_name")))
-                  .join(tagged, "tag", "left"))
+              .select("trace_id", "turn_count", "latency", F.explode("tags").alias("tag"))
+              .filter(F.col("tag").startswith(prefix)).select(run_name, "trace_id", "turn_count", "latency"))
     meta = F.col("turn_count").cast("string").try_cast("bigint")
     meta = F.when(meta >= 0, meta)
-    t = run_traces.join(per_trace, "trace_id", "left")
+    t = tagged.join(per_trace, "trace_id", "left")
     t = t.select("run_name", "trace_id",
                  F.coalesce(meta, F.col("n_turns"), F.lit(0)).alias("counselor_turns"),
                  F.coalesce(meta * 2, F.col("n_p") + F.col("n_c"), F.lit(0)).alias("conversation_turns"),
@@ -93,8 +93,9 @@ def latency_metrics(traces: DataFrame, observations: DataFrame, dataset: str,
         F.avg(F.when(F.col("trace_id").isNotNull(), F.col("counselor_turns"))).alias("avg_counselor_turns"),
         F.avg("trace_latency").alias("avg_conversation_latency"),
         F.avg(F.when(F.col("trace_id").isNotNull(), F.col("conversation_turns"))).alias("avg_conversation_turns"))
+    g = discover_runs(traces, dataset).join(g, "run_name", "left")  # one row per run on either side
     r = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
-    return g.select("run_name", "n_traces",
+    return g.select("run_name", F.coalesce("n_traces", F.lit(0)).alias("n_traces"),
                     r(F.col("x_sum") / F.col("x_n")).alias("avg_exchange_latency"),
                     r(F.col("avg_counselor_turns")).alias("avg_counselor_turns"),
                     r(F.col("avg_conversation_latency")).alias("avg_conversation_latency"),

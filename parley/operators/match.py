@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.text import template_fill
+
 # The standard presenting concerns.
 STANDARD_CONCERNS = ["Financial loss", "Loneliness", "Exam or study related", "Depression", "Anxiety", "Suicidality",
                      "Relationship", "Panic attack", "Family relationship", "Non-suicidal self-injury",
@@ -205,8 +207,5 @@ def concern_key(category, concern) -> Column:
 
 
 def profile_prompt(template: str, slots: dict[str, Column]) -> Column:
-    """Fill ``{slot}`` names of ``template``; then three or more newlines become two."""
-    out = F.lit(template)
-    for name, value in slots.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return F.regexp_replace(out, "\n{3,}", "\n\n")
+    """Fill ``{slot}`` names of ``template`` in one pass; then three or more newlines become two."""
+    return F.regexp_replace(template_fill(F.lit(template), slots), "\n{3,}", "\n\n")

@@ -2,9 +2,8 @@
 
 Everything is a row-local JVM expression (``regexp_replace`` / ``regexp_count``
 / ``aggregate`` + ``overlay``) except the injected span detector, which runs as
-an Arrow-batched ``mapInPandas``. Large name lists switch from one inline
-pattern to a token join (broadcast only while the list is under a checked
-size, a sort-merge join beyond it).
+an Arrow-batched ``mapInPandas``, and the name list, which is joined with the
+words of the texts.
 """
 
 from __future__ import annotations
@@ -47,42 +46,23 @@ PHI_PATTERNS = [
 ERROR_TYPES = ["date_time", "location", "age", "name", "phone", "email", "other_id"]
 
 
-def _names_pattern(names: list[str]) -> str:
-    alts = "|".join(sorted({re.escape(n.lower()) for n in names if n}, key=len, reverse=True))
-    return rf"(?iU)(?<!\w)(?:{alts})(?!\w)"
+def redact_names(df: DataFrame, text_col: str, names: DataFrame, out_col: str) -> DataFrame:
+    """Each whole word whose lower form is in ``names`` -> ``[NAME]``, for a list of any size.
 
-
-def redact_names_inline(text, names: list[str]) -> Column:
-    """Each whole word whose lower form is in ``names`` -> ``[NAME]`` (one JVM regex; small lists)."""
-    if not names:
-        return col_(text)
-    return F.regexp_replace(col_(text), _names_pattern(names), NAME_TOKEN)
-
-
-def redact_names(df: DataFrame, text_col: str, names: DataFrame, key: str, out_col: str,
-                 inline_limit: int = 2000, broadcast_limit: int = 5_000_000) -> DataFrame:
-    """Name redaction for any list size.
-
-    Up to ``inline_limit`` names the list becomes one pattern (the list is a
-    bounded config, collected once). Beyond that, texts are split into
-    alternating word / non-word pieces, pieces are looked up in the name table
-    (broadcast while it has at most ``broadcast_limit`` rows, else a
-    sort-merge join - AQE splits hot words) and each text is reassembled in
-    piece order.
+    The distinct words of each text are looked up in the list (a join that Spark
+    broadcasts by measured size), and the hits come back to the texts, which
+    are rewritten row by row. Rows are matched by a digest of their text, so no
+    key is needed and equal texts are looked up once. A listed name that is not
+    one word matches nothing.
     """
-    names_lc = names.select(F.lower(F.col(names.columns[0])).alias("_name")).distinct()
-    n = names_lc.count()
-    if n <= inline_limit:
-        listed = [r[0] for r in names_lc.collect()]
-        return df.withColumn(out_col, redact_names_inline(F.col(text_col), listed))
-    pieces = df.select(key, F.posexplode(F.split(text_col, r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)")).alias("_p", "_w"))
-    lookup = names_lc.withColumn("_hit", F.lit(True))
-    lookup = F.broadcast(lookup) if n <= broadcast_limit else lookup
-    hit = pieces.join(lookup, F.lower(pieces["_w"]) == lookup["_name"], "left")
-    piece = F.when(F.col("_hit"), F.lit(NAME_TOKEN)).otherwise(F.col("_w"))
-    rebuilt = (hit.withColumn("_piece", piece).groupBy(key)
-               .agg(F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _p)").alias(out_col)))
-    return df.join(rebuilt, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.col(text_col)))
+    listed = names.select(F.lower(F.trim(F.col(names.columns[0]))).alias("_name")).distinct()
+    keyed = df.withColumn("_digest", F.sha2(F.col(text_col), 256))
+    words = keyed.select("_digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)\w+"), F.lit(0)))).alias("_name"))
+    hits = words.distinct().join(listed, "_name").groupBy("_digest").agg(F.collect_set("_name").alias("_hits"))
+    pieces = F.split(F.col(text_col), r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)")
+    redacted = F.array_join(F.transform(pieces, lambda w: F.when(F.array_contains("_hits", F.lower(w)), F.lit(NAME_TOKEN)).otherwise(w)), "")
+    out = keyed.join(hits, "_digest", "left").withColumn(out_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(redacted))
+    return out.drop("_digest", "_hits")
 
 
 def count_token(c, token: str) -> Column:
@@ -272,6 +252,6 @@ def accuracy_report(df: DataFrame, methods: list[str], error_col_fmt: str = "err
                       .otherwise(F.lit(0.0)).alias("overall_accuracy"), "n_unlabelled")
 
 
-__all__ = ["redact_names", "redact_names_inline", "redact_extend", "redact_patterns", "resume", "relabel_newlines",
+__all__ = ["redact_names", "redact_extend", "redact_patterns_df", "resume", "relabel_newlines",
            "crosswalk", "detect_spans", "apply_spans", "regex_detector", "union_annotations", "accuracy_report",
            "collapse_ws"]

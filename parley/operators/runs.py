@@ -119,7 +119,15 @@ def discover_runs(traces: DataFrame, dataset: str) -> DataFrame:
     tags = traces.select(F.explode("tags").alias("tag"))
     prefix = dataset + "/"
     return (tags.filter(F.col("tag").startswith(prefix))
-            .select(F.substring("tag", len(prefix) + 1, 1 << 20).alias("run_name")).distinct())
+            .select(F.expr(f"substring(tag, {len(prefix) + 1})").alias("run_name")).distinct())
+
+
+def traces_per_run(traces: DataFrame, dataset: str, name: str = "generated-conversation") -> DataFrame:
+    """Traces of the given name per run of ``dataset`` (0 for runs without one): one pass, no join on the tag."""
+    prefix = dataset + "/"
+    tags = traces.select("trace_id", "name", F.explode("tags").alias("tag")).filter(F.col("tag").startswith(prefix))
+    return tags.groupBy(F.expr(f"substring(tag, {len(prefix) + 1})").alias("run_name")).agg(
+        F.count(F.when(F.col("name") == name, F.col("trace_id"))).alias("n_traces"))
 
 
 def runs_paged(traces: DataFrame, dataset: str, run: str, name: str = "generated-conversation") -> DataFrame:

@@ -194,12 +194,12 @@ def weighted_rubric(traces: DataFrame, scores: DataFrame, weights: dict[str, int
 def mean_rubric_by_system(traces: DataFrame, fractions: DataFrame, systems: DataFrame) -> DataFrame:
     """Mean of trace fractions per system (traces selected by the ``dataset/run`` tag); NULL = N/A."""
     tagged = traces.filter(F.col("name") == "generated-conversation").select("trace_id", F.explode("tags").alias("tag"))
-    sys = systems.withColumn("tag", F.concat_ws("/", "dataset", "run"))
-    joined = (F.broadcast(sys).join(tagged, "tag", "left")
-              .join(fractions.select("trace_id", "fraction"), "trace_id", "left"))
-    return (joined.groupBy("system")
-            .agg(F.count("trace_id").alias("n_traces"), F.count("fraction").alias("n_scored"),
-                 rnd(F.avg("fraction")).alias("mean_fraction")))
+    per_tag = (tagged.join(fractions.select("trace_id", "fraction"), "trace_id", "left").groupBy("tag")
+               .agg(F.count("trace_id").alias("n"), F.count("fraction").alias("scored"), F.sum("fraction").alias("total")))
+    wanted = systems.withColumn("tag", F.concat_ws("/", "dataset", "run")).join(per_tag, "tag", "left")  # one row per tag
+    return (wanted.groupBy("system")
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_traces"), F.coalesce(F.sum("scored"), F.lit(0)).alias("n_scored"),
+                 rnd(F.sum("total") / F.nullif(F.sum("scored"), F.lit(0))).alias("mean_fraction")))
 
 
 def bucket_other(c, targets=TARGET_CATEGORIES):

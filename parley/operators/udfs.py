@@ -39,14 +39,15 @@ def feature_embedding(texts: pd.Series) -> list[list[float]]:
 
 
 def complete_batch(requests: DataFrame, complete: Callable[[str], str], prompt_col: str = "prompt",
-                   max_attempts: int = 5, done: DataFrame | None = None, key: str = "uid") -> DataFrame:
+                   max_attempts: int = 5, done: DataFrame | None = None,
+                   key: tuple[str, ...] = ("uid", "prompt_template_name")) -> DataFrame:
     """Apply an injected completion function to request rows (``mapInPandas``).
 
     Output adds ``content``, ``attempts`` and ``error``; one failing row never
     fails the job (after ``max_attempts`` tries its error is recorded).
-    Requests whose key is already in ``done`` are skipped (resume by anti join).
+    Requests whose ``key`` columns are already in ``done`` are skipped (resume by anti join).
     """
-    todo = requests.join(done.select(key).distinct(), key, "left_anti") if done is not None else requests
+    todo = requests.join(done.select(*key).distinct(), list(key), "left_anti") if done is not None else requests
     schema = T.StructType(todo.schema.fields + [T.StructField("content", T.StringType()),
                                                 T.StructField("attempts", T.IntegerType()),
                                                 T.StructField("error", T.StringType())])
@@ -79,33 +80,30 @@ def fenced_json_list(text) -> Column:
 
 
 def judge_consistency(requests: DataFrame, respond: Callable[[str], str], judge: Callable[[str], str], n_samples: int,
-                      key_cols: list[str], prompt_col: str = "prompt", max_attempts: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Stability check: n sampled replies per request, judged together -> (scores long, per-request status).
+                      key_cols: list[str], prompt_col: str = "prompt", max_attempts: int = 1) -> DataFrame:
+    """Stability check: n sampled replies per request, judged together; one row per request with status and score items.
 
     Replies lose their ``//`` separators; a failed call becomes ``[ERROR] <message>`` and is left out of what the
-    judge sees. The judge answers with a fenced JSON list of {question, score}; unparsable answers are reported in
-    the status output instead of being dropped.
+    judge sees. The judge answers with a fenced JSON list of {question, score}: ``items``, NULL (and ``judge_status``
+    ``parse_error``) if it does not parse. Every sample and every request is sent to its model once.
     """
     samples = requests.select(*key_cols, prompt_col, F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
     samples = samples.withColumn("_req", F.concat(F.lit("#"), F.col("sample").cast("string"), F.lit(" "), F.col(prompt_col)))
-    done = complete_batch(samples, respond, prompt_col="_req", max_attempts=max_attempts, key="sample")
+    done = complete_batch(samples, respond, prompt_col="_req", max_attempts=max_attempts)
     resp = F.when(F.col("error").isNotNull(), F.concat(F.lit("[ERROR] "), F.col("error"))) \
         .otherwise(F.replace(F.trim(F.col("content")), F.lit("//"), F.lit("")))
-    done = done.withColumn("response", resp)
-    kept = done.filter(~F.lower("response").contains("[error]"))
-    grouped = (done.groupBy(*key_cols, prompt_col)
-               .agg(F.count(F.lit(1)).alias("n_responses"),
-                    F.count_if(F.lower("response").contains("[error]")).alias("n_errors"))
-               .join(kept.groupBy(*key_cols, prompt_col).agg(
-                   F.expr("listagg(response, ' || ') WITHIN GROUP (ORDER BY sample)").alias("_kept")),
-                   [*key_cols, prompt_col], "left"))
+    failed = F.lower("response").contains("[error]")
+    grouped = (done.withColumn("response", resp).withColumn("_kept", F.when(~failed, F.col("response")))
+               .groupBy(*key_cols, prompt_col)
+               .agg(F.count(F.lit(1)).alias("n_responses"), F.count_if(failed).alias("n_errors"),
+                    F.expr("listagg(_kept, ' || ') WITHIN GROUP (ORDER BY sample)").alias("_kept")))
     judge_in = F.concat(F.lit("PROMPTED WITH: "), F.col(prompt_col), F.lit("\nRESPONSES: "), F.coalesce("_kept", F.lit("")))
-    jreq = grouped.withColumn("judge_input", judge_in)
-    judged = complete_batch(jreq, judge, prompt_col="judge_input", max_attempts=max_attempts, key=key_cols[0])
-    parsed = judged.withColumn("_list", fenced_json_list(F.col("content")))
-    items = F.try_variant_get(F.col("_list"), "$", "array<struct<question:string,score:double>>")
-    status = parsed.select(*key_cols, prompt_col, "n_responses", "n_errors",
-                           F.when(items.isNotNull(), F.lit("ok")).otherwise(F.lit("parse_error")).alias("judge_status"))
-    scores = parsed.select(*key_cols, prompt_col, F.explode(items).alias("it")).select(
-        *key_cols, prompt_col, F.col("it.question").alias("question"), F.col("it.score").alias("score"))
-    return scores, status
+    judged = complete_batch(grouped.withColumn("judge_input", judge_in), judge, prompt_col="judge_input", max_attempts=max_attempts)
+    items = F.try_variant_get(fenced_json_list(F.col("content")), "$", "array<struct<question:string,score:double>>")
+    return judged.select(*key_cols, prompt_col, "n_responses", "n_errors", items.alias("items")).withColumn(
+        "judge_status", F.when(F.col("items").isNotNull(), F.lit("ok")).otherwise(F.lit("parse_error")))
+
+
+def consistency_scores(judged: DataFrame, key_cols: list[str], prompt_col: str = "prompt") -> DataFrame:
+    """(keys, prompt, question, score): the judge's items, one row each."""
+    return judged.select(*key_cols, prompt_col, F.inline("items")).select(*key_cols, prompt_col, "question", "score")

@@ -70,8 +70,15 @@ def limits_estimate(spark, d):
 PACK_MAX_TOKENS = 40_000
 
 
-@job("pack_batches")
+@job("pack_batches", f"""
+WITH t AS (SELECT doc_id, {_TOK.format(x="text")} AS tokens FROM documents),
+s AS (SELECT *, CAST(1 AS BIGINT) << greatest(0, length(bin(tokens)) - 4) AS step FROM t),
+c AS (SELECT doc_id, tokens, CAST(ceil(tokens / step) * step AS BIGINT) AS size_class FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY size_class ORDER BY tokens, doc_id) - 1 AS i,
+             greatest(1, {PACK_MAX_TOKENS} // greatest(1, size_class)) AS fits FROM c)
+SELECT doc_id, tokens, size_class, i // fits AS batch_in_class, i % fits AS pos_in_batch,
+       CAST(size_class AS VARCHAR) || '-' || CAST(i // fits AS VARCHAR) AS batch_id FROM n""")
 def pack_batches(spark, d):
-    """Prompts -> estimated tokens -> shortest-first greedy batches of at most 40k tokens (per hash shard)."""
+    """Prompts -> estimated tokens -> batches of similar length and at most 40k tokens, shortest first."""
     docs = inputs.table(spark, d, "documents").select("doc_id", cs.estimate_tokens(F.col("text")).alias("tokens"))
     return cs.pack_batches(docs, "doc_id", "tokens", PACK_MAX_TOKENS)

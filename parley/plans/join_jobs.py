@@ -262,9 +262,4 @@ FROM runs r LEFT JOIN tg ON tg.tag = '{RUN_DATASET}/' || r.run_name AND tg.name
 GROUP BY r.run_name""")
 def run_discovery(spark, d):
     """Run names from ``dataset/run`` tags, then the generated-conversation traces of each run."""
-    traces = inputs.tagged_traces(spark, d)
-    runs = rn.discover_runs(traces, RUN_DATASET)
-    tagged = (traces.filter(F.col("name") == "generated-conversation")
-              .select("trace_id", F.explode("tags").alias("tag")))
-    keyed = runs.withColumn("tag", F.concat(F.lit(RUN_DATASET + "/"), F.col("run_name")))
-    return keyed.join(tagged, "tag", "left").groupBy("run_name").agg(F.count("trace_id").alias("n_traces"))
+    return rn.traces_per_run(inputs.tagged_traces(spark, d), RUN_DATASET)

@@ -36,12 +36,26 @@ FROM r""")
 def redact_names(spark, d):
     """Documents -> words on the name list replaced by [NAME] -> glued placeholder fragments swallowed."""
     docs = inputs.table(spark, d, "documents").select("doc_id", "text")
-    red = rd.redact_names(docs, "text", inputs.name_list(spark), "doc_id", "names_de_id_message")
+    red = rd.redact_names(docs, "text", inputs.name_list(spark), "names_de_id_message")
     red = rd.extend_column(red, "names_de_id_message")
     n = rd.count_token(F.col("names_de_id_message"), rd.NAME_TOKEN) - rd.count_token(F.col("text"), rd.NAME_TOKEN)
     return red.select("doc_id", "names_de_id_message", n.alias("n_names"))
 
 
+@job("redact_names_table", rf"""
+WITH n AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[{_WORD}]+')) AS w FROM benchmark) WHERE length(w) >= 9),
+p AS (SELECT doc_id, r.i, r.p FROM (SELECT doc_id, regexp_extract_all(text, '[{_WORD}]+|[^{_WORD}]+') AS ps FROM documents) x,
+             unnest(ps) WITH ORDINALITY AS r(p, i))
+SELECT doc_id, string_agg(CASE WHEN n.w IS NOT NULL THEN '[NAME]' ELSE p.p END, '' ORDER BY p.i) AS redacted
+FROM p LEFT JOIN n ON n.w = lower(p.p) GROUP BY doc_id""")
+def redact_names_table(spark, d):
+    """Documents with a list of thousands of names from a table (the long words of the benchmark items)."""
+    docs = inputs.table(spark, d, "documents").select("doc_id", "text")
+    listed = inputs.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))).alias("name"))
+    red = rd.redact_names(docs, "text", listed.where(F.length("name") >= 9), "redacted")
+    return red.select("doc_id", "redacted")
+
+
 def _sql_patterns():
     x = "message"
     counts = []

@@ -20,10 +20,10 @@ _EXTRACT_SQL = ORACLE["extract_completions"]
 
 @job("st_ingest_completions", f"""
 SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY file_name DESC, content DESC) AS rn FROM ({_EXTRACT_SQL}))
+  SELECT *, row_number() OVER (PARTITION BY uid, prompt_template_name, input_file_name ORDER BY file_name DESC, content DESC) AS rn FROM ({_EXTRACT_SQL}))
 WHERE rn = 1""")
 def st_ingest_completions(spark, d):
-    """Stream of conversation turns -> completion JSONL lines -> extracted once per uid (foreachBatch, epoch-idempotent)."""
+    """Stream of conversation turns -> completion JSONL lines -> extracted once per uid, template and file (foreachBatch, epoch-idempotent)."""
     lines = inputs.completion_lines_from(st.table_stream(spark, d, "conversations"))
     return st.ingest_completions(spark, lines, jg.completion_extract, st.stream_root(spark, "ingest_completions"))
 
@@ -65,7 +65,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, start_time) AS window_start, side, count(*)
        round(sum(lat), 6) AS total_latency
 FROM sd WHERE side IS NOT NULL GROUP BY ALL""")
 def st_latency_window(spark, d):
-    """Observation stream -> tumbling 1-hour latency per side under a 2-hour watermark (complete mode)."""
+    """Observation stream -> tumbling 1-hour latency per side under a 2-hour watermark (append mode)."""
     obs = inputs.observations_from(st.table_stream(spark, d, "events"))
     obs = obs.filter(lt.keep_observation(F.col("type"), F.col("name")))
     out = st.latency_windows(obs, st.stream_root(spark, "latency_window"), _side(),

@@ -33,6 +33,24 @@ def complete_batch(spark, d):
     return out.select("uid", "prompt_template_name", "model", "content", "attempts", "error")
 
 
+@job("complete_resume", f"""
+WITH {_REQ_CTES},
+req AS (SELECT {_REQ_SELECT}),
+open AS (SELECT * FROM req WHERE NOT (length(prompt) % 3 = 0))
+SELECT uid, prompt_template_name, model,
+       CASE WHEN length(prompt) % 11 = 0 THEN NULL
+            ELSE 'reply ' || CAST(length(prompt) % 97 AS VARCHAR) || ' // ' || right(prompt, 12) END AS content,
+       CASE WHEN length(prompt) % 11 = 0 THEN 5 ELSE 1 END AS attempts
+FROM open""")
+def complete_resume(spark, d):
+    """Request rows of which an earlier run answered some: only the open (uid, template) pairs are completed."""
+    reqs = pr.build_requests(inputs.benchmark_rows(spark, d), FIXTURE_TEMPLATES, "text", file_col="file_name",
+                             index_col="row_index", max_tokens=MAX_TOKENS).select("uid", "prompt_template_name", "model", "prompt")
+    earlier = reqs.where(F.length("prompt") % 3 == 0)
+    out = udfs.complete_batch(reqs, inputs.stub_complete, max_attempts=5, done=earlier)
+    return out.select("uid", "prompt_template_name", "model", "content", "attempts")
+
+
 N_SAMPLES = 3
 _CFG = ", ".join(f"('{c}')" for c in inputs.STABILITY_CONFIGS)
 _RESP = ("CASE WHEN length(req) % 11 = 0 THEN '[ERROR] ValueError: stub overloaded' "
@@ -62,9 +80,9 @@ FROM it GROUP BY config, json_extract_string(o, '$.question')""")
 def judge_consistency(spark, d):
     """Prompts x configs -> 3 sampled replies each -> errors set apart -> judge -> fenced JSON list -> mean score
     per config and question."""
-    scores, _ = udfs.judge_consistency(inputs.stability_requests(spark, d), inputs.stub_complete, inputs.stub_judge,
-                                       N_SAMPLES, ["config", "item_id"])
-    return (scores.groupBy("config", "question")
+    judged = udfs.judge_consistency(inputs.stability_requests(spark, d), inputs.stub_complete, inputs.stub_judge,
+                                    N_SAMPLES, ["config", "item_id"])
+    return (udfs.consistency_scores(judged, ["config", "item_id"]).groupBy("config", "question")
             .agg(F.count(F.lit(1)).alias("n_prompts"), F.round(F.avg("score"), 6).alias("mean_score")))
 
 
@@ -73,6 +91,5 @@ SELECT config, item_id, prompt, n_responses, n_errors,
        CASE WHEN lst IS NOT NULL AND json_type(lst) = 'ARRAY' THEN 'ok' ELSE 'parse_error' END AS judge_status FROM p""")
 def judge_consistency_status(spark, d):
     """Per prompt and config: replies, failed replies and whether the judge's list parsed."""
-    _, status = udfs.judge_consistency(inputs.stability_requests(spark, d), inputs.stub_complete, inputs.stub_judge,
-                                       N_SAMPLES, ["config", "item_id"])
-    return status
+    return udfs.judge_consistency(inputs.stability_requests(spark, d), inputs.stub_complete, inputs.stub_judge,
+                                  N_SAMPLES, ["config", "item_id"]).drop("items")

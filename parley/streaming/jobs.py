@@ -11,11 +11,13 @@ DataFrame read back from that folder.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.session import ensure_checkpoint_dir
 
@@ -51,14 +53,17 @@ def run_epochs(stream: DataFrame, root: str, per_batch: Callable[[DataFrame, int
     return out
 
 
+COMPLETION_KEY = ["uid", "prompt_template_name", "input_file_name"]
+
+
 def ingest_completions(spark: SparkSession, lines: DataFrame, extract: Callable[[DataFrame], DataFrame],
                        root: str) -> DataFrame:
-    """New JSONL lines -> extracted completions, exactly once per uid (the latest epoch wins)."""
+    """New JSONL lines -> extracted completions, exactly once per uid, template and input file (the latest epoch wins)."""
     out = run_epochs(lines, root, lambda b, e: extract(b))
     raw = spark.read.parquet(out)
-    cols = [c for c in raw.columns if c not in ("uid", "epoch")]
-    latest = raw.groupBy("uid").agg(F.max_by(F.struct(*cols), F.struct("epoch", "file_name", "content")).alias("_l"))
-    return latest.select("uid", "_l.*")
+    cols = [c for c in raw.columns if c not in (*COMPLETION_KEY, "epoch")]
+    latest = raw.groupBy(*COMPLETION_KEY).agg(F.max_by(F.struct(*cols), F.struct("epoch", "file_name", "content")).alias("_l"))
+    return latest.select(*COMPLETION_KEY, "_l.*")
 
 
 def dedupe_stream(obs: DataFrame, root: str, horizon: str = "1 hour") -> DataFrame:
@@ -71,18 +76,49 @@ def dedupe_stream(obs: DataFrame, root: str, horizon: str = "1 hour") -> DataFra
     return obs.sparkSession.read.parquet(out).drop("epoch")
 
 
+def _end_marker(spark: SparkSession, root: str, like: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """A source that is empty until the returned function puts one row (far future, all else NULL) into it."""
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in like.schema.fields])
+    path = f"{root}/end_of_stream"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+    def close() -> None:
+        row = tuple(dt.datetime(9999, 1, 1) if isinstance(f.dataType, T.TimestampType) else None for f in schema.fields)
+        spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+
+    return spark.readStream.schema(schema).parquet(path), close
+
+
+def run_and_close(build: Callable[[], DataFrame], root: str, per_batch, close: Callable[[], None] | None) -> str:
+    """Run a windowed stream in append mode until its source is drained; then, if ``close`` is given, once more from the
+    same checkpoint with the end marker, whose time closes every open window."""
+    out = run_epochs(build(), root, per_batch)
+    if close is not None:
+        close()
+        run_epochs(build(), root, per_batch)
+    return out
+
+
 def latency_windows(obs: DataFrame, root: str, side_col, latency_col, size: str = "1 hour",
-                    delay: str = "2 hours") -> DataFrame:
-    """Tumbling-window latency per side; rows later than the watermark are dropped by the state store."""
+                    delay: str = "2 hours", flush_at_end: bool = True) -> DataFrame:
+    """Tumbling-window latency per side, emitted once a window is past the watermark (append mode).
+
+    Rows later than the watermark are dropped and closed windows leave the state. With ``flush_at_end`` the windows
+    that are open when the source is drained are closed by an end marker.
+    """
+    spark = obs.sparkSession
     s = obs.select(F.col("start_time").cast("timestamp").alias("start_time"), side_col.alias("side"),
                    latency_col.alias("lat")).filter(F.col("side").isNotNull())
-    agg = (s.withWatermark("start_time", delay).groupBy(F.window("start_time", size).alias("w"), "side")
-           .agg(F.count(F.lit(1)).alias("n_calls"), F.count("lat").alias("n_timed"), F.sum("lat").alias("total_latency")))
-    out = run_epochs(agg, root, lambda b, e: b.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "side",
-                                                      "n_calls", "n_timed", "total_latency"), output_mode="complete")
-    res = obs.sparkSession.read.parquet(out)
-    last = res.agg(F.max("epoch").alias("epoch"))
-    return res.join(last, "epoch").drop("epoch")
+    marker, close = _end_marker(spark, root, s)
+
+    def build() -> DataFrame:
+        return (s.unionByName(marker).withWatermark("start_time", delay).groupBy(F.window("start_time", size).alias("w"), "side")
+                .agg(F.count(F.lit(1)).alias("n_calls"), F.count("lat").alias("n_timed"), F.sum("lat").alias("total_latency")))
+
+    out = run_and_close(build, root, lambda b, e: b.filter(F.col("side").isNotNull()).select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "side", "n_calls", "n_timed", "total_latency"),
+        close if flush_at_end else None)
+    return spark.read.parquet(out).drop("epoch")
 
 
 def dialogue_sessions(events: DataFrame, root: str, key: str, ts: str, gap: str = "30 minutes",
@@ -90,24 +126,22 @@ def dialogue_sessions(events: DataFrame, root: str, key: str, ts: str, gap: str
     """Close a dialogue after ``gap`` of silence: sessions per key with message count and duration.
 
     Session windows run in append mode: a session is emitted once the
-    watermark passes its end. For a bounded replay (``flush_at_end``) a
-    one-row end-of-stream marker (NULL key, far-future time) is unioned in from
-    the job's own folder, so the final no-data batch closes every session; the
+    watermark passes its end. For a bounded replay (``flush_at_end``) an end
+    marker follows once the source is drained and closes every session; the
     marker's own session is never emitted.
     """
     spark = events.sparkSession
     events = events.select(key, F.col(ts).cast("timestamp").alias(ts))
-    if flush_at_end:
-        import datetime as _dt
-        eos_dir = f"{root}/end_of_stream"
-        spark.createDataFrame([(None, _dt.datetime(9999, 1, 1))], events.schema).write.mode("overwrite").parquet(eos_dir)
-        events = events.unionByName(spark.readStream.schema(events.schema).parquet(eos_dir))
-    agg = (events.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("s"))
-           .agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")))
+    marker, close = _end_marker(spark, root, events)
+
+    def build() -> DataFrame:
+        return (events.unionByName(marker).withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap).alias("s"))
+                .agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")))
+
     ntz = lambda c: F.col(c).cast("timestamp_ntz")
-    out = run_epochs(agg, root, lambda b, e: b.filter(F.col(key).isNotNull()).select(
+    out = run_and_close(build, root, lambda b, e: b.filter(F.col(key).isNotNull()).select(
         key, ntz("s.start").alias("session_start"), ntz("s.end").alias("session_end"), "n_events",
-        ntz("first_ts").alias("first_ts"), ntz("last_ts").alias("last_ts")), output_mode="append")
+        ntz("first_ts").alias("first_ts"), ntz("last_ts").alias("last_ts")), close if flush_at_end else None)
     res = spark.read.parquet(out).drop("epoch")
     secs = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     return res.withColumn("duration_sec", secs("last_ts") - secs("first_ts"))
@@ -122,31 +156,28 @@ def embed_new(turns: DataFrame, root: str, initial_cache: DataFrame,
     conversations (one file per set of conversations).
     """
     spark = turns.sparkSession
-    seed_path = f"{root}/seed"
+    seed_path, out_path = f"{root}/seed", f"{root}/out"
     initial_cache.write.mode("overwrite").parquet(seed_path)
+    kind = initial_cache.schema["embedding"].dataType.simpleString()
+    schema = f"hash string, response string, embedding {kind}, cached_at bigint"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out_path}/epoch=-1")  # so that the folder is there
+
+    def epochs() -> DataFrame:
+        return spark.read.schema(f"{schema}, epoch bigint").parquet(out_path)
 
     def per_batch(batch: DataFrame, epoch_id: int):
         from parley.operators.retrieval import new_pairs, truncate_tail
-        cache_paths = [seed_path]
-        try:
-            spark.read.parquet(f"{root}/out")
-            cache_paths.append(f"{root}/out")
-        except Exception:  # noqa: BLE001 - first epoch
-            pass
-        cache = spark.read.parquet(*cache_paths).select("hash")
+        before = epochs().filter(F.col("epoch") < epoch_id)  # a replayed epoch does not see its own rows
+        cache = spark.read.parquet(seed_path).select("hash").unionByName(before.select("hash"))
         fresh = new_pairs(pairs_of(batch), cache)
         one = fresh.groupBy("hash").agg(F.min_by(F.struct("context", "response"),
                                                  F.struct("conversation_id", "pair_idx")).alias("_p"))
         return one.select("hash", F.col("_p.response").alias("response"),
-                          embed(truncate_tail(F.col("_p.context"))).alias("embedding"),
+                          embed(truncate_tail(F.col("_p.context"))).cast(kind).alias("embedding"),
                           (F.lit(1_000_000_000) + F.lit(epoch_id)).cast("bigint").alias("cached_at"))
 
-    out = run_epochs(turns, root, per_batch)
+    run_epochs(turns, root, per_batch)
     seed = spark.read.parquet(seed_path).withColumn("source", F.lit("cache"))
-    try:
-        new = spark.read.parquet(out).drop("epoch").withColumn("source", F.lit("new"))
-        allc = seed.unionByName(new)
-    except Exception:  # noqa: BLE001 - nothing new
-        allc = seed
+    allc = seed.unionByName(epochs().drop("epoch").withColumn("source", F.lit("new")), allowMissingColumns=True)
     latest = allc.groupBy("hash").agg(F.max_by(F.struct("response", "embedding", "source"), "cached_at").alias("_c"))
     return latest.select("hash", "_c.response", "_c.embedding", "_c.source")

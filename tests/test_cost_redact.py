@@ -9,24 +9,22 @@ from parley.operators import cost as cs
 from parley.operators import redact as rd
 
 
-def test_pack_batches_greedy(spark):
+def test_pack_batches_within_limits_on_any_layout(spark):
     rnd = random.Random(1)
-    rows = [(i, rnd.choice([5, 40, 90, 250])) for i in range(300)]
+    rows = [(i, rnd.choice([0, 5, 39, 40, 90, 250, rnd.randrange(1, 120)])) for i in range(600)] + [(10_000_000, 40)]
     df = spark.createDataFrame(rows, "doc_id long, tokens long")
-    out = cs.pack_batches(df, "doc_id", "tokens", max_tokens=200, max_items=4, n_shards=3).collect()
-    by_shard = {}
-    for r in out:
-        by_shard.setdefault(r.shard, []).append(r)
-    assert sum(len(v) for v in by_shard.values()) == 300
-    for shard, rs in by_shard.items():
-        items = sorted(((r.tokens, r.doc_id) for r in rs))
-        exp, b, tok, n = {}, 0, 0, 0
-        for t, i in items:
-            if n and (tok + t > 200 or n >= 4):
-                b, tok, n = b + 1, 0, 0
-            exp[i] = b
-            tok, n = tok + t, n + 1
-        assert {r.doc_id: r.batch_in_shard for r in rs} == exp
+    outs = [sorted(map(tuple, cs.pack_batches(x, "doc_id", "tokens", max_tokens=200, max_items=4, ids_per_bucket=b).collect()))
+            for x, b in ((df.coalesce(1), 100), (df.repartition(7, "tokens"), 100), (df.repartition(5), 1_000_000))]
+    assert outs[0] == outs[1] == outs[2] and len(outs[0]) == len(rows)
+    batches = {}
+    for doc_id, tokens, size_class, _, pos, batch in outs[0]:
+        batches.setdefault(batch, []).append((pos, tokens, doc_id))
+        assert tokens <= size_class <= tokens * 1.25
+    for items in batches.values():
+        items.sort()
+        assert [p for p, *_ in items] == list(range(len(items))) and len(items) <= 4
+        assert sum(t for _, t, _ in items) <= 200 or len(items) == 1
+        assert [x[1:] for x in items] == sorted(x[1:] for x in items)
 
 
 def test_message_tokens(spark):
@@ -50,10 +48,13 @@ def test_extend_linear_form_is_equivalent():
 def test_redact_names_and_spans(spark):
     df = spark.createDataFrame([(1, "Anna met ANNA and annabel, anna."), (2, "éanna stays; anna_b stays")], "id long, text string")
     names = spark.createDataFrame([("anna",)], "name string")
-    got = {r.id: r.out for r in rd.redact_names(df, "text", names, "id", "out").collect()}
+    got = {r.id: r.out for r in rd.redact_names(df, "text", names, "out").collect()}
     assert got == {1: "[NAME] met [NAME] and annabel, [NAME].", 2: "éanna stays; anna_b stays"}
-    big = rd.redact_names(df, "text", names, "id", "out", inline_limit=0)
-    assert {r.id: r.out for r in big.collect()} == got
+    # rows without a unique key, names that are no single word, a long list
+    twice = spark.createDataFrame([(7, "Hi Mary Ann"), (7, "second Bob row"), (7, None), (7, "Hi Mary Ann"), (8, "")], "id long, text string")
+    many = spark.createDataFrame([(n,) for n in ["mary ann", "o'neil", " BOB ", *(f"name{i}" for i in range(5000))]], "name string")
+    out = sorted((r.id, r.out) for r in rd.redact_names(twice, "text", many, "out").where("out IS NOT NULL").collect())
+    assert out == [(7, "Hi Mary Ann"), (7, "Hi Mary Ann"), (7, "second [NAME] row"), (8, "")]
     spans = spark.createDataFrame([("Call Bob at 5551234 now", [(5, 8, "PER", 0.9), (12, 19, "DATE", 0.3), (20, 23, "X", 0.5)])],
                                   "text string, spans array<struct<start:int,end:int,label:string,score:double>>")
     assert spans.select(rd.apply_spans(F.col("text"), F.col("spans")).alias("o")).first().o == "Call <PERSON> at 5551234 <PHI>"
@@ -92,3 +93,9 @@ def test_extend_parity_and_typed(spark):
     # the organisation pattern swallows the whole run of words and blanks before its placeholder
     assert parity == "call <PHI><PHI> On <PHI>"
     assert typed == "call <PERSON><ORGANIZATION> On <DATE_TIME>"
+
+
+def test_star_import():
+    scope = {}
+    exec("from parley.operators.redact import *", scope)  # every exported name exists
+    assert "redact_patterns_df" in scope

@@ -51,6 +51,12 @@ def test_latency_rules(spark):
     assert r.avg_counselor_turns == 3.0 and r.avg_conversation_turns == 5.0 and r.avg_conversation_latency == 10.0
 
 
+def test_template_fill_does_not_fill_values(spark):
+    df = spark.createDataFrame([("say {id} and {uid} {{x}}", "u7", "7")], "note string, uid string, id string")
+    out = df.select(template_fill(F.lit("{note}|{id}{uid}|{other}|{{note}}"), {"note": F.col("note"), "id": F.col("id"), "uid": F.col("uid")}).alias("t"))
+    assert out.first().t == "say {id} and {uid} {{x}}|7u7|{other}|{note}"
+
+
 def test_template_fill_braces(spark):
     df = spark.createDataFrame([("N {x}", "7")], "note string, uid string")
     out = df.select(template_fill(F.lit("{{literal}} {note} for {uid} {id}"),

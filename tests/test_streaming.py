@@ -30,6 +30,72 @@ def test_dedupe_stream_matches_batch(spark):
     assert key(out) == key(batch) and out.count() == 4
 
 
+def _files(spark, batches, schema):
+    """One file per batch, read one per trigger, in order."""
+    path = os.path.join(tempfile.mkdtemp(prefix="parley-stream-src-"), "t")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for f in os.listdir(path):
+            if f.startswith("part-") and not f.startswith("part-b"):
+                os.rename(os.path.join(path, f), os.path.join(path, f"part-b{n:03d}-{f}"))
+                os.utime(os.path.join(path, f"part-b{n:03d}-{f}"), (1_700_000_000 + 60 * n,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
+def test_sessions_over_many_batches(spark):
+    t0 = dt.datetime(2024, 1, 1, 10, 0, 0)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    batches = [[(7, at(0)), (7, at(10)), (8, at(0))], [(7, at(25)), (7, at(70))], [(7, at(71)), (8, at(300))], [(9, at(305))], [(7, at(10)), (9, at(310))]]
+    stream, _ = _files(spark, batches, "user_id long, ts timestamp")
+    out = st.dialogue_sessions(stream, st.stream_root(spark, "test_many"), "user_id", "ts")
+    got = sorted((r.user_id, r.n_events, r.duration_sec) for r in out.collect())
+    # the repeated (7, 10) of the last file is later than the watermark and dropped
+    assert got == [(7, 2, 60.0), (7, 3, 1500.0), (8, 1, 0.0), (8, 1, 0.0), (9, 2, 300.0)]
+
+
+def test_latency_windows_drop_late_rows(spark):
+    t0 = dt.datetime(2024, 1, 10, 10, 0, 0)
+    row = lambda h, lat: ("patient", lat, t0 + dt.timedelta(hours=h))
+    batches = [[row(0, 1.0), row(0.5, 2.0)], [row(5, 3.0)], [row(-200, 9.0), row(5.5, None)], [row(6, 4.0)]]
+    stream, _ = _files(spark, batches, "side string, lat double, start_time timestamp")
+    out = st.latency_windows(stream, st.stream_root(spark, "test_windows"), F.col("side"), F.col("lat"))
+    got = sorted((r.window_start, r.n_calls, r.n_timed, r.total_latency) for r in out.collect())
+    hour = lambda h: t0 + dt.timedelta(hours=h)
+    assert got == [(hour(0), 2, 2, 3.0), (hour(5), 2, 1, 3.0), (hour(6), 1, 1, 4.0)]
+
+
+def test_ingest_keeps_every_template_and_the_latest(spark):
+    schema = "uid string, prompt_template_name string, input_file_name string, file_name string, content string"
+    batches = [[("u", "a", "f", "x", "1"), ("u", "b", "f", "x", "2")], [("u", "c", "f", "x", "3"), ("u", "a", "f", "x", "4")], [("v", "a", "g", "x", "5")]]
+    stream, _ = _files(spark, batches, schema)
+    out = st.ingest_completions(spark, stream, lambda b: b, st.stream_root(spark, "test_ingest"))
+    assert sorted((r.uid, r.prompt_template_name, r.content) for r in out.collect()) == [("u", "a", "4"), ("u", "b", "2"), ("u", "c", "3"), ("v", "a", "5")]
+
+
+def test_embed_new_over_batches_and_a_replayed_epoch(spark):
+    schema = "conversation_id long, pair_idx long, context string, response string, hash string"
+    rows = [[(1, 0, "c1", "r1", "h1"), (1, 1, "c2", "r2", "h2")], [(2, 0, "c1", "r1", "h1"), (2, 1, "c3", "r3", "h3")], [(3, 0, "c4", "r4", "h4")]]
+    embed = lambda c: F.array(F.length(c).cast("float"))
+    calls = []
+
+    def pairs(batch):
+        calls.append(batch.count())
+        return batch
+
+    seed = spark.createDataFrame([("h2", "r2", [0.5], 1)], "hash string, response string, embedding array<float>, cached_at long")
+    stream, _ = _files(spark, rows, schema)
+    root = st.stream_root(spark, "test_embed")
+    out = st.embed_new(stream, root, seed, pairs, embed)
+    got = sorted((r.response, r.source) for r in out.collect())
+    assert len(calls) == 3 and got == [("r1", "new"), ("r2", "cache"), ("r3", "new"), ("r4", "new")]
+    # the last epoch again, as after a failure between its output and its commit
+    last = max(f for f in os.listdir(os.path.join(root.removeprefix("file:"), "checkpoint", "commits")) if f.isdigit())
+    for f in (last, f".{last}.crc"):
+        os.remove(os.path.join(root.removeprefix("file:"), "checkpoint", "commits", f))
+    again = st.embed_new(stream, root, seed, pairs, embed)
+    assert len(calls) == 4 and sorted((r.response, r.source) for r in again.collect()) == got
+
+
 def test_sessions_close_at_end_of_input(spark):
     t0 = dt.datetime(2024, 1, 1, 10, 0, 0)
     mins = [0, 10, 25, 70, 71, 200]
