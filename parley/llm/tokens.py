@@ -1,9 +1,10 @@
 """Token ids of whole texts from a public tokenizer file, inside Spark tasks.
 
-A byte-level BPE file splits a text at blanks before it merges, so a text is cut
-before each single blank or line end that separates two runs of other characters,
-and the ids of such a chunk are kept for the next time it comes. Texts in which
-blanks meet are encoded whole. Either way the ids are those of the library.
+A byte-level BPE file splits a text before it merges, always between other
+characters and a blank after them and between a letter and what is no letter
+after it. So a text is cut there, and the ids of such a chunk are kept for the
+next time it comes. Texts in which blanks meet are encoded whole. Either way
+the ids are those of the library.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from itertools import chain
 import numpy as np
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
-#: Chunks kept per Python worker, and their characters together; beyond either the kept chunks are dropped.
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 16_000_000
+#: Chunks kept per Python worker, and their characters together; beyond either, those that the texts at hand lack are dropped.
+KEPT_CHUNKS, KEPT_CHARS = 900_000, 16_000_000
+#: Letters of the languages at hand; a run of them is a chunk unless another letter follows.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def tokenizer_path() -> str:
@@ -39,17 +42,18 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept: dict[str, bytes | None] = {}
         self.chars = 0
-        self.chunks = re.compile(r"[ \n]?[^ \n]+").findall
+        self.chunks = re.compile(rf"[ \n]?[{LETTERS}]+(?![^\W\d_])|[ \n]?[^ \n]+").findall
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (none for null)."""
-        if len(self.kept) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
-            self.kept.clear()
-            self.chars = 0
-        kept, split = self.kept, [self.chunks(t) if t else [] for t in texts]
+        split = [self.chunks(t) if t else [] for t in texts]
+        if len(self.kept) > KEPT_CHUNKS or self.chars > KEPT_CHARS:  # those that come again stay
+            self.kept = {c: self.kept[c] for c in set(chain.from_iterable(split)) if c in self.kept}
+            self.chars = sum(map(len, self.kept))
+        kept = self.kept
         new = list({c for c in chain.from_iterable(split) if c not in kept})
         # a chunk with a blank inside is not cut safely; its texts are encoded whole
         safe = [c for c in new if c.split() == [c.lstrip(" \n")]]
