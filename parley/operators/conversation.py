@@ -131,7 +131,7 @@ def speaker_blocks(line_rows: DataFrame, id_col: str = "conv_id", chunk_rows: in
 def strip_speaker_prefix(c, prefix: str = "Counselor:"):
     """Remove ``prefix`` from every line that starts with it (and strip that line), then strip the whole."""
     n = len(prefix)
-    fixed = F.transform(lines(c), lambda l: F.when(l.startswith(prefix), py_strip(F.substring(l, n + 1, 1 << 30)))
+    fixed = F.transform(lines(c), lambda l: F.when(l.startswith(prefix), py_strip(l.substr(F.lit(n + 1), F.length(l))))
                         .otherwise(l))
     return py_strip(F.array_join(fixed, NL))
 

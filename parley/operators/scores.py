@@ -174,7 +174,7 @@ def weighted_rubric(traces: DataFrame, scores: DataFrame, weights: dict[str, int
     latest = latest_per_key(scores.filter(F.col("value").isNotNull()), ["trace_id", "name"], "ts")
     has_scores = latest.select("trace_id").distinct().withColumn("_has", F.lit(True))
     items = (latest.filter(F.col("name").startswith(prefix))
-             .select("trace_id", F.substring("name", len(prefix) + 1, 64).alias("item"),
+             .select("trace_id", F.expr(f"substring(name, {len(prefix) + 1})").alias("item"),
                      bool_norm("value").alias("v")))
     grid = traces.select("trace_id", F.inline(rubric))
     g = grid.join(items, ["trace_id", "item"], "left")
@@ -257,7 +257,7 @@ def demographic_summary(patients: DataFrame) -> DataFrame:
         F.struct(F.lit("Demographic Factors - Age Group").alias("characteristic"), age_bucket.alias("key"),
                  age_bucket.alias("category")),
         F.struct(F.lit("Demographic Factors - Gender").alias("characteristic"), gender.alias("key"),
-                 F.concat(F.upper(F.substring(gender, 1, 1)), F.lower(F.substring(gender, 2, 1 << 30))).alias("category")),
+                 F.concat(F.upper(F.substring(gender, 1, 1)), F.lower(gender.substr(F.lit(2), F.length(gender)))).alias("category")),
         F.struct(F.lit("Presenting Concerns - Primary Concern").alias("characteristic"), concern.alias("key"),
                  concern.alias("category")),
     )))

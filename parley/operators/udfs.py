@@ -28,14 +28,14 @@ def embedder(fn: Callable[[pd.Series], list]) -> Callable[[Column], Column]:
 
 
 def feature_embedding(texts: pd.Series) -> list[list[float]]:
-    """Deterministic 4-d stub: [chars/1000, vowel share, space share, digit share]."""
+    """Deterministic 64-d stub: [chars/1000, vowel share, space share, digit share], sixteen times."""
     s = texts.fillna("")
     n = s.str.len().to_numpy(dtype=np.float64)
     safe = np.where(n == 0, 1.0, n)
     vowels = s.str.count("[aeiouAEIOU]").to_numpy(dtype=np.float64) / safe
     spaces = s.str.count(" ").to_numpy(dtype=np.float64) / safe
     digits = s.str.count("[0-9]").to_numpy(dtype=np.float64) / safe
-    return np.column_stack([n / 1000.0, vowels, spaces, digits]).astype(np.float32).tolist()
+    return np.tile(np.column_stack([n / 1000.0, vowels, spaces, digits]), 16).astype(np.float32).tolist()
 
 
 def complete_batch(requests: DataFrame, complete: Callable[[str], str], prompt_col: str = "prompt",

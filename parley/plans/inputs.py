@@ -8,7 +8,7 @@ of that schema it is given.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.operators.conversation import render_transcript
@@ -471,22 +471,32 @@ def _turn_uid():
     return F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256)
 
 
+def with_history(t: DataFrame) -> DataFrame:
+    """Turns with ``convo_history``: the texts of all turns before, one a line (NULL for the first)."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.collect_list("text").over(before)
+    return t.withColumn("convo_history", F.when(F.size(earlier) > 0, F.array_join(earlier, "\n")))
+
+
+HISTORY_SQL = """(SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING
+       AND 1 PRECEDING) AS history FROM conversations)"""
+
+
 def static_items(spark: SparkSession, d: str) -> DataFrame:
     """Static eval items (uid, conversation_id, convo_history, counselor_message): each assistant turn with
-    the turn before it as history."""
-    t = turns(spark, d)
-    prev = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("convo_history"))
-    a = t.filter(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")
+    all turns before it as history."""
+    t = with_history(turns(spark, d))
+    a = t.filter(F.col("role") == "assistant")
     return a.select(_turn_uid().alias("uid"), F.col("conv_id").alias("conversation_id"),
                     F.coalesce("convo_history", F.lit("")).alias("convo_history"),
                     F.col("text").alias("counselor_message"))
 
 
-STATIC_ITEMS_SQL = """
+STATIC_ITEMS_SQL = f"""
 items AS (
   SELECT sha256(concat_ws(':', CAST(a.conv_id AS VARCHAR), CAST(a.turn AS VARCHAR))) AS uid, a.conv_id AS conversation_id,
-         coalesce(p.text, '') AS convo_history, a.text AS counselor_message
-  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+         coalesce(a.history, '') AS convo_history, a.text AS counselor_message
+  FROM {HISTORY_SQL} a
   WHERE a.role = 'assistant'
 )"""
 
@@ -534,8 +544,8 @@ def batch_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_results(spark: SparkSession, d: str) -> DataFrame:
     """Batch results (custom_id, content, error): first line item of an order answers its request (returned
-    items fail); second lines of open items answer an id that is not in the manifest."""
-    li = table(spark, d, "lineitem").filter(F.col("l_linenumber").isin(1, 2))
+    items fail); later lines of open items answer an id that is not in the manifest."""
+    li = table(spark, d, "lineitem")
     known = (F.col("l_linenumber") == 1)
     cid = F.when(known, F.concat(F.lit("gen-"), F.col("l_orderkey").cast("string"))) \
         .otherwise(F.concat(F.lit("gen-x"), F.col("l_orderkey").cast("string")))
@@ -553,7 +563,7 @@ results AS (
   SELECT CASE WHEN l_linenumber = 1 THEN 'gen-' ELSE 'gen-x' END || CAST(l_orderkey AS VARCHAR) AS custom_id,
          'reply ' || CAST(l_quantity AS VARCHAR) AS content,
          CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 'server_error' END AS error
-  FROM lineitem WHERE l_linenumber = 1 OR (l_linenumber = 2 AND l_linestatus = 'O')
+  FROM lineitem WHERE l_linenumber = 1 OR l_linestatus = 'O'
 )"""
 
 
@@ -561,12 +571,11 @@ results AS (
 def st_dataset_items(spark: SparkSession, d: str) -> DataFrame:
     """Dataset items (dataset_item_id, convo_history, expected_output, profile_prompt, generation_run_name,
     source_trace_id) - one per assistant turn; some items lack a run name and rely on their source trace."""
-    t = turns(spark, d)
-    prev = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("convo_history"))
-    a = t.filter(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")
+    t = with_history(turns(spark, d))
+    a = t.filter(F.col("role") == "assistant")
     profile = F.concat(F.lit("Presenting Concern: topic "), F.col("conv_id").cast("string"),
                        F.lit("\n*** Communication patterns ***\nshort\n*** Language examples ***\n"),
-                       F.substring("text", 1, 40), F.lit("\nMUST FOLLOW THESE GUIDELINES: be brief"))
+                       F.col("text"), F.lit("\nMUST FOLLOW THESE GUIDELINES: be brief"))
     return a.select(
         F.concat(F.lit("item-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("dataset_item_id"),
         F.coalesce("convo_history", F.lit("")).alias("convo_history"), F.col("text").alias("expected_output"),
@@ -596,16 +605,16 @@ def st_run_items(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("conv_id") * 100 + F.col("turn") + 10_000_000).alias("trace_id"))
 
 
-ST_RUN_SQL = """
+ST_RUN_SQL = f"""
 ditems AS (
-  SELECT 'item-' || a.conv_id || '-' || a.turn AS dataset_item_id, coalesce(p.text, '') AS convo_history,
+  SELECT 'item-' || a.conv_id || '-' || a.turn AS dataset_item_id, coalesce(a.history, '') AS convo_history,
          a.text AS expected_output,
          'Presenting Concern: topic ' || a.conv_id || chr(10) || '*** Communication patterns ***' || chr(10) || 'short' || chr(10)
-           || '*** Language examples ***' || chr(10) || substr(a.text, 1, 40) || chr(10) || 'MUST FOLLOW THESE GUIDELINES: be brief'
+           || '*** Language examples ***' || chr(10) || a.text || chr(10) || 'MUST FOLLOW THESE GUIDELINES: be brief'
            AS profile_prompt,
          CASE a.conv_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'run-a' ELSE 'run-b' END AS generation_run_name,
          a.conv_id * 100 + a.turn AS source_trace_id
-  FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+  FROM {HISTORY_SQL} a
   WHERE a.role = 'assistant'),
 strace AS (
   SELECT conv_id * 100 + turn AS trace_id, CASE WHEN turn % 2 = 1 THEN 'run-a' ELSE 'run-b' END AS run_name,
@@ -665,8 +674,8 @@ def rag_cache(spark: SparkSession, d: str) -> DataFrame:
     base = u.join(a, "conv_id").join(e, "conv_id").select(
         F.sha2(F.concat(F.lit("Client: "), F.col("u"), F.lit("\u0000"), resp), 256).alias("hash"),
         resp.alias("response"), "conv_id", "embedding")
-    new = base.select("hash", "response", F.slice("embedding", 1, 4).alias("embedding"), (F.col("conv_id") + 1000).alias("cached_at"))
-    old = base.select("hash", "response", F.slice("embedding", 5, 4).alias("embedding"), F.col("conv_id").alias("cached_at"))
+    new = base.select("hash", "response", "embedding", (F.col("conv_id") + 1000).alias("cached_at"))
+    old = base.select("hash", "response", F.reverse("embedding").alias("embedding"), F.col("conv_id").alias("cached_at"))
     return new.unionByName(old)
 
 
@@ -674,7 +683,7 @@ def retrieval_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Index rows (doc_id, embedding, context, response): stored vectors joined to their documents."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    return e.join(docs, "doc_id").select("doc_id", "embedding", F.substring("text", 1, 120).alias("context"),
+    return e.join(docs, "doc_id").select("doc_id", "embedding", F.col("text").alias("context"),
                                          F.concat(F.lit("["), F.col("lang"), F.lit("] "), F.col("source")).alias("response"))
 
 
@@ -720,12 +729,12 @@ def annotation_sheets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
     j = lab.join(docs, "doc_id")
     first = j.select(F.col("doc_id").alias("index"), "row_pos",
-                     F.substring("text", 1, 200).alias("patterns_de_id_message"),
+                     F.col("text").alias("patterns_de_id_message"),
                      F.col("quality").cast("string").alias("label_patterns"), _error_text().alias("errors_patterns"))
     a1 = first.filter(F.col("row_pos") < 200)
     a2 = first.withColumn("Notes", F.lit("checked"))
     second = j.select(F.col("doc_id").alias("index"),
-                      F.substring("text", 1, 200).alias("names_de_id_message"),
+                      F.col("text").alias("names_de_id_message"),
                       F.when(F.col("toxic").isNotNull(), (1 - F.col("toxic")).cast("string")).alias("label_names"),
                       _error_text().alias("errors_names"))
     return a1, a2, second

@@ -21,13 +21,13 @@ rp2 AS (SELECT *, sha256(context || chr(0) || response) AS hash FROM rp WHERE le
 CACHE_SQL = """
 cache AS (
   SELECT sha256('Client: ' || u.text || chr(0) || """ + strip("'Counselor: ' || a.text") + """) AS hash,
-         """ + strip("'Counselor: ' || a.text") + """ AS response, e.embedding[1:4] AS embedding, e.vec_id + 1000 AS cached_at
+         """ + strip("'Counselor: ' || a.text") + """ AS response, e.embedding AS embedding, e.vec_id + 1000 AS cached_at
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = 1 AND a.role = 'assistant'
        JOIN embeddings e ON e.vec_id = u.conv_id
   WHERE u.turn = 0 AND u.role = 'user'
   UNION ALL
   SELECT sha256('Client: ' || u.text || chr(0) || """ + strip("'Counselor: ' || a.text") + """),
-         """ + strip("'Counselor: ' || a.text") + """, e.embedding[5:8], e.vec_id
+         """ + strip("'Counselor: ' || a.text") + """, list_reverse(e.embedding), e.vec_id
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = 1 AND a.role = 'assistant'
        JOIN embeddings e ON e.vec_id = u.conv_id
   WHERE u.turn = 0 AND u.role = 'user')"""
@@ -118,7 +118,7 @@ RAG_COSINE_SQL = COSINE_SQL.replace(
 
 
 @job("rag_prompts", RAG_COSINE_SQL + f""",
-corpus AS (SELECT e.vec_id AS doc_id, substr(d.text, 1, 120) AS context, '[' || d.lang || '] ' || d.source AS response
+corpus AS (SELECT e.vec_id AS doc_id, d.text AS context, '[' || d.lang || '] ' || d.source AS response
            FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
 t AS (SELECT r.query_id, r.rank, r.doc_id, c.context, c.response FROM r JOIN corpus c ON c.doc_id = r.doc_id
       WHERE r.rank <= {RAG_K})

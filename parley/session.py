@@ -40,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting names a shared (distributed) folder and is
     respected as is. Only when it is unset - local tests - a scratch folder is
-    created and registered.
+    created and registered; on any other master an unset folder is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="parley-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)

@@ -16,14 +16,18 @@ from pyspark.sql.types import StructType
 from parley.functions.jsonx import strict_parse_json
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = True) -> DataFrame:
-    """CSV with a header and quoted multi-line text, typed by ``schema``; adds ``file_name``."""
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = False) -> DataFrame:
+    """CSV with a header, typed by ``schema``; adds ``file_name``.
+
+    ``multiline`` allows line ends inside quoted text, at the price of one task per file.
+    """
     df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
           .option("escape", '"').option("quote", '"').csv(path))
     return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
-def scan_csv_dir(spark: SparkSession, directory: str, schema: StructType | str, order_col: str | None = None) -> DataFrame:
+def scan_csv_dir(spark: SparkSession, directory: str, schema: StructType | str, order_col: str | None = None,
+                 multiline: bool = False) -> DataFrame:
     """Every ``.csv`` of a directory; ``row_index`` = 0-based position inside its file by ``order_col``.
 
     CSV splits carry no row position, so the index needs a numeric ordering
@@ -31,7 +35,7 @@ def scan_csv_dir(spark: SparkSession, directory: str, schema: StructType | str,
     file computed as a chunk-parallel prefix scan, so a huge file is never
     pulled into one task.
     """
-    df = scan_csv(spark, f"{directory.rstrip('/')}/*.csv", schema)
+    df = scan_csv(spark, f"{directory.rstrip('/')}/*.csv", schema, multiline)
     if order_col is None:
         return df
     from parley.functions.ranking import segmented_scan

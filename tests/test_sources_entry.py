@@ -12,7 +12,7 @@ def test_scan_csv_and_jsonl(spark):
     d = tempfile.mkdtemp(prefix="parley-src-")
     with open(os.path.join(d, "a.csv"), "w") as f:
         f.write('uid,conversation\nx1,"Client: hi\nCounselor: ""quoted"" hello"\nx2,plain\n')
-    df = files.scan_csv(spark, os.path.join(d, "a.csv"), "uid string, conversation string")
+    df = files.scan_csv(spark, os.path.join(d, "a.csv"), "uid string, conversation string", multiline=True)
     rows = {r.uid: r.conversation for r in df.collect()}
     assert rows["x1"] == 'Client: hi\nCounselor: "quoted" hello' and df.first().file_name == "a.csv"
     with open(os.path.join(d, "b.jsonl"), "w") as f:
