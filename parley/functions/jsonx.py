@@ -6,7 +6,7 @@ Judge output has free keys and several shapes, so it is parsed to VARIANT with
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import col_
@@ -59,6 +59,22 @@ def json_block_path(c) -> Column:
             .otherwise(F.lit("failed")))
 
 
+def with_json_block(df: DataFrame, text_col: str, out: str, path: str | None = None) -> DataFrame:
+    """:func:`json_block` of a column as staged columns: each step reads the one before, and the brace span is looked for
+    only where the whole text does not parse. ``path`` names a column for which step succeeded."""
+    def parsed(d: DataFrame, source: str, name: str) -> DataFrame:
+        wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(source), F.lit("\n,0]")))
+        d = d.withColumn("_jb_array", F.try_variant_get(wrapped, "$", "array<variant>"))
+        return d.withColumn(name, F.when(F.size("_jb_array") == 2, F.element_at("_jb_array", 1))).drop("_jb_array")
+
+    d = parsed(df.withColumn("_jb_text", strip_fences(text_col)), "_jb_text", "_jb_whole")
+    d = d.withColumn("_jb_span", F.when(F.col("_jb_whole").isNull(), F.nullif(brace_span("_jb_text"), F.lit(""))))
+    d = parsed(d, "_jb_span", "_jb_brace").withColumn(out, F.coalesce("_jb_whole", "_jb_brace"))
+    if path:
+        d = d.withColumn(path, F.when(F.col("_jb_whole").isNotNull(), "whole").when(F.col("_jb_brace").isNotNull(), "brace").otherwise("failed"))
+    return d.drop("_jb_text", "_jb_whole", "_jb_span", "_jb_brace")
+
+
 def judge_document(c) -> Column:
     """Comparison-judge reply -> VARIANT: unfence, parse, and unwrap a chat-completion
     envelope (``choices[0].message.content`` parsed again). Parse failures -> NULL."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.jsonx import (brace_span, json_block, json_block_path, strict_parse_json, strip_fences,
+from parley.functions.jsonx import (brace_span, with_json_block, strict_parse_json, strip_fences,
                                     variant_entries, vget)
 from parley.functions.text import stable_id
 
@@ -40,8 +40,8 @@ def flatten_scores(replies: DataFrame, text_col: str = "raw", eval_col: str = "e
     metrics carry no comment.
     """
     keep = [c for c in replies.columns if c != text_col]
-    parsed = replies.select(*keep, json_block(text_col).alias("_doc"))
-    parsed = parsed.select(*keep, "_doc", _as_map(F.col("_doc")).alias("_m")).filter(F.col("_m").isNotNull())
+    parsed = with_json_block(replies, text_col, "_doc")
+    parsed = parsed.select(*keep, "_doc", _as_map(F.col("_doc")).alias("_m"))  # NULL maps explode to nothing
     score_field = F.try_element_at("_m", F.lit("score"))
     single = (~F.lit(static)) & score_field.isNotNull() & _as_map(score_field).isNull()
     entries = F.when(single, F.map_from_arrays(F.array(F.lit("score")), F.array(F.col("_doc")))).otherwise(F.col("_m"))
@@ -77,7 +77,7 @@ def scores_dual(scores: DataFrame, run_col: str = "trace_id", source_col: str =
 
 def parse_report(replies: DataFrame, text_col: str = "raw", keys=("eval_name",)) -> DataFrame:
     """How each reply parsed (whole text / brace span / failed), counted per key."""
-    return (replies.select(*keys, json_block_path(text_col).alias("parse_path"))
+    return (with_json_block(replies, text_col, "_doc", "parse_path")
             .groupBy(*keys, "parse_path").agg(F.count(F.lit(1)).alias("n_replies")))
 
 

@@ -115,6 +115,30 @@ def _tier_gkey(tier_col):
     return out
 
 
+def _intervals(probe: DataFrame, slots: DataFrame) -> DataFrame:
+    """(uid, which, tier, gkey, lo, cnt): the rank where a target's matches start and their number.
+
+    Without an age band that is the whole group. With one, members below either end of the band are counted by a running
+    sum over slots and distinct band ends, within cells of one year, plus the sums of the cells before; no target meets
+    the slots of its band one by one.
+    """
+    totals = slots.groupBy("tier", "gkey").agg(F.sum("n").alias("cnt"))
+    flat = probe.filter(~F.col("band")).join(totals, ["tier", "gkey"]).select("uid", "which", "tier", "gkey", F.lit(0).cast("bigint").alias("lo"), "cnt")
+    ends = probe.filter("band").select("uid", "which", "tier", "gkey", (F.col("age") - AGE_BAND).alias("low"), (F.col("age") + AGE_BAND).alias("high"))
+    points = (ends.select("tier", "gkey", F.col("low").alias("x"), F.lit(0).alias("side"))
+              .unionByName(ends.select("tier", "gkey", F.col("high").alias("x"), F.lit(2).alias("side"))).distinct().withColumn("n", F.lit(0).cast("bigint")))
+    events = slots.select("tier", "gkey", F.col("slot_age").alias("x"), F.lit(1).alias("side"), "n").unionByName(points).withColumn("cell", F.floor("x"))
+    earlier = Window.partitionBy("tier", "gkey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (events.groupBy("tier", "gkey", "cell").agg(F.sum("n").alias("cell_n"))
+             .select("tier", "gkey", "cell", F.coalesce(F.sum("cell_n").over(earlier), F.lit(0)).alias("cell_before")))
+    inside = Window.partitionBy("tier", "gkey", "cell").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = (events.withColumn("run", F.sum("n").over(inside)).filter("side <> 1").join(cells, ["tier", "gkey", "cell"])
+             .select("tier", "gkey", "x", "side", (F.col("run") + F.col("cell_before")).alias("below")))
+    at = lambda side, x, out: below.filter(F.col("side") == side).select("tier", "gkey", F.col("x").alias(x), F.col("below").alias(out))
+    banded = ends.join(at(0, "low", "lo"), ["tier", "gkey", "low"]).join(at(2, "high", "up"), ["tier", "gkey", "high"])
+    return flat.unionByName(banded.select("uid", "which", "tier", "gkey", "lo", (F.col("up") - F.col("lo")).alias("cnt")))
+
+
 def match_profiles(profiles: DataFrame, seed: int = 16, k: int = SAMPLE_K, min_matches: int = MIN_MATCHES,
                    bucket_size: int = 50_000, checkpoint: bool = True, input_materialized: bool = False) -> DataFrame:
     """profiles (uid, age double, sex, concern) -> per target: tier used, match count, up to ``k`` sampled matches.
@@ -138,15 +162,12 @@ def match_profiles(profiles: DataFrame, seed: int = 16, k: int = SAMPLE_K, min_m
     t = p.withColumn("tier0", target_tier(F.col("age"), F.col("sex"), F.col("concern")))
     t = t.withColumn("gk0", _tier_gkey(F.col("tier0"))).withColumn("band0", F.col("tier0").isin(*band_tiers))
     t = t.withColumn("gkC", F.col("concern"))
-    # one slot join for the target's own tier and for the concern fallback (equi on tier + group, band as filter)
+    # the target's own tier and the concern fallback
     probe = t.select("uid", "age", F.inline(F.array(
         F.struct(F.lit("a").alias("which"), F.col("tier0").alias("tier"), F.col("gk0").alias("gkey"), F.col("band0").alias("band")),
         F.struct(F.lit("c").alias("which"), F.lit("C").alias("tier"), F.col("gkC").alias("gkey"), F.lit(False).alias("band")))))
     probe = probe.filter(F.col("gkey").isNotNull())
-    s = slots.select("tier", "gkey", "slot_age", "n", "before")
-    j = probe.join(s, ["tier", "gkey"]).filter(
-        ~F.col("band") | ((F.col("slot_age") >= F.col("age") - AGE_BAND) & (F.col("slot_age") <= F.col("age") + AGE_BAND)))
-    iv = j.groupBy("uid", "which", "tier", "gkey").agg(F.min("before").alias("lo"), F.sum("n").alias("cnt"))
+    iv = _intervals(probe, slots)
     own = mem.select("uid", "tier", F.col("rank").alias("self_rank"))
     iv = iv.join(own, ["uid", "tier"], "left")
     n_of = F.col("cnt") - F.when(F.col("self_rank").isNotNull(), 1).otherwise(0)
