@@ -74,23 +74,27 @@ def output_tokens(eval_name) -> Column:
 
 def cost_estimate(requests: DataFrame, tokens=estimate_tokens) -> DataFrame:
     """Requests (model, eval_name, messages) -> tokens and $ per (model, tier) plus per-tier totals
-    (GROUPING SETS), with batch savings vs standard."""
+    (GROUPING SETS), with what each saves against the other tier (negative: extra cost), in $ and percent."""
     r = requests.select("model", message_tokens(F.col("messages"), tokens).alias("in_tok"),
                         output_tokens(F.col("eval_name")).alias("out_tok"))
-    tiers = F.array(F.struct(F.lit("standard").alias("tier"), price(F.col("model"), "input").alias("pin"),
-                             price(F.col("model"), "output").alias("pout")),
-                    F.struct(F.lit("batch").alias("tier"), price(F.col("model"), "batch_input").alias("pin"),
-                             price(F.col("model"), "batch_output").alias("pout")))
+    rates = {"standard": ("input", "output"), "batch": ("batch_input", "batch_output")}
+    other = {"standard": "batch", "batch": "standard"}
+    tiers = F.array(*[F.struct(F.lit(t).alias("tier"), price(F.col("model"), i).alias("pin"), price(F.col("model"), o).alias("pout"),
+                               price(F.col("model"), rates[other[t]][0]).alias("other_in"),
+                               price(F.col("model"), rates[other[t]][1]).alias("other_out")) for t, (i, o) in rates.items()])
     t = r.select("model", "in_tok", "out_tok", F.inline(tiers))
+    t = t.withColumn("other_cost", F.col("in_tok") / 1e6 * F.col("other_in") + F.col("out_tok") / 1e6 * F.col("other_out"))
     t = t.withColumn("in_cost", F.col("in_tok") / 1e6 * F.col("pin")).withColumn("out_cost", F.col("out_tok") / 1e6 * F.col("pout"))
     g = t.groupingSets([["model", "tier"], ["tier"]], "model", "tier").agg(
         F.count(F.lit(1)).alias("n_requests"), F.sum("in_tok").alias("total_input_tokens"),
         F.sum("out_tok").alias("total_output_tokens"), F.sum("in_cost").alias("input_cost"),
-        F.sum("out_cost").alias("output_cost"))
+        F.sum("out_cost").alias("output_cost"), F.sum("other_cost").alias("other"))
+    saved = F.col("other") - (F.col("input_cost") + F.col("output_cost"))
     return g.select(F.coalesce("model", F.lit("ALL")).alias("model"), "tier", "n_requests", "total_input_tokens",
                     "total_output_tokens", F.round("input_cost", 8).alias("input_cost"),
                     F.round("output_cost", 8).alias("output_cost"),
-                    F.round(F.col("input_cost") + F.col("output_cost"), 8).alias("total_cost"))
+                    F.round(F.col("input_cost") + F.col("output_cost"), 8).alias("total_cost"),
+                    F.round(saved, 8).alias("savings"), F.round(saved / F.nullif(F.col("other"), F.lit(0.0)) * 100, 6).alias("savings_percent"))
 
 
 def limits_estimate(prompts: DataFrame, text_col: str, user_model: str, tokens_per_minute: int = 80_000,

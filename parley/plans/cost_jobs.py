@@ -32,12 +32,15 @@ t AS (
          coalesce(p.i, {_DI}) AS pi, coalesce(p.o, {_DO}) AS po, coalesce(p.bi, {_DBI}) AS pbi, coalesce(p.bo, {_DBO}) AS pbo
   FROM r LEFT JOIN (VALUES {_PRICE_VALUES}) p(m, i, o, bi, bo) ON p.m = r.model
          LEFT JOIN (VALUES {_OUT_VALUES}) o(e, n) ON o.e = r.eval_name),
-x AS (SELECT model, 'standard' AS tier, in_tok, out_tok, in_tok / 1e6 * pi AS in_cost, out_tok / 1e6 * po AS out_cost FROM t
+x AS (SELECT model, 'standard' AS tier, in_tok, out_tok, in_tok / 1e6 * pi AS in_cost, out_tok / 1e6 * po AS out_cost,
+             in_tok / 1e6 * pbi + out_tok / 1e6 * pbo AS other FROM t
       UNION ALL
-      SELECT model, 'batch', in_tok, out_tok, in_tok / 1e6 * pbi, out_tok / 1e6 * pbo FROM t)
+      SELECT model, 'batch', in_tok, out_tok, in_tok / 1e6 * pbi, out_tok / 1e6 * pbo, in_tok / 1e6 * pi + out_tok / 1e6 * po FROM t)
 SELECT coalesce(model, 'ALL') AS model, tier, count(*) AS n_requests, CAST(sum(in_tok) AS BIGINT) AS total_input_tokens,
        CAST(sum(out_tok) AS BIGINT) AS total_output_tokens, round(sum(in_cost), 8) AS input_cost,
-       round(sum(out_cost), 8) AS output_cost, round(sum(in_cost) + sum(out_cost), 8) AS total_cost
+       round(sum(out_cost), 8) AS output_cost, round(sum(in_cost) + sum(out_cost), 8) AS total_cost,
+       round(sum(other) - (sum(in_cost) + sum(out_cost)), 8) AS savings,
+       round((sum(other) - (sum(in_cost) + sum(out_cost))) / nullif(sum(other), 0) * 100, 6) AS savings_percent
 FROM x GROUP BY GROUPING SETS ((model, tier), (tier))""")
 def cost_estimate(spark, d):
     """Judge requests -> message tokens (+4 per message, +3 primer) and output estimates -> $ per model and tier."""
