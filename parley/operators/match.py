@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import template_fill
+from parley.functions.text import py_strip, template_fill
 
 # The standard presenting concerns.
 STANDARD_CONCERNS = ["Financial loss", "Loneliness", "Exam or study related", "Depression", "Anxiety", "Suicidality",
@@ -228,5 +228,5 @@ def concern_key(category, concern) -> Column:
 
 
 def profile_prompt(template: str, slots: dict[str, Column]) -> Column:
-    """Fill ``{slot}`` names of ``template`` in one pass; then three or more newlines become two."""
-    return F.regexp_replace(template_fill(F.lit(template), slots), "\n{3,}", "\n\n")
+    """Fill ``{slot}`` names of ``template`` in one pass, strip the ends; then three or more newlines become two."""
+    return F.regexp_replace(py_strip(template_fill(F.lit(template), slots)), "\n{3,}", "\n\n")

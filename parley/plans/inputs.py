@@ -811,6 +811,10 @@ SEGMENT_CONCERN = {"AUTOMOBILE": "Anxiety", "BUILDING": "Depression", "FURNITURE
                    "HOUSEHOLD": "Relationship", "MACHINERY": "Grief"}
 
 
+STYLE_TRAITS = ["language_patterns", "emotional_expression_vulnerability", "depth_pacing_of_disclosure",
+                "engagement_response_to_support", "focus_structure_of_discussion"]
+
+
 def client_traits(spark: SparkSession, d: str) -> DataFrame:
     """(uid, client_traits_obscured_json_raw, presenting_concern): judge output with the traits JSON inside prose;
     some ages are missing or not numeric, some sexes unknown or missing."""
@@ -822,7 +826,10 @@ def client_traits(spark: SparkSession, d: str) -> DataFrame:
     sex = F.when(g == 0, F.lit("female")).when(g == 1, F.lit("male")).when(g == 2, F.lit("unknown"))
     traits = F.to_json(F.struct(F.col("c_name").alias("name"), age.alias("age"), sex.alias("sex_or_gender"),
                                 F.col("c_mktsegment").alias("job"),
-                                F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("residence")))
+                                F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("residence"),
+                                F.concat(F.lit("class "), (F.col("c_nationkey") % 3).cast("string")).alias("socioeconomic_status"),
+                                F.concat(F.lit("wrote {job} to "), F.col("c_name")).alias("key_details"),
+                                *[F.concat(F.lit(f"{f} "), (F.col("c_custkey") % 7).cast("string")).alias(f) for f in STYLE_TRAITS]))
     concern = F.try_element_at(F.create_map(*[x for k, v in SEGMENT_CONCERN.items() for x in (F.lit(k), F.lit(v))]),
                                F.col("c_mktsegment"))
     return c.select(F.col("c_custkey").cast("string").alias("uid"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from parley.functions.jsonx import json_from_text
@@ -34,6 +36,7 @@ def _floyd_steps():
     return ",\n".join(ctes)
 
 
+_STYLE = ", ".join(f"'{f}', '{f} ' || CAST(c_custkey % 7 AS VARCHAR)" for f in inputs.STYLE_TRAITS)
 MATCH_SQL = with_(TRANSCRIPTS, f"""
 traits AS (
   SELECT CAST(c_custkey AS VARCHAR) AS uid,
@@ -42,7 +45,9 @@ traits AS (
             'age', CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'unknown'
                         ELSE CAST(18 + (c_custkey * 7) % 60 AS VARCHAR) END,
             'sex_or_gender', CASE c_nationkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'unknown' END,
-            'job', c_mktsegment, 'residence', 'nation ' || CAST(c_nationkey AS VARCHAR))::VARCHAR || chr(10) || 'Done.' AS raw,
+            'job', c_mktsegment, 'residence', 'nation ' || CAST(c_nationkey AS VARCHAR),
+            'socioeconomic_status', 'class ' || CAST(c_nationkey % 3 AS VARCHAR), 'key_details', 'wrote {{job}} to ' || c_name,
+            {_STYLE})::VARCHAR || chr(10) || 'Done.' AS raw,
          {_SEG} AS presenting_concern
   FROM customer),
 merged AS (SELECT t.* FROM traits t JOIN tr s ON CAST(s.conv_id AS VARCHAR) = t.uid JOIN tr d ON CAST(d.conv_id AS VARCHAR) = t.uid),
@@ -114,17 +119,22 @@ def match_profiles(spark, d):
 
 # Fixed value for the fixture run: profile prompt template (the reference's prose is not reproduced).
 PROFILE_TEMPLATE = ("*** Personal details ***\nName: {name}\nAge: {age}\nSex: {sex_or_gender}\nJob: {job}\n"
-                    "Residence: {residence}\nPresenting Concern: {presenting_concern}\n\n\n\n"
+                    "Residence: {residence}\nStatus: {socioeconomic_status}\nPresenting Concern: {presenting_concern}\n"
+                    "Details: {key_details}\n\n\n\n*** Style ***\n{language_patterns}\n{emotional_expression_vulnerability}\n"
+                    "{depth_pacing_of_disclosure}\n{engagement_response_to_support}\n{focus_structure_of_discussion}\n\n"
                     "*** Language examples ***\n{examples}\n")
 
 def _fill_sql():
-    out = f"'{PROFILE_TEMPLATE}'"
-    out = out.replace("\n", "' || chr(10) || '")
-    for name in ["name", "age", "sex_or_gender", "job", "residence"]:
-        out = f"replace({out}, '{{{name}}}', coalesce(json_extract_string(j, '$.{name}'), ''))"
-    out = f"replace({out}, '{{presenting_concern}}', coalesce(concern, ''))"
-    out = f"replace({out}, '{{examples}}', coalesce(examples, ''))"
-    return f"regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    parts = []
+    for piece in re.split(r"(\{\w+\})", PROFILE_TEMPLATE):
+        if not piece.startswith("{"):
+            parts.append("'" + piece.replace("\n", "' || chr(10) || '") + "'")
+        elif piece in ("{presenting_concern}", "{examples}"):
+            parts.append(f"coalesce({ {'{presenting_concern}': 'concern', '{examples}': 'examples'}[piece]}, '')")
+        else:
+            parts.append(f"coalesce(json_extract_string(j, '$.{piece[1:-1]}'), '')")
+    filled = " || ".join(parts)
+    return f"regexp_replace(regexp_replace({filled}, '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
 @job("sample_examples", MATCH_SQL.replace("WITH ", "WITH ", 1) + """,
@@ -149,7 +159,7 @@ j3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, match_idx O
     + _h("uid", "match_uid", "CAST(msg_idx AS VARCHAR)", repr(str(SEED))) + """) AS r1 FROM j2) WHERE r1 <= 9),
 j4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY """
     + _h("uid", "'all'", "match_uid", "CAST(msg_idx AS VARCHAR)", repr(str(SEED))) + """) AS r2 FROM j3) WHERE r2 <= 45),
-ex AS (SELECT uid, count(*) AS n_examples, string_agg(message, chr(10) ORDER BY match_idx, msg_idx) AS examples FROM j4 GROUP BY uid),
+ex AS (SELECT uid, count(*) AS n_examples, string_agg(message, ' // ' ORDER BY match_idx, msg_idx) AS examples FROM j4 GROUP BY uid),
 prof AS (SELECT p.uid, p.j, p.concern, coalesce(ex.n_examples, 0) AS n_examples, ex.examples,
                 lower(replace(p.concern, ' ', '_')) AS ck, """ + _h("p.uid", repr(str(SEED))) + """ AS h
          FROM p LEFT JOIN ex ON ex.uid = p.uid)
@@ -165,12 +175,12 @@ def sample_examples(spark, d):
     cms = conv.client_messages(sampled, id_col="uid")
     ex = mt.sample_examples(matches, cms, seed=SEED)
     agg = ex.groupBy("uid").agg(F.count(F.lit(1)).alias("n_examples"),
-                                F.expr("listagg(message, '\\n') WITHIN GROUP (ORDER BY match_idx, msg_idx)").alias("examples"))
+                                F.expr("listagg(message, ' // ') WITHIN GROUP (ORDER BY match_idx, msg_idx)").alias("examples"))
     prof = profiles.join(agg, "uid", "left").withColumn("n_examples", F.coalesce("n_examples", F.lit(0)))
     prof = prof.withColumn("ck", mt.concern_key(F.lit(None).cast("string"), F.col("concern"))) \
         .withColumn("h", mt.hash64(F.col("uid"), F.lit(SEED)))
     prof = group_index(prof, ["ck"], "h", "uid", out="ci")
-    slots = {f: F.col(f"trait_{f}") for f in ["name", "age", "sex_or_gender", "job", "residence"]}
+    slots = {f: F.col(f"trait_{f}") for f in mt.TRAIT_FIELDS}
     slots.update({"presenting_concern": F.col("concern"), "examples": F.col("examples")})
     return prof.select("uid", F.concat(F.col("ck"), F.lit("_"), F.col("ci").cast("string")).alias("profile_key"),
                        "n_examples", mt.profile_prompt(PROFILE_TEMPLATE, slots).alias("prompt"))
