@@ -50,7 +50,7 @@ def _index_keys(line: Column, length: Column, threshold: int) -> Column:
 
 
 def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys under which lines of the same length, or up to ``threshold`` shorter, can be linked with this line.
+    """Keys (null where none fits) under which lines of the same length, or up to ``threshold`` shorter, can be linked with this line.
 
     Segment *i* of the shorter line, if none before it matched, is shifted by at most *i* edits before it and at most
     ``threshold - i`` after it.
@@ -64,7 +64,7 @@ def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
                 at = start + shift
                 fits = (other >= SHORTEST) & (at >= 0) & (at + size <= length)
                 keys.append(F.when(fits, _key(other, i, line, at, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array(*keys)
 
 
 def _counts(line: Column) -> Column:
@@ -137,7 +137,7 @@ def linked_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     entry = sized.select("lid", _counts(line).alias("counts"), _index_keys(line, n, threshold).alias("keys")).select(
         F.explode("keys").alias("key"), F.col("lid").alias("a"), F.col("counts").alias("ca"))
     probe = sized.select("lid", _counts(line).alias("counts"), _probe_keys(line, n, threshold).alias("keys")).select(
-        F.explode("keys").alias("key"), F.col("lid").alias("b"), F.col("counts").alias("cb"))
+        F.explode("keys").alias("key"), F.col("lid").alias("b"), F.col("counts").alias("cb")).where(F.col("key").isNotNull())
     met = entry.join(probe, (entry["key"] == probe["key"]) & (F.col("a") != F.col("b")) & _near(F.col("ca"), F.col("cb"), threshold))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     text = lines.select("lid", "line")
