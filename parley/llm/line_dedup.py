@@ -29,46 +29,42 @@ from .common import WORD, let
 
 THRESHOLD = 1
 SHORTEST = 24
-#: Letters whose counts (modulo 16) must nearly agree before a pair is looked at; common in European languages.
-COUNTED = "eanirsto"
+#: Characters whose counts (modulo 16) must nearly agree before a pair is looked at.
+COUNTED = " en"
+KEY_BITS = 48  # of the hash of a segment; shorter keys shuffle in fewer bytes, and pairs are verified anyway
 _BITS = 62  # width of the bit vectors; additions stay within a signed 64-bit number
 
 
-def _segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the segments of a line: the last ones are one longer if the length does not divide evenly."""
-    n = threshold + 1
-    base, longer = F.floor(length / n).cast("int"), (length % n).cast("int")
-    return [(base * i + F.greatest(F.lit(0), longer - (n - i)), base + (F.lit(n - i) <= longer).cast("int")) for i in range(n)]
+def _shifts(threshold: int) -> list[tuple[int, int, int]]:
+    """(less, i, shift) under which a line probes the lines ``less`` characters shorter.
 
-
-def _key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), line.substr(start + 1, size))
-
-
-def _index_keys(line: Column, length: Column, threshold: int) -> Column:
-    return F.array(*[_key(length, i, line, s, n) for i, (s, n) in enumerate(_segments(length, threshold))])
+    Segment *i* of the shorter line, if none before it matched, is shifted by at most *i* edits before it and at most
+    ``threshold - i`` after it.
+    """
+    return [(less, i, shift) for less in range(threshold + 1) for i in range(threshold + 1)
+            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)]
 
 
-def _probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys (null where none fits) under which lines of the same length, or up to ``threshold`` shorter, can be linked with this line.
+def _keyed(sized: DataFrame, shifts: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """(key, lid, counts): hashes of length, number and text of segments, cut from lines (lid, line, n, counts).
 
-    Segment *i* of the shorter line, if none before it matched, is shifted by at most *i* edits before it and at most
-    ``threshold - i`` after it.
+    The last segments of a line are one longer if its length does not divide evenly. One row per shift comes first and
+    one small expression makes its key, which the JVM compiles; all keys of a line in one expression are too large for that.
     """
-    keys = []
-    for less in range(threshold + 1):
-        other = length - less
-        for i, (start, size) in enumerate(_segments(other, threshold)):
-            low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (other >= SHORTEST) & (at >= 0) & (at + size <= length)
-                keys.append(F.when(fits, _key(other, i, line, at, size)))
-    return F.array(*keys)
+    ways = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in shifts])
+    rows = sized.select("lid", "counts", "line", "n", F.explode(ways).alias("w")).select("lid", "counts", "line", "n", "w.*")
+    other, parts = F.col("n") - F.col("less"), threshold + 1
+    base, longer = F.floor(other / parts).cast("int"), other % parts
+    after = F.lit(parts) - F.col("i")
+    at = base * F.col("i") + F.greatest(F.lit(0), longer - after) + F.col("shift")
+    rows = rows.select("lid", "counts", "line", "n", "i", other.alias("other"), at.alias("at"), (base + (after <= longer).cast("int")).alias("size"))
+    fits = (F.col("other") >= SHORTEST) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
+    key = F.xxhash64("other", "i", F.col("line").substr(F.col("at") + 1, F.col("size"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    return rows.where(fits).select(key.alias("key"), "lid", "counts")
 
 
 def _counts(line: Column) -> Column:
-    """Counts of the counted letters modulo 16, four bits each."""
+    """Counts of the counted characters modulo 16, four bits each."""
     total = F.lit(0).cast("bigint")
     for j, letter in enumerate(COUNTED):
         n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))) % 16
@@ -132,12 +128,9 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
 def linked_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
-    sized = lines.select("lid", "line", F.length("line").alias("n")).where(F.col("n") >= SHORTEST)
-    line, n = F.col("line"), F.col("n")
-    entry = sized.select("lid", _counts(line).alias("counts"), _index_keys(line, n, threshold).alias("keys")).select(
-        F.explode("keys").alias("key"), F.col("lid").alias("a"), F.col("counts").alias("ca"))
-    probe = sized.select("lid", _counts(line).alias("counts"), _probe_keys(line, n, threshold).alias("keys")).select(
-        F.explode("keys").alias("key"), F.col("lid").alias("b"), F.col("counts").alias("cb")).where(F.col("key").isNotNull())
+    sized = lines.select("lid", "line", F.length("line").alias("n"), _counts(F.col("line")).alias("counts")).where(F.col("n") >= SHORTEST)
+    entry = _keyed(sized, [(0, i, 0) for i in range(threshold + 1)], threshold).toDF("key", "a", "ca")
+    probe = _keyed(sized, _shifts(threshold), threshold).toDF("key", "b", "cb")
     met = entry.join(probe, (entry["key"] == probe["key"]) & (F.col("a") != F.col("b")) & _near(F.col("ca"), F.col("cb"), threshold))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     text = lines.select("lid", "line")
@@ -149,7 +142,7 @@ def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(lid, line, first): every distinct line with a word, and the place (key, hash of the text, line number) where it comes first."""
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where(
         F.col("line").rlike(WORD))
-    return rows.groupBy(F.xxhash64("line").alias("lid")).agg(F.min(F.struct("k", "h", "no")).alias("first"), F.first("line").alias("line"))
+    return rows.groupBy(F.xxhash64("line").alias("lid")).agg(F.min(F.struct("k", "h", "no")).alias("first"), F.min("line").alias("line"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
