@@ -14,6 +14,11 @@ coordinates and the node's largest ones; surviving pairs are verified on the
 shingles themselves. Pairs that links already found put in the same group are
 not looked at again.
 
+This is done twice: first on the points alone, which are small, and only nodes
+for which the bound leaves a partner, with the node of most partners as the
+block's new hub, come back with their texts. Blocks connected by common nodes
+are then taken as one, as far as they fit, so that most texts move once.
+
 Blocks are bounded. A larger one is cut into chunks that each hold the hub and
 compare their own nodes; the nodes of any chunk that are not linked with the
 hub's group are then compared with all chunks, as one more set of blocks. No
@@ -37,10 +42,11 @@ from pyspark.sql import functions as F
 from .common import SIMILAR_PERCENT, shingle_set, written
 from .components import connected
 
-SKETCH_BITS = 20  # buckets of the count sketch
-SEEN_OFTEN = 8  # a task reports the buckets it counts as often as this
+SKETCH_BITS = 22  # buckets of the count sketch
+SEEN_OFTEN = 4  # a task reports the buckets it counts as often as this, and well above its mean
 FILTER_BITS = 26  # bits of the filter that selects the texts of candidate nodes
-BLOCK_NODES = 2000
+BLOCK_NODES, BLOCK_SHINGLES = 2000, 2_000_000  # of a block with texts
+BLOCK_POINTS = 20_000  # nodes of a block without
 GROUPS, FANOUT = 128, 16
 
 
@@ -50,22 +56,26 @@ def needed(a, b):
     return -(-total // (100 + SIMILAR_PERCENT))
 
 
+def point_of(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each group."""
+    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+
 class CountTree:
     """Packed R-tree over count vectors, whose nodes keep the largest coordinates and the sizes below them."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    def __init__(self, points: np.ndarray):
+        self.points, self.sizes = points, points.sum(axis=1)
         # leaves hold sets of similar size and, within, similar direction
-        order = np.lexsort((self.points.argmax(axis=1), self.sizes))
-        self.levels = [(self.points[order], self.sizes[order], self.sizes[order], order)]
-        while len(self.levels[-1][0]) > FANOUT:
+        order = np.lexsort((points.argmax(axis=1), self.sizes))
+        self.levels = [(points[order], self.sizes[order], self.sizes[order], order)]
+        while len(self.levels[-1][0]) > 4 * FANOUT:
             top, low, high, _ = self.levels[-1]
             cuts = np.arange(0, len(top), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), None))
 
     def near(self, i: int) -> np.ndarray:
-        """Places of the sets whose bound lets them be linked with set ``i``."""
+        """Places of the sets whose bound lets them be linked with set ``i``, itself included."""
         point, size = self.points[i], int(self.sizes[i])
         alive = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -111,7 +121,7 @@ def links_of(sets: list[np.ndarray], asking: np.ndarray | None = None) -> list[t
     """
     if len(sets) < 2:
         return []
-    tree, overlaps = CountTree(sets), Overlaps(sets)
+    tree, overlaps = CountTree(np.stack([point_of(s) for s in sets])), Overlaps(sets)
     parent = np.arange(len(sets))
 
     def root(x: int) -> int:
@@ -151,7 +161,7 @@ def _longs(*columns, names) -> pa.RecordBatch:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text hash, node, shingles, bucket, count): one per document, and one per bucket that is counted often."""
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     names = ("key", "text_hash", "node", "n", "bucket", "count")
     for batch in batches:
         n, nodes = [], []
@@ -162,9 +172,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         own = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=list(names))
-    often = np.flatnonzero(counts >= SEEN_OFTEN)
+    mean = counts.mean()
+    often = np.flatnonzero(counts >= max(SEEN_OFTEN, mean + 4 * np.sqrt(mean)))
     empty = [pa.nulls(len(often), pa.int64()) for _ in range(4)]
-    yield pa.RecordBatch.from_arrays([*empty, pa.array(often), pa.array(counts[often])], names=list(names))
+    yield pa.RecordBatch.from_arrays([*empty, pa.array(often), pa.array(counts[often].astype(np.int64))], names=list(names))
 
 
 DESCRIBED = "key bigint, text_hash bigint, node bigint, n bigint, bucket bigint, count bigint"
@@ -175,8 +186,8 @@ def _prefixes(sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, counts = sketch.value
-        often = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        often[buckets] = counts
+        often = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        often[buckets] = np.minimum(counts, (1 << 31) - 1)
         done: set[int] = set()
         for batch in batches:
             shingles, nodes = [], []
@@ -219,33 +230,94 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["hub", "node"])
 
 
+def _wanted(bits):
+    """Whether a text hash is in the filter (and not met before in this task)."""
+    places, words = bits.value
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    table[places] = words
+    done: set[int] = set()
+
+    def test(h: int) -> bool:
+        bit = h & ((1 << FILTER_BITS) - 1)
+        if h in done or not int(table[bit >> 6]) >> (bit & 63) & 1:
+            return False
+        done.add(h)
+        return True
+
+    return test
+
+
+def _by_node(sets: list[np.ndarray], values: list[bytes], name: str) -> pa.RecordBatch:
+    nodes = np.array([_node(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values, pa.binary())], names=["node", name])
+
+
+def _points(bits):
+    """Rows (node, point) of the documents whose text hash the filter has, once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _wanted(bits)
+        for batch in batches:
+            sets = [shingle_set(t) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if wanted(h)]
+            yield _by_node(sets, [point_of(s).tobytes() for s in sets], "point")
+
+    return run
+
+
 def _chosen(bits):
-    """Rows (text hash, text) of the documents whose text hash the filter has, once per task."""
+    """Rows (node, compressed text) of the documents whose text hash the filter has, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, words = bits.value
-        table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-        table[places] = words
-        done: set[int] = set()
+        import zstandard
+
+        wanted, packed = _wanted(bits), zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            texts, hashes = [], []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bit = h & ((1 << FILTER_BITS) - 1)
-                if int(table[bit >> 6]) >> (bit & 63) & 1 and h not in done:
-                    done.add(h)
-                    texts.append(text)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.string())], names=["text_hash", "text"])
+            texts = [t for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if wanted(h)]
+            yield _by_node([shingle_set(t) for t in texts], [packed((t or "").encode("utf-8", "surrogatepass")) for t in texts], "text")
 
     return run
 
 
+def _partners(points: np.ndarray) -> np.ndarray:
+    """Per set of a block, how many others the bound lets it be linked with."""
+    if len(points) > 4 * FANOUT:
+        tree = CountTree(points)
+        return np.array([len(tree.near(i)) - 1 for i in range(len(points))])
+    sizes = points.sum(axis=1)
+    bound = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+    return (bound >= needed(sizes[:, None], sizes[None, :])).sum(axis=1) - 1
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, node), under the node of most partners, of the nodes that the bound leaves a partner; input sorted by (hub, node)."""
+
+    def solved(nodes: list[int], points: list[bytes]) -> pa.RecordBatch:
+        partners = _partners(np.frombuffer(b"".join(points), dtype=np.int32).reshape(-1, GROUPS))
+        nodes = np.array(nodes, dtype=np.int64)
+        stay, hub = nodes[partners > 0], nodes[np.argmax(partners)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(stay), hub)), pa.array(stay)], names=["hub", "node"])
+
+    last, nodes, points = None, [], []
+    for batch in batches:
+        for hub, node, point in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if hub != last:
+                if nodes:
+                    yield solved(nodes, points)
+                last, nodes, points = hub, [], []
+            nodes.append(node)
+            points.append(point)
+    if nodes:
+        yield solved(nodes, points)
+
+
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (u, v, met) from rows sorted by block: links, and (node, null, hub) for nodes not linked with their block's hub.
 
     Input: block, part (which chunk of a cut block), hub, node, asks, text.
     """
-    names = ("u", "v", "unmet_hub")
+    import zstandard
+
+    names, unpacked = ("u", "v", "unmet_hub"), zstandard.ZstdDecompressor().decompress
 
     def solved(block):
         hub = block["hub"]
@@ -274,7 +346,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield solved(current)
                 current = {"mark": mark, "hub": r["hub"], "cut": r["cut"], "sets": {}, "asks": {}}
             if r["node"] not in current["sets"]:
-                current["sets"][r["node"]] = shingle_set(r["text"])
+                current["sets"][r["node"]] = shingle_set(unpacked(r["text"]).decode("utf-8", "surrogatepass"))
                 current["asks"][r["node"]] = r["asks"]
             else:
                 current["asks"][r["node"]] |= r["asks"]
@@ -307,23 +379,42 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", block_n
     met = prefixes.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_meetings, "hub bigint, node bigint")
     met = written(met.distinct(), "meetings")
 
-    # the text of one document of every node that met another
-    wanted = met.select("node").unionByName(met.select(F.col("hub").alias("node"))).distinct()
-    source = written(nodes.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(wanted, "node"), "nodes")
-    bit = F.col("text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = source.select(F.shiftrightunsigned(bit, 6).alias("place"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    bits = bits.groupBy("place").agg(F.bit_or("bit").alias("word")).toArrow()  # at most one row per 64 bits of the filter
-    sent = spark.sparkContext.broadcast((bits["place"].to_numpy(), bits["word"].to_numpy()))
-    found = rows.select("text_hash", "text").mapInArrow(_chosen(sent), "text_hash bigint, text string")
-    texts = written(found.join(source, "text_hash").select("node", "text").dropDuplicates(["node"]), "texts")
-
-    sizes = met.groupBy("hub").agg(F.count("*").alias("size"))
-    sized = met.join(sizes, "hub").withColumn("chunks", F.ceil(F.col("size") / block_nodes).cast("int"))
+    def filter_of(nodes: DataFrame):
+        """The nodes with the hash of one of their texts, and the filter for it: at most one row per 64 of its bits."""
+        bit = F.col("text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+        found = written(sources.join(nodes, "node"), "nodes")
+        bits = found.select(F.shiftrightunsigned(bit, 6).alias("place"), one.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("word")).toArrow()
+        return found, spark.sparkContext.broadcast((bits["place"].to_numpy(), bits["word"].to_numpy()))
+
+    sources = nodes.where("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
+    members = met.unionByName(met.select("hub", F.col("hub").alias("node")).distinct())
+    _, bits = filter_of(members.select("node").distinct())
+    points = rows.select("text_hash", "text").mapInArrow(_points(bits), "node bigint, point binary").dropDuplicates(["node"])
+    sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
+    small, large = sizes.where(F.col("size") <= BLOCK_POINTS), sizes.where(F.col("size") > BLOCK_POINTS)
+    placed = members.join(small.select("hub"), "hub").join(points, "node").repartition("hub").sortWithinPartitions("hub", "node")
+    left = placed.select("hub", "node", "point").mapInArrow(_survivors, "hub bigint, node bigint")
+    members = written(left.unionByName(members.join(large.select("hub"), "hub").select("hub", "node")).distinct(), "members")
+
+    # blocks that share nodes become one where that is small enough, so that a text goes to one block
+    together = connected(members.select(F.col("hub").alias("u"), F.col("node").alias("v")))
+    fits = together.join(sources, "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    fits = fits.where((F.col("size") <= block_nodes) & (F.col("shingles") <= BLOCK_SHINGLES)).select("root")
+    placed = members.join(together.withColumnRenamed("node", "hub"), "hub").join(fits.withColumn("fits", F.lit(True)), "root", "left")
+    members = written(placed.select(F.when(F.col("fits"), F.col("root")).otherwise(F.col("hub")).alias("hub"), "node").distinct(), "members")
+
+    source, bits = filter_of(members.select("node").distinct())
+    texts = written(rows.select("text_hash", "text").mapInArrow(_chosen(bits), "node bigint, text binary").dropDuplicates(["node"]), "texts")
+
+    sizes = members.join(source.select("node", "n"), "node").groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    chunks = F.greatest(F.ceil(F.col("size") / block_nodes), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("hub", chunks.alias("chunks"))
+    sized = members.join(sizes, "hub")
     part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    members = sized.select("hub", part.alias("part"), (F.col("chunks") > 1).alias("cut"), "node", F.lit(True).alias("asks"))
-    hubs = sizes.withColumn("chunks", F.ceil(F.col("size") / block_nodes).cast("int")).select(
-        "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), (F.col("chunks") > 1).alias("cut"), F.col("hub").alias("node"), F.lit(True).alias("asks"))
-    solved = written(_solve(members.unionByName(hubs), texts), "links")
+    inside = sized.where("node <> hub").select("hub", part.alias("part"), (F.col("chunks") > 1).alias("cut"), "node", F.lit(True).alias("asks"))
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), (F.col("chunks") > 1).alias("cut"), F.col("hub").alias("node"), F.lit(True).alias("asks"))
+    solved = written(_solve(inside.unionByName(hubs), texts), "links")
     links = solved.where(F.col("unmet_hub").isNull()).select("u", "v")
 
     # nodes of cut blocks that are not linked with the hub's group: compared with every chunk
@@ -331,7 +422,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", block_n
     if not unmet.isEmpty():
         counts = unmet.groupBy("hub").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("askers"))
         ask_part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers")).cast("int")
-        asking = unmet.join(counts, "hub").join(sizes, "hub").withColumn("chunks", F.ceil(F.col("size") / block_nodes).cast("int")).select(
+        asking = unmet.join(counts, "hub").join(sizes, "hub").select(
             "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), ask_part.alias("ask"), "chunks", "node", F.lit(True).alias("asks"))
         asked = sized.join(counts, "hub").select("hub", part.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("ask"), "chunks", "node", F.lit(False).alias("asks"))
         both = asking.unionByName(asked).select("hub", (F.col("ask") * F.col("chunks") + F.col("chunk")).alias("part"), F.lit(False).alias("cut"), "node", "asks")
