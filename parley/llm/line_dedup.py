@@ -1,11 +1,14 @@
 """Line dedup by a segment-partition edit join.
 
-Two distinct lines are linked if their edit distance is at most ``threshold``
-(lines shorter than ``SHORTEST`` only equal themselves). If a line is cut into
-``threshold + 1`` segments, any linked line has one of them as a substring,
-near the same place. Each line is indexed under its segments with its length,
-probes the lengths that can be linked with the substrings that can be aligned,
-and the pairs that meet are verified by banded bit-parallel edit distance.
+Two distinct lines are linked if their edit distance is at most the threshold
+of the shorter one: a sixteenth of its length, at least 1 and at most ``MOST``
+(or one number for all lines). Lines shorter than ``SHORTEST`` only equal
+themselves. Lengths fall into classes of one threshold *t*. If *t* + 1 segments
+are cut from the shorter line, the longer one has one of them as a substring,
+shifted by at most as many places as segments stand before it. Each line is
+indexed under the segments of its class, probes its own class and the one below
+with the substrings that can be aligned, and the pairs that meet are verified
+by banded bit-parallel edit distance.
 
 A line of a document goes if an equal or a linked line comes earlier (by
 document id, then line number) in any document. Lines without a word are
@@ -22,63 +25,89 @@ null id comes first. Extra columns stay as they are. An empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, let
 
-THRESHOLD = 1
+MOST = 8  # edits that replace, drop or add one word
 SHORTEST = 24
 #: Characters whose counts (modulo 16) must nearly agree before a pair is looked at.
-COUNTED = " en"
+COUNTED = " etaoins"
 KEY_BITS = 48  # of the hash of a segment; shorter keys shuffle in fewer bytes, and pairs are verified anyway
 _BITS = 62  # width of the bit vectors; additions stay within a signed 64-bit number
+_LONGEST = 1 << 13  # lines from here on are one class
+
+
+def limit(n: int, threshold: int | None = None) -> int:
+    """Most edits between linked lines the shorter of which has ``n`` characters."""
+    return max(1, min(MOST, n // 16)) if threshold is None else threshold
+
 
+def classes(threshold: int | None = None) -> list[tuple[int, int]]:
+    """(shortest length, threshold) of the classes; each is at least as wide as its threshold, so a line probes two."""
+    out, lo = [], SHORTEST
+    while not out or lo <= _LONGEST:
+        t = limit(lo, threshold)
+        out.append((lo, t))
+        lo = max(lo + max(lo // 4, t), SHORTEST) if threshold is not None or t == MOST else (t + 1) * 16
+    return out
 
-def _shifts(threshold: int) -> list[tuple[int, int, int]]:
-    """(less, i, shift) under which a line probes the lines ``less`` characters shorter.
 
-    Segment *i* of the shorter line, if none before it matched, is shifted by at most *i* edits before it and at most
-    ``threshold - i`` after it.
+def _shifts(threshold: int) -> list[tuple[int, int]]:
+    """(i, shift) under which a line probes a class.
+
+    Take the last segment *i* with at least *i* edits before it: it is whole, with *i* edits before it and at most
+    ``threshold - i`` after it, in a line at most ``threshold`` characters longer.
     """
-    return [(less, i, shift) for less in range(threshold + 1) for i in range(threshold + 1)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)]
+    return [(i, shift) for i in range(threshold + 1) for shift in range(max(-i, i - threshold), i + 1)]
 
 
-def _keyed(sized: DataFrame, shifts: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """(key, lid, counts): hashes of length, number and text of segments, cut from lines (lid, line, n, counts).
+def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]]) -> DataFrame:
+    """(key, lid, sum): hashes of class, number and text of segments, cut from lines (lid, line, n, sum, class).
 
-    The last segments of a line are one longer if its length does not divide evenly. One row per shift comes first and
-    one small expression makes its key, which the JVM compiles; all keys of a line in one expression are too large for that.
+    One row per way comes first and one small expression makes its key, which the JVM compiles; all keys of a line in
+    one expression are too large for that.
     """
-    ways = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(b).alias("i"), F.lit(c).alias("shift")) for a, b, c in shifts])
-    rows = sized.select("lid", "counts", "line", "n", F.explode(ways).alias("w")).select("lid", "counts", "line", "n", "w.*")
-    other, parts = F.col("n") - F.col("less"), threshold + 1
-    base, longer = F.floor(other / parts).cast("int"), other % parts
-    after = F.lit(parts) - F.col("i")
-    at = base * F.col("i") + F.greatest(F.lit(0), longer - after) + F.col("shift")
-    rows = rows.select("lid", "counts", "line", "n", "i", other.alias("other"), at.alias("at"), (base + (after <= longer).cast("int")).alias("size"))
-    fits = (F.col("other") >= SHORTEST) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
-    key = F.xxhash64("other", "i", F.col("line").substr(F.col("at") + 1, F.col("size"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    return rows.where(fits).select(key.alias("key"), "lid", "counts")
-
-
-def _counts(line: Column) -> Column:
-    """Counts of the counted characters modulo 16, four bits each."""
-    total = F.lit(0).cast("bigint")
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("class") + 1)
+    choice = None
+    for t in sorted({t for _, t in known}):
+        own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways(t)])
+        at = F.col("t") == t
+        choice = F.when(at, own) if choice is None else choice.when(at, own)
+    rows = sized.select("lid", "sum", "line", "n", "class", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
+    rows = rows.select("lid", "sum", "line", "n", "class", "size", F.explode(choice).alias("w"))
+    rows = rows.select("lid", "sum", "line", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
+    fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
+    key = F.xxhash64("class", "i", F.col("line").substr(F.col("at") + 1, F.col("size"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    return rows.where(fits).select(key.alias("key"), "lid", "sum")
+
+
+def _summary(line: Column) -> Column:
+    """Counts of the counted characters modulo 16, four bits each, and the length above them."""
+    total = F.length(line).cast("bigint") * (1 << (4 * len(COUNTED)))
     for j, letter in enumerate(COUNTED):
         n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))) % 16
         total = total + n.cast("bigint") * (1 << (4 * j))
     return total
 
 
-def _near(a: Column, b: Column, threshold: int) -> Column:
-    """Whether counts differ by at most what ``threshold`` edits can change (two each)."""
+def _most(n: Column, threshold: int | None) -> Column:
+    """``limit`` as a column."""
+    return F.greatest(F.lit(1), F.least(F.lit(MOST), F.floor(n / 16).cast("int"))) if threshold is None else F.lit(threshold)
+
+
+def _near(a: Column, b: Column, threshold: int | None) -> Column:
+    """Whether line b is as long as line a or longer, and lengths and counts differ by at most what edits can change (a count two each)."""
+    long_a, long_b = (F.shiftright(x, 4 * len(COUNTED)).cast("int") for x in (a, b))
     total = F.lit(0)
     for j in range(len(COUNTED)):
         d = F.abs(F.shiftright(a, 4 * j).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * j).bitwiseAND(F.lit(15)))
         total = total + F.least(d, 16 - d)
-    return total <= 2 * threshold
+    most = _most(long_a, threshold)
+    return (long_b >= long_a) & (long_b - long_a <= most) & (total <= 2 * most)
 
 
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -126,16 +155,24 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), lambda p: of(p["a"], p["b"]))
 
 
-def linked_lines(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def linked_lines(lines: DataFrame, threshold: int | None = None) -> DataFrame:
     """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
-    sized = lines.select("lid", "line", F.length("line").alias("n"), _counts(F.col("line")).alias("counts")).where(F.col("n") >= SHORTEST)
-    entry = _keyed(sized, [(0, i, 0) for i in range(threshold + 1)], threshold).toDF("key", "a", "ca")
-    probe = _keyed(sized, _shifts(threshold), threshold).toDF("key", "b", "cb")
-    met = entry.join(probe, (entry["key"] == probe["key"]) & (F.col("a") != F.col("b")) & _near(F.col("ca"), F.col("cb"), threshold))
+    known = classes(threshold)
+    n = F.length("line")
+    own = sum(((n >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
+    sized = lines.select("lid", "line", n.alias("n"), _summary(F.col("line")).alias("sum"), own.alias("class")).where(F.col("n") >= SHORTEST)
+    # the class below is probed too if a line of it can be linked
+    ends = F.element_at(F.array(*[F.lit(lo - 1 + t) for (lo, _), (_, t) in zip(known[1:], known)]), F.col("class")) if len(known) > 1 else F.lit(-1)
+    below = F.when(F.col("class") == 0, False).otherwise(F.col("n") <= ends)
+    probed = sized.withColumn("class", F.explode(F.when(below, F.array(F.col("class"), F.col("class") - 1)).otherwise(F.array("class"))))
+    entry = _keyed(sized, known, lambda t: [(i, 0) for i in range(t + 1)]).toDF("key", "a", "sa")
+    probe = _keyed(probed, known, _shifts).toDF("key", "b", "sb")
+    met = entry.join(probe, (entry["key"] == probe["key"]) & (F.col("a") != F.col("b")) & _near(F.col("sa"), F.col("sb"), threshold))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     text = lines.select("lid", "line")
     both = pairs.join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b")
-    return both.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
+    shorter = F.least(F.length("line_a"), F.length("line_b"))
+    return both.where(edit_distance(F.col("line_a"), F.col("line_b"), max(t for _, t in known)) <= _most(shorter, threshold)).select("a", "b")
 
 
 def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,7 +182,7 @@ def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.groupBy(F.xxhash64("line").alias("lid")).agg(F.min(F.struct("k", "h", "no")).alias("first"), F.min("line").alias("line"))
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the lines that stay; ``__n_lines`` and ``__n_removed`` count lines with a word and those that went."""
     lines = distinct_lines(docs, key, text)
     pairs = linked_lines(lines, threshold)

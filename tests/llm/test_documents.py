@@ -43,6 +43,27 @@ def test_linked_lines_are_all_within_the_threshold(spark, threshold):
     assert got == want
 
 
+def test_lines_with_one_edited_word_are_linked(spark):
+    rng = random.Random(11)
+    lines = set()
+    for n in (25, 31, 33, 47, 49, 63, 66, 79, 82, 97, 111, 113, 126, 129, 133, 158, 163, 201, 252, 400, 900):
+        base = ""
+        while len(base) < n:
+            base += rng.choice(["thorreou", "nterti", "is", "by", "whst", "漢字é", "ndble"]) + " "
+        base = base[:n]
+        lines.add(base)
+        for _ in range(6):
+            k, size = rng.randrange(n), rng.randint(1, 9)
+            lines.add(rng.choice([base[:k] + base[k + size:], base[:k] + "whstndernt"[:size] + base[k:], base[:k] + "q" * size + base[k + size:]]))
+    lines = sorted(lines)
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("lid"), "line")
+    text = {r["lid"]: r["line"] for r in df.collect()}
+    got = {tuple(sorted((text[r["a"]], text[r["b"]]))) for r in line_dedup.linked_lines(df).collect()}
+    want = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1:]
+            if (m := min(len(a), len(b))) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= 8 and brute.edit_distance(a, b) <= max(1, min(8, m // 16))}
+    assert got == want and any(abs(len(a) - len(b)) == 8 for a, b in want)
+
+
 def test_line_dedup_keeps_the_first_of_linked_lines(docs_of):
     a = "a line that is long enough to be compared"
     rows = [(3, f"{a}\n\nown line of three\nshort"), (1, f"first own line\n{a}\n{a}!"), (2, "short\n" + a.replace("long", "1ong")), (4, None), (5, ""), (5, ""), (None, "short\nno id")]
