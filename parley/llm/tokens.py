@@ -3,7 +3,8 @@
 A byte-level BPE file splits a text before it merges, always between other
 characters and a blank after them and between a letter and what is no letter
 after it. So a text is cut there, and the ids of such a chunk are kept for the
-next time it comes. Texts in which blanks meet are encoded whole. Either way
+next time it comes. The string of a special token in a text is that token; it
+starts with neither letter nor blank and holds no blank, so a chunk has it whole. Texts in which blanks meet are encoded whole. Either way
 the ids are those of the library.
 """
 
@@ -39,7 +40,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or tokenizer_path())
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept: dict[str, bytes | None] = {}
         self.chars = 0
         self.chunks = re.compile(rf"[ \n]?[{LETTERS}]+(?![^\W\d_])|[ \n]?[^ \n]+").findall

@@ -34,6 +34,19 @@ def test_chunked_ids_are_the_library_s(encoder):
         assert ids.tolist() == library_ids(encoder, text, 0)[:-1].tolist(), text
 
 
+def test_ids_are_those_of_a_fresh_library_object(encoder):
+    from tokenizers import Tokenizer
+
+    from parley.llm.tokens import tokenizer_path
+
+    fresh, rng, end = Tokenizer.from_file(tokenizer_path()), random.Random(12), "<|endoftext|>"
+    assert encoder.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+    texts = [end, end * 2, f"abc{end}def", f"x²{end}5", f"a\n{end}\nb", f"it's{end}'s", f"a  {end}  b", f"<|{end}|>", "<|endoftext", "<|endof text|>"]
+    texts += ["".join(rng.choice(["a", "bé", "'s", "²", "5", ".", " ", "\n", "<|", "|>", "漢", end]) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+
+
 def test_planes_round_trip_and_joined_crc():
     rng = np.random.default_rng(0)
     for ids in (np.empty(0, "<u4"), np.zeros(9, "<u4"), rng.integers(0, 50257, 1001).astype("<u4"), rng.integers(0, 1 << 32, 77).astype("<u4")):
