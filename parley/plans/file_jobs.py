@@ -37,7 +37,8 @@ FROM ({_EXTRACT.replace("FROM clines WHERE ", "FROM clines WHERE NOT contains(li
 def jsonl_completions(spark, d):
     """Completion lines written as JSONL files, scanned from their directory (blank lines skipped) and extracted."""
     path = _folder(spark, "jsonl")
-    lines = inputs.completion_lines(spark, d).where(~F.col("line").contains("\n"))  # a line of a file has no line end inside
-    lines.select("line").write.text(path)
+    lines = inputs.completion_lines(spark, d)
+    escaped = F.replace(F.replace("line", F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))  # a line of a file has no line end inside
+    lines.select(escaped.alias("line")).write.text(path)
     out = jg.completion_extract(files.scan_jsonl(spark, path), pos_col="line_hash")
     return out.select("prompt_template_name", "content", "input_file_name", "status", "error", "normalized_text")

@@ -82,3 +82,13 @@ def test_wholetext_sinks_and_small_helpers(spark):
                                 "metadata struct<uid:string>")
     q = rec.select(record_to_query(F.col("body"), F.col("prompt"), F.col("messages"), F.col("metadata")).alias("q")).first().q
     assert q == "m1\nm2"
+
+
+def test_jsonl_completions_returns_every_line(spark):
+    from parley.plans import file_jobs, judge_jobs  # noqa: F401 - they register the jobs
+    from parley.plans.registry import JOBS
+
+    sf, cols = "/root/testdata/sf0.01", ["prompt_template_name", "content", "input_file_name", "status", "error", "normalized_text"]
+    want = JOBS["extract_completions"](spark, sf).select(*cols).collect()
+    got = JOBS["jsonl_completions"](spark, sf).select(*cols).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
