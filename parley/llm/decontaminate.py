@@ -16,7 +16,8 @@ never shuffled.
 An item of fewer than five words is one shingle, its whole word sequence, and
 is looked for among the document's runs of as many words.
 
-Edge cases: a null or blank item has no shingles and is in no document; a null
+Edge cases: a null or blank item text has no shingles and is in no document; an
+item whose id is null is looked for like any other and comes first in a match list; a null
 or blank document has none either. Equal items are all reported. Repeated
 documents are reported as often as they come. Empty tables give no matches
 (and documents without matches stay as they are).
@@ -87,7 +88,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
     """The items, a bounded number of shingles at a time (read one by one from Spark, never all at once)."""
     held, size = [], 0
     for row in benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where(
-            F.col("item").isNotNull() & F.col("text").isNotNull()).toLocalIterator():
+            F.col("text").isNotNull()).toLocalIterator():
         words = word_hashes(row["text"])
         if not len(words):
             continue
@@ -122,7 +123,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
                 found = []
                 for text, old in zip(batch.column(place).to_pylist(), before):
                     new = [{"item_id": index.ids[k], "containment": c} for k, c in index.found(word_hashes(text))]
-                    found.append(sorted(old + new, key=lambda m: m["item_id"]) if new else old)
+                    found.append(sorted(old + new, key=lambda m: (m["item_id"] is not None, m["item_id"] or 0)) if new else old)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _ARROW)], names=list(names))
 
         current = current.mapInArrow(search, schema)

@@ -180,6 +180,15 @@ def test_containment_matches_exact_sets(spark, docs_of):
     assert decontaminate.remove(docs_of(docs).limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_found(spark, docs_of):
+    bench = spark.createDataFrame([(4, ITEM), (None, ITEM.upper()), (None, "seven other words that stand alone here"), (-3, ITEM), (None, None)], "item_id bigint, text string")
+    docs = docs_of([(0, "lead " + ITEM), (1, "so seven other words that stand alone here"), (2, "clean")])
+    for block in (1 << 20, 1):
+        found = {r["doc_id"]: [m["item_id"] for m in r["__items"]] for r in decontaminate.matches(docs, bench, block_shingles=block).collect()}
+        assert found == {0: [None, -3, 4], 1: [None], 2: []}
+    assert [r["doc_id"] for r in decontaminate.remove(docs, bench).collect()] == [2]
+
+
 def plain_spans(text):
     text, found = text or "", []
     for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
