@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_store, toxicity
+from . import (chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_store, toxicity, url_filter)
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.transform("__items", lambda m: m["item_id"].cast("string")), ",")
     return found.select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.size("__items").cast("bigint").alias("n_items"),
                         ids.alias("item_ids"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '(?s)\A(.*?)://([^/?#]*)([^?#]*)\??([^#]*)', 2), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)\A(.*?)://([^/?#]*)([^?#]*)\??([^#]*)', 3), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '(?s)\A(.*?)://([^/?#]*)([^?#]*)\??([^#]*)', 4), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS params
+  FROM pages),
+c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '\Awww\.', ''), ':(80|443)\z', '') || rtrim(path, '/')
+           || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
+  FROM p),
+rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+best AS (
+  SELECT host, path, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(verdict, length(h || rules.p)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM c) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p)
+  GROUP BY host, path),
+listed AS (SELECT DISTINCT canonical FROM c WHERE page_id % 20 = 0 AND canonical IS NOT NULL)
+SELECT c.page_id, c.host, c.path, best.rule, coalesce(best.verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN best ON best.host = c.host AND best.path = c.path LEFT JOIN listed ON listed.canonical = c.canonical
+"""
+
+
+@job("op11_url_filter", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL: rules, then the listed URLs (those of the pages whose id is divisible by 20)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, pages.where(F.col("page_id") % 20 == 0))
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
