@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import table
 
-from . import (chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, suffix_dedup, token_store, toxicity, url_filter)
+from . import (alignment, chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, spelling,
+               suffix_dedup, token_store, toxicity, url_filter)
 from .common import shared_dir, written
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +224,45 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge(pages, pages.where(F.col("page_id") % 20 == 0))
     return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS c
+  FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+'), lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(doc_id || ':' || w)) AS x FROM runs),
+steps AS (
+  SELECT *, flatten(list_transform(generate_series(1, length(x), 2), lambda i: [256 + 16 * (strpos('0123456789ABCDEF', x[i]) - 1) + strpos('0123456789ABCDEF', x[i + 1]) - 1, 0, 0, 0, 0, 0, 0, 0, 0])) AS s
+  FROM bytes),
+crc AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, s::BIGINT[]),
+         lambda h, v: CASE WHEN v >= 256 THEN xor(h, v - 256) WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384::BIGINT) ELSE h >> 1 END), 4294967295::BIGINT) AS h
+  FROM steps),
+changed AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM crc),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (SELECT word, g.i, substr(word, 1, g.i - 1) || substr(word, g.i + 1) AS d FROM words, unnest(generate_series(1, length(word)::INT)) AS g(i)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON words.word = less.d
+  UNION SELECT words.word, less.word FROM less JOIN words ON words.word = less.d),
+best AS (
+  SELECT a AS word, count(*) AS n_near, first(b ORDER BY words.n DESC, b) AS b, max(words.n) AS m FROM near JOIN words ON words.word = b GROUP BY a),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * words.n THEN b END AS form, CASE WHEN m >= 5 * words.n THEN m END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+chain AS (SELECT word, word AS r, 0 AS k FROM forms UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON forms.word = chain.r WHERE forms.form IS NOT NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(r, k) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+@job("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents (some occurrences having lost a letter, as the contract says) and the form each goes back to."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), drop_every=199))
+
+
+@job("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document, with the corpus counts of the linked ids."""
+    return alignment.score(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id").drop("row")
