@@ -27,6 +27,27 @@ def group_index(df: DataFrame, keys: list[str], hash_col: str, tie_col: str, out
     return d.withColumn(out, F.col("_off") + F.row_number().over(w) - 1).drop("_nb", "_b", "_off")
 
 
+def ordered_index(df: DataFrame, keys: list[str], id_col: str, out: str = "group_idx", ids_per_bucket: int = 100_000,
+                  per_key: DataFrame | None = None) -> DataFrame:
+    """0-based index of each row inside its ``keys`` group, in order of an integer id.
+
+    A group is cut into ranges of ids; offsets come from the counts of these ranges, and rows are numbered inside their
+    range, so no task holds a whole group. ``per_key`` (one row per key) adds its columns on the way, without a join of
+    its own that would bring a group together.
+    """
+    d = df.withColumn("_b", F.floor(F.col(id_col) / ids_per_bucket))
+    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if per_key is not None:
+        counts = counts.join(per_key, keys)
+    left, right = d.alias("d"), counts.alias("c")  # null ids are a range of their own
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_b"]]
+    d = left.join(right, on).select("d.*", "c._off", *[f"c.{x}" for x in (per_key.columns if per_key is not None else []) if x not in keys])
+    w = Window.partitionBy(*keys, "_b").orderBy(id_col)
+    return d.withColumn(out, F.col("_off") + F.row_number().over(w) - 1).drop("_b", "_off")
+
+
 def segmented_scan(df: DataFrame, keys: list[str], pos: str, specs: list[tuple[str, str, str, bool]],
                    chunk_rows: int = 1_000_000, totals: bool = False) -> DataFrame:
     """Running aggregates per ``keys`` in ``pos`` order, computed chunk-parallel (a parallel prefix scan).

@@ -242,10 +242,9 @@ def dialogue_cleanup(replies: DataFrame, max_messages: int = 100, marker: str =
     r = segmented_scan(r, [id_col], "turn", [("_gate_l", "last", "_gate_p", True)], chunk_rows)
     r = r.withColumn("_gate", F.coalesce(F.col("_gate_l"), F.col("_hist") < 2 * max_messages))
     kept = r.filter((F.col("_ended") == 0) & F.col("_gate"))
-    exchanges = kept.groupBy(id_col).agg(F.count_if(F.col("role") == "user").alias("n_exchanges"))
-    kept = kept.join(exchanges, id_col)
+    kept = kept.join(turn_count(kept, id_col, "user"), id_col)
     return kept.select(id_col, "turn", "role", F.posexplode("_parts").alias("part_idx", "message"),
-                       "n_exchanges", (F.col("n_exchanges") * 2).alias("n_conversation_turns"))
+                       "n_exchanges", "n_conversation_turns")
 
 
 def _java_quote(s: str) -> str:

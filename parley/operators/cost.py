@@ -3,15 +3,20 @@
 Price tables are fixed configuration (a few dozen rows): they are inlined as
 literal arrays / maps, so a lookup is a per-row expression and never a join.
 Totals are single global aggregates (partial per task, one final merge).
-Batches are filled by row numbers within length classes, a set-based rule whose
-result depends on the items alone.
+Batches are filled by row numbers within length classes, a set-based rule, or as
+one pass over all items would; either result depends on the items alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.functions.ranking import ordered_index
+
 from parley.functions.text import col_
 
 # Fixed values: $ per 1M tokens {model: (input, output, batch_input, batch_output)} and the fallback row.
@@ -154,3 +159,49 @@ def pack_batches(items: DataFrame, id_col: str, tokens_col: str, max_tokens: int
     batch = F.floor(F.col("_i") / fits).cast("bigint")
     return numbered.select(id_col, "tokens", "size_class", batch.alias("batch_in_class"), (F.col("_i") % fits).cast("bigint").alias("pos_in_batch"),
                            F.concat_ws("-", F.col("size_class").cast("string"), batch.cast("string")).alias("batch_id"))
+
+
+def _greedy_plan(max_tokens: int, max_items: int | None):
+    """Sequential rule over (tokens, n) in ascending order of tokens, on runs of equal items instead of items."""
+    endless = 1 << 62
+    most = endless if max_items is None else max_items
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, items, used = -1, 0, 0  # the open batch; none before the first item
+        for frame in frames:
+            rows = []
+            for t, n in zip(frame["tokens"].tolist(), frame["n"].tolist()):
+                full = min(max(1, max_tokens // t) if t else endless, most)
+                fits = 0 if batch < 0 or used > max_tokens else min((max_tokens - used) // t if t else endless, most - items)
+                rows.append((t, batch, items, fits, full))
+                if n <= fits:
+                    items, used = items + n, used + n * t
+                else:
+                    closed = (n - fits - 1) // full
+                    batch, items = batch + 1 + closed, n - fits - closed * full
+                    used = items * t
+            yield pd.DataFrame(rows, columns=["tokens", "open_batch", "open_items", "fits", "full"])
+
+    return run
+
+
+def greedy_batches(items: DataFrame, id_col: str, tokens_col: str, max_tokens: int, max_items: int | None = None,
+                   ids_per_bucket: int = 100_000) -> DataFrame:
+    """The batches of a sequential pass over all items, shortest first (equal ones by integer id): an item that would take
+    the open batch over ``max_tokens`` (or ``max_items``) opens the next one. An item longer than that is a batch alone.
+
+    In this order, items of one length follow one another, and what the pass does with a run of equal items is
+    arithmetic: some fill the open batch, the others make full batches. So the pass goes over the counts of the
+    lengths (one row per different length, however many items there are), and every item finds its batch from its index
+    within its length. A length that many items have is numbered by ranges of ids, in many tasks.
+
+    Null or negative lengths count as 0. Repeated rows are items of their own. No items give no batches.
+    """
+    df = items.select(F.col(id_col), F.greatest(F.coalesce(F.col(tokens_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("tokens"))
+    lengths = df.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).repartition(1).sortWithinPartitions("tokens")
+    plan = lengths.mapInPandas(_greedy_plan(max_tokens, max_items), "tokens bigint, open_batch bigint, open_items bigint, fits bigint, full bigint")
+    d = ordered_index(df, ["tokens"], id_col, "_i", ids_per_bucket, per_key=plan)
+    later = F.col("_i") - F.col("fits")
+    batch = F.when(later < 0, F.col("open_batch")).otherwise(F.col("open_batch") + 1 + F.floor(later / F.col("full")))
+    pos = F.when(later < 0, F.col("open_items") + F.col("_i")).otherwise(later % F.col("full"))
+    return d.select(id_col, "tokens", batch.cast("bigint").alias("batch"), pos.cast("bigint").alias("pos_in_batch"))

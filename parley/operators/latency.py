@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions.text import to_float_safe
 from parley.operators.runs import discover_runs
 
 # Observation name prefixes.
@@ -65,7 +66,7 @@ def latency_metrics(traces: DataFrame, observations: DataFrame, dataset: str,
     c = turn_number(name, COUNSELOR_PREFIXES)
     side = F.when(p.isNotNull(), F.lit("patient")).when(e.isNotNull() | c.isNotNull(), F.lit("counselor"))
     turn = F.coalesce(p, e, c)
-    lat = F.col("latency").cast("string").try_cast("double")
+    lat = to_float_safe("latency")
     classified = obs.select("trace_id", side.alias("side"), turn.alias("turn"), lat.alias("lat")).filter(F.col("side").isNotNull())
     per_turn = classified.groupBy("trace_id", "turn").agg(
         F.max((F.col("side") == "patient").cast("int")).alias("has_p"),
@@ -86,7 +87,7 @@ def latency_metrics(traces: DataFrame, observations: DataFrame, dataset: str,
     t = t.select("run_name", "trace_id",
                  F.coalesce(meta, F.col("n_turns"), F.lit(0)).alias("counselor_turns"),
                  F.coalesce(meta * 2, F.col("n_p") + F.col("n_c"), F.lit(0)).alias("conversation_turns"),
-                 F.col("latency").cast("string").try_cast("double").alias("trace_latency"), "x_sum", "x_n")
+                 to_float_safe("latency").alias("trace_latency"), "x_sum", "x_n")
     g = t.groupBy("run_name").agg(
         F.count("trace_id").alias("n_traces"),
         F.sum("x_sum").alias("x_sum"), F.sum("x_n").alias("x_n"),

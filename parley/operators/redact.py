@@ -1,9 +1,9 @@
 """Redaction and its evaluation: names, placeholder extension, patterns, spans, accuracy report.
 
 Everything is a row-local JVM expression (``regexp_replace`` / ``regexp_count``
-/ ``aggregate`` + ``overlay``) except the injected span detector, which runs as
-an Arrow-batched ``mapInPandas``, and the name list, which is joined with the
-words of the texts.
+/ ``aggregate`` + ``overlay``) except the injected span detector, which runs over
+Arrow batches of texts, or of windows of long texts, and the name list, which
+is joined with the words of the texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,9 +145,13 @@ def redact_patterns_df(df: DataFrame, text_col: str, out_col: str, count_prefix:
     return df.withColumnRenamed(prev, out_col)
 
 
-def resume(target, compute: Column) -> Column:
-    """Process only rows whose target is still NULL (resume an interrupted run)."""
-    return F.when(col_(target).isNull(), compute).otherwise(col_(target))
+def resume(df: DataFrame, target: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Go on with an interrupted run: ``process`` gets the rows whose target is still NULL, the others stay as they are.
+
+    ``resumed`` tells them apart; columns that only ``process`` adds are NULL for the others.
+    """
+    todo, done = df.filter(F.col(target).isNull()), df.filter(F.col(target).isNotNull())
+    return process(todo).withColumn("resumed", F.lit(False)).unionByName(done.withColumn("resumed", F.lit(True)), allowMissingColumns=True)
 
 
 def relabel_newlines(c) -> Column:
@@ -162,18 +168,120 @@ SPAN_SCHEMA = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
                                         T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def detect_spans(df: DataFrame, text_col: str, detector: Callable[[str], list[tuple[int, int, str, float]]],
-                 out_col: str = "spans") -> DataFrame:
-    """Run an injected detector (text -> [(start, end, label, score)], 0-based, end exclusive) over Arrow batches."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, SPAN_SCHEMA)])
+Detector = Callable[[str], list[tuple[int, int, str, float]]]
+
+
+def detect_spans(df: DataFrame, text_col: str, detector: Detector, out_col: str = "spans") -> DataFrame:
+    """Run an injected detector (text -> [(start, end, label, score)], 0-based, end exclusive) over Arrow batches of the text alone."""
+
+    @F.pandas_udf(SPAN_SCHEMA)
+    def _detect(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": int(s), "end": int(e), "label": lab, "score": float(sc)} for s, e, lab, sc in detector(t)]
+                          if isinstance(t, str) else [] for t in texts])
+
+    return df.withColumn(out_col, _detect(col_(text_col)))
+
+
+#: Tokens a detector takes at once, those at either end of a window that are there for context, and what a token is
+#: (a piece of a word, or one other character; the same for the JVM and for Python).
+WINDOW_TOKENS, CONTEXT_TOKENS = 510, 32
+_JVM_TOKEN, _PY_TOKEN = r"(?U)[\p{L}\p{N}_]{1,50}|[^\p{L}\p{N}_\s]", r"\w{1,50}|[^\w\s]"
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = [[{"start": int(s), "end": int(e), "label": lab, "score": float(sc)} for s, e, lab, sc in detector(t)]
-                     if isinstance(t, str) else [] for t in pdf[text_col]]
-            yield pdf.assign(**{out_col: spans})
+def _left_to_right(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans in order of their start (the longer first), without those that start before an earlier one has ended."""
+    kept, pos = [], 0
+    for start, end, label in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if start >= pos:
+            kept.append((start, end, label))
+            pos = max(end, start)
+    return kept
 
-    return df.mapInPandas(run, schema)
+
+def _replaced(text: str, spans: list[tuple[int, int, str]], placeholders: dict[str, str]) -> str:
+    parts, pos = [], 0
+    for start, end, label in spans:
+        parts += (text[pos:start], placeholders.get(label, "<PHI>"))
+        pos = end
+    return "".join([*parts, text[pos:]])
+
+
+def text_windows(texts: DataFrame, max_tokens: int = WINDOW_TOKENS, context: int = CONTEXT_TOKENS) -> DataFrame:
+    """(key, text) -> (key, no, at, own_lo, own_hi, text): windows of at most ``max_tokens`` tokens, as rows spread over tasks.
+
+    A window owns the code points from ``own_lo`` to ``own_hi`` of its text, which starts at ``at`` in the whole text;
+    every code point has one owner. Up to ``context`` tokens of the neighbours stand on either side.
+    """
+    stride = max_tokens - 2 * context
+    if stride < 1:
+        raise ValueError("a window has no room beside its context")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, names = re.compile(_PY_TOKEN), ["key", "no", "at", "own_lo", "own_hi", "text"]
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                starts = np.fromiter((m.start() for m in token.finditer(text)), dtype=np.int64)
+                rows = []
+                for no, k in enumerate(range(0, max(len(starts), 1), stride)):
+                    def begin(i):  # of token i; the first and the last window reach to the ends of the text
+                        return 0 if i <= 0 else int(starts[i]) if i < len(starts) else len(text)
+                    at = begin(k - context)
+                    rows.append((key, no, at, begin(k), begin(k + stride), text[at:begin(k + stride + context)]))
+                    if len(rows) == 256 or k + stride >= len(starts):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                        rows = []
+
+    windows = texts.mapInArrow(run, "key string, no bigint, at bigint, own_lo bigint, own_hi bigint, text string")
+    # a number of partitions, as few bytes would else be few tasks, and a detector is slow
+    return windows.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "no")
+
+
+def redact_spans(df: DataFrame, text_col: str, detector: Detector, out_col: str, n_col: str = "n_spans", threshold: float = SPAN_THRESHOLD,
+                 placeholders: dict[str, str] | None = None, max_tokens: int = WINDOW_TOKENS, context: int = CONTEXT_TOKENS) -> DataFrame:
+    """Detected spans of at least ``threshold`` replaced by their label's placeholder (unknown label -> <PHI>), and their number.
+
+    The detector never sees more than ``max_tokens`` tokens. Texts that fit are detected and rewritten in one Arrow pass
+    over the text alone, where they are. Longer ones become windows, spread over all tasks, equal texts once; a span
+    counts where the window owns its start, so it is found once, with context on both sides, also across window
+    ends. Spans of a text then apply from left to right; what starts inside an earlier span is left out. The result is
+    that of the whole text for spans that a detector can tell from ``context`` tokens around their start.
+    NULL texts stay NULL with 0 spans.
+    """
+    labels = dict(placeholders or ENTITY_PLACEHOLDER)
+
+    @F.pandas_udf("text string, n int")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            spans = _left_to_right([(s, e, lab) for s, e, lab, sc in detector(t) if sc is not None and sc >= threshold]) if isinstance(t, str) else []
+            out.append((_replaced(t, spans, labels) if spans else t, len(spans)))
+        return pd.DataFrame(out, columns=["text", "n"])
+
+    def of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
+        for batch in batches:
+            spans, own = [], []
+            for r in batch.to_pylist():
+                found = [(r["at"] + s, r["at"] + e, lab) for s, e, lab, sc in detector(r["text"]) if sc is not None and sc >= threshold]
+                spans.append([{"start": s, "end": e, "label": lab} for s, e, lab in found if r["own_lo"] <= s < r["own_hi"]])
+                own.append(r["text"][r["own_lo"] - r["at"]:r["own_hi"] - r["at"]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.string()), pa.array(spans, kind)], names=["key", "no", "own", "spans"])
+
+    def together(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("no")
+        spans = _left_to_right([(x["start"], x["end"], x["label"]) for some in pieces["spans"] for x in some])
+        return pd.DataFrame([(pieces["key"].iloc[0], _replaced("".join(pieces["own"]), spans, labels), len(spans))], columns=["key", "text", "n"])
+
+    text, row = F.col("row." + text_col), F.struct(*[F.col(c) for c in df.columns]).alias("row")
+    tokens = F.when(F.length(text_col) > max_tokens, F.regexp_count(F.col(text_col), F.lit(_JVM_TOKEN)))  # shorter ones have no more
+    rows = df.select(row, (F.coalesce(tokens, F.lit(0)) > max_tokens).alias("long"))
+    short = rows.where("NOT long").select("row", whole(text).alias("out"))
+    long = rows.where("long").select("row", F.sha2(text, 256).alias("key"))
+    windows = text_windows(long.select("key", text.alias("text")).dropDuplicates(["key"]), max_tokens, context)
+    found = windows.mapInArrow(of_windows, "key string, no bigint, own string, spans array<struct<start:bigint,end:bigint,label:string>>")
+    done = found.groupBy("key").applyInPandas(together, "key string, text string, n int").select("key", F.struct("text", "n").alias("out"))
+    both = short.unionByName(long.join(done, "key").select("row", "out"))
+    return both.select(*[F.col(f"row.{c}").alias(c) for c in df.columns if c not in (out_col, n_col)], F.col("out.text").alias(out_col), F.col("out.n").alias(n_col))
 
 
 def apply_spans(text, spans, threshold: float = SPAN_THRESHOLD,
@@ -253,5 +361,5 @@ def accuracy_report(df: DataFrame, methods: list[str], error_col_fmt: str = "err
 
 
 __all__ = ["redact_names", "redact_extend", "redact_patterns_df", "resume", "relabel_newlines",
-           "crosswalk", "detect_spans", "apply_spans", "regex_detector", "union_annotations", "accuracy_report",
+           "crosswalk", "detect_spans", "apply_spans", "redact_spans", "text_windows", "regex_detector", "union_annotations", "accuracy_report",
            "collapse_ws"]

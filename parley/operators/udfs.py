@@ -27,6 +27,43 @@ def embedder(fn: Callable[[pd.Series], list]) -> Callable[[Column], Column]:
     return _embed
 
 
+def request_embedder(call: Callable[[list[str]], list], max_items: int = 2048, max_tokens: int = 250_000,
+                     count: Callable[[str], int] | None = None) -> Callable[[Column], Column]:
+    """Embed through requests of bounded size: ``call(texts)`` gets at most ``max_items`` texts and ``max_tokens`` tokens.
+
+    A text that would take the open request over a limit opens the next one; a text longer than the limit goes alone.
+    The open request is carried over Arrow batches, so a task sends no request that could still take the next text, and
+    holds one request. Blank and NULL texts are sent as one blank. A reply of another length than its request is an error.
+    ``count`` gives a text's tokens (default: ceil(characters / 4)).
+    """
+    tokens = count or (lambda text: -(-len(text) // 4))
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        request: list[str] = []
+        used = 0
+
+        def sent() -> pd.Series:
+            vectors = list(call(request))
+            if len(vectors) != len(request):
+                raise ValueError(f"{len(vectors)} vectors for a request of {len(request)} texts")
+            return pd.Series(vectors)
+
+        for batch in batches:
+            for text in batch:
+                text = text if isinstance(text, str) and text.strip() else " "
+                n = tokens(text)
+                if request and (used + n > max_tokens or len(request) >= max_items):
+                    yield sent()
+                    request, used = [], 0
+                request.append(text)
+                used += n
+        if request:
+            yield sent()
+
+    return _embed
+
+
 def feature_embedding(texts: pd.Series) -> list[list[float]]:
     """Deterministic 64-d stub: [chars/1000, vowel share, space share, digit share], sixteen times."""
     s = texts.fillna("")

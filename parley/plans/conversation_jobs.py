@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.operators import conversation as conv
+from parley.operators import transcripts
 from parley.plans import inputs
 from parley.plans.registry import job
 from parley.plans.sqlparts import BLOCKS, LINES, PAIRS, TRANSCRIPTS, strip, with_
@@ -32,6 +33,19 @@ def history_pairs(spark, d):
         "convo_history", "counselor_message")
 
 
+TAIL_CHARS = 2000
+
+
+@job("history_tails", with_(TRANSCRIPTS, LINES, BLOCKS, PAIRS) + f"""
+SELECT conversation_id, pair_idx, length(convo_history) AS history_chars,
+       CASE WHEN length(convo_history) > {TAIL_CHARS} THEN right(convo_history, {TAIL_CHARS}) ELSE convo_history END AS history_tail,
+       counselor_message AS message
+FROM pairs""")
+def history_tails(spark, d):
+    """Turns -> lines, chunks and ranges -> the last 2000 characters before each counselor block (no transcript string)."""
+    return transcripts.history_tails(inputs.turns(spark, d), TAIL_CHARS)
+
+
 SQL_EVAL_ITEMS = with_(TRANSCRIPTS, LINES, BLOCKS, PAIRS, """
 t AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY pair_idx) AS rn,
              count(*) OVER (PARTITION BY conversation_id) AS cnt FROM pairs),

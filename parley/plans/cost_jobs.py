@@ -85,3 +85,20 @@ def pack_batches(spark, d):
     """Prompts -> estimated tokens -> batches of similar length and at most 40k tokens, shortest first."""
     docs = inputs.table(spark, d, "documents").select("doc_id", cs.estimate_tokens(F.col("text")).alias("tokens"))
     return cs.pack_batches(docs, "doc_id", "tokens", PACK_MAX_TOKENS)
+
+
+@job("greedy_batches", f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_TOK.format(x="text")} AS tokens FROM documents),
+s AS (SELECT doc_id, tokens, row_number() OVER (ORDER BY tokens, doc_id) AS i FROM t),
+g AS (
+  SELECT i, doc_id, tokens, tokens AS used, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS pos FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.i, s.doc_id, s.tokens, CASE WHEN g.used + s.tokens > {PACK_MAX_TOKENS} THEN s.tokens ELSE g.used + s.tokens END,
+         CASE WHEN g.used + s.tokens > {PACK_MAX_TOKENS} THEN g.batch + 1 ELSE g.batch END,
+         CASE WHEN g.used + s.tokens > {PACK_MAX_TOKENS} THEN 0 ELSE g.pos + 1 END
+  FROM g JOIN s ON s.i = g.i + 1)
+SELECT doc_id, tokens, batch, pos AS pos_in_batch FROM g""")
+def greedy_batches(spark, d):
+    """Prompts -> estimated tokens -> the batches of one pass over them, shortest first, of at most 40k tokens."""
+    docs = inputs.table(spark, d, "documents").select("doc_id", cs.estimate_tokens(F.col("text")).alias("tokens"))
+    return cs.greedy_batches(docs, "doc_id", "tokens", PACK_MAX_TOKENS)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from parley.functions.text import stable_id
 from parley.operators import redact as rd
 from parley.operators.conversation import render_transcript
 from parley.plans import inputs
@@ -78,15 +79,14 @@ SELECT index, CASE WHEN prior IS NULL THEN {_sql_extend(_PX)} ELSE prior END AS
 FROM m""")
 def redact_patterns(spark, d):
     """Messages -> ordered email / phone / id / date / age redaction (+ extend) only where the target is still empty."""
-    m = inputs.deid_messages(spark, d)
-    todo = m.filter(F.col("patterns_de_id_message").isNull())        # resume: only rows without a target yet
-    done = m.filter(F.col("patterns_de_id_message").isNotNull())
-    red = rd.extend_column(rd.redact_patterns_df(todo, "message", "_red"), "_red")
     counts = [f"n_{k}" for k, _, _ in rd.PHI_PATTERNS]
-    fresh = red.select("index", F.col("_red").alias("patterns_de_id_message"), F.lit(False).alias("resumed"), *counts)
-    kept = done.select("index", "patterns_de_id_message", F.lit(True).alias("resumed"),
-                       *[F.lit(None).cast("int").alias(c) for c in counts])
-    return fresh.unionByName(kept)
+
+    def fresh(todo):
+        red = rd.extend_column(rd.redact_patterns_df(todo, "message", "_red"), "_red")
+        return red.select("index", "message", F.col("_red").alias("patterns_de_id_message"), *counts)
+
+    out = rd.resume(inputs.deid_messages(spark, d).select("index", "message", "patterns_de_id_message"), "patterns_de_id_message", fresh)
+    return out.select("index", "patterns_de_id_message", "resumed", *counts)
 
 
 @job("relabel_newlines", """
@@ -106,15 +106,36 @@ def relabel_newlines(spark, d):
     return flat.select("conv_id", rd.relabel_newlines(F.col("conversation")).alias("conversation"))
 
 
-@job("redact_spans")
+_PY_WORD = r"\p{L}\p{N}_"
+
+
+@job("redact_spans", rf"""
+WITH p AS (
+  SELECT doc_id, r.i, r.p, lead(r.p, 1) OVER w AS p1, lead(r.p, 2) OVER w AS p2
+  FROM (SELECT doc_id, regexp_extract_all(text, '[{_PY_WORD}]+|[^{_PY_WORD}]+') AS ps FROM documents) x, unnest(ps) WITH ORDINALITY AS r(p, i)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY r.i)),
+s AS (
+  SELECT *, CASE WHEN regexp_full_match(p, '[A-Z][a-z]+') AND p1 = ' ' AND p2 IN ('Inc', 'Ltd') THEN '<ORGANIZATION>'
+                 WHEN regexp_full_match(p, '[A-Z][a-z]{{4,}}') THEN '<PERSON>'
+                 WHEN regexp_full_match(p, '\p{{Nd}}{{4,}}') THEN '<DATE_TIME>' END AS label FROM p),
+t AS (SELECT *, coalesce(lag(label, 1) OVER w = '<ORGANIZATION>', false) OR coalesce(lag(label, 2) OVER w = '<ORGANIZATION>', false) AS inside
+      FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, string_agg(CASE WHEN inside THEN '' ELSE coalesce(label, p) END, '' ORDER BY i) AS text,
+             CAST(count(label) FILTER (NOT inside) AS INTEGER) AS n FROM t GROUP BY doc_id)
+SELECT d.doc_id, {_sql_extend("coalesce(r.text, d.text)")} AS spans_de_id_message, coalesce(r.n, 0) AS n_spans
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""")
 def redact_spans(spark, d):
-    """Documents -> injected span detector (Arrow batches) -> spans >= 0.45 replaced right to left -> extend."""
+    """Documents -> injected span detector, over windows of 510 tokens of long ones -> spans >= 0.45 replaced -> extend."""
     docs = inputs.table(spark, d, "documents").select("doc_id", "text")
-    spans = rd.detect_spans(docs, "text", rd.regex_detector)
-    kept = F.size(F.filter("spans", lambda s: s["score"] >= F.lit(rd.SPAN_THRESHOLD)))
-    out = spans.select("doc_id", rd.apply_spans(F.col("text"), F.col("spans")).alias("spans_de_id_message"),
-                       kept.alias("n_spans"))
-    return rd.extend_column(out, "spans_de_id_message")
+    return rd.extend_column(rd.redact_spans(docs, "text", rd.regex_detector, "spans_de_id_message").drop("text"), "spans_de_id_message")
+
+
+@job("crosswalk", """
+SELECT DISTINCT sha256(CAST(conv_id AS VARCHAR)) AS uid, conv_id % 2 = 0 AS ai_convo FROM conversations""")
+def crosswalk(spark, d):
+    """De-identified exports of two kinds -> (uid, whether the counselor was a model), one row per conversation."""
+    convs = inputs.table(spark, d, "conversations").select("conv_id").distinct().withColumn("uid", stable_id("conv_id"))
+    return rd.crosswalk(convs.where("conv_id % 2 = 0"), "uid", True).unionByName(rd.crosswalk(convs.where("conv_id % 2 <> 0"), "uid", False))
 
 
 def _sql_err(m):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions.text import to_float_safe
 from parley.operators import judge as jg
 from parley.operators import latency as lt
 from parley.operators.conversation import render_transcript
@@ -14,6 +15,7 @@ from parley.plans import inputs
 from parley.plans import judge_jobs, latency_jobs, retrieval_jobs  # noqa: F401 - their oracle SQL is reused below
 from parley.plans.registry import ORACLE, job
 from parley.streaming import jobs as st
+from parley.streaming import sessions
 
 _EXTRACT_SQL = ORACLE["extract_completions"]
 
@@ -69,10 +71,61 @@ def st_latency_window(spark, d):
     obs = inputs.observations_from(st.table_stream(spark, d, "events"))
     obs = obs.filter(lt.keep_observation(F.col("type"), F.col("name")))
     out = st.latency_windows(obs, st.stream_root(spark, "latency_window"), _side(),
-                             F.col("latency").cast("string").try_cast("double"))
+                             to_float_safe("latency"))
     return out.withColumn("total_latency", F.round("total_latency", 6))
 
 
+_RUNS_SQL = f"""
+runs AS (SELECT c_custkey AS trace_id, 'run-' || CAST(c_nationkey % 3 AS VARCHAR) AS run_name FROM customer),
+kept AS (SELECT * FROM obs WHERE lower(coalesce(type, '')) IN ('', 'generation')
+                              OR (lower(type) = 'span' AND contains(lower(coalesce(name, '')), 'embed'))),
+sd AS (SELECT run_name, start_time, {_SIDE_SQL} AS side, TRY_CAST(CAST(latency AS VARCHAR) AS DOUBLE) AS lat
+       FROM (SELECT run_name, start_time, coalesce(name, '') AS name, latency FROM kept JOIN runs USING (trace_id)))"""
+_WINDOW_SUMS = "count(*) AS n_calls, count(lat) AS n_timed, round(sum(lat), 6) AS total_latency, max(lat) AS max_latency"
+
+
+def _run_windows(spark, d, name: str, **kw):
+    obs = inputs.observations_from(st.table_stream(spark, d, "events"))
+    obs = obs.filter(lt.keep_observation(F.col("type"), F.col("name")))
+    prefix = inputs.LATENCY_DATASET + "/"
+    tags = inputs.obs_traces(spark, d).select("trace_id", F.explode("tags").alias("tag")).where(F.col("tag").startswith(prefix))
+    runs = tags.select("trace_id", F.expr(f"substring(tag, {len(prefix) + 1})").alias("run_name"))
+    out = st.run_latency_windows(obs, runs, st.stream_root(spark, name), _side(), to_float_safe("latency"), **kw)
+    return out.withColumn("total_latency", F.round("total_latency", 6))
+
+
+@job("st_latency_runs", _OBS_CTES + "," + _RUNS_SQL + f"""
+SELECT run_name, time_bucket(INTERVAL 1 HOUR, start_time) AS window_start, side, {_WINDOW_SUMS}
+FROM sd WHERE side IS NOT NULL GROUP BY ALL""")
+def st_latency_runs(spark, d):
+    """Observation stream joined with the runs of its traces -> tumbling 1-hour latency per run and side."""
+    return _run_windows(spark, d, "latency_runs")
+
+
+@job("st_latency_sliding", _OBS_CTES + "," + _RUNS_SQL + f"""
+SELECT run_name, time_bucket(INTERVAL 15 MINUTE, start_time) - INTERVAL (15 * k) MINUTE AS window_start, side, {_WINDOW_SUMS}
+FROM sd, generate_series(0, 3) AS g(k) WHERE side IS NOT NULL GROUP BY ALL""")
+def st_latency_sliding(spark, d):
+    """The same in windows of an hour that start every 15 minutes, added up from panes of 15 minutes."""
+    return _run_windows(spark, d, "latency_sliding", slide="15 minutes")
+
+
+@job("st_dialogue_turns", """
+WITH e AS (SELECT user_id, ts, event_id, event_type AS role, lag(ts) OVER w AS before, lag(event_type) OVER w AS role_before
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, before IS NULL OR ts - before >= INTERVAL 30 MINUTE AS opens FROM e),
+s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM f)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_messages,
+       CAST(sum(CASE WHEN opens OR role <> role_before THEN 1 ELSE 0 END) AS BIGINT) AS n_turns,
+       arg_min(role, ts) AS first_role, arg_max(role, ts) AS last_role, round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 6) AS duration_sec
+FROM s GROUP BY user_id, sid""")
+def st_dialogue_turns(spark, d):
+    """Event stream -> per-user dialogues closed after 30 idle minutes, with messages, turns and duration (keyed state and timers)."""
+    ev = st.table_stream(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    out = sessions.turn_sessions(ev, st.stream_root(spark, "dialogue_turns"), "user_id", "ts", "event_type", "event_id")
+    return out.withColumn("duration_sec", F.round("duration_sec", 6))
+
+
 @job("st_dialogue_session", """
 WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
                                       OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parley.operators import prompts as pr
@@ -93,3 +94,17 @@ def judge_consistency_status(spark, d):
     """Per prompt and config: replies, failed replies and whether the judge's list parsed."""
     return udfs.judge_consistency(inputs.stability_requests(spark, d), inputs.stub_complete, inputs.stub_judge,
                                   N_SAMPLES, ["config", "item_id"]).drop("items")
+
+
+@job("embed_requests", """
+SELECT doc_id, round(CAST(CAST(length(t) / 1000.0 AS FLOAT) AS DOUBLE), 6) AS e0,
+       round(CAST(CAST((length(t) - length(regexp_replace(t, '[aeiouAEIOU]', '', 'g'))) / greatest(length(t), 1) AS FLOAT) AS DOUBLE), 6) AS e1,
+       round(CAST(CAST((length(t) - length(replace(t, ' ', ''))) / greatest(length(t), 1) AS FLOAT) AS DOUBLE), 6) AS e2,
+       round(CAST(CAST((length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) / greatest(length(t), 1) AS FLOAT) AS DOUBLE), 6) AS e3
+FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\s]') THEN text ELSE ' ' END AS t FROM documents)""")
+def embed_requests(spark, d):
+    """Documents embedded (stub model) through requests of at most 2048 texts and 250,000 tokens."""
+    docs = inputs.table(spark, d, "documents").select("doc_id", "text")
+    embed = udfs.request_embedder(lambda texts: udfs.feature_embedding(pd.Series(texts)))
+    out = docs.select("doc_id", embed(F.col("text")).alias("e"))
+    return out.select("doc_id", *[F.round(F.col("e")[i].cast("double"), 6).alias(f"e{i}") for i in range(4)])

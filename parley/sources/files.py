@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,14 +26,29 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str, multiline
     return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def row_positions(scan: DataFrame, out: str = "row_index") -> DataFrame:
+    """Rows of a file scan with their 0-based position in their file, without a column to order by.
+
+    Pass it the scan itself: ``spark.read...`` of CSV, text or any other file. A large file is read in splits, each by one
+    task, in order. A first pass counts the rows of every split (one row per split), their running sums say where each
+    split begins, and a row stands as far behind that as the task has read rows of the split before it. Adds ``file_path``.
+    """
+    rows = scan.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_seq"))  # grows by one from row to row of a task
+    splits = rows.groupBy("file_path", "_block").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(splits, ["file_path", "_block"]).withColumn(out, F.col("_seq") + F.col("_shift")).drop("_block", "_seq", "_shift")
+
+
 def scan_csv_dir(spark: SparkSession, directory: str, schema: StructType | str, order_col: str | None = None,
                  multiline: bool = False) -> DataFrame:
     """Every ``.csv`` of a directory; ``row_index`` = 0-based position inside its file by ``order_col``.
 
-    CSV splits carry no row position, so the index needs a numeric ordering
-    column (a line number written by the producer). It is a running count per
-    file computed as a chunk-parallel prefix scan, so a huge file is never
-    pulled into one task.
+    Without ``order_col`` there is no index; :func:`row_positions` finds it from the
+    files themselves. With one (a line number written by the producer) it is a
+    running count per file computed as a chunk-parallel prefix scan, so a huge
+    file is never pulled into one task.
     """
     df = scan_csv(spark, f"{directory.rstrip('/')}/*.csv", schema, multiline)
     if order_col is None:
@@ -64,9 +79,9 @@ def scan_jsonl_filter(df: DataFrame, filters: dict[str, list[str]], doc_col: str
 
 
 def scan_wholetext(spark: SparkSession, path: str) -> DataFrame:
-    """One transcript per text file -> (file_name, text)."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"),
-                                                        F.col("value").alias("text"))
+    """One transcript per text file -> (file_name, text, file_path)."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"),
+                                                        F.col("_metadata.file_path").alias("file_path"))
 
 
 def sink_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -82,6 +97,52 @@ def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def sink_split(df: DataFrame, path: str, n_splits: int, key: str) -> None:
-    """Split by key into ``n_splits`` output files (the output directory is the merged result)."""
-    df.repartition(n_splits, key).write.mode("overwrite").json(path)
+def sink_split(df: DataFrame, path: str, n_splits: int, order_cols: list[str] | str) -> None:
+    """Rows in order of ``order_cols``, cut into ``n_splits`` contiguous pieces whose sizes differ by one row at most.
+
+    Each piece is a folder of JSON lines (``piece=<k>``), written by as many tasks as it has ranges; every row keeps its
+    ``position``. A manifest (in ``<path>-manifest``) says how many rows each piece has. Fewer rows than pieces leave some
+    pieces empty. Columns called position or piece are not allowed.
+    """
+    from parley.session import cut_lineage
+
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    if n_splits < 1 or {"position", "piece"} & set(df.columns):
+        raise ValueError("need at least one piece, and no column called position or piece")
+    # cut: the ranges are drawn once, so that a task that runs again holds the same rows
+    ranged = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_seq", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_seq", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before, whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    rows = ranged.withColumn("_part", part).join(F.broadcast(sizes), "_part")
+    rows = rows.withColumn("position", F.col("_before") + F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = rows.withColumn("piece", F.expr(f"CAST(position * {n_splits} DIV _total AS INT)"))
+    rows.select("position", "piece", *df.columns).write.mode("overwrite").partitionBy("piece").json(path)
+    total = ranged.count()
+    bounds = [-(-k * total // n_splits) for k in range(n_splits + 1)]
+    manifest = [(k, a, b - a) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    df.sparkSession.createDataFrame(manifest, "piece int, first_position bigint, n_rows bigint").coalesce(1).write.mode("overwrite").json(f"{path}-manifest")
+
+
+class LostRows(ValueError):
+    """Rows of a split that did not come back, or came back twice."""
+
+
+def merge_split(spark: SparkSession, path: str, schema: StructType | str, pieces_path: str | None = None) -> DataFrame:
+    """The pieces of a split (or what was made of them, in ``pieces_path``) as one table, in order of ``position``.
+
+    Before anything is returned, the positions of every piece are held against the manifest: each must come exactly once.
+    """
+    manifest = spark.read.schema("piece int, first_position bigint, n_rows bigint").json(f"{path}-manifest")
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(StructType([*StructType.fromDDL("position bigint, piece int"), *schema])).json(pieces_path or path)
+    found = rows.groupBy("piece").agg(F.count("position").alias("n"), F.count_distinct("position").alias("n_distinct"),
+                                      F.min("position").alias("first"), F.max("position").alias("last"))
+    both = manifest.join(found, "piece", "full")
+    right = ((F.coalesce("n", F.lit(0)) == F.col("n_rows")) & (F.coalesce("n_distinct", F.lit(0)) == F.col("n_rows"))
+             & ((F.col("n_rows") == 0) | ((F.col("first") == F.col("first_position")) & (F.col("last") == F.col("first_position") + F.col("n_rows") - 1))))
+    wrong = both.where(~F.coalesce(right, F.lit(False))).orderBy("piece").limit(20).collect()
+    if wrong:
+        raise LostRows("; ".join(f"piece {r['piece']}: {r['n']} rows, {r['n_distinct']} different, of {r['n_rows']}" for r in wrong))
+    return rows.orderBy("position")

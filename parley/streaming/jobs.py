@@ -76,14 +76,14 @@ def dedupe_stream(obs: DataFrame, root: str, horizon: str = "1 hour") -> DataFra
     return obs.sparkSession.read.parquet(out).drop("epoch")
 
 
-def _end_marker(spark: SparkSession, root: str, like: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+def _end_marker(spark: SparkSession, root: str, like: DataFrame, far: dt.datetime = dt.datetime(9999, 1, 1)) -> tuple[DataFrame, Callable[[], None]]:
     """A source that is empty until the returned function puts one row (far future, all else NULL) into it."""
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in like.schema.fields])
     path = f"{root}/end_of_stream"
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
     def close() -> None:
-        row = tuple(dt.datetime(9999, 1, 1) if isinstance(f.dataType, T.TimestampType) else None for f in schema.fields)
+        row = tuple(far if isinstance(f.dataType, T.TimestampType) else None for f in schema.fields)
         spark.createDataFrame([row], schema).write.mode("append").parquet(path)
 
     return spark.readStream.schema(schema).parquet(path), close
@@ -121,6 +121,37 @@ def latency_windows(obs: DataFrame, root: str, side_col, latency_col, size: str
     return spark.read.parquet(out).drop("epoch")
 
 
+def run_latency_windows(obs: DataFrame, runs: DataFrame, root: str, side_col, latency_col, size: str = "1 hour", slide: str | None = None,
+                        delay: str = "2 hours", flush_at_end: bool = True) -> DataFrame:
+    """Latency per run and side in tumbling windows, or in sliding ones that start every ``slide``.
+
+    The stream meets the static table ``runs`` (trace_id, run_name; a trace may be in several runs). Each observation
+    is added to one pane of length ``slide``; panes that the watermark has passed are added to the windows over
+    them. So a row touches one entry of state however many windows overlap, and late rows are dropped once, at the
+    panes. Observations of no run, side or time are left out.
+    """
+    spark = obs.sparkSession
+    s = obs.select("trace_id", F.col("start_time").cast("timestamp").alias("start_time"), side_col.alias("side"), latency_col.alias("lat"))
+    marker, close = _end_marker(spark, root, s)
+    sums = ("n_calls", "n_timed", "total_latency")
+
+    def build() -> DataFrame:
+        known = s.where("side IS NOT NULL AND start_time IS NOT NULL").unionByName(marker).withWatermark("start_time", delay)
+        # a key without nulls: a null check would be pushed below the watermark and take the end marker away
+        rows = known.withColumn("_trace", F.coalesce(F.col("trace_id").cast("string"), F.lit(""))).join(
+            runs.where("trace_id IS NOT NULL").select(F.col("trace_id").cast("string").alias("_trace"), "run_name").distinct(), "_trace")
+        panes = rows.groupBy(F.window("start_time", slide or size).alias("w"), "run_name", "side").agg(
+            F.count(F.lit(1)).alias("n_calls"), F.count("lat").alias("n_timed"), F.sum("lat").alias("total_latency"), F.max("lat").alias("max_latency"))
+        if slide is None:
+            return panes
+        return panes.groupBy(F.window("w", size, slide).alias("w"), "run_name", "side").agg(
+            *[F.sum(c).alias(c) for c in sums], F.max("max_latency").alias("max_latency"))
+
+    out = run_and_close(build, root, lambda b, e: b.select(
+        "run_name", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "side", *sums, "max_latency"), close if flush_at_end else None)
+    return spark.read.parquet(out).drop("epoch")
+
+
 def dialogue_sessions(events: DataFrame, root: str, key: str, ts: str, gap: str = "30 minutes",
                       delay: str = "1 hour", flush_at_end: bool = True) -> DataFrame:
     """Close a dialogue after ``gap`` of silence: sessions per key with message count and duration.

@@ -27,6 +27,29 @@ def test_pack_batches_within_limits_on_any_layout(spark):
         assert [x[1:] for x in items] == sorted(x[1:] for x in items)
 
 
+def _one_pass(items, max_tokens, max_items):
+    out, batch, used, n = {}, -1, 0, 0
+    for tokens, i, key in sorted((max(t or 0, 0), i, key) for key, (i, t) in enumerate(items)):
+        if batch < 0 or used + tokens > max_tokens or n == max_items:
+            batch, used, n = batch + 1, 0, 0
+        out[key] = (i, tokens, batch, n)
+        used, n = used + tokens, n + 1
+    return sorted(out.values())
+
+
+def test_greedy_batches_are_those_of_one_pass(spark):
+    rnd = random.Random(3)
+    hot = [(i, 7) for i in range(1000, 2000)]  # one length holds most items
+    cases = [([(i, rnd.choice([None, -3, 0, 1, 39, 40, 201, 900, rnd.randrange(120)])) for i in range(300)], 200, None),
+             ([(rnd.randrange(50), rnd.randrange(9)) for _ in range(400)], 30, 5), (hot + [(i, rnd.randrange(60)) for i in range(200)], 100, None),
+             (hot, 7, None), ([(i, 0) for i in range(40)] + [(99, 500)], 10, None), ([(i, 0) for i in range(40)], 10, 6), ([(1, 5)], 3, 2), ([], 10, None)]
+    for items, most, many in cases:
+        df = spark.createDataFrame(items, "doc_id long, tokens long")
+        for layout, bucket in ((df.coalesce(1), 7), (df.repartition(5), 1_000_000)):
+            got = sorted(map(tuple, cs.greedy_batches(layout, "doc_id", "tokens", most, many, ids_per_bucket=bucket).collect()))
+            assert got == _one_pass(items, most, many), (most, many)
+
+
 def test_message_tokens(spark):
     df = spark.createDataFrame([([("system", "abcd"), ("user", "abcde")],)], "messages array<struct<role:string,content:string>>")
     # 3 + (4 + 2 + 1) + (4 + 1 + 2)
@@ -99,3 +122,36 @@ def test_star_import():
     scope = {}
     exec("from parley.operators.redact import *", scope)  # every exported name exists
     assert "redact_patterns_df" in scope
+
+
+def _whole_text(text, threshold=0.45):
+    spans = sorted((x for x in rd.regex_detector(text) if x[3] >= threshold), key=lambda x: x[0])
+    out, pos = [], 0
+    for s, e, label, _ in spans:
+        out += [text[pos:s], rd.ENTITY_PLACEHOLDER.get(label, "<PHI>")]
+        pos = e
+    return "".join([*out, text[pos:]]), len(spans)
+
+
+def test_redact_spans_in_windows_is_that_of_the_whole_text(spark):
+    rnd = random.Random(8)
+    words = ["Anna", "Acme Inc", "bob", "12345", "Élan", "x", "Roberta.", "Big Ltd,", "\n", "7", "été", "Wilhelmina"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 900))) for _ in range(40)] + [None, "", "Anna", "  ", "Z" * 3000 + " Roberta"]
+    texts += texts[:3]  # equal long texts
+    df = spark.createDataFrame([(i % 5, t, "kept") for i, t in enumerate(texts)], "n_spans int, text string, out string").repartition(3)
+    seen = {t: (None, 0) if t is None else _whole_text(t) for t in texts}
+    for tokens, context in ((510, 32), (40, 12), (25, 10)):
+        got = rd.redact_spans(df.select("text", "out"), "text", rd.regex_detector, "out", max_tokens=tokens, context=context).collect()
+        assert len(got) == len(texts) and all((r.out, r.n_spans) == seen[r.text] for r in got), (tokens, context)
+
+
+def test_a_long_text_is_detected_in_several_tasks(spark):
+    """A text of ten million characters: many windows in several tasks, each within the limit."""
+    text = "Wilhelmina said nothing to Bo. " * 322_581
+    df = spark.createDataFrame([(text,)], "text string")
+    windows = rd.text_windows(df.select(F.lit("k").alias("key"), "text"))
+    sizes = windows.select(F.spark_partition_id().alias("p"), F.regexp_count("text", F.lit(rd._JVM_TOKEN)).alias("n"),
+                           (F.col("own_hi") - F.col("own_lo")).alias("own")).groupBy("p").agg(F.max("n").alias("n"), F.sum("own").alias("own")).collect()
+    assert len(sizes) > 2 and max(r.n for r in sizes) <= rd.WINDOW_TOKENS and sum(r.own for r in sizes) == len(text) > 10_000_000
+    got = rd.redact_spans(df, "text", rd.regex_detector, "out").first()
+    assert got.n_spans == 322_581 and got.out == text.replace("Wilhelmina", "<PERSON>")

@@ -53,6 +53,64 @@ def test_sessions_over_many_batches(spark):
     assert got == [(7, 2, 60.0), (7, 3, 1500.0), (8, 1, 0.0), (8, 1, 0.0), (9, 2, 300.0)]
 
 
+def _turn_twin(rows, gap=30):
+    """Sessions of (user, minute, id, role) rows by definition."""
+    out = []
+    for user in sorted({r[0] for r in rows}):
+        session = None
+        for _, m, i, role in sorted((r for r in rows if r[0] == user), key=lambda r: (r[1], r[2])):
+            if session and m - session[2] < gap:
+                session[2], session[3], session[4], session[5] = m, session[3] + 1, session[4] + (role != session[5]), role
+            else:
+                session = [user, m, m, 1, 1, role]
+                out.append(session)
+    return sorted((u, n, turns, 60.0 * (b - a)) for u, a, b, n, turns, _ in out)
+
+
+def test_turn_sessions_over_files_late_rows_and_a_restart(spark):
+    from parley.streaming import sessions
+
+    t0 = dt.datetime(2024, 1, 1, 10, 0, 0)
+    files = [[(7, 0, "a", "user"), (7, 10, "b", "assistant"), (8, 0, "c", "user"), (7, 5, "d", "user")],
+             [(7, 25, "e", "assistant"), (7, 20, "f", "user"), (7, 70, "g", "user"), (8, 20, "h", "user")],  # out of order, within the delay
+             [(7, 71, "i", "assistant"), (8, 300, "j", "user"), (9, 300, "k", "user"), (9, 300, "l", "assistant")],
+             [(9, 305, "m", "assistant"), (7, 12, "late", "user"), (8, 310, "n", "user")]]
+    schema = "user_id long, ts timestamp, id string, role string"
+    row = lambda r: (r[0], t0 + dt.timedelta(minutes=r[1]), r[2], r[3])
+    stream, path = _files(spark, [[row(r) for r in f] for f in files[:3]], schema)
+    root = st.stream_root(spark, "test_turns")
+    run = lambda s, **kw: sessions.turn_sessions(s, root, "user_id", "ts", "role", "id", **kw)
+    read = lambda df: sorted((r.user_id, r.n_messages, r.n_turns, r.duration_sec) for r in df.collect())
+    first = read(run(stream, flush_at_end=False))
+    closed = [r for r in _turn_twin([r for f in files[:3] for r in f]) if r[0] == 7 or (r[0] == 8 and r[1] == 2)]
+    assert first == closed  # what the watermark has passed; the sessions at 300 are open
+    spark.createDataFrame([row(r) for r in files[3]], schema).coalesce(1).write.mode("append").parquet(path)
+    rows = [r for f in files for r in f if r[2] != "late"]  # the late row is dropped
+    assert read(run(stream)) == _turn_twin(rows)
+
+
+def test_run_latency_windows_tumbling_and_sliding(spark):
+    t0 = dt.datetime(2024, 1, 10, 10, 0, 0)
+    row = lambda trace, m, lat, side="patient": (trace, t0 + dt.timedelta(minutes=m), side, lat)
+    batches = [[row(1, 0, 1.0), row(2, 50, 2.0)], [row(1, 400, 3.0), row(9, 400, 7.0), row(None, 400, 7.0)], [row(1, -5000, 9.0), row(2, 410, None), row(1, 420, 5.0, None)], [row(1, 500, 4.0)]]
+    runs = spark.createDataFrame([(1, "r1"), (2, "r1"), (2, "r2"), (2, "r2")], "trace_id long, run_name string")
+    for slide in (None, "15 minutes"):
+        stream, _ = _files(spark, batches, "trace_id long, start_time timestamp, side string, lat double")
+        out = st.run_latency_windows(stream, runs, st.stream_root(spark, "test_runs"), F.col("side"), F.col("lat"), slide=slide)
+        got = sorted((r.run_name, r.window_start, r.n_calls, r.n_timed, r.total_latency, r.max_latency) for r in out.collect())
+        want = {}
+        for trace, at, side, lat in [r for b in batches for r in b]:
+            if at < t0 or side is None:  # later than the watermark
+                continue
+            for run in {1: ["r1"], 2: ["r1", "r2"]}.get(trace, []):
+                m = int((at - t0).total_seconds()) // 60
+                starts = [m // 60 * 60] if slide is None else [m // 15 * 15 - 15 * k for k in range(4)]
+                for s in starts:
+                    want.setdefault((run, t0 + dt.timedelta(minutes=s)), []).append(lat)
+        assert got == sorted((run, s, len(x), sum(v is not None for v in x), sum(v for v in x if v is not None) if any(v is not None for v in x) else None,
+                              max((v for v in x if v is not None), default=None)) for (run, s), x in want.items()), slide
+
+
 def test_latency_windows_drop_late_rows(spark):
     t0 = dt.datetime(2024, 1, 10, 10, 0, 0)
     row = lambda h, lat: ("patient", lat, t0 + dt.timedelta(hours=h))
