@@ -220,10 +220,13 @@ def test_query_line_dedup(spark):
             first.setdefault(line, (i, no))
     lines = sorted((x for x in first if len(x) >= 24), key=len)
     for a, x in enumerate(lines):
+        most = max(1, min(8, len(x) // 16))  # a sixteenth of the shorter line, 1 to 8
+        size = len(x) // (most + 1)
+        parts = [x[k * size:(k + 1) * size] for k in range(most + 1)]  # most edits leave one of them whole
         for y in lines[a + 1:]:
-            if len(y) - len(x) > 1:
+            if len(y) - len(x) > most:
                 break
-            if (x[:len(x) // 2] == y[:len(x) // 2] or x[-(len(x) // 2):] == y[-(len(x) // 2):]) and brute.edit_distance(x, y) <= 1:
+            if any(p in y for p in parts) and brute.edit_distance(x, y) <= most:
                 links.setdefault(x, []).append(y)
                 links.setdefault(y, []).append(x)
     for i, t in docs:
