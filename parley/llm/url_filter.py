@@ -7,9 +7,9 @@ table of 256-bit blocks: a URL that finds its eight bits set in its block may be
 listed, and only such URLs meet the list itself in an exact join, which removes
 the false positives.
 
-The filter is sized from the number of listed URLs and is broadcast up to
-``FILTER_BYTES``; a larger one is joined by its block number, through the same
-plan. Possible hits that make up more than 1/``HEAVY_SHARE`` of all rows (there
+The filter is sized from the number of listed URLs and is broadcast up to a
+bound; a larger one is joined by its block number, through the same plan.
+Possible hits that make up more than 1/``HEAVY_SHARE`` of all rows (there
 are fewer than that many) are settled once per URL and broadcast, so no URL,
 however frequent, goes through one task of the exact join.
 
@@ -27,13 +27,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import let, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of the filter per listed URL (about one false positive in 200), and bits of a block, held as four longs.
-BITS_PER_URL, BLOCK_LONGS = 12, 4
-#: Bytes of a block in a hashed relation, and of the largest filter that is broadcast.
-BLOCK_ROW_BYTES, FILTER_BYTES = 96, 64 << 20
 #: A possible hit with more than this share of the rows is settled once and broadcast.
 HEAVY_SHARE = 1024
 
@@ -78,30 +75,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def _masks(key: Column) -> list[Column]:
-    """Bits of a key in the longs of its block, two in each."""
-    bits = F.xxhash64(key, F.lit(1))
-    one = F.lit(1).cast("bigint")
-
-    def bit(i: int) -> Column:  # the six bits of the hash from place 6 * i
-        return F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
-
-    return [bit(2 * i).bitwiseOR(bit(2 * i + 1)) for i in range(BLOCK_LONGS)]
-
-
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks).cast("bigint"))
-
-
-def bloom_filter(urls: DataFrame, n_blocks: int) -> DataFrame:
-    """Blocked Bloom filter of the column ``url``: one row per block in use, with its bits."""
-    masks = [m.alias(f"bits{i}") for i, m in enumerate(_masks(F.col("url")))]
-    rows = urls.select(_block(F.col("url"), n_blocks).alias("block"), *masks)
-    return rows.groupBy("block").agg(*[F.bit_or(f"bits{i}").alias(f"bits{i}") for i in range(BLOCK_LONGS)])
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url", listed_url: str = "url",
-          listed_verdict: str = "block", other_verdict: str = "allow", bits_per_url: float = BITS_PER_URL) -> DataFrame:
+          listed_verdict: str = "block", other_verdict: str = "allow", bits_per_url: float = bloom.BITS_PER_KEY) -> DataFrame:
     """Per row of ``pages``: the row as struct ``page``, its host, path, rule (or null), whether it is ``listed`` (null under a rule), verdict."""
     def known(df: DataFrame, name: str) -> DataFrame:  # host, path and canonical form beside the row
         df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("page"), F.col(f"`{name}`").alias("url"))
@@ -109,17 +84,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, ur
         return df.withColumn("url", canonical(F.col("url"), F.col("host"), F.col("path")))
 
     names = written(known(listed.select(F.col(f"`{listed_url}`").alias("url")), "url").where("url IS NOT NULL").select("url").distinct(), "listed")
-    n_blocks = max(1, -int(-names.count() * bits_per_url // (64 * BLOCK_LONGS)))
-    blocks = bloom_filter(names, n_blocks)
-    if n_blocks * BLOCK_ROW_BYTES <= FILTER_BYTES:
-        blocks = F.broadcast(blocks)
+    n_blocks = bloom.blocks_for(names.count(), bits_per_url)
+    blocks = bloom.sendable(bloom.bloom_filter(names, n_blocks, "url"), n_blocks)
 
     rows = known(pages, url).withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
-    probe = rows.withColumn("block", F.when(F.col("by_rule").isNull(), _block(F.col("url"), n_blocks)))
-    hit = F.lit(True)
-    for i, m in enumerate(_masks(F.col("url"))):
-        hit = hit & (F.col(f"bits{i}").bitwiseAND(m) == m)
-    probed = probe.join(blocks, "block", "left").withColumn("possible", F.coalesce(hit & F.col("by_rule").isNull() & F.col("url").isNotNull(), F.lit(False)))
+    probe = rows.withColumn("block", F.when(F.col("url").isNotNull(), bloom.block_of(F.col("url"), n_blocks)))
+    possible = bloom.may_hold(F.col("url")) & F.col("by_rule").isNull() & F.col("url").isNotNull()
+    probed = probe.join(blocks, "block", "left").withColumn("possible", possible)
     probed = probed.select("page", "host", "path", "by_rule", "url", "possible")
 
     in_list = names.withColumn("listed", F.lit(True))

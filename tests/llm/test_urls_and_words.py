@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from parley.llm import alignment, queries, spelling, url_filter
+from parley.llm import alignment, bloom, queries, spelling, url_filter
 
 from . import brute
 
@@ -77,24 +77,21 @@ def test_url_filter_false_positives_and_hot_urls(spark):
     listed = [f"http://x.com/{i}" for i in range(1, 400, 7)]
     want = judged(urls, listed)
     assert run_filter(spark, urls, listed, bits_per_url=0.5) == want
-    bound, url_filter.FILTER_BYTES = url_filter.FILTER_BYTES, 0
+    bound, bloom.BROADCAST_BYTES = bloom.BROADCAST_BYTES, 0
     try:
         assert run_filter(spark, urls, listed) == want
     finally:
-        url_filter.FILTER_BYTES = bound
+        bloom.BROADCAST_BYTES = bound
 
 
 def test_url_filter_has_few_false_positives(spark):
     urls = spark.range(4000).select(F.concat(F.lit("x.com/"), "id").alias("url"))
-    n_blocks = -int(-4000 * url_filter.BITS_PER_URL // 256)
-    blocks = url_filter.bloom_filter(urls, n_blocks)
+    n_blocks = bloom.blocks_for(4000)
+    blocks = bloom.bloom_filter(urls, n_blocks, "url")
     assert blocks.count() == n_blocks
     asked = spark.range(4000, 24000).select(F.concat(F.lit("x.com/"), "id").alias("url")).unionByName(urls)
-    asked = asked.withColumn("block", url_filter._block(F.col("url"), n_blocks)).join(blocks, "block")
-    hit = F.lit(True)
-    for i, m in enumerate(url_filter._masks(F.col("url"))):
-        hit = hit & (F.col(f"bits{i}").bitwiseAND(m) == m)
-    assert 4000 <= asked.where(hit).count() < 4000 + 20000 * 0.02
+    asked = asked.withColumn("block", bloom.block_of(F.col("url"), n_blocks)).join(blocks, "block")
+    assert 4000 <= asked.where(bloom.may_hold(F.col("url"))).count() < 4000 + 20000 * 0.02
 
 
 def test_query_url_filter_plan_is_native(spark):
