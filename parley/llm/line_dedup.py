@@ -2,7 +2,7 @@
 
 Two distinct lines are linked if their edit distance is at most the threshold
 of the shorter one: a sixteenth of its length, at least 1 and at most ``MOST``
-(or one number for all lines). Lines shorter than ``SHORTEST`` only equal
+(or one number for all lines). Lines shorter than ``shortest`` only equal
 themselves. Lengths fall into classes of one threshold *t*. If *t* + 1 segments
 are cut from the shorter line, the longer one has one of them as a substring,
 shifted by at most as many places as segments stand before it. Each line is
@@ -10,17 +10,26 @@ indexed under the segments of its class, probes its own class and the one below
 with the substrings that can be aligned, and the pairs that meet are verified
 by banded bit-parallel edit distance.
 
+Most segments are in one line only. A blocked Bloom filter of all segments lets
+through the substrings that may be one, and a second one the segments that two
+lines have or a substring may meet, so that few of either are shuffled. Where
+many lines share a segment, they are compared with the earliest of them first;
+those linked with it go and need no other comparison. Only lines that are left
+after ``ROUNDS`` such rounds are compared with all earlier lines of the segment.
+
 A line of a document goes if an equal or a linked line comes earlier (by
 document id, then line number) in any document. Lines without a word are
 neither compared nor removed. Only DataFrame functions run here.
 
 Lines are compared once per distinct text, found with map-side aggregation, so
-a line that is in a third of all documents is one row. Distinct lines are told
-apart by a 64-bit hash.
+a line that is in a third of all documents is one row. Distinct lines and texts
+are told apart by 128-bit hashes.
 
 Edge cases: a null text stays null; a text all of whose lines go is empty.
 Rows with equal id and text count as one document and lose the same lines. A
-null id comes first. Extra columns stay as they are. An empty table stays empty.
+null id comes first. Extra columns stay as they are, whatever their names, but
+for columns called ``__n_lines`` and ``__n_removed``, which are replaced. An
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,10 +39,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from . import bloom
+from .common import WORD, let, written
 
 MOST = 8  # edits that replace, drop or add one word
-SHORTEST = 24
+SHORTEST = 24  # default of ``shortest``: in shorter lines one edit is a word
+#: Lines of a segment beyond which they meet its earliest line first, and how often.
+MANY, ROUNDS = 64, 3
 #: Characters whose counts (modulo 16) must nearly agree before a pair is looked at.
 COUNTED = " etaoins"
 KEY_BITS = 48  # of the hash of a segment; shorter keys shuffle in fewer bytes, and pairs are verified anyway
@@ -46,13 +58,13 @@ def limit(n: int, threshold: int | None = None) -> int:
     return max(1, min(MOST, n // 16)) if threshold is None else threshold
 
 
-def classes(threshold: int | None = None) -> list[tuple[int, int]]:
+def classes(threshold: int | None = None, shortest: int = SHORTEST) -> list[tuple[int, int]]:
     """(shortest length, threshold) of the classes; each is at least as wide as its threshold, so a line probes two."""
-    out, lo = [], SHORTEST
+    out, lo = [], shortest
     while not out or lo <= _LONGEST:
         t = limit(lo, threshold)
         out.append((lo, t))
-        lo = max(lo + max(lo // 4, t), SHORTEST) if threshold is not None or t == MOST else (t + 1) * 16
+        lo = max(lo + max(lo // 4, t), shortest) if threshold is not None or t == MOST else (t + 1) * 16
     return out
 
 
@@ -65,8 +77,9 @@ def _shifts(threshold: int) -> list[tuple[int, int]]:
     return [(i, shift) for i in range(threshold + 1) for shift in range(max(-i, i - threshold), i + 1)]
 
 
-def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]]) -> DataFrame:
-    """(key, lid, sum): hashes of class, number and text of segments, cut from lines (lid, line, n, sum, class).
+def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]], where: Column | None = None) -> DataFrame:
+    """(key, lid, sum): hashes of class, number and text of segments, cut from lines (lid, line, n, sum, class) in the ways
+    (i, shift) that ``where`` (a condition on shift and own) lets through.
 
     One row per way comes first and one small expression makes its key, which the JVM compiles; all keys of a line in
     one expression are too large for that.
@@ -77,8 +90,9 @@ def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int],
         own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways(t)])
         at = F.col("t") == t
         choice = F.when(at, own) if choice is None else choice.when(at, own)
-    rows = sized.select("lid", "sum", "line", "n", "class", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
-    rows = rows.select("lid", "sum", "line", "n", "class", "size", F.explode(choice).alias("w"))
+    rows = sized.select("lid", "sum", "line", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
+    rows = rows.select("lid", "sum", "line", "n", "class", "own", "size", F.explode(choice).alias("w"))
+    rows = rows if where is None else rows.where(where)
     rows = rows.select("lid", "sum", "line", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
     key = F.xxhash64("class", "i", F.col("line").substr(F.col("at") + 1, F.col("size"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
@@ -155,50 +169,125 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), lambda p: of(p["a"], p["b"]))
 
 
-def linked_lines(lines: DataFrame, threshold: int | None = None) -> DataFrame:
-    """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
-    known = classes(threshold)
+def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
+    """(key, lid, sum, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
+    known = classes(threshold, shortest)
     n = F.length("line")
     own = sum(((n >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
-    sized = lines.select("lid", "line", n.alias("n"), _summary(F.col("line")).alias("sum"), own.alias("class")).where(F.col("n") >= SHORTEST)
+    sized = lines.select("lid", "line", n.alias("n"), _summary(F.col("line")).alias("sum"), own.alias("class")).where(F.col("n") >= shortest)
     # the class below is probed too if a line of it can be linked
     ends = F.element_at(F.array(*[F.lit(lo - 1 + t) for (lo, _), (_, t) in zip(known[1:], known)]), F.col("class")) if len(known) > 1 else F.lit(-1)
     below = F.when(F.col("class") == 0, False).otherwise(F.col("n") <= ends)
-    probed = sized.withColumn("class", F.explode(F.when(below, F.array(F.col("class"), F.col("class") - 1)).otherwise(F.array("class"))))
-    entry = _keyed(sized, known, lambda t: [(i, 0) for i in range(t + 1)]).toDF("key", "a", "sa")
-    probe = _keyed(probed, known, _shifts).toDF("key", "b", "sb")
-    met = entry.join(probe, (entry["key"] == probe["key"]) & (F.col("a") != F.col("b")) & _near(F.col("sa"), F.col("sb"), threshold))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    text = lines.select("lid", "line")
-    both = pairs.join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b")
-    shorter = F.least(F.length("line_a"), F.length("line_b"))
-    return both.where(edit_distance(F.col("line_a"), F.col("line_b"), max(t for _, t in known)) <= _most(shorter, threshold)).select("a", "b")
+    probed = sized.withColumn("own", F.explode(F.when(below, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    probed = probed.withColumn("class", F.when(F.col("own"), F.col("class")).otherwise(F.col("class") - 1))
+
+    entries = _keyed(sized.withColumn("own", F.lit(True)), known, lambda t: [(i, 0) for i in range(t + 1)])
+    probes = _keyed(probed, known, _shifts, ~(F.col("own") & (F.col("w.shift") == 0)))  # the others are the entries themselves
+
+    sizes = F.element_at(F.array(*[F.lit(t + 1) for _, t in known]), F.col("class") + 1)
+    n_blocks = bloom.blocks_for(sized.agg(F.sum(sizes)).first()[0] or 0)
+    # one task sees all entries of a key, so it knows whether there are several
+    dealt = entries.select(bloom.block_of(F.col("key"), n_blocks).alias("block"), "key").repartition("block")
+    counted = dealt.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"))
+    filters = written(bloom.fold(counted, {"any": None, "several": F.col("n") > 1}), "segments")
+
+    def beside(rows: DataFrame, blocks: DataFrame, n: int, name: str, how: str) -> DataFrame:
+        return rows.withColumn(name, bloom.block_of(F.col("key"), n)).join(bloom.sendable(blocks.withColumnRenamed("block", name), n), name, how).drop(name)
+
+    plain = ("key", "lid", "sum")
+    hits = beside(probes, filters.select("block", *bloom.longs("any")), n_blocks, "block", "inner").where(bloom.may_hold(F.col("key"), "any"))
+    hits = written(hits.select(*plain, F.lit(False).alias("entry")), "probes")
+    n_hit = bloom.blocks_for(hits.count())
+    met = beside(entries, filters.select("block", *bloom.longs("several")), n_blocks, "block", "left")
+    met = beside(met, bloom.bloom_filter(hits, n_hit, prefix="met"), n_hit, "block_met", "left")
+    met = met.where(bloom.may_hold(F.col("key"), "several") | bloom.may_hold(F.col("key"), "met"))
+    return hits.unionByName(written(met.select(*plain, F.lit(True).alias("entry")), "entries"))
+
+
+def _meeting(x: DataFrame, y: DataFrame, threshold: int | None) -> DataFrame:
+    """Pairs (a, b) of lines that meet under a key, one of them by a segment of its own, and can be linked as to their lengths and counts."""
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") != F.col("y.lid")) & (F.col("x.entry") | F.col("y.entry"))
+    near = _near(F.col("x.sum"), F.col("y.sum"), threshold) | _near(F.col("y.sum"), F.col("x.sum"), threshold)
+    met = x.alias("x").join(y.alias("y"), on & near)
+    return met.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, threshold: int | None) -> DataFrame:
+    """The linked ones of ``pairs``, with all other columns of ``lines`` as <name>_a and <name>_b."""
+    of = lambda side: lines.select(F.col("lid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in lines.columns if c != "lid"])
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    most = _most(F.least(F.length("line_a"), F.length("line_b")), threshold)
+    top = MOST if threshold is None else threshold
+    distance = edit_distance(F.col("line_a"), F.col("line_b"), top)
+    if top > 2:  # narrow bands for short lines
+        distance = F.when(most <= 2, edit_distance(F.col("line_a"), F.col("line_b"), 2)).otherwise(distance)
+    return both.where(distance <= most)
+
+
+def linked_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
+    """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
+    rows = _shared_keys(lines, threshold, shortest)
+    return _verified(_meeting(rows.where("entry"), rows, threshold), lines.select("lid", "line"), threshold).select("a", "b")
+
+
+def later_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
+    """(lid) of the lines that are linked with one that comes earlier, given distinct lines (lid, line, first)."""
+    rows = _shared_keys(lines, threshold, shortest)
+    crowded = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("key"), "crowded")
+
+    def gone(pairs: DataFrame) -> DataFrame:
+        found = _verified(pairs, lines.select("lid", "line", "first"), threshold)
+        return written(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct(), "later")
+
+    few = rows.join(crowded, "key", "left_anti")
+    later = gone(_meeting(few.where("entry"), few, threshold))
+    if crowded.isEmpty():
+        return later
+    hot = written(rows.join(crowded, "key", "left_semi").join(lines.select("lid", "first"), "lid"), "hot")
+    for _ in range(ROUNDS):
+        left = hot.join(later, "lid", "left_anti")
+        earliest = left.where("entry").groupBy("key").agg(F.min_by(F.struct("lid", "sum", "entry"), "first").alias("e")).select("key", "e.*")
+        later = later.unionByName(gone(_meeting(earliest, left, threshold)))
+    left = hot.join(later, "lid", "left_anti").alias("x")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & (F.col("x.entry") | F.col("y.entry"))
+    near = _near(F.col("x.sum"), F.col("y.sum"), threshold) | _near(F.col("y.sum"), F.col("x.sum"), threshold)
+    rest = left.join(hot.alias("y"), on & near).select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
+    return later.unionByName(gone(rest)).distinct()
+
+
+def _hashes(c) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(c), F.xxhash64(c, F.lit(1))]
 
 
 def distinct_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(lid, line, first): every distinct line with a word, and the place (key, hash of the text, line number) where it comes first."""
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where(
+    """(lid, line, first): every distinct line with a word, and the place (key, hashes of the text, line number) where it comes first."""
+    h1, h2 = _hashes(text)
+    rows = docs.select(F.col(key).alias("k"), h1.alias("h1"), h2.alias("h2"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where(
         F.col("line").rlike(WORD))
-    return rows.groupBy(F.xxhash64("line").alias("lid")).agg(F.min(F.struct("k", "h", "no")).alias("first"), F.min("line").alias("line"))
+    l1, l2 = _hashes("line")
+    lines = rows.groupBy(l1.alias("l1"), l2.alias("l2")).agg(F.min(F.struct("k", "h1", "h2", "no")).alias("first"), F.min("line").alias("line"))
+    return lines.select(F.struct("l1", "l2").alias("lid"), "line", "first")
 
 
-def dedup(docs: DataFrame, threshold: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: int | None = None, key: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """The documents with the lines that stay; ``__n_lines`` and ``__n_removed`` count lines with a word and those that went."""
-    lines = distinct_lines(docs, key, text)
-    pairs = linked_lines(lines, threshold)
-    firsts = lines.select("lid", "first")
-    placed = pairs.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b")
-    later = placed.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct()
-    stay = firsts.join(later, "lid", "left_anti").select("first.*")
-    kept = stay.groupBy("k", "h").agg(F.array_sort(F.collect_list("no")).alias("nos")).withColumnsRenamed({"k": "__k", "h": "__h", "nos": "__nos"})
-    names = docs.columns
-    joined = docs.withColumn("__hash", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")), "left")
-    nos = F.coalesce("__nos", F.expr("CAST(array() AS array<int>)"))
+    lines = written(distinct_lines(docs, key, text), "lines")
+    stay = lines.select("lid", "first").join(later_lines(lines, threshold, shortest), "lid", "left_anti").select("first.*")
+    kept = stay.groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_list("no")).alias("nos"))
+    # the row itself is one column, so that its columns may have any name
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("rk"), F.col(f"`{text}`").alias("text"))
+    h1, h2 = _hashes("text")
+    same = F.col("rk").eqNullSafe(F.col("k")) & (F.col("r1") == F.col("h1")) & (F.col("r2") == F.col("h2"))
+    joined = rows.select("row", "rk", h1.alias("r1"), h2.alias("r2")).join(kept, same, "left").withColumn("text", F.col(f"row.`{text}`"))
+    nos = F.coalesce("nos", F.expr("CAST(array() AS array<int>)"))
     # one flag per line up to the last that stays, so that looking one up does not depend on how many there are
     gaps = F.zip_with(nos, F.concat(F.array(F.lit(-1)), nos), lambda a, b: F.concat(F.repeat(F.lit("0"), F.coalesce(a - b - 1, F.lit(0))), F.when(a.isNotNull(), "1").otherwise("")))
-    flagged = joined.withColumn("__flags", F.split(F.array_join(gaps, ""), "")).withColumn("__lines", F.split(text, "\n"))
-    remains = F.filter("__lines", lambda x, i: ~x.rlike(WORD) | F.coalesce(F.get(F.col("__flags"), i) == "1", F.lit(False)))
-    n_lines = F.size(F.filter("__lines", lambda x: x.rlike(WORD)))
-    out = flagged.withColumn("__new", F.array_join(remains, "\n")).withColumn("__n_lines", F.coalesce(F.when(F.col(text).isNotNull(), n_lines), F.lit(0)))
-    out = out.withColumn("__n_removed", F.col("__n_lines") - F.size(nos)).withColumn(text, F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.col("__new")))
-    return out.select(*names, "__n_lines", "__n_removed")
+    flagged = joined.select("row", "text", F.size(nos).alias("n_kept"), F.split(F.array_join(gaps, ""), "").alias("flags"), F.split("text", "\n").alias("lines"))
+    remains = F.filter("lines", lambda x, i: ~x.rlike(WORD) | F.coalesce(F.get(F.col("flags"), i) == "1", F.lit(False)))
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.filter("lines", lambda x: x.rlike(WORD)))), F.lit(0))
+    new = F.when(F.col("text").isNotNull(), F.array_join(remains, "\n"))
+    out = flagged.select("row", new.alias("new"), n_lines.alias("n"), "n_kept")
+    names = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
+    return out.select(*[(F.col("new") if c == text else F.col(f"row.`{c}`")).alias(c) for c in names], F.col("n").alias("__n_lines"),
+                      (F.col("n") - F.col("n_kept")).alias("__n_removed"))

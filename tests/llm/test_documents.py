@@ -75,6 +75,34 @@ def test_line_dedup_keeps_the_first_of_linked_lines(docs_of):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_lines_of_one_template_meet_their_earliest_first(spark, monkeypatch):
+    """Groups beyond the bound: whatever is linked with the earliest goes, the others are compared with all earlier ones; nothing is lost."""
+    monkeypatch.setattr(line_dedup, "MANY", 6)
+    rng = random.Random(3)
+    lines = {"Copyright by " + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) + ", all rights are reserved to" for _ in range(70)}
+    lines |= {x[:k] + "q" + x[k:] for x in sorted(lines)[::3] for k in (0, len(x) // 2)}
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    df = spark.createDataFrame([(x, (i,)) for i, x in enumerate(lines)], "line string, first struct<k:long>").select(F.xxhash64("line").alias("lid"), "line", "first")
+    text = {r["lid"]: r["line"] for r in df.collect()}
+    far = {(a, b): abs(len(a) - len(b)) <= 8 and brute.edit_distance(a, b) for i, a in enumerate(lines) for b in lines[:i]}
+    want = {a for (a, b), d in far.items() if d is not False and d <= line_dedup.limit(min(len(a), len(b)))}
+    got = [text[r["lid"]] for r in line_dedup.later_lines(df).collect()]
+    assert sorted(got) == sorted(want) and 5 < len(want) < len(lines) - 5
+
+
+def test_line_dedup_beside_clashing_columns(spark):
+    names = ["__hash", "__nos", "__n_lines", "row", "rk", "lines", "first", "k"]
+    line = "a line that is long enough to be compared"
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([line, f"{line}\nown line", line + "!"])], ["doc_id", "text", *names])
+    out = line_dedup.dedup(df)
+    kept = [n for n in names if n != "__n_lines"]
+    assert out.columns == ["doc_id", "text", *kept, "__n_lines", "__n_removed"]
+    rows = sorted(out.collect())
+    assert [r["text"] for r in rows] == [line, "own line", ""] and [r["__n_removed"] for r in rows] == [0, 1, 1]
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in kept)
+
+
 def test_ngram_components_match_all_pairs(docs_of, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
