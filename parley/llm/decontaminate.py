@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SHINGLE_WORDS, SIMILAR_PERCENT, ngram_hashes, shingle_set, word_hashes
 
@@ -101,16 +103,15 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[l
         yield held
 
 
-MATCHES = "array<struct<item_id:bigint,containment:double>>"
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
             block_shingles: int = BLOCK_SHINGLES, out: str = "__items") -> DataFrame:
-    """``docs`` with a column of the benchmark items that each document contains, by item id, with their containment."""
+    """``docs`` with a column of the benchmark items that each document contains, by item id (of any type), with their
+    containment. A column of ``docs`` called as ``out`` is replaced."""
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    current = inner.withColumn("found", F.expr(f"CAST(array() AS {MATCHES})"))
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", benchmark.schema[item].dataType), T.StructField("containment", T.DoubleType())]))
+    arrow = to_arrow_type(kind)
+    current = inner.withColumn("found", F.expr(f"CAST(array() AS {kind.simpleString()})"))
     place = names.index(text)
     for block in _blocks(benchmark, item, item_text, block_shingles):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -123,13 +124,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
                 found = []
                 for text, old in zip(batch.column(place).to_pylist(), before):
                     new = [{"item_id": index.ids[k], "containment": c} for k, c in index.found(word_hashes(text))]
-                    found.append(sorted(old + new, key=lambda m: (m["item_id"] is not None, m["item_id"] or 0)) if new else old)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _ARROW)], names=list(names))
+                    found.append(sorted(old + new, key=lambda m: (m["item_id"] is not None, m["item_id"] if m["item_id"] is not None else 0)) if new else old)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=list(names))
 
         current = current.mapInArrow(search, schema)
-    return current.toDF(*names, out)
+    kept = [i for i, n in enumerate(names) if n != out]
+    return current.select(*[f"c{i}" for i in kept], "found").toDF(*[names[i] for i in kept], out)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that contain no benchmark item, with all their columns."""
-    return matches(docs, benchmark, text).where(F.size("__items") == 0).drop("__items")
+    out = "__items"
+    while out in docs.columns:
+        out += "_"
+    return matches(docs, benchmark, text, out=out).where(F.size(out) == 0).drop(out)

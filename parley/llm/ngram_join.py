@@ -443,8 +443,8 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     stay = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("__key", "text_hash")).alias("s")).select("s.*", F.lit(True).alias("__one"))
     empty = found.where("n_shingles = 0").select("__key", "text_hash", F.lit(False).alias("__one")).distinct()
     stay = stay.unionByName(empty).withColumnRenamed("text_hash", "__stay_hash")
-    names = docs.columns
-    marked = docs.withColumn("__hash", _text_hash(text))
-    kept = marked.join(stay, F.col(key).cast("bigint").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__stay_hash")))
+    # the row itself is one column, so that its columns may have any name
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("bigint").alias("__own"), _text_hash(text).alias("__hash"))
+    kept = marked.join(stay, F.col("__own").eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__stay_hash")))
     nth = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy(F.lit(1)))
-    return kept.withColumn("__nth", nth).where(~F.col("__one") | (F.col("__nth") == 1)).select(*names)
+    return kept.withColumn("__nth", nth).where(~F.col("__one") | (F.col("__nth") == 1)).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
