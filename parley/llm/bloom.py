@@ -28,9 +28,14 @@ def block_of(key: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks).cast("bigint"))
 
 
-def masks(key: Column) -> list[Column]:
-    """Bits of a key in the longs of its block, two in each."""
-    bits, one = F.xxhash64(key, F.lit(1)), F.lit(1).cast("bigint")
+def hash_of(key: Column) -> Column:
+    """The hash of a key that says which bits it sets."""
+    return F.xxhash64(key, F.lit(1))
+
+
+def masks(bits: Column) -> list[Column]:
+    """The bits of a key in the longs of its block, two in each, from its ``hash_of``."""
+    one = F.lit(1).cast("bigint")
 
     def bit(i: int) -> Column:  # the six bits of the hash from place 6 * i
         return F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
@@ -46,7 +51,7 @@ def longs(prefix: str = "bits") -> list[str]:
 def fold(rows: DataFrame, filters: dict[str, Column | None], key: str = "key") -> DataFrame:
     """Filters of the keys of rows (block, key), side by side: (block, <prefix>0 to 3, ...), each of the keys that its condition lets in."""
     zero = F.lit(0).cast("bigint")
-    rows = rows.select("block", *[m.alias(f"mask{i}") for i, m in enumerate(masks(F.col(key)))],
+    rows = rows.select("block", *[m.alias(f"mask{i}") for i, m in enumerate(masks(hash_of(F.col(key))))],
                        *[(F.lit(True) if c is None else c).alias(f"in_{p}") for p, c in filters.items()])
     return rows.groupBy("block").agg(*[F.coalesce(F.bit_or(F.when(F.col(f"in_{p}"), F.col(f"mask{i}"))), zero).alias(name)
                                        for p in filters for i, name in enumerate(longs(p))])
@@ -62,7 +67,37 @@ def sendable(blocks: DataFrame, n_blocks: int) -> DataFrame:
     return F.broadcast(blocks) if n_blocks * BLOCK_ROW_BYTES <= BROADCAST_BYTES else blocks
 
 
-def may_hold(key: Column, prefix: str = "bits") -> Column:
-    """Whether the filter whose block stands beside the key may hold it (false where there is no such block)."""
-    hits = [F.col(f"{prefix}{i}").bitwiseAND(m) == m for i, m in enumerate(masks(key))]
+def may_hold(bits: Column, prefix: str = "bits") -> Column:
+    """Whether the filter whose block stands beside ``bits`` (``hash_of`` a key) may hold that key (false where there is no such
+    block). Best give it a column made before the join: as an expression it would be computed for each of the eight bits."""
+    hits = [F.col(f"{prefix}{i}").bitwiseAND(m) == m for i, m in enumerate(masks(bits))]
     return F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))
+
+
+def _as_array(blocks: DataFrame, n_blocks: int, prefix: str) -> Column:
+    """The bits of a filter as one array, block after block: a scalar of ``8 * BLOCK_LONGS * n_blocks`` bytes."""
+    zero = F.lit(0).cast("bigint")
+    every = blocks.sparkSession.range(n_blocks).withColumnRenamed("id", "block").join(blocks, "block", "left")
+    rows = every.select(F.struct("block", F.array(*[F.coalesce(c, zero) for c in longs(prefix)]).alias("bits")).alias("r"))
+    return rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["bits"]))).scalar()
+
+
+def passing(rows: DataFrame, key: str, filters: list[tuple[DataFrame, int, str]]) -> DataFrame:
+    """The rows whose key is possibly in one of ``filters`` (table, blocks, prefix).
+
+    A filter within the bound is looked up as an array, which costs a row much less than a join; a larger one is joined by
+    its block.
+    """
+    names, conditions = rows.columns, []
+    # with a column that is not deterministic, the condition is not pushed below the expression that makes the key
+    rows = rows.select("*", F.spark_partition_id().alias("__task"))
+    for at, (blocks, n, prefix) in enumerate(filters):
+        if 8 * BLOCK_LONGS * n <= BROADCAST_BYTES:
+            bits, first = _as_array(blocks, n, prefix), (block_of(F.col(key), n) * BLOCK_LONGS).cast("int")
+            hits = [F.get(bits, first + i).bitwiseAND(m) == m for i, m in enumerate(masks(hash_of(F.col(key))))]
+            conditions.append(reduce(lambda a, b: a & b, hits))
+        else:
+            blocks = blocks.select(F.col("block").alias(f"__block{at}"), *longs(prefix))
+            rows = rows.withColumns({f"__block{at}": block_of(F.col(key), n), f"__bits{at}": hash_of(F.col(key))}).join(blocks, f"__block{at}", "left")
+            conditions.append(may_hold(F.col(f"__bits{at}"), prefix))
+    return rows.where(reduce(lambda a, b: a | b, conditions) & (F.col("__task") >= 0)).select(*names)

@@ -12,10 +12,10 @@ by banded bit-parallel edit distance.
 
 Most segments are in one line only. A blocked Bloom filter of all segments lets
 through the substrings that may be one, and a second one the segments that two
-lines have or a substring may meet, so that few of either are shuffled. Where
-many lines share a segment, they are compared with the earliest of them first;
-those linked with it go and need no other comparison. Only lines that are left
-after ``ROUNDS`` such rounds are compared with all earlier lines of the segment.
+lines have or a substring may meet, so that few of either are shuffled. Lines
+that share a segment are compared with the earliest of them first; those linked
+with it go and need no other comparison. Only lines that are left after
+``ROUNDS`` such rounds are compared with all earlier lines of the segment.
 
 A line of a document goes if an equal or a linked line comes earlier (by
 document id, then line number) in any document. Lines without a word are
@@ -44,9 +44,11 @@ from .common import WORD, let, written
 
 MOST = 8  # edits that replace, drop or add one word
 SHORTEST = 24  # default of ``shortest``: in shorter lines one edit is a word
-#: Lines of a segment beyond which they meet its earliest line first, and how often.
-MANY, ROUNDS = 64, 3
-#: Characters whose counts (modulo 16) must nearly agree before a pair is looked at.
+#: Rounds in which the lines of a segment meet its earliest line before they meet all others.
+ROUNDS = 2
+#: Pairs up to which the ids of their lines are broadcast (some 64 bytes each).
+FEW_PAIRS = 500_000
+#: Characters whose counts must nearly agree before a pair is verified.
 COUNTED = " etaoins"
 KEY_BITS = 48  # of the hash of a segment; shorter keys shuffle in fewer bytes, and pairs are verified anyway
 _BITS = 62  # width of the bit vectors; additions stay within a signed 64-bit number
@@ -78,7 +80,7 @@ def _shifts(threshold: int) -> list[tuple[int, int]]:
 
 
 def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]], where: Column | None = None) -> DataFrame:
-    """(key, lid, sum): hashes of class, number and text of segments, cut from lines (lid, line, n, sum, class) in the ways
+    """(key, lid, n): hashes of class, number and text of segments, cut from lines (lid, line, n, class, own) in the ways
     (i, shift) that ``where`` (a condition on shift and own) lets through.
 
     One row per way comes first and one small expression makes its key, which the JVM compiles; all keys of a line in
@@ -90,22 +92,13 @@ def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int],
         own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways(t)])
         at = F.col("t") == t
         choice = F.when(at, own) if choice is None else choice.when(at, own)
-    rows = sized.select("lid", "sum", "line", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
-    rows = rows.select("lid", "sum", "line", "n", "class", "own", "size", F.explode(choice).alias("w"))
+    rows = sized.select("lid", "line", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
+    rows = rows.select("lid", "line", "n", "class", "own", "size", F.explode(choice).alias("w"))
     rows = rows if where is None else rows.where(where)
-    rows = rows.select("lid", "sum", "line", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
+    rows = rows.select("lid", "line", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
     key = F.xxhash64("class", "i", F.col("line").substr(F.col("at") + 1, F.col("size"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    return rows.where(fits).select(key.alias("key"), "lid", "sum")
-
-
-def _summary(line: Column) -> Column:
-    """Counts of the counted characters modulo 16, four bits each, and the length above them."""
-    total = F.length(line).cast("bigint") * (1 << (4 * len(COUNTED)))
-    for j, letter in enumerate(COUNTED):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))) % 16
-        total = total + n.cast("bigint") * (1 << (4 * j))
-    return total
+    return rows.where(fits).select(key.alias("key"), "lid", "n")
 
 
 def _most(n: Column, threshold: int | None) -> Column:
@@ -113,15 +106,51 @@ def _most(n: Column, threshold: int | None) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MOST), F.floor(n / 16).cast("int"))) if threshold is None else F.lit(threshold)
 
 
-def _near(a: Column, b: Column, threshold: int | None) -> Column:
-    """Whether line b is as long as line a or longer, and lengths and counts differ by at most what edits can change (a count two each)."""
-    long_a, long_b = (F.shiftright(x, 4 * len(COUNTED)).cast("int") for x in (a, b))
+def _as_long(a: Column, b: Column, threshold: int | None) -> Column:
+    """Whether two lengths differ by at most what the threshold of the shorter line allows."""
+    return F.abs(a - b) <= _most(F.least(a, b), threshold)
+
+
+def _counts_near(a: Column, b: Column, most: Column) -> Column:
+    """Whether the counts of some characters differ by at most what edits can change (two of them each)."""
     total = F.lit(0)
-    for j in range(len(COUNTED)):
-        d = F.abs(F.shiftright(a, 4 * j).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * j).bitwiseAND(F.lit(15)))
-        total = total + F.least(d, 16 - d)
-    most = _most(long_a, threshold)
-    return (long_b >= long_a) & (long_b - long_a <= most) & (total <= 2 * most)
+    for letter in COUNTED:
+        total = total + F.abs(F.length(F.replace(a, F.lit(letter), F.lit(""))) - F.length(F.replace(b, F.lit(letter), F.lit(""))) - F.length(a) + F.length(b))
+    return total <= 2 * most
+
+
+def _pieces_near(a: Column, b: Column, most: Column) -> Column:
+    """Whether of twice ``most`` + 2 pieces of line a all but ``most`` are in line b, within ``most`` places: an edit takes one piece."""
+    def found(p: Column) -> Column:
+        size = F.floor(F.length(p["a"]) / p["n"]).cast("int").alias("size")
+
+        def seen(q: Column, k: Column) -> Column:
+            at = k * q["size"]  # characters before the piece; what lies before the line is cut off
+            lo, hi = F.greatest(F.lit(0), at - q["most"]), at + q["size"] + q["most"]
+            return F.substr(q["b"], lo + 1, hi - lo).contains(F.substr(q["a"], at + 1, q["size"])).cast("int")
+
+        row = F.struct(p["a"].alias("a"), p["b"].alias("b"), p["most"].alias("most"), p["n"].alias("n"), size)
+        return let(row, lambda q: F.aggregate(F.sequence(F.lit(0), q["n"] - 1), F.lit(0), lambda total, k: total + seen(q, k)))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), (2 * most + 2).alias("n"), most.alias("most")), lambda p: found(p) >= p["n"] - p["most"])
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """Two lines without their common beginning and their common end (a, b): their edit distance is that of the lines."""
+    steps = F.array(*[F.lit(1 << k) for k in range(_LONGEST.bit_length(), -1, -1)])
+
+    def common(x: Column, y: Column) -> Column:  # how many characters at the start are the same, found by halving steps
+        return F.aggregate(steps, F.lit(0), lambda at, k: F.when(
+            (at + k <= F.least(F.length(x), F.length(y))) & (F.substr(x, at + 1, k) == F.substr(y, at + 1, k)), at + k).otherwise(at))
+
+    def tails(p: Column, cut: Column) -> Column:
+        return F.struct(F.substr(p["a"], cut + 1).alias("a"), F.substr(p["b"], cut + 1).alias("b"))
+
+    def trimmed(p: Column) -> Column:
+        return let(common(p["a"], p["b"]), lambda cut: tails(p, cut))
+
+    back = let(trimmed(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.struct(F.reverse(p["a"]).alias("a"), F.reverse(p["b"]).alias("b")))
+    return let(back, trimmed)
 
 
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -170,11 +199,11 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
-    """(key, lid, sum, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
+    """(key, lid, n, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
     known = classes(threshold, shortest)
-    n = F.length("line")
-    own = sum(((n >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
-    sized = lines.select("lid", "line", n.alias("n"), _summary(F.col("line")).alias("sum"), own.alias("class")).where(F.col("n") >= shortest)
+    rows = lines.select("lid", "line", F.length("line").alias("n")).where(F.col("n") >= shortest)
+    own = sum(((F.col("n") >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
+    sized = rows.select("lid", "line", "n", own.alias("class"))
     # the class below is probed too if a line of it can be linked
     ends = F.element_at(F.array(*[F.lit(lo - 1 + t) for (lo, _), (_, t) in zip(known[1:], known)]), F.col("class")) if len(known) > 1 else F.lit(-1)
     below = F.when(F.col("class") == 0, False).otherwise(F.col("n") <= ends)
@@ -191,68 +220,68 @@ def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> Data
     counted = dealt.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"))
     filters = written(bloom.fold(counted, {"any": None, "several": F.col("n") > 1}), "segments")
 
-    def beside(rows: DataFrame, blocks: DataFrame, n: int, name: str, how: str) -> DataFrame:
-        return rows.withColumn(name, bloom.block_of(F.col("key"), n)).join(bloom.sendable(blocks.withColumnRenamed("block", name), n), name, how).drop(name)
-
-    plain = ("key", "lid", "sum")
-    hits = beside(probes, filters.select("block", *bloom.longs("any")), n_blocks, "block", "inner").where(bloom.may_hold(F.col("key"), "any"))
-    hits = written(hits.select(*plain, F.lit(False).alias("entry")), "probes")
+    hits = bloom.passing(probes, "key", [(filters, n_blocks, "any")])
+    hits = written(hits.select("key", "lid", "n", F.lit(False).alias("entry")), "probes")
     n_hit = bloom.blocks_for(hits.count())
-    met = beside(entries, filters.select("block", *bloom.longs("several")), n_blocks, "block", "left")
-    met = beside(met, bloom.bloom_filter(hits, n_hit, prefix="met"), n_hit, "block_met", "left")
-    met = met.where(bloom.may_hold(F.col("key"), "several") | bloom.may_hold(F.col("key"), "met"))
-    return hits.unionByName(written(met.select(*plain, F.lit(True).alias("entry")), "entries"))
+    met = bloom.passing(entries, "key", [(filters, n_blocks, "several"), (written(bloom.bloom_filter(hits, n_hit, prefix="met"), "met"), n_hit, "met")])
+    return hits.unionByName(written(met.select("key", "lid", "n", F.lit(True).alias("entry")), "entries"))
 
 
-def _meeting(x: DataFrame, y: DataFrame, threshold: int | None) -> DataFrame:
-    """Pairs (a, b) of lines that meet under a key, one of them by a segment of its own, and can be linked as to their lengths and counts."""
+def _pairs(x: DataFrame, y: DataFrame, threshold: int | None, where: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of lines that meet under a key, one of them by a segment of its own, and can be linked as to their lengths."""
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") != F.col("y.lid")) & (F.col("x.entry") | F.col("y.entry"))
-    near = _near(F.col("x.sum"), F.col("y.sum"), threshold) | _near(F.col("y.sum"), F.col("x.sum"), threshold)
-    met = x.alias("x").join(y.alias("y"), on & near)
+    on = on & _as_long(F.col("x.n"), F.col("y.n"), threshold)
+    met = x.alias("x").join(y.alias("y"), on if where is None else on & where)
     return met.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, threshold: int | None) -> DataFrame:
     """The linked ones of ``pairs``, with all other columns of ``lines`` as <name>_a and <name>_b."""
-    of = lambda side: lines.select(F.col("lid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in lines.columns if c != "lid"])
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    if pairs.count() <= FEW_PAIRS:  # their lines are picked out where they are
+        ids = F.broadcast(ids)
+    some = lines.join(ids, "lid", "left_semi")
+    of = lambda side: some.select(F.col("lid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in lines.columns if c != "lid"])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    most = _most(F.least(F.length("line_a"), F.length("line_b")), threshold)
+    a, b = F.col("line_a"), F.col("line_b")
+    both = both.withColumn("most", _most(F.least(F.length(a), F.length(b)), threshold))
+    both = both.where(_counts_near(a, b, F.col("most"))).where(_pieces_near(a, b, F.col("most")))
     top = MOST if threshold is None else threshold
-    distance = edit_distance(F.col("line_a"), F.col("line_b"), top)
-    if top > 2:  # narrow bands for short lines
-        distance = F.when(most <= 2, edit_distance(F.col("line_a"), F.col("line_b"), 2)).otherwise(distance)
-    return both.where(distance <= most)
+    # what the JVM's own banded distance leaves out costs far less than an aggregate over the characters
+    both = both.where(F.levenshtein(a, b, top).between(0, F.col("most")))
+    return both.where(let(_unlike(a, b), lambda rest: edit_distance(rest["a"], rest["b"], top)) <= F.col("most"))
 
 
 def linked_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
     """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
     rows = _shared_keys(lines, threshold, shortest)
-    return _verified(_meeting(rows.where("entry"), rows, threshold), lines.select("lid", "line"), threshold).select("a", "b")
+    return _verified(_pairs(rows.where("entry"), rows, threshold), lines.select("lid", "line"), threshold).select("a", "b")
 
 
 def later_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
-    """(lid) of the lines that are linked with one that comes earlier, given distinct lines (lid, line, first)."""
-    rows = _shared_keys(lines, threshold, shortest)
-    crowded = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("key"), "crowded")
+    """(lid) of the lines that are linked with one that comes earlier, given distinct lines (lid, line, first).
+
+    Under each key, lines first meet the earliest one, then the next one that has not gone, ``ROUNDS`` times; those that
+    are left meet all earlier lines they have not met.
+    """
+    rows = written(_shared_keys(lines.select("lid", "line"), threshold, shortest).join(lines.select("lid", "first"), "lid"), "keys")
 
     def gone(pairs: DataFrame) -> DataFrame:
         found = _verified(pairs, lines.select("lid", "line", "first"), threshold)
         return written(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct(), "later")
 
-    few = rows.join(crowded, "key", "left_anti")
-    later = gone(_meeting(few.where("entry"), few, threshold))
-    if crowded.isEmpty():
-        return later
-    hot = written(rows.join(crowded, "key", "left_semi").join(lines.select("lid", "first"), "lid"), "hot")
+    earlier = F.col("x.first") < F.col("y.first")
+    left, met, later = rows, None, None
     for _ in range(ROUNDS):
-        left = hot.join(later, "lid", "left_anti")
-        earliest = left.where("entry").groupBy("key").agg(F.min_by(F.struct("lid", "sum", "entry"), "first").alias("e")).select("key", "e.*")
-        later = later.unionByName(gone(_meeting(earliest, left, threshold)))
-    left = hot.join(later, "lid", "left_anti").alias("x")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & (F.col("x.entry") | F.col("y.entry"))
-    near = _near(F.col("x.sum"), F.col("y.sum"), threshold) | _near(F.col("y.sum"), F.col("x.sum"), threshold)
-    rest = left.join(hot.alias("y"), on & near).select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
-    return later.unionByName(gone(rest)).distinct()
+        fresh = left.where("entry") if met is None else left.where("entry").join(met.select("key", "lid"), ["key", "lid"], "left_anti")
+        earliest = written(fresh.groupBy("key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "key"]), "first").alias("e")).select("key", "e.*"), "earliest")
+        met = earliest if met is None else met.unionByName(earliest)
+        more = gone(_pairs(earliest, left, threshold, earlier))
+        later = more if later is None else later.unionByName(more)
+        left = written(left.join(later, "lid", "left_anti"), "left")
+    rest = rows.join(met.select("key", "lid"), ["key", "lid"], "left_anti")
+    return later.unionByName(gone(_pairs(rest, left, threshold, earlier))).distinct()
 
 
 def _hashes(c) -> list[Column]:

@@ -89,7 +89,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RULES, ur
 
     rows = known(pages, url).withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
     probe = rows.withColumn("block", F.when(F.col("url").isNotNull(), bloom.block_of(F.col("url"), n_blocks)))
-    possible = bloom.may_hold(F.col("url")) & F.col("by_rule").isNull() & F.col("url").isNotNull()
+    possible = bloom.may_hold(bloom.hash_of(F.col("url"))) & F.col("by_rule").isNull() & F.col("url").isNotNull()
     probed = probe.join(blocks, "block", "left").withColumn("possible", possible)
     probed = probed.select("page", "host", "path", "by_rule", "url", "possible")
 

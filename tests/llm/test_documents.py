@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parley.llm import bloom
 from parley.llm import components as C
 from parley.llm import decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, suffix_dedup
 
@@ -76,8 +77,7 @@ def test_line_dedup_keeps_the_first_of_linked_lines(docs_of):
 
 
 def test_lines_of_one_template_meet_their_earliest_first(spark, monkeypatch):
-    """Groups beyond the bound: whatever is linked with the earliest goes, the others are compared with all earlier ones; nothing is lost."""
-    monkeypatch.setattr(line_dedup, "MANY", 6)
+    """Whatever is linked with the earliest goes, the others are compared with all earlier ones; nothing is lost, also where filters are joined."""
     rng = random.Random(3)
     lines = {"Copyright by " + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) + ", all rights are reserved to" for _ in range(70)}
     lines |= {x[:k] + "q" + x[k:] for x in sorted(lines)[::3] for k in (0, len(x) // 2)}
@@ -87,8 +87,10 @@ def test_lines_of_one_template_meet_their_earliest_first(spark, monkeypatch):
     text = {r["lid"]: r["line"] for r in df.collect()}
     far = {(a, b): abs(len(a) - len(b)) <= 8 and brute.edit_distance(a, b) for i, a in enumerate(lines) for b in lines[:i]}
     want = {a for (a, b), d in far.items() if d is not False and d <= line_dedup.limit(min(len(a), len(b)))}
-    got = [text[r["lid"]] for r in line_dedup.later_lines(df).collect()]
-    assert sorted(got) == sorted(want) and 5 < len(want) < len(lines) - 5
+    for bound in (bloom.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(bloom, "BROADCAST_BYTES", bound)
+        got = [text[r["lid"]] for r in line_dedup.later_lines(df).collect()]
+        assert sorted(got) == sorted(want) and 5 < len(want) < len(lines) - 5
 
 
 def test_line_dedup_beside_clashing_columns(spark):
@@ -103,6 +105,20 @@ def test_line_dedup_beside_clashing_columns(spark):
     assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in kept)
 
 
+def test_filters_beside_clashing_columns_and_string_item_ids(spark):
+    names = ["__hash", "__key", "__one", "__nth", "__items", "__items_", "row", "found", "text_hash"]
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words) + " more", "something else that is no copy of it", None, ""]
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([("b", "something else that is no"), (None, "else that is no copy"), ("a", "copy of it")], "item_id string, text string")
+    for out, ids in ((ngram_join.one_per_group(df), [0, 2, 3, 4]), (decontaminate.remove(df, items), [0, 1, 3, 4])):
+        rows = sorted(out.collect(), key=lambda r: r["doc_id"])
+        assert out.columns == df.columns and [r["doc_id"] for r in rows] == ids
+        assert all(r["text"] == texts[r["doc_id"]] and r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    found = {r["doc_id"]: [m["item_id"] for m in r["__items"]] for r in decontaminate.matches(df, items, block_shingles=1).collect()}
+    assert found == {0: [], 1: [], 2: [None, "a", "b"], 3: [], 4: []}
+
+
 def test_ngram_components_match_all_pairs(docs_of, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
