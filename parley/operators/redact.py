@@ -52,15 +52,15 @@ def redact_names(df: DataFrame, text_col: str, names: DataFrame, out_col: str) -
     """Each whole word whose lower form is in ``names`` -> ``[NAME]``, for a list of any size.
 
     The distinct words of each text are looked up in the list (a join that Spark
-    broadcasts by measured size), and the hits come back to the texts, which
-    are rewritten row by row. Rows are matched by a digest of their text, so no
+    broadcasts by measured size, so that only hits are shuffled), and the hits
+    come back to the texts, which are rewritten row by row. Rows are matched by a digest of their text, so no
     key is needed and equal texts are looked up once. A listed name that is not
     one word matches nothing.
     """
     listed = names.select(F.lower(F.trim(F.col(names.columns[0]))).alias("_name")).distinct()
     keyed = df.withColumn("_digest", F.sha2(F.col(text_col), 256))
     words = keyed.select("_digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?U)\w+"), F.lit(0)))).alias("_name"))
-    hits = words.distinct().join(listed, "_name").groupBy("_digest").agg(F.collect_set("_name").alias("_hits"))
+    hits = words.join(listed, "_name").groupBy("_digest").agg(F.collect_set("_name").alias("_hits"))
     pieces = F.split(F.col(text_col), r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)")
     redacted = F.array_join(F.transform(pieces, lambda w: F.when(F.array_contains("_hits", F.lower(w)), F.lit(NAME_TOKEN)).otherwise(w)), "")
     out = keyed.join(hits, "_digest", "left").withColumn(out_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(redacted))
