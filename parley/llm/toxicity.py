@@ -124,16 +124,16 @@ class Kernel:
         matrix[place, who] = share
         return cls(distinct, matrix)
 
-    def __call__(self, units: list[str], batch: int = 4096) -> np.ndarray:
+    def __call__(self, units: list[str], batch: int = 256) -> np.ndarray:
         out = np.zeros((len(units), self.shares.shape[1]), dtype=np.float32)
-        for lo in range(0, len(units), batch):
-            who, codes, share = profiles(units[lo:lo + batch])
+        for lo in range(0, len(units), batch):  # a batch of units as a small matrix over the landmarks' triples
+            some = units[lo:lo + batch]
+            who, codes, share = profiles(some)
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             known = self.codes[at] == codes
-            who, at, share = who[known], at[known], share[known]
-            if len(who):
-                first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                out[lo + who[first]] = np.add.reduceat(self.shares[at] * share[:, None], first, axis=0)
+            matrix = np.zeros((len(some), len(self.codes)), dtype=np.float32)
+            matrix[who[known], at[known]] = share[known]
+            out[lo:lo + len(some)] = matrix @ self.shares
         return out ** SHARPEN
 
 
@@ -150,7 +150,7 @@ class Model:
     scale: np.ndarray | None = None
 
     def margins(self, units: list[str]) -> np.ndarray:
-        return self.kernel(units) @ self.weights + np.float32(self.bias)
+        return np.round(self.kernel(units) @ self.weights + np.float32(self.bias), 5)  # alike in any batch
 
     def score(self, measures: np.ndarray) -> np.ndarray:
         z = ((measures - self.centre) / self.scale) @ self.fit[1:] + self.fit[0]
@@ -333,25 +333,26 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = sys.modules.setdefault("parley_worker_state", types.ModuleType("parley_worker_state"))
         kept: dict[str, float] = {}
+        of_units: dict[str, float] = {}
         if model.kernel is not None:  # margins of words are kept from task to task of a worker while the model is the same
             mark = (model.weights.tobytes(), model.bias)
             if state.__dict__.get("toxicity_model") != mark:
-                state.toxicity_model, state.toxicity_words = mark, {}
-            kept = state.toxicity_words
+                state.toxicity_model, state.toxicity_words, state.toxicity_units = mark, {}, {}
+            kept, of_units = state.toxicity_words, state.toxicity_units
 
         def scores(texts: list[str | None]) -> np.ndarray:
             if model.kernel is None:
                 return np.full(len(texts), model.prior)
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
+            for known in (kept, of_units):
+                if len(known) > KEPT_WORDS:  # the newer half goes; frequent ones come early
+                    for w in list(known)[KEPT_WORDS // 2:]:
+                        del known[w]
             split = [words_of(t) for t in texts]
             new = [w for w in set().union(*split) if w not in kept]
             parts = [units_of(w) for w in new]
-            flat = model.margins([u for p in parts for u in p]).tolist()
-            at = 0
-            for w, p in zip(new, parts):
-                kept[w] = max(flat[at:at + len(p)], default=np.nan)
-                at += len(p)
+            units = list({u for p in parts for u in p if u not in of_units})  # words differ by marks that units have not
+            of_units.update(zip(units, model.margins(units).tolist()))
+            kept.update((w, max((of_units[u] for u in p), default=np.nan)) for w, p in zip(new, parts))
             out = np.empty((len(texts), 4))
             for i, words in enumerate(split):
                 margins = np.fromiter(map(kept.__getitem__, words), dtype=np.float64, count=len(words))
