@@ -140,9 +140,7 @@ def _documents(block_ids: int):
 
 
 def _crc_of_parts(parts):
-    """crc32 of a document from its parts (block, length in ids, crc32), in order; null for null."""
-    if parts is None:
-        return None
+    """crc32 of a document from its parts (block, length in ids, crc32), in order."""
     crc = parts[0][2]
     for _, length, second in parts[1:]:
         crc = joined_crc(crc, second, 4 * length)
@@ -161,6 +159,7 @@ def read_documents(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -
         F.array_sort(F.collect_list(F.struct("block", "length", "crc"))).alias("parts"))
     sizes = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row per shard
     before = sizes.select(F.col("shard").cast("bigint").alias("shard"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    several = F.when(F.size("parts") > 1, F.col("parts"))  # the others need no Python
-    crc = F.coalesce(F.udf(_crc_of_parts, "bigint")(several), "crc")
-    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+    several = docs.where(F.size("parts") > 1)  # at most one per block; the others need no Python
+    several = several.withColumn("crc", F.udf(_crc_of_parts, "bigint")("parts"))
+    whole = docs.where(F.size("parts") == 1).unionByName(several)
+    return whole.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))

@@ -20,7 +20,7 @@ import numpy as np
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Chunks kept per Python worker, and their characters together; beyond either, the newer half is dropped.
-KEPT_CHUNKS, KEPT_CHARS = 1_500_000, 24_000_000
+KEPT_CHUNKS, KEPT_CHARS = 1_200_000, 20_000_000
 #: New chunks that one call of the library encodes.
 RUN = 4096
 #: Letters of the languages at hand; a run of them is a chunk unless another letter follows.
