@@ -16,7 +16,11 @@ not looked at again.
 
 This is done twice: first on the points alone, which are small, and only nodes
 for which the bound leaves a partner, with the node of most partners as the
-block's new hub, come back with their texts. Blocks connected by common nodes
+block's new hub, come back with their texts. With few groups, long sets are
+alike in all counts whatever their shingles, so points have more groups the more
+shingles there are; the tree holds them folded to ``GROUPS``, and what it leaves
+is bounded again on the finer counts. Else long texts would move, and that to
+many blocks, the more the larger the corpus is. Blocks connected by common nodes
 are then taken as one, as far as they fit, so that most texts move once.
 
 Blocks are bounded. A larger one is cut into chunks that each hold the hub and
@@ -47,7 +51,8 @@ SEEN_OFTEN = 4  # a task reports the buckets it counts as often as this, and wel
 FILTER_BITS = 26  # bits of the filter that selects the texts of candidate nodes
 BLOCK_NODES, BLOCK_SHINGLES = 2000, 2_000_000  # of a block with texts
 BLOCK_POINTS = 20_000  # nodes of a block without
-GROUPS, FANOUT = 128, 16
+GROUPS, FANOUT = 128, 16  # of a point in the tree, and of the tree
+GROUP_SHINGLES = 4  # at most so many shingles a group, on average, in the points that are sent
 
 
 def needed(a, b):
@@ -61,6 +66,23 @@ def point_of(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def fine_point_of(shingles: np.ndarray) -> bytes:
+    """The counts with as many groups (a power of two) as the set is large, each in one byte."""
+    groups = GROUPS
+    while groups * GROUP_SHINGLES < len(shingles):
+        groups *= 2
+    while (counts := np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).max() > 255:
+        groups *= 2
+    return counts.astype(np.uint8).tobytes()
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (one a row) with fewer groups: the counts that fall together are added up."""
+    if points.shape[1] == groups:
+        return points
+    return points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
+
+
 class CountTree:
     """Packed R-tree over count vectors, whose nodes keep the largest coordinates and the sizes below them."""
 
@@ -259,7 +281,7 @@ def _points(bits):
         wanted = _wanted(bits)
         for batch in batches:
             sets = [shingle_set(t) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if wanted(h)]
-            yield _by_node(sets, [point_of(s).tobytes() for s in sets], "point")
+            yield _by_node(sets, [fine_point_of(s) for s in sets], "point")
 
     return run
 
@@ -278,21 +300,44 @@ def _chosen(bits):
     return run
 
 
-def _partners(points: np.ndarray) -> np.ndarray:
-    """Per set of a block, how many others the bound lets it be linked with."""
+def _shared_at_most(points: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
+    """By the counts at the finest groups that both have, the most shingles that set ``i`` shares with others of a block."""
+    out, groups = np.empty(len(others), dtype=np.int64), np.array([len(points[j]) for j in others])
+    for size in np.unique(groups):
+        at, common = np.flatnonzero(groups == size), min(int(size), len(points[i]))
+        some = folded(np.stack([points[j] for j in others[at]]), common)
+        out[at] = np.minimum(some, folded(points[i][None, :], common)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _partners(points: list[np.ndarray]) -> np.ndarray:
+    """Per set of a block, how many others the tree's bound lets it be linked with; 0 if the finer counts leave none of them."""
+    coarse = np.concatenate([folded(p[None, :], GROUPS) for p in points]).astype(np.int32)
+    sizes = coarse.sum(axis=1)
     if len(points) > 4 * FANOUT:
-        tree = CountTree(points)
-        return np.array([len(tree.near(i)) - 1 for i in range(len(points))])
-    sizes = points.sum(axis=1)
-    bound = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
-    return (bound >= needed(sizes[:, None], sizes[None, :])).sum(axis=1) - 1
+        near = CountTree(coarse).near
+    else:
+        fits = np.minimum(coarse[:, None, :], coarse[None, :, :]).sum(axis=2) >= needed(sizes[:, None], sizes[None, :])
+        near = lambda i: np.flatnonzero(fits[i])
+    partners, sure = np.zeros(len(points), dtype=np.int64), np.zeros(len(points), dtype=bool)
+    for i in range(len(points)):
+        others = near(i)
+        others = others[others != i]
+        partners[i] = len(others)
+        for lo in range(0, 0 if sure[i] else len(others), 4 * FANOUT):  # one partner is enough
+            some = others[lo:lo + 4 * FANOUT]
+            found = some[_shared_at_most(points, i, some) >= needed(sizes[i], sizes[some])]
+            if len(found):
+                sure[i] = sure[found] = True
+                break
+    return np.where(sure, partners, 0)
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (hub, node), under the node of most partners, of the nodes that the bound leaves a partner; input sorted by (hub, node)."""
 
     def solved(nodes: list[int], points: list[bytes]) -> pa.RecordBatch:
-        partners = _partners(np.frombuffer(b"".join(points), dtype=np.int32).reshape(-1, GROUPS))
+        partners = _partners([np.frombuffer(p, dtype=np.uint8) for p in points])
         nodes = np.array(nodes, dtype=np.int64)
         stay, hub = nodes[partners > 0], nodes[np.argmax(partners)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(stay), hub)), pa.array(stay)], names=["hub", "node"])

@@ -165,6 +165,25 @@ def test_count_tree_bounds_lose_no_link():
                 assert j in near and (i == j or max(i, j) >= 60 or partners[i] > 0)
 
 
+def test_points_of_long_sets_tell_them_apart():
+    rng = np.random.default_rng(4)
+    new = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    sets = [new(n) for n in (3000, 3100, 4090, 4100, 9000, 700, 20)]
+    sent = lambda some: [np.frombuffer(ngram_join.fine_point_of(s), dtype=np.uint8) for s in some]
+    assert not ngram_join._partners(sent(sets)).any()  # the counts of 128 groups are too much alike
+    linked = [np.unique(np.r_[s[:-(len(s) // 9)], new(len(s) // 20)]) for s in sets]  # 4100 and its partner differ in their number of groups
+    both = sets + linked + [new(n) for n in rng.integers(2000, 6000, 60)]
+    for a, b in zip(sets, linked):
+        common = len(np.intersect1d(a, b))
+        assert 100 * common >= 75 * (len(a) + len(b) - common)
+    for some in (sets + linked, both):  # below and above the size of a tree
+        partners = ngram_join._partners(sent(some))
+        assert (partners[:14] > 0).all() and not partners[14:].any()
+    assert {len(p) for p in sent([sets[3], linked[3]])} == {1024, 2048}
+    crowd = np.arange(600, dtype=np.uint64) << np.uint64(8)  # 300 in one group are too many for a byte
+    assert len(sent([crowd])[0]) > 256 and sent([crowd])[0].sum() == 600
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (-5, 300)]
     got = {r["node"]: r["root"] for r in C.connected(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
