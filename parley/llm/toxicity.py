@@ -134,7 +134,8 @@ class Kernel:
             matrix = np.zeros((len(some), len(self.codes)), dtype=np.float32)
             matrix[who[known], at[known]] = share[known]
             out[lo:lo + len(some)] = matrix @ self.shares
-        return out ** SHARPEN
+        out **= SHARPEN
+        return out
 
 
 @dataclass
@@ -149,8 +150,9 @@ class Model:
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def margins(self, units: list[str]) -> np.ndarray:
-        return np.round(self.kernel(units) @ self.weights + np.float32(self.bias), 5)  # alike in any batch
+    def margins(self, units: list[str], batch: int = 1 << 14) -> np.ndarray:
+        parts = [self.kernel(units[lo:lo + batch]) @ self.weights + np.float32(self.bias) for lo in range(0, len(units), batch)]
+        return np.round(np.concatenate([np.empty(0, dtype=np.float32), *parts]), 5)  # alike in any batch
 
     def score(self, measures: np.ndarray) -> np.ndarray:
         z = ((measures - self.centre) / self.scale) @ self.fit[1:] + self.fit[0]
@@ -203,19 +205,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, decay: float = 0.0
     return w
 
 
+def _grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Character n-grams (4 to 6, with the start mark) of every word, which has three characters at least: their numbers, word
+    after word, where each word's begin, and how many different ones there are."""
+    lengths = np.fromiter(map(len, vocabulary), dtype=np.int32, count=len(vocabulary)) + 1
+    points = np.frombuffer("".join("^" + v for v in vocabulary).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(ends[-1])  # characters from a place to the end of its word
+
+    def pairs(first: np.ndarray, second: np.ndarray, n: int, by: int) -> np.ndarray:
+        """Numbers of the n-grams whose first part starts at a place and whose second ``by`` places on; elsewhere 0."""
+        at = np.flatnonzero(left >= n)
+        both = first[at].astype(np.int64) * (int(second.max()) + 1) + second[at + by]
+        out = np.zeros(len(left), dtype=np.int32)
+        out[at] = np.unique(both, return_inverse=True)[1]
+        return out
+
+    one = np.unique(points, return_inverse=True)[1].astype(np.int32)
+    two = pairs(one, one, 2, 1)
+    four = pairs(two, two, 4, 2)
+    counts = sum(np.maximum(0, lengths - n + 1) for n in (4, 5, 6))
+    begins = np.r_[0, np.cumsum(counts)]
+    grams, filled, total = np.empty(begins[-1], dtype=np.int32), begins[:-1].copy(), 0
+    for n, numbers in ((4, four), (5, None), (6, None)):
+        numbers = pairs(four, one if n == 5 else two, n, 4) if numbers is None else numbers
+        own = np.maximum(0, lengths - n + 1)
+        grams[np.repeat(filled - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())] = numbers[left >= n] + total
+        filled, total = filled + own, total + int(numbers.max(initial=0)) + 1
+    return grams, begins, total
+
+
 def _first_scores(vocabulary: list[str], docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Per word, how much its best character n-gram (4 to 6, with the start mark) speaks for toxic texts."""
-    grams: dict[str, int] = {}
-    of_word = [np.array(sorted({grams.setdefault(w[i:i + n], len(grams)) for w in ["^" + v] for n in (4, 5, 6) for i in range(max(1, len(w) - n + 1))}))
-               for v in vocabulary]
-    counts = np.zeros((2, len(grams)))
+    """Per word, how much its best character n-gram speaks for toxic texts."""
+    grams, begins, n_grams = _grams(vocabulary)  # as arrays: as strings, the n-grams take some hundred MB of the driver
+    counts = np.zeros((2, n_grams))
     for words, label in zip(docs, y):
         if len(words):
-            counts[label, np.unique(np.concatenate([of_word[w] for w in words]))] += 1
+            counts[label, np.unique(np.concatenate([grams[begins[w]:begins[w + 1]] for w in words]))] += 1
     n0, n1 = np.sum(y == 0), np.sum(y == 1)
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
     odds -= 1.64 * np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))  # lower bound: rare n-grams say little
-    return np.array([odds[g].max() for g in of_word])
+    return np.maximum.reduceat(odds[grams], begins[:-1])
 
 
 def _with_insertion(word: str, rng: np.random.Generator) -> str:
@@ -267,7 +297,14 @@ def train(docs: list[list[str]], labels: list[int], prior: float, seed: int = 7)
     if not (y == 1).any() or not (y == 0).any():
         return Model(prior=float(prior))
     numbers: dict[str, int] = {}
-    own = [np.array([numbers.setdefault(u, len(numbers)) for w in d for u in units_of(w)], dtype=np.int64) for d in docs]
+    of_word: dict[str, list[int]] = {}
+    own = []
+    for d in docs:
+        for w in d:
+            if w not in of_word:
+                of_word[w] = [numbers.setdefault(u, len(numbers)) for u in units_of(w)]
+        own.append(np.array([u for w in d for u in of_word[w]], dtype=np.int64))
+    del docs, of_word
     vocabulary, rng = list(numbers), np.random.default_rng(seed)
     distinct = [np.unique(d) for d in own]
     if not vocabulary:
@@ -322,7 +359,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = [known.where(F.col("__toxic") == t).orderBy(F.xxhash64("__key"), "__key").limit(SAMPLE) for t in (0, 1)]
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.length("__text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "__key").dropDuplicates(["__key"]).orderBy("__key").collect()  # at most 2 * SAMPLE ids
-    return train([words_of(r["__text"]) for r in rows], [r["__toxic"] for r in rows], prior)
+    words, labels, same = [], [], {}
+    while rows:  # the driver keeps one string per different word, and no text
+        row = rows.pop()
+        words.append([same.setdefault(w, w) for w in words_of(row["__text"])])
+        labels.append(row["__toxic"])
+    del same
+    return train(words[::-1], labels[::-1], prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
