@@ -90,11 +90,13 @@ def passing(rows: DataFrame, key: str, filters: list[tuple[DataFrame, int, str]]
     """
     names, conditions = rows.columns, []
     # with a column that is not deterministic, the condition is not pushed below the expression that makes the key
-    rows = rows.select("*", F.spark_partition_id().alias("__task"))
+    looked_up = {f"__block{at}": F.slice(_as_array(blocks, n, prefix), (block_of(F.col(key), n) * BLOCK_LONGS).cast("int") + 1, BLOCK_LONGS)
+                 for at, (blocks, n, prefix) in enumerate(filters) if 8 * BLOCK_LONGS * n <= BROADCAST_BYTES}
+    # each mention of a scalar is a copy of it in the code sent to the tasks, and several in the driver, so it is mentioned once
+    rows = rows.select("*", F.spark_partition_id().alias("__task"), *[c.alias(name) for name, c in looked_up.items()])
     for at, (blocks, n, prefix) in enumerate(filters):
-        if 8 * BLOCK_LONGS * n <= BROADCAST_BYTES:
-            bits, first = _as_array(blocks, n, prefix), (block_of(F.col(key), n) * BLOCK_LONGS).cast("int")
-            hits = [F.get(bits, first + i).bitwiseAND(m) == m for i, m in enumerate(masks(hash_of(F.col(key))))]
+        if f"__block{at}" in looked_up:
+            hits = [F.get(f"__block{at}", F.lit(i)).bitwiseAND(m) == m for i, m in enumerate(masks(hash_of(F.col(key))))]
             conditions.append(reduce(lambda a, b: a & b, hits))
         else:
             blocks = blocks.select(F.col("block").alias(f"__block{at}"), *longs(prefix))
