@@ -105,6 +105,20 @@ def test_line_dedup_beside_clashing_columns(spark):
     assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in kept)
 
 
+def test_filters_are_mentioned_once_in_a_plan(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("key"), "id")
+    few = bloom.bloom_filter(rows.where("id % 100 = 0").select("key"), bloom.blocks_for(30), prefix="few")
+    more = bloom.bloom_filter(rows.where("id % 100 = 1").select("key"), bloom.blocks_for(30), prefix="more")
+    filters = [(few, bloom.blocks_for(30), "few"), (more, bloom.blocks_for(30), "more")]
+    for some in (filters[:1], filters):
+        out = bloom.passing(rows, "key", some)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(line.count("scalar-subquery#") for line in plan.splitlines() if not line.lstrip(" :+-").startswith("Aggregate")) == len(some)
+        got = {r["id"] for r in out.collect()}
+        assert got >= {i for i in range(3000) if i % 100 < len(some)} and len(got) < 200
+        assert out.columns == rows.columns
+
+
 def test_filters_beside_clashing_columns_and_string_item_ids(spark):
     names = ["__hash", "__key", "__one", "__nth", "__items", "__items_", "row", "found", "text_hash"]
     words = [f"w{i}" for i in range(40)]

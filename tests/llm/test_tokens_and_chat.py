@@ -175,6 +175,26 @@ def test_toxicity_kernel_is_the_subsequence_kernel():
         assert got[i, j] == pytest.approx(plain(a, b), abs=1e-5)
 
 
+def test_toxicity_ranks_grams_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    plain = lambda v: {w[i:i + n] for w in ["^" + v] for n in (4, 5, 6) for i in range(max(1, len(w) - n + 1))}
+    words = ["abc", "abcd", "bcabc", "漢字漢字漢", "\U0001f600é\U0001f600", "a" * 32] + ["".join(rng.choice(list("abcé"), rng.integers(3, 12))) for _ in range(300)]
+    grams, begins, n_grams = toxicity._grams(words)
+    of = [set(grams[begins[i]:begins[i + 1]].tolist()) for i in range(len(words))]
+    assert n_grams == len(set().union(*map(plain, words)))
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:40]):
+            assert len(of[i] & of[j]) == len(plain(a) & plain(b))
+    words = list(dict.fromkeys("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (20_000, 12))))
+    tracemalloc.start()
+    scores = toxicity._first_scores(words, [np.arange(0, 9000), np.arange(9000, 20_000)], np.array([0, 1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == len(words) and peak < 70e6  # the n-grams as strings took more
+
+
 def test_toxicity_learns_only_from_rows_not_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
