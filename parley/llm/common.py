@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 75
 
+#: Setting of Spark 4.1 under which a job's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of ``shared_dir``.
+WRITTEN = re.compile(r"-[0-9a-f]{32}$")
+
 MIX = tuple(int(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                              0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -32,10 +38,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (cuts lineage; survives lost executors)."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a Parquet table in the shared folder and read it back (cuts lineage; survives lost executors).
+
+    Once the table is there, nothing reads the shuffle files behind it; Spark 4.1 is told to delete them with the job, where
+    they would else stay until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``written`` made; nothing that is still to run may read them."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if WRITTEN.search(folder):
+                path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+                path.getFileSystem(conf).delete(path, True)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -12,10 +12,14 @@ by banded bit-parallel edit distance.
 
 Most segments are in one line only. A blocked Bloom filter of all segments lets
 through the substrings that may be one, and a second one the segments that two
-lines have or a substring may meet, so that few of either are shuffled. Lines
-that share a segment are compared with the earliest of them first; those linked
-with it go and need no other comparison. Only lines that are left after
-``ROUNDS`` such rounds are compared with all earlier lines of the segment.
+lines have or a substring may meet, so that few of either are shuffled. Each
+line carries the counts of its most frequent characters in 128 bits; two lines
+meet only if these differ by no more than the threshold allows, and a segment
+stays with a line only if another line meets it there, so that lines which share
+no more than a phrase are neither paired nor moved again. Lines that share a
+segment are compared with the earliest of them first; those linked with it go
+and need no other comparison. Only lines that are left after ``ROUNDS`` such
+rounds are compared with all earlier lines of the segment.
 
 A line of a document goes if an equal or a linked line comes earlier (by
 document id, then line number) in any document. Lines without a word are
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WORD, let, written
+from .common import WORD, let, removed, written
 
 MOST = 8  # edits that replace, drop or add one word
 SHORTEST = 24  # default of ``shortest``: in shorter lines one edit is a word
@@ -48,8 +52,10 @@ SHORTEST = 24  # default of ``shortest``: in shorter lines one edit is a word
 ROUNDS = 2
 #: Pairs up to which the ids of their lines are broadcast (some 64 bytes each).
 FEW_PAIRS = 500_000
-#: Characters whose counts must nearly agree before a pair is verified.
-COUNTED = " etaoins"
+#: Characters whose counts must nearly agree before a pair is made.
+COUNTED = " etaoinsrhldcumg"
+#: Characters at either end of a line in which they are counted.
+END = 64
 KEY_BITS = 48  # of the hash of a segment; shorter keys shuffle in fewer bytes, and pairs are verified anyway
 _BITS = 62  # width of the bit vectors; additions stay within a signed 64-bit number
 _LONGEST = 1 << 13  # lines from here on are one class
@@ -80,11 +86,12 @@ def _shifts(threshold: int) -> list[tuple[int, int]]:
 
 
 def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]], where: Column | None = None) -> DataFrame:
-    """(key, lid, n): hashes of class, number and text of segments, cut from lines (lid, line, n, class, own) in the ways
+    """(key, lid, n): hashes of class, number and text of segments, cut from lines (lid, line, raw, n, class, own) in the ways
     (i, shift) that ``where`` (a condition on shift and own) lets through.
 
     One row per way comes first and one small expression makes its key, which the JVM compiles; all keys of a line in
-    one expression are too large for that.
+    one expression are too large for that. Where every character is one byte, segments are cut from the bytes (raw), as a
+    cut from a string counts its characters from the first; equal segments have the same bytes either way.
     """
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("class") + 1)
     choice = None
@@ -92,12 +99,14 @@ def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int],
         own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways(t)])
         at = F.col("t") == t
         choice = F.when(at, own) if choice is None else choice.when(at, own)
-    rows = sized.select("lid", "line", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
-    rows = rows.select("lid", "line", "n", "class", "own", "size", F.explode(choice).alias("w"))
+    rows = sized.select("lid", "line", "raw", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
+    rows = rows.select("lid", "line", "raw", "n", "class", "own", "size", F.explode(choice).alias("w"))
     rows = rows if where is None else rows.where(where)
-    rows = rows.select("lid", "line", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
+    rows = rows.select("lid", "line", "raw", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
-    key = F.xxhash64("class", "i", F.col("line").substr(F.col("at") + 1, F.col("size"))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    cut = lambda c: F.col(c).substr(F.col("at") + 1, F.col("size"))
+    segment = F.when(F.length("raw") == F.col("n"), cut("raw")).otherwise(cut("line").cast("binary"))
+    key = F.xxhash64("class", "i", segment).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
     return rows.where(fits).select(key.alias("key"), "lid", "n")
 
 
@@ -111,12 +120,28 @@ def _as_long(a: Column, b: Column, threshold: int | None) -> Column:
     return F.abs(a - b) <= _most(F.least(a, b), threshold)
 
 
-def _counts_near(a: Column, b: Column, most: Column) -> Column:
-    """Whether the counts of some characters differ by at most what edits can change (two of them each)."""
-    total = F.lit(0)
-    for letter in COUNTED:
-        total = total + F.abs(F.length(F.replace(a, F.lit(letter), F.lit(""))) - F.length(F.replace(b, F.lit(letter), F.lit(""))) - F.length(a) + F.length(b))
-    return total <= 2 * most
+def _counts(line: Column) -> list[Column]:
+    """``counts0`` and ``counts1``: how often each of ``COUNTED`` is in a line or, if it is long, in both its ends, in eight bits
+    each. An edit takes one character from these ends and adds one at most.
+
+    The bits are those of a ring of 16 counts of which neighbours differ by one bit, so the bits that differ between two
+    lines are at most as many as the counts differ by.
+    """
+    ring = F.array(*[F.lit((1 << k) - 1 if k < 8 else 0xFF & (0xFF << (k - 8))).cast("bigint") for k in range(16)])
+    line = F.when(F.length(line) <= 2 * END, line).otherwise(F.concat(F.left(line, F.lit(END)), F.right(line, F.lit(END))))
+    out = []
+    for at in range(0, len(COUNTED), 8):
+        total = F.lit(0).cast("bigint")
+        for k, letter in enumerate(COUNTED[at:at + 8]):
+            count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+            total = total.bitwiseOR(F.shiftleft(F.element_at(ring, count.bitwiseAND(F.lit(15)) + 1), 8 * k))
+        out.append(total.alias(f"counts{at // 8}"))
+    return out
+
+
+def _counts_near(x: str, y: str, most: Column) -> Column:
+    """Whether the counts of two aliased sides differ by at most what edits can change (two of them each)."""
+    return sum((F.bit_count(F.col(f"{x}.counts{i}").bitwiseXOR(F.col(f"{y}.counts{i}"))) for i in range(len(COUNTED) // 8)), F.lit(0)) <= 2 * most
 
 
 def _pieces_near(a: Column, b: Column, most: Column) -> Column:
@@ -201,9 +226,9 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
     """(key, lid, n, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
     known = classes(threshold, shortest)
-    rows = lines.select("lid", "line", F.length("line").alias("n")).where(F.col("n") >= shortest)
+    rows = lines.select("lid", "line", F.col("line").cast("binary").alias("raw"), F.length("line").alias("n")).where(F.col("n") >= shortest)
     own = sum(((F.col("n") >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
-    sized = rows.select("lid", "line", "n", own.alias("class"))
+    sized = rows.select("lid", "line", "raw", "n", own.alias("class"))
     # the class below is probed too if a line of it can be linked
     ends = F.element_at(F.array(*[F.lit(lo - 1 + t) for (lo, _), (_, t) in zip(known[1:], known)]), F.col("class")) if len(known) > 1 else F.lit(-1)
     below = F.when(F.col("class") == 0, False).otherwise(F.col("n") <= ends)
@@ -223,14 +248,23 @@ def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> Data
     hits = bloom.passing(probes, "key", [(filters, n_blocks, "any")])
     hits = written(hits.select("key", "lid", "n", F.lit(False).alias("entry")), "probes")
     n_hit = bloom.blocks_for(hits.count())
-    met = bloom.passing(entries, "key", [(filters, n_blocks, "several"), (written(bloom.bloom_filter(hits, n_hit, prefix="met"), "met"), n_hit, "met")])
-    return hits.unionByName(written(met.select("key", "lid", "n", F.lit(True).alias("entry")), "entries"))
+    probes_filter = written(bloom.bloom_filter(hits, n_hit, prefix="met"), "met")
+    met = bloom.passing(entries, "key", [(filters, n_blocks, "several"), (probes_filter, n_hit, "met")])
+    met = written(met.select("key", "lid", "n", F.lit(True).alias("entry")), "entries")
+    removed(filters, probes_filter)
+    return hits.unionByName(met)
+
+
+def _may_link(threshold: int | None) -> Column:
+    """Whether rows x and y are of two lines that meet under a key, one of them by a segment of its own, and can be linked as to
+    their lengths and the counts of their characters."""
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.entry") | F.col("y.entry")) & _as_long(F.col("x.n"), F.col("y.n"), threshold)
+    return on & _counts_near("x", "y", _most(F.least("x.n", "y.n"), threshold)) & (F.col("x.lid") != F.col("y.lid"))
 
 
 def _pairs(x: DataFrame, y: DataFrame, threshold: int | None, where: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of lines that meet under a key, one of them by a segment of its own, and can be linked as to their lengths."""
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") != F.col("y.lid")) & (F.col("x.entry") | F.col("y.entry"))
-    on = on & _as_long(F.col("x.n"), F.col("y.n"), threshold)
+    """Pairs (a, b) of lines that meet under a key and can be linked."""
+    on = _may_link(threshold)
     met = x.alias("x").join(y.alias("y"), on if where is None else on & where)
     return met.select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
 
@@ -246,7 +280,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int | None) -> Data
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     a, b = F.col("line_a"), F.col("line_b")
     both = both.withColumn("most", _most(F.least(F.length(a), F.length(b)), threshold))
-    both = both.where(_counts_near(a, b, F.col("most"))).where(_pieces_near(a, b, F.col("most")))
+    both = both.where(_pieces_near(a, b, F.col("most")))
     top = MOST if threshold is None else threshold
     # what the JVM's own banded distance leaves out costs far less than an aggregate over the characters
     both = both.where(F.levenshtein(a, b, top).between(0, F.col("most")))
@@ -255,7 +289,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int | None) -> Data
 
 def linked_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
     """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
-    rows = _shared_keys(lines, threshold, shortest)
+    rows = _shared_keys(lines, threshold, shortest).join(lines.select("lid", *_counts(F.col("line"))), "lid")
     return _verified(_pairs(rows.where("entry"), rows, threshold), lines.select("lid", "line"), threshold).select("a", "b")
 
 
@@ -265,7 +299,12 @@ def later_lines(lines: DataFrame, threshold: int | None = None, shortest: int =
     Under each key, lines first meet the earliest one, then the next one that has not gone, ``ROUNDS`` times; those that
     are left meet all earlier lines they have not met.
     """
-    rows = written(_shared_keys(lines.select("lid", "line"), threshold, shortest).join(lines.select("lid", "first"), "lid"), "keys")
+    shared = _shared_keys(lines.select("lid", "line"), threshold, shortest)
+    keys = written(shared.join(lines.select("lid", "first", *_counts(F.col("line"))), "lid"), "keys")
+    removed(shared)
+    # rows that meet nobody make no pair, whatever the round
+    rows = written(keys.alias("x").join(keys.alias("y"), _may_link(threshold), "left_semi"), "keys")
+    removed(keys)
 
     def gone(pairs: DataFrame) -> DataFrame:
         found = _verified(pairs, lines.select("lid", "line", "first"), threshold)
@@ -303,7 +342,8 @@ def dedup(docs: DataFrame, threshold: int | None = None, key: str = "doc_id", te
     """The documents with the lines that stay; ``__n_lines`` and ``__n_removed`` count lines with a word and those that went."""
     lines = written(distinct_lines(docs, key, text), "lines")
     stay = lines.select("lid", "first").join(later_lines(lines, threshold, shortest), "lid", "left_anti").select("first.*")
-    kept = stay.groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_list("no")).alias("nos"))
+    kept = written(stay.groupBy("k", "h1", "h2").agg(F.array_sort(F.collect_list("no")).alias("nos")), "kept")
+    removed(lines)
     # the row itself is one column, so that its columns may have any name
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("rk"), F.col(f"`{text}`").alias("text"))
     h1, h2 = _hashes("text")

@@ -1,8 +1,11 @@
 """Dedup, joins, scans and rules against plain versions."""
 
 import hashlib
+import os
+import pathlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -93,6 +96,46 @@ def test_lines_of_one_template_meet_their_earliest_first(spark, monkeypatch):
         assert sorted(got) == sorted(want) and 5 < len(want) < len(lines) - 5
 
 
+def test_lines_that_share_a_phrase_only_are_not_paired(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "etaoinsrhldcumg"
+    lines = {"as the committee has said before, " + "".join(rng.choice(rng.sample(letters, 4)) for _ in range(rng.randint(200, 230))) for _ in range(80)}
+    lines = sorted(lines | {x + "!" for x in sorted(lines)[:3]})
+    made = {}
+
+    def counting(df, name, write=line_dedup.written):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counting)
+    df = spark.createDataFrame([(x, (i,)) for i, x in enumerate(lines)], "line string, first struct<k:long>").select(F.xxhash64("line").alias("lid"), "line", "first")
+    assert line_dedup.later_lines(df).count() == 3
+    assert made["pairs"] < len(lines)  # all of them share the segments of the phrase
+
+
+def test_line_dedup_leaves_no_large_tables_and_no_shuffle_files(spark, docs_of):
+    from parley.llm.common import written
+    from parley.session import ensure_checkpoint_dir
+
+    folder = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    names = lambda: {p.name for p in folder.iterdir()}
+    line = "a line that is long enough to be compared"
+    before = names()
+    out = line_dedup.dedup(docs_of([(1, line), (2, f"{line}!\nown line"), (3, None)]))
+    left = {n.rsplit("-", 1)[0] for n in names() - before}
+    assert not left & {"lines", "probes", "entries", "segments", "met"}
+    assert sorted(map(str, (r["text"] for r in out.collect()))) == ["None", line, "own line"]
+
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for _, _, found in os.walk(d) for f in found if f.startswith("shuffle_")}
+    had, deadline = files(), time.time() + 10  # files go in the background
+    written(spark.range(5000).groupBy((F.col("id") % 999).alias("k")).count(), "counts")
+    while files() - had and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - had
+
+
 def test_line_dedup_beside_clashing_columns(spark):
     names = ["__hash", "__nos", "__n_lines", "row", "rk", "lines", "first", "k"]
     line = "a line that is long enough to be compared"
