@@ -5,7 +5,10 @@ into shards (range partitions) and within them into blocks of a fixed number of
 ids. A block is transposed: plane *j* holds bit *j* of every id. Each plane is
 compressed by itself with zstandard, planes of zeros take no room, and the
 chunk index (ids and bytes per plane of each block, and the documents in it) is
-stored beside the payload, so that it can be read alone.
+stored beside the payload, so that it can be read alone. A part of a document
+that goes on in other blocks has the number of its ids there beside it: so the
+crc32 of the document is the exclusive or of what its parts, each read by
+itself, give to it.
 
 Edge cases: a null text is empty and has the end id alone. Equal ids follow by
 text; null ids come first. Repeated rows are stored as often as they come. An
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,12 @@ from pyspark.sql import functions as F
 from .tokens import worker_encoder
 
 BLOCK_IDS = 1 << 16
-DOC_IN_BLOCK = pa.struct([("place", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("length", pa.int32())])
+DOC_IN_BLOCK = pa.struct([("place", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("length", pa.int32()),
+                          ("after", pa.int64())])
 ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()), ("plane_bytes", pa.list_(pa.int32())),
                    ("payload", pa.binary()), ("docs", pa.list_(DOC_IN_BLOCK))])
 STORE = ("shard int, block bigint, n_ids int, plane_bytes array<int>, payload binary, "
-         "docs array<struct<place:bigint, doc_id:bigint, at:int, length:int>>")
+         "docs array<struct<place:bigint, doc_id:bigint, at:int, length:int, after:bigint>>")
 
 
 def to_planes(ids: np.ndarray, level: int = 3) -> list[bytes]:
@@ -57,28 +62,32 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return ids.astype("<u4")
 
 
-def joined_crc(first: int, second: int, length: int) -> int:
-    """crc32 of two byte strings put together, from the crc32 of each and the length of the second."""
+def _times(matrix: list[int], vector: int) -> int:
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return out
+
 
-    def times(matrix, vector):
-        out, i = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return out
-
-    if not length:
-        return first
-    power = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit appended, as a matrix over bits
+@cache
+def _zeros(k: int) -> list[int]:
+    """What 2 ** ``k`` zero bytes after a string do to its crc32, as a matrix over bits."""
+    if k:
+        return [_times(_zeros(k - 1), x) for x in _zeros(k - 1)]
+    power = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit appended
     for _ in range(3):
-        power = [times(power, x) for x in power]  # one zero byte
-    while length:
-        if length & 1:
-            first = times(power, first)
-        power = [times(power, x) for x in power]
-        length >>= 1
+        power = [_times(power, x) for x in power]
+    return power
+
+
+def joined_crc(first: int, second: int, length: int) -> int:
+    """crc32 of two byte strings put together, from the crc32 of each and the length of the second."""
+    for k in range(length.bit_length()):
+        if length >> k & 1:
+            first = _times(_zeros(k), first)
     return first ^ second
 
 
@@ -104,9 +113,10 @@ def _blocks(end_id: int, tokenizer: str | None, block_ids: int):
                     ids, at = np.append(ids, np.uint32(end_id)), 0
                     while at < len(ids):
                         part = ids[at:at + block_ids - filled]
-                        docs.append({"place": place, "doc_id": key, "at": filled, "length": len(part)})
+                        at += len(part)
+                        docs.append({"place": place, "doc_id": key, "at": filled, "length": len(part), "after": len(ids) - at})
                         held.append(part)
-                        filled, at = filled + len(part), at + len(part)
+                        filled += len(part)
                         if filled == block_ids:
                             yield row()
                     place += 1
@@ -125,41 +135,29 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
 
 
 def _documents(block_ids: int):
-    names = ("shard", "place", "doc_id", "block", "at", "length", "crc")
+    names = ("shard", "place", "doc_id", "at", "length", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ends = np.cumsum([0, *r["plane_bytes"]])
                 ids = from_planes([r["payload"][a:b] for a, b in zip(ends[:-1], ends[1:])], r["n_ids"])
-                out = [(r["shard"], d["place"], d["doc_id"], r["block"], r["block"] * block_ids + d["at"], d["length"],
-                        zlib.crc32(ids[d["at"]:d["at"] + d["length"]].tobytes())) for d in r["docs"]]
+                out = [(r["shard"], d["place"], d["doc_id"], r["block"] * block_ids + d["at"], d["length"],
+                        joined_crc(zlib.crc32(ids[d["at"]:d["at"] + d["length"]]), 0, 4 * d["after"])) for d in r["docs"]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=list(names))
 
     return run
 
 
-def _crc_of_parts(parts):
-    """crc32 of a document from its parts (block, length in ids, crc32), in order."""
-    crc = parts[0][2]
-    for _, length, second in parts[1:]:
-        crc = joined_crc(crc, second, 4 * length)
-    return crc
-
-
 def read_documents(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Decode a store; per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Blocks are decoded one by one, wherever they lie; a document that spans blocks is put together from the crc32 of its parts.
+    Blocks are decoded once, one by one, wherever they lie; a document that spans blocks is put together from the crc32 of its parts.
     """
     store = spark.read.schema(STORE).parquet(path)
-    parts = store.mapInArrow(_documents(block_ids), "shard bigint, place bigint, doc_id bigint, block bigint, at bigint, length bigint, crc bigint")
+    parts = store.mapInArrow(_documents(block_ids), "shard bigint, place bigint, doc_id bigint, at bigint, length bigint, crc bigint")
     docs = parts.groupBy("shard", "place").agg(
-        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("length").alias("n_tokens"), F.first("crc").alias("crc"),
-        F.array_sort(F.collect_list(F.struct("block", "length", "crc"))).alias("parts"))
+        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("length").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     sizes = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row per shard
     before = sizes.select(F.col("shard").cast("bigint").alias("shard"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    several = docs.where(F.size("parts") > 1)  # at most one per block; the others need no Python
-    several = several.withColumn("crc", F.udf(_crc_of_parts, "bigint")("parts"))
-    whole = docs.where(F.size("parts") == 1).unionByName(several)
-    return whole.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
+    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

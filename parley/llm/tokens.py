@@ -84,9 +84,9 @@ class Encoder:
             else:
                 chunks = self.chunks(text)
                 parts = list(map(get, chunks))
-                if None in parts:
-                    holes = [(i, chunks[i]) for i, p in enumerate(parts) if p is None]
-                    new.update(dict.fromkeys(c for _, c in holes))
+                if not all(parts):  # looking for None would compare it with the ids of every chunk
+                    holes = [(i, c) for i, (c, p) in enumerate(zip(chunks, parts)) if p is None]
+                    new.update(dict.fromkeys([c for _, c in holes]))
                     open_.append((len(out), holes))
                 out.append(parts)
         # a chunk with another blank inside is not cut safely; its texts are encoded whole
@@ -96,7 +96,7 @@ class Encoder:
             parts = out[at]
             for i, c in holes:
                 parts[i] = new[c]
-            if None in parts:
+            if any(new[c] is None for _, c in holes):
                 out[at] = None
         self._keep(new, safe)
         whole = [i for i, parts in enumerate(out) if parts is None]

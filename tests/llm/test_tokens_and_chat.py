@@ -73,6 +73,13 @@ def test_token_store_round_trip(spark, docs_of, encoder, block):
     assert token_store.read_documents(spark, empty).count() == 0
 
 
+def test_token_store_is_decoded_once(spark, docs_of):
+    path = common.shared_dir(spark, "test-tokens")
+    token_store.write_store(docs_of(["a few words", "long " * 200]), path, block_ids=16)
+    plan = token_store.read_documents(spark, path, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "PythonUDF" not in plan
+
+
 def test_fullest_is_the_best_sum():
     rng = random.Random(1)
     for _ in range(60):
