@@ -12,11 +12,15 @@ by banded bit-parallel edit distance.
 
 Most segments are in one line only. A blocked Bloom filter of all segments lets
 through the substrings that may be one, and a second one the segments that two
-lines have or a substring may meet, so that few of either are shuffled. Each
-line carries the counts of its most frequent characters in 128 bits; two lines
-meet only if these differ by no more than the threshold allows, and a segment
+lines have or a substring may meet, so that few of either are shuffled. Of the
+segments that linked lines share, one, the *i*-th, has *i* edits before it and
+at most *t* - *i* after it. So each segment carries the counts of the most
+frequent characters in two parts on either side of it, one next to it and one at
+the end of the line; two lines meet there only if either side differs by no more
+than its own share of the edits allows, and a segment
 stays with a line only if another line meets it there, so that lines which share
-no more than a phrase are neither paired nor moved again. Lines that share a
+no more than a phrase, and near copies of one text that are too far apart, are
+neither paired nor moved again. Lines that share a
 segment are compared with the earliest of them first; those linked with it go
 and need no other comparison. Only lines that are left after ``ROUNDS`` such
 rounds are compared with all earlier lines of the segment.
@@ -54,8 +58,10 @@ ROUNDS = 2
 FEW_PAIRS = 500_000
 #: Characters whose counts must nearly agree before a pair is made.
 COUNTED = " etaoinsrhldcumg"
-#: Characters at either end of a line in which they are counted.
-END = 64
+#: Most characters of a part of a line in which they are counted.
+PART = 256
+#: Parts of a line beside a segment: the start of the line, what comes before and after the segment, and the end of the line.
+BEFORE, AFTER = ("start", "before"), ("after", "end")
 KEY_BITS = 48  # of the hash of a segment; shorter keys shuffle in fewer bytes, and pairs are verified anyway
 _BITS = 62  # width of the bit vectors; additions stay within a signed 64-bit number
 _LONGEST = 1 << 13  # lines from here on are one class
@@ -86,7 +92,8 @@ def _shifts(threshold: int) -> list[tuple[int, int]]:
 
 
 def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]], where: Column | None = None) -> DataFrame:
-    """(key, lid, n): hashes of class, number and text of segments, cut from lines (lid, line, raw, n, class, own) in the ways
+    """(key, lid, n, i, at, size, left, right): hashes of class, number and text of segments, their number, place and length, and the
+    lengths of the parts on either side (half of what any line that is linked by the segment has there), cut from lines (lid, line, raw, n, class, own) in the ways
     (i, shift) that ``where`` (a condition on shift and own) lets through.
 
     One row per way comes first and one small expression makes its key, which the JVM compiles; all keys of a line in
@@ -99,15 +106,18 @@ def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int],
         own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways(t)])
         at = F.col("t") == t
         choice = F.when(at, own) if choice is None else choice.when(at, own)
-    rows = sized.select("lid", "line", "raw", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"))
-    rows = rows.select("lid", "line", "raw", "n", "class", "own", "size", F.explode(choice).alias("w"))
+    rows = sized.select("lid", "line", "raw", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"),
+                        of([lo - t for lo, t in known]).alias("least"))
+    rows = rows.select("lid", "line", "raw", "n", "class", "own", "size", "least", F.explode(choice).alias("w"))
     rows = rows if where is None else rows.where(where)
-    rows = rows.select("lid", "line", "raw", "n", "class", "size", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
+    rows = rows.select("lid", "line", "raw", "n", "class", "size", "least", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
     cut = lambda c: F.col(c).substr(F.col("at") + 1, F.col("size"))
     segment = F.when(F.length("raw") == F.col("n"), cut("raw")).otherwise(cut("line").cast("binary"))
     key = F.xxhash64("class", "i", segment).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    return rows.where(fits).select(key.alias("key"), "lid", "n")
+    half = lambda c: F.least(F.lit(PART), F.greatest(F.lit(0), F.floor(c / 2).cast("int")))
+    left, right = half(F.col("i") * (F.col("size") - 1)), half(F.col("least") + F.col("i") - (F.col("i") + 1) * F.col("size"))
+    return rows.where(fits).select(key.alias("key"), "lid", "n", F.col("i").cast("byte").alias("i"), "at", "size", left.alias("left"), right.alias("right"))
 
 
 def _most(n: Column, threshold: int | None) -> Column:
@@ -115,33 +125,40 @@ def _most(n: Column, threshold: int | None) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MOST), F.floor(n / 16).cast("int"))) if threshold is None else F.lit(threshold)
 
 
-def _as_long(a: Column, b: Column, threshold: int | None) -> Column:
-    """Whether two lengths differ by at most what the threshold of the shorter line allows."""
-    return F.abs(a - b) <= _most(F.least(a, b), threshold)
+def _counts(text: Column) -> Column:
+    """How often each of ``COUNTED`` is in a text, in four bits each.
+
+    The bits are those of a ring of 8 counts of which neighbours differ by one bit, so the bits that differ between two
+    texts are at most as many as the counts differ by.
+    """
+    ring = F.array(*[F.lit((1 << k) - 1 if k < 4 else 0xF & (0xF << (k - 4))).cast("bigint") for k in range(8)])
+    total = F.lit(0).cast("bigint")
+    for k, letter in enumerate(COUNTED):
+        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft(F.element_at(ring, count.bitwiseAND(F.lit(7)) + 1), 4 * k))
+    return total
 
 
-def _counts(line: Column) -> list[Column]:
-    """``counts0`` and ``counts1``: how often each of ``COUNTED`` is in a line or, if it is long, in both its ends, in eight bits
-    each. An edit takes one character from these ends and adds one at most.
+def _beside(shared: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``_shared_keys`` with the counts of characters in the parts beside the segment, and all columns of ``lines`` but the line.
 
-    The bits are those of a ring of 16 counts of which neighbours differ by one bit, so the bits that differ between two
-    lines are at most as many as the counts differ by.
+    Parts do not overlap and each begins or ends with the segment or the line, so an edit is in one of them at most: it
+    takes one character from it and adds one, itself or by what it moves over the other end of the part.
     """
-    ring = F.array(*[F.lit((1 << k) - 1 if k < 8 else 0xFF & (0xFF << (k - 8))).cast("bigint") for k in range(16)])
-    line = F.when(F.length(line) <= 2 * END, line).otherwise(F.concat(F.left(line, F.lit(END)), F.right(line, F.lit(END))))
-    out = []
-    for at in range(0, len(COUNTED), 8):
-        total = F.lit(0).cast("bigint")
-        for k, letter in enumerate(COUNTED[at:at + 8]):
-            count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-            total = total.bitwiseOR(F.shiftleft(F.element_at(ring, count.bitwiseAND(F.lit(15)) + 1), 8 * k))
-        out.append(total.alias(f"counts{at // 8}"))
-    return out
+    rows = shared.join(lines, "lid")
+    at, left, right = F.col("at"), F.col("left"), F.col("right")
+    cut = lambda skipped, length: F.substr("line", skipped + 1, length)
+    parts = [cut(F.lit(0), left), cut(at - left, left), cut(at + F.col("size"), right), cut(F.col("n") - right, right)]
+    others = [c for c in lines.columns if c not in ("lid", "line")]
+    # one function for all parts: written out for each, the code is too long for the JVM to compile
+    rows = rows.select("key", "lid", "n", "entry", "i", "at", *others, F.transform(F.array(*parts), _counts).alias("counts"))
+    return rows.select("*", *[F.get("counts", F.lit(k)).alias(name) for k, name in enumerate(BEFORE + AFTER)]).drop("counts")
 
 
-def _counts_near(x: str, y: str, most: Column) -> Column:
-    """Whether the counts of two aliased sides differ by at most what edits can change (two of them each)."""
-    return sum((F.bit_count(F.col(f"{x}.counts{i}").bitwiseXOR(F.col(f"{y}.counts{i}"))) for i in range(len(COUNTED) // 8)), F.lit(0)) <= 2 * most
+def _side_near(parts: tuple[str, str], x: Column, y: Column, edits: Column) -> Column:
+    """Whether one side of a segment (its length in either line, its counts) differs by at most what so many edits can change."""
+    bits = sum((F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))) for name in parts), F.lit(0))
+    return (F.abs(x - y) <= edits) & (bits <= 2 * edits)  # an edit changes two counts
 
 
 def _pieces_near(a: Column, b: Column, most: Column) -> Column:
@@ -224,7 +241,7 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
-    """(key, lid, n, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
+    """(key, lid, n, i, at, size, left, right, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
     known = classes(threshold, shortest)
     rows = lines.select("lid", "line", F.col("line").cast("binary").alias("raw"), F.length("line").alias("n")).where(F.col("n") >= shortest)
     own = sum(((F.col("n") >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
@@ -246,20 +263,22 @@ def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> Data
     filters = written(bloom.fold(counted, {"any": None, "several": F.col("n") > 1}), "segments")
 
     hits = bloom.passing(probes, "key", [(filters, n_blocks, "any")])
-    hits = written(hits.select("key", "lid", "n", F.lit(False).alias("entry")), "probes")
+    hits = written(hits.withColumn("entry", F.lit(False)), "probes")
     n_hit = bloom.blocks_for(hits.count())
     probes_filter = written(bloom.bloom_filter(hits, n_hit, prefix="met"), "met")
     met = bloom.passing(entries, "key", [(filters, n_blocks, "several"), (probes_filter, n_hit, "met")])
-    met = written(met.select("key", "lid", "n", F.lit(True).alias("entry")), "entries")
+    met = written(met.withColumn("entry", F.lit(True)), "entries")
     removed(filters, probes_filter)
     return hits.unionByName(met)
 
 
 def _may_link(threshold: int | None) -> Column:
-    """Whether rows x and y are of two lines that meet under a key, one of them by a segment of its own, and can be linked as to
-    their lengths and the counts of their characters."""
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.entry") | F.col("y.entry")) & _as_long(F.col("x.n"), F.col("y.n"), threshold)
-    return on & _counts_near("x", "y", _most(F.least("x.n", "y.n"), threshold)) & (F.col("x.lid") != F.col("y.lid"))
+    """Whether rows x and y are of two lines that meet under a key, one of them by a segment of its own, and can be linked by so
+    many edits before the segment as its number says, and the others after it."""
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.entry") | F.col("y.entry")) & (F.col("x.lid") != F.col("y.lid"))
+    i = F.col("x.i").cast("int")
+    after = _side_near(AFTER, F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), _most(F.least("x.n", "y.n"), threshold) - i)
+    return on & _side_near(BEFORE, F.col("x.at"), F.col("y.at"), i) & after
 
 
 def _pairs(x: DataFrame, y: DataFrame, threshold: int | None, where: Column | None = None) -> DataFrame:
@@ -289,7 +308,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int | None) -> Data
 
 def linked_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
     """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
-    rows = _shared_keys(lines, threshold, shortest).join(lines.select("lid", *_counts(F.col("line"))), "lid")
+    rows = _beside(_shared_keys(lines, threshold, shortest), lines.select("lid", "line"))
     return _verified(_pairs(rows.where("entry"), rows, threshold), lines.select("lid", "line"), threshold).select("a", "b")
 
 
@@ -300,7 +319,7 @@ def later_lines(lines: DataFrame, threshold: int | None = None, shortest: int =
     are left meet all earlier lines they have not met.
     """
     shared = _shared_keys(lines.select("lid", "line"), threshold, shortest)
-    keys = written(shared.join(lines.select("lid", "first", *_counts(F.col("line"))), "lid"), "keys")
+    keys = written(_beside(shared, lines.select("lid", "line", "first")), "keys")
     removed(shared)
     # rows that meet nobody make no pair, whatever the round
     rows = written(keys.alias("x").join(keys.alias("y"), _may_link(threshold), "left_semi"), "keys")

@@ -68,6 +68,19 @@ def test_lines_with_one_edited_word_are_linked(spark):
     assert got == want and any(abs(len(a) - len(b)) == 8 for a, b in want)
 
 
+def test_near_copies_too_far_apart_are_seldom_paired(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinsrhldcumg") for _ in range(rng.randint(3, 8)))
+    base = [word() for _ in range(80)]
+    lines = [base if i == 40 else [word() if rng.random() < 0.08 else w for w in base] for i in range(80)]
+    lines += [[*base[:9], base[9] + "x", *base[10:]]]  # linked with the base only
+    made, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *args: made.append(pairs.count()) or verified(pairs, *args))
+    df = spark.createDataFrame([(i, " ".join(x), i) for i, x in enumerate(lines)], "lid long, line string, first long")
+    assert 80 in {r["lid"] for r in line_dedup.later_lines(df).collect()}
+    assert sum(made) < 80 * 79 / 2 / 4, made
+
+
 def test_line_dedup_keeps_the_first_of_linked_lines(docs_of):
     a = "a line that is long enough to be compared"
     rows = [(3, f"{a}\n\nown line of three\nshort"), (1, f"first own line\n{a}\n{a}!"), (2, "short\n" + a.replace("long", "1ong")), (4, None), (5, ""), (5, ""), (None, "short\nno id")]
