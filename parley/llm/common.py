@@ -18,6 +18,8 @@ SIMILAR_PERCENT = 75
 
 #: Setting of Spark 4.1 under which a job's shuffle files go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Share of the driver's heap in use from which ``tidy`` has it collected.
+GARBAGE_SHARE = 0.3
 #: Folders of ``shared_dir``.
 WRITTEN = re.compile(r"-[0-9a-f]{32}$")
 
@@ -37,6 +39,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage once that fills more than ``GARBAGE_SHARE`` of its heap.
+
+    Plans, filters sent with tasks and what they were made from die with their job, but a heap that has room grows before it
+    is collected and keeps what it took; a job of many steps would hold the whole of it beside what the driver needs
+    outside the heap. With the garbage go the broadcasts and shuffles that nothing refers to any more.
+    """
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() - runtime.freeMemory() > GARBAGE_SHARE * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back (cuts lineage; survives lost executors).
 
@@ -44,6 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     they would else stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
+    tidy(spark)
     path, before = shared_dir(spark, name), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

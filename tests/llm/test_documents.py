@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import bloom
+from parley.llm import bloom, common
 from parley.llm import components as C
 from parley.llm import decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, suffix_dedup
 
@@ -81,6 +81,16 @@ def test_near_copies_too_far_apart_are_seldom_paired(spark, monkeypatch):
     assert sum(made) < 80 * 79 / 2 / 4, made
 
 
+def test_the_driver_collects_its_garbage_before_a_table_is_written(spark, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    for share, collected in ((1.0, False), (0.0, True)):
+        monkeypatch.setattr(common, "GARBAGE_SHARE", share)
+        before = full()
+        assert common.written(spark.range(3), "few").count() == 3
+        assert (full() > before) == collected
+
+
 def test_line_dedup_keeps_the_first_of_linked_lines(docs_of):
     a = "a line that is long enough to be compared"
     rows = [(3, f"{a}\n\nown line of three\nshort"), (1, f"first own line\n{a}\n{a}!"), (2, "short\n" + a.replace("long", "1ong")), (4, None), (5, ""), (5, ""), (None, "short\nno id")]
