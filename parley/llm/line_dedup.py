@@ -5,19 +5,23 @@ of the shorter one: a sixteenth of its length, at least 1 and at most ``MOST``
 (or one number for all lines). Lines shorter than ``shortest`` only equal
 themselves. Lengths fall into classes of one threshold *t*. If *t* + 1 segments
 are cut from the shorter line, the longer one has one of them as a substring,
-shifted by at most as many places as segments stand before it. Each line is
+with as many edits before it as segments stand before it. The first half of the
+segments is cut from the start of the line and the others from its end, so that
+a segment is shifted by at most as many places as segments stand between it and
+the end it is cut from, whatever the lengths. Each line is
 indexed under the segments of its class, probes its own class and the one below
 with the substrings that can be aligned, and the pairs that meet are verified
 by banded bit-parallel edit distance.
 
 Most segments are in one line only. A blocked Bloom filter of all segments lets
 through the substrings that may be one, and a second one the segments that two
-lines have or a substring may meet, so that few of either are shuffled. Of the
+lines have or a substring that came through may meet, so that few of either are shuffled. Of the
 segments that linked lines share, one, the *i*-th, has *i* edits before it and
 at most *t* - *i* after it. So each segment carries the counts of the most
 frequent characters in two parts on either side of it, one next to it and one at
 the end of the line; two lines meet there only if either side differs by no more
-than its own share of the edits allows, and a segment
+than its own share of the edits allows (lengths are compared first, before any
+line is read again for its counts), and a segment
 stays with a line only if another line meets it there, so that lines which share
 no more than a phrase, and near copies of one text that are too far apart, are
 neither paired nor moved again. Lines that share a
@@ -86,38 +90,41 @@ def _shifts(threshold: int) -> list[tuple[int, int]]:
     """(i, shift) under which a line probes a class.
 
     Take the last segment *i* with at least *i* edits before it: it is whole, with *i* edits before it and at most
-    ``threshold - i`` after it, in a line at most ``threshold`` characters longer.
+    ``threshold - i`` after it. Its distance from the start of the line changes by no more than the former, that from
+    the end by no more than the latter.
     """
-    return [(i, shift) for i in range(threshold + 1) for shift in range(max(-i, i - threshold), i + 1)]
+    return [(i, shift) for i in range(threshold + 1) for shift in range(-min(i, threshold - i), min(i, threshold - i) + 1)]
+
+
+def _of_class(values: list[int]) -> Column:
+    """What the list says for the class of a row."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("class") + 1)
 
 
 def _keyed(sized: DataFrame, known: list[tuple[int, int]], ways: Callable[[int], list[tuple[int, int]]], where: Column | None = None) -> DataFrame:
-    """(key, lid, n, i, at, size, left, right): hashes of class, number and text of segments, their number, place and length, and the
-    lengths of the parts on either side (half of what any line that is linked by the segment has there), cut from lines (lid, line, raw, n, class, own) in the ways
-    (i, shift) that ``where`` (a condition on shift and own) lets through.
+    """(key, lid, n, class, i, at): hashes of class, number and text of segments, the class, their number and place, cut from lines
+    (lid, line, raw, n, class, own) in the ways (i, shift) that ``where`` (a condition on shift and own) lets through.
 
     One row per way comes first and one small expression makes its key, which the JVM compiles; all keys of a line in
-    one expression are too large for that. Where every character is one byte, segments are cut from the bytes (raw), as a
+    one expression are too large for that, and so is the code of a task that does more here than it must. Where every character is one byte, segments are cut from the bytes (raw), as a
     cut from a string counts its characters from the first; equal segments have the same bytes either way.
     """
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("class") + 1)
     choice = None
     for t in sorted({t for _, t in known}):
-        own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways(t)])
+        # shift from where the segment stands if it is cut from the start, and places from the end if it is cut from there
+        own = F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), F.lit(shift).alias("shift"), F.lit(i if 2 * i <= t else i - t - 1).alias("sizes"), F.lit(2 * i > t).alias("back")) for i, shift in ways(t)])
         at = F.col("t") == t
         choice = F.when(at, own) if choice is None else choice.when(at, own)
-    rows = sized.select("lid", "line", "raw", "n", "class", "own", of([t for _, t in known]).alias("t"), of([lo // (t + 1) for lo, t in known]).alias("size"),
-                        of([lo - t for lo, t in known]).alias("least"))
-    rows = rows.select("lid", "line", "raw", "n", "class", "own", "size", "least", F.explode(choice).alias("w"))
+    rows = sized.select("lid", "line", "raw", "n", "class", "own", _of_class([t for _, t in known]).alias("t"), _of_class([lo // (t + 1) for lo, t in known]).alias("size"))
+    rows = rows.select("lid", "line", "raw", "n", "class", "own", "size", (F.length("raw") == F.col("n")).alias("narrow"), F.explode(choice).alias("w"))
     rows = rows if where is None else rows.where(where)
-    rows = rows.select("lid", "line", "raw", "n", "class", "size", "least", F.col("w.i").alias("i"), (F.col("w.i") * F.col("size") + F.col("w.shift")).alias("at"))
+    at = F.when(F.col("w.back"), F.col("n")).otherwise(F.lit(0)) + F.col("w.sizes") * F.col("size") + F.col("w.shift")
+    rows = rows.select("lid", "line", "raw", "n", "class", "size", "narrow", F.col("w.i").alias("i"), at.alias("at"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
     cut = lambda c: F.col(c).substr(F.col("at") + 1, F.col("size"))
-    segment = F.when(F.length("raw") == F.col("n"), cut("raw")).otherwise(cut("line").cast("binary"))
+    segment = F.when(F.col("narrow"), cut("raw")).otherwise(cut("line").cast("binary"))
     key = F.xxhash64("class", "i", segment).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-    half = lambda c: F.least(F.lit(PART), F.greatest(F.lit(0), F.floor(c / 2).cast("int")))
-    left, right = half(F.col("i") * (F.col("size") - 1)), half(F.col("least") + F.col("i") - (F.col("i") + 1) * F.col("size"))
-    return rows.where(fits).select(key.alias("key"), "lid", "n", F.col("i").cast("byte").alias("i"), "at", "size", left.alias("left"), right.alias("right"))
+    return rows.where(fits).select(key.alias("key"), "lid", "n", F.col("class").cast("byte").alias("class"), "i", "at")
 
 
 def _most(n: Column, threshold: int | None) -> Column:
@@ -139,13 +146,22 @@ def _counts(text: Column) -> Column:
     return total
 
 
-def _beside(shared: DataFrame, lines: DataFrame) -> DataFrame:
+def _beside(shared: DataFrame, lines: DataFrame, known: list[tuple[int, int]]) -> DataFrame:
     """Rows of ``_shared_keys`` with the counts of characters in the parts beside the segment, and all columns of ``lines`` but the line.
 
+    A part has half the characters that any line that is linked by the segment has on that side.
     Parts do not overlap and each begins or ends with the segment or the line, so an edit is in one of them at most: it
     takes one character from it and adds one, itself or by what it moves over the other end of the part.
     """
-    rows = shared.join(lines, "lid")
+    rows = shared.withColumns({"t": _of_class([t for _, t in known]), "size": _of_class([lo // (t + 1) for lo, t in known]), "least": _of_class([lo for lo, _ in known])})
+    before, after = F.col("i").cast("int"), F.col("t") - F.col("i")  # segments there; as many edits at most
+    half = lambda c: F.least(F.lit(PART), F.greatest(F.lit(0), F.floor(c / 2).cast("int")))
+    near = lambda k: half(k * (F.col("size") - 1))
+    across = lambda k, other: half(F.col("least") - (other + 1) * F.col("size") - k)
+    from_start = 2 * before <= F.col("t")
+    rows = rows.withColumns({"left": F.when(from_start, near(before)).otherwise(across(before, after)),
+                             "right": F.when(from_start, across(after, before)).otherwise(near(after))})
+    rows = rows.join(lines, "lid")
     at, left, right = F.col("at"), F.col("left"), F.col("right")
     cut = lambda skipped, length: F.substr("line", skipped + 1, length)
     parts = [cut(F.lit(0), left), cut(at - left, left), cut(at + F.col("size"), right), cut(F.col("n") - right, right)]
@@ -158,7 +174,7 @@ def _beside(shared: DataFrame, lines: DataFrame) -> DataFrame:
 def _side_near(parts: tuple[str, str], x: Column, y: Column, edits: Column) -> Column:
     """Whether one side of a segment (its length in either line, its counts) differs by at most what so many edits can change."""
     bits = sum((F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))) for name in parts), F.lit(0))
-    return (F.abs(x - y) <= edits) & (bits <= 2 * edits)  # an edit changes two counts
+    return (F.abs(x - y) <= edits) & (bits <= 2 * edits)  # an edit changes two counts; without parts, edits are not below 0
 
 
 def _pieces_near(a: Column, b: Column, most: Column) -> Column:
@@ -241,7 +257,7 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> DataFrame:
-    """(key, lid, n, i, at, size, left, right, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
+    """(key, lid, n, class, i, at, entry): the segments (entry) and aligned substrings of lines (lid, line) under keys that two lines may share."""
     known = classes(threshold, shortest)
     rows = lines.select("lid", "line", F.col("line").cast("binary").alias("raw"), F.length("line").alias("n")).where(F.col("n") >= shortest)
     own = sum(((F.col("n") >= lo).cast("int") for lo, _ in known[1:]), F.lit(0))
@@ -264,21 +280,22 @@ def _shared_keys(lines: DataFrame, threshold: int | None, shortest: int) -> Data
 
     hits = bloom.passing(probes, "key", [(filters, n_blocks, "any")])
     hits = written(hits.withColumn("entry", F.lit(False)), "probes")
-    n_hit = bloom.blocks_for(hits.count())
-    probes_filter = written(bloom.bloom_filter(hits, n_hit, prefix="met"), "met")
-    met = bloom.passing(entries, "key", [(filters, n_blocks, "several"), (probes_filter, n_hit, "met")])
-    met = written(met.withColumn("entry", F.lit(True)), "entries")
-    removed(filters, probes_filter)
+    # one filter of what several lines have and of what is probed: looking up two makes the code of a task too long for the JVM to compile
+    wanted = [bloom.bloom_filter(hits, n_blocks, prefix="met"), filters.select("block", *[F.col(c).alias(to) for c, to in zip(bloom.longs("several"), bloom.longs("met"))])]
+    wanted = written(wanted[0].unionByName(wanted[1]).groupBy("block").agg(*[F.bit_or(c).alias(c) for c in bloom.longs("met")]), "met")
+    met = written(bloom.passing(entries, "key", [(wanted, n_blocks, "met")]).withColumn("entry", F.lit(True)), "entries")
+    removed(filters, wanted)
     return hits.unionByName(met)
 
 
-def _may_link(threshold: int | None) -> Column:
+def _may_link(threshold: int | None, counted: bool = True) -> Column:
     """Whether rows x and y are of two lines that meet under a key, one of them by a segment of its own, and can be linked by so
-    many edits before the segment as its number says, and the others after it."""
+    many edits before the segment as its number says, and the others after it; by lengths alone if not ``counted``."""
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.entry") | F.col("y.entry")) & (F.col("x.lid") != F.col("y.lid"))
     i = F.col("x.i").cast("int")
-    after = _side_near(AFTER, F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), _most(F.least("x.n", "y.n"), threshold) - i)
-    return on & _side_near(BEFORE, F.col("x.at"), F.col("y.at"), i) & after
+    before, after = (BEFORE, AFTER) if counted else ((), ())
+    beyond = _side_near(after, F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), _most(F.least("x.n", "y.n"), threshold) - i)
+    return on & _side_near(before, F.col("x.at"), F.col("y.at"), i) & beyond
 
 
 def _pairs(x: DataFrame, y: DataFrame, threshold: int | None, where: Column | None = None) -> DataFrame:
@@ -308,7 +325,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int | None) -> Data
 
 def linked_lines(lines: DataFrame, threshold: int | None = None, shortest: int = SHORTEST) -> DataFrame:
     """(a, b) of linked lines, given distinct lines (lid, line); each pair once, a < b."""
-    rows = _beside(_shared_keys(lines, threshold, shortest), lines.select("lid", "line"))
+    rows = _beside(_shared_keys(lines, threshold, shortest), lines.select("lid", "line"), classes(threshold, shortest))
     return _verified(_pairs(rows.where("entry"), rows, threshold), lines.select("lid", "line"), threshold).select("a", "b")
 
 
@@ -319,9 +336,11 @@ def later_lines(lines: DataFrame, threshold: int | None = None, shortest: int =
     are left meet all earlier lines they have not met.
     """
     shared = _shared_keys(lines.select("lid", "line"), threshold, shortest)
-    keys = written(_beside(shared, lines.select("lid", "line", "first")), "keys")
+    # rows that meet nobody make no pair, whatever the round; most are told by their lengths, without the lines
+    near = written(shared.alias("x").join(shared.alias("y"), _may_link(threshold, counted=False), "left_semi"), "near")
     removed(shared)
-    # rows that meet nobody make no pair, whatever the round
+    keys = written(_beside(near, lines.select("lid", "line", "first"), classes(threshold, shortest)), "keys")
+    removed(near)
     rows = written(keys.alias("x").join(keys.alias("y"), _may_link(threshold), "left_semi"), "keys")
     removed(keys)
 

@@ -81,6 +81,25 @@ def test_near_copies_too_far_apart_are_seldom_paired(spark, monkeypatch):
     assert sum(made) < 80 * 79 / 2 / 4, made
 
 
+def test_lines_are_read_again_only_if_they_meet_by_their_lengths(spark, monkeypatch):
+    rng = random.Random(5)
+    start = "a heading of twenty-odd letters: "
+    lines = [start + "".join(rng.choice("abcdefgh ") for _ in range(n - len(start))) for n in (160, 170, 180, 190)]
+    near = [*lines, lines[0][:80] + "q" + lines[0][80:]]
+    read, beside = [], line_dedup._beside
+    monkeypatch.setattr(line_dedup, "_beside", lambda shared, *args: read.append({r["lid"] for r in shared.collect()}) or beside(shared, *args))
+    for some, links in ((lines, set()), (near, {4})):
+        df = spark.createDataFrame([(i, x, i) for i, x in enumerate(some)], "lid long, line string, first long")
+        assert {r["lid"] for r in line_dedup.later_lines(df).collect()} == links
+    assert read == [set(), {0, 4}]
+
+
+def test_segments_are_cut_from_both_ends():
+    ways = line_dedup._shifts(8)
+    assert len(ways) == 41 and max(abs(shift) for _, shift in ways) == 4
+    assert all(abs(shift) <= min(i, 8 - i) for i, shift in ways)
+
+
 def test_the_driver_collects_its_garbage_before_a_table_is_written(spark, monkeypatch):
     beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
     full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
